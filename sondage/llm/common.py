@@ -133,3 +133,43 @@ class Fingerprints:
     def of(self, start: np.ndarray, end) -> np.ndarray:
         """Of buf[start:end], for arrays of starts and ends."""
         return mix((self._sums[end] - self._sums[start]) * self._down[start])
+
+
+# Texts as byte buffers -----------------------------------------------------------
+
+CHUNK = 2_000_000
+
+
+def chunks(texts, limit: int = CHUNK):
+    """(first row, byte strings) of consecutive runs of texts of about limit bytes; null is empty."""
+    rows, total, first = [], 0, 0
+    for i, t in enumerate(texts):
+        if isinstance(t, str):
+            b = t.encode("utf-8", "surrogatepass")
+        else:
+            b = bytes(t) if t is not None and t == t else b""
+        if rows and total + len(b) > limit:
+            yield first, rows
+            rows, total, first = [], 0, i
+        rows.append(b)
+        total += len(b)
+    if rows:
+        yield first, rows
+
+
+def joined(rows: list[bytes], gap: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in one buffer, each followed by gap; their starts and ends."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    ends = np.cumsum(sizes + len(gap)) - len(gap) if len(rows) else sizes
+    return np.frombuffer(gap.join(rows) + gap, np.uint8), ends - sizes, ends
+
+
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+#: The six ASCII white space bytes.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True

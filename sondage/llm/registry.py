@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sondage.llm import mixing
+from sondage.llm import mixing, quality
 
 QUERIES = {
     "op4_mix_sources": mixing.query,
+    "op10_quality_trees": quality.query,
 }
 
 SQL = {
