@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sondage.llm import mixing, quality
+from sondage.llm import decontam, mixing, quality
 
 QUERIES = {
     "op4_mix_sources": mixing.query,
+    "op9_decontaminate": decontam.query,
     "op10_quality_trees": quality.query,
 }
 
 SQL = {
     "op4_mix_sources": mixing.SQL,
+    "op9_decontaminate": decontam.SQL,
 }
