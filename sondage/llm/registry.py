@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sondage.llm import decontam, mixing, quality
+from sondage.llm import decontam, langid, mixing, quality
 
 QUERIES = {
     "op4_mix_sources": mixing.query,
+    "op7_language": langid.query,
     "op9_decontaminate": decontam.query,
     "op10_quality_trees": quality.query,
 }
