@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sondage.llm import decontam, langid, mixing, quality
+from sondage.llm import decontam, langid, mixing, quality, warc
 
 QUERIES = {
+    "op1_warc_segments": warc.query,
     "op4_mix_sources": mixing.query,
     "op7_language": langid.query,
     "op9_decontaminate": decontam.query,
