@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sondage.llm import decontam, langid, mixing, quality, warc
+from sondage.llm import decontam, langid, mixing, quality, tokens, warc
 
 QUERIES = {
     "op1_warc_segments": warc.query,
+    "op2_token_counts": tokens.query,
     "op4_mix_sources": mixing.query,
     "op7_language": langid.query,
     "op9_decontaminate": decontam.query,
