@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sondage.llm import decontam, langid, mixing, pii, quality, suffix, tokens, warc
+from sondage.llm import decontam, embed, langid, mixing, pii, quality, suffix, tokens, warc
 
 QUERIES = {
     "op1_warc_segments": warc.query,
     "op2_token_counts": tokens.query,
     "op4_mix_sources": mixing.query,
     "op5_personal_data": pii.query,
+    "op6_embedding_links": embed.query,
     "op7_language": langid.query,
     "op8_repeated_strings": suffix.query,
     "op9_decontaminate": decontam.query,
