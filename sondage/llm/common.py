@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MASK = (1 << 64) - 1
@@ -173,3 +174,49 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 #: The six ASCII white space bytes.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def whole_groups(parts, columns: list[str]):
+    """From sorted frames: (rows, group numbers) of consecutive whole groups; a group may go across frames."""
+    held = None
+    number = lambda rows: rows.groupby(columns, sort=False).ngroup().to_numpy()
+    for part in parts:
+        held = part if held is None else pd.concat([held, part], ignore_index=True)
+        if len(held):
+            group = number(held)
+            done = int(np.searchsorted(group, group[-1]))
+            if done:
+                yield held.iloc[:done].reset_index(drop=True), group[:done]
+                held = held.iloc[done:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, number(held)
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges i-j span the components of n nodes, by union of trees."""
+    root = list(range(n))
+    keep = np.zeros(len(i), bool)
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+        a, b = top(a), top(b)
+        if a != b:
+            root[b] = a
+            keep[k] = True
+    return keep
+
+
+def node_key(number: str, *hashes: str) -> Column:
+    """Binary key that sorts by a long first; the 64-bit hashes after it tell apart what shares the number."""
+    long = lambda c: F.lpad(F.hex(c), 16, "0")
+    return F.unhex(F.concat(long(F.expr(f"{number} ^ (1L << 63)")), *[long(h) for h in hashes]))
+
+
+def node_number(key: str) -> Column:
+    """The long that a node_key begins with."""
+    return F.expr(f"CAST(conv(hex(substring({key}, 1, 8)), 16, -10) AS BIGINT) ^ (1L << 63)")

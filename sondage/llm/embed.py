@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import components, materialise, mix
+from sondage.llm.common import components, forest, materialise, mix, node_key, node_number, whole_groups
 
 #: Members of a bucket's part; a larger bucket is compared part by part, each pair of parts in its own group.
 PART = 1024
+GROUP = ["t", "key", "dim", "low", "high"]
 #: How many deviations the confidence bound allows an estimate.
 SIGMAS = 4.5
 #: Chance that a pair right at the threshold meets in some bucket.
@@ -74,25 +75,6 @@ def linked(m: Members, i: np.ndarray, j: np.ndarray, threshold: float) -> np.nda
     return out
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Which pairs span the components of the graph with edges i-j, by union of their trees."""
-    root = list(range(n))
-    keep = np.zeros(len(i), bool)
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        a, b = top(a), top(b)
-        if a != b:
-            root[b] = a
-            keep[k] = True
-    return keep
-
-
 def _pairs(threshold: float, count: int):
     columns = ["a", "b", "n"]
 
@@ -154,16 +136,8 @@ def _pairs(threshold: float, count: int):
                 yield from large(rows[group == g].reset_index(drop=True), dim)
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for part in parts:
-            held = part if held is None else pd.concat([held, part], ignore_index=True)
-            group = held.groupby(["t", "key", "dim", "low", "high"], sort=False).ngroup().to_numpy()
-            done = int(np.searchsorted(group, group[-1])) if len(group) else 0
-            if done:
-                yield from run(held.iloc[:done].reset_index(drop=True), group[:done])
-                held = held.iloc[done:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield from run(held, held.groupby(["t", "key", "dim", "low", "high"], sort=False).ngroup().to_numpy())
+        for rows, group in whole_groups(parts, GROUP):
+            yield from run(rows, group)
 
     return compare
 
@@ -195,8 +169,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95) -> DataFrame
     keyed = rows.withColumns({"h1": F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")), "h2": F.when(F.col("embedding").isNotNull(), F.xxhash64(F.lit(1), "embedding"))})
     nodes = keyed.where("embedding IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("mult"), F.first("embedding").alias("embedding"))
     # A node sorts by its smallest vec_id; the hashes tell nodes with the same one apart.
-    order = F.lpad(F.hex(F.expr("vec_id ^ (1L << 63)")), 16, "0")
-    nodes = materialise(nodes.withColumn("node", F.unhex(F.concat(order, F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))), "nodes")
+    nodes = materialise(nodes.withColumn("node", node_key("vec_id", "h1", "h2")), "nodes")
     bits, count = tables(nodes.count(), threshold)
 
     def codes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,15 +192,13 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95) -> DataFrame
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("node", "t", "key", "dim", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     met = materialise(met, "members").join(fat.drop("buckets", "dim"), "node")
-    groups = ["t", "key", "dim", "low", "high"]
-    found = met.repartition(*groups).sortWithinPartitions(*groups).mapInPandas(_pairs(threshold, count), "a binary, b binary, n long")
+    found = met.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(_pairs(threshold, count), "a binary, b binary, n long")
     found = materialise(found, "links")
 
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b IS NOT NULL"))
-    least = F.expr("CAST(conv(hex(substring(root, 1, 8)), 16, -10) AS BIGINT) ^ (1L << 63)")
     known = nodes.select("h1", "h2", "node", "mult").join(links, "node", "left").join(roots, "node", "left")
-    known = materialise(known.select("h1", "h2", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")).withColumn("component_id", least).drop("root"), "found")
+    known = materialise(known.select("h1", "h2", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")).withColumn("component_id", node_number("root")).drop("root"), "found")
     out = keyed.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sondage.llm import decontam, embed, langid, mixing, pii, quality, suffix, tokens, warc
+from sondage.llm import decontam, embed, langid, minhash, mixing, pii, quality, suffix, tokens, warc
 
 QUERIES = {
     "op1_warc_segments": warc.query,
     "op2_token_counts": tokens.query,
+    "op3_near_duplicates": minhash.query,
     "op4_mix_sources": mixing.query,
     "op5_personal_data": pii.query,
     "op6_embedding_links": embed.query,
