@@ -42,30 +42,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], cap: float, share: float
     rows = rows.withColumn("left_weight", F.col("all_weight") - F.coalesce(F.sum("weight").over(filled), F.lit(0.0)))
     rows = rows.withColumn("level", F.col("left_total") / F.col("left_weight"))
     rows = rows.withColumn("full", F.col("most") <= F.col("weight") * F.col("level"))
-    last = F.min(F.when(~F.col("full"), F.col("level"))).over(every)
+    last = F.max(F.when(~F.col("full"), F.col("level"))).over(every)  # that of the first in order; later ones are lower
     target = F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * F.coalesce(last, F.lit(0.0)))
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
-    """The mix of docs (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
-
-    copies is how often the mix takes the document and taken is copies * size.
-    Every document is taken floor(target / source_size) times; those whose hash
-    is under their source's threshold once more. No sum of a source misses its
-    target by more than half the documents that share one hash.
-
-    Null and empty texts have size 0; a null source is a source of its own, and
-    a null doc_id is hashed as such. Rows alike in doc_id and text share a hash
-    and are taken alike. Without rows there are no rows; a source of size 0 has
-    target 0. Other columns are ignored.
-    """
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with size (words), h (the hash that decides) and key (the source; null is one too)."""
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
     h = F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
-    key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    rows = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), h.alias("h")).withColumn("key", key), "sizes")
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(per, weights, cap, share).withColumn("key", key)
+    key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
+    return docs.withColumns({"size": word_count("text"), "h": h, "key": key})
+
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...], cap: float, share: float) -> DataFrame:
+    """(key, source_size, target, whole, threshold) of each source: how often all of it is taken, and up to which hash once more."""
+    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.first("key").alias("key"))
+    goal = targets(per, weights, cap, share).join(per.select("key", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = materialise(goal.select("key", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("budget")), "goal")
 
@@ -83,10 +76,43 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3
         width = BITS - bits
     nearer = (F.col("before") + F.col("n") - F.col("budget")) < (F.col("budget") - F.col("before"))
     last = edge.select("key", F.when(nearer, F.col("bound")).otherwise(F.col("bound") - 1).alias("threshold"))
-    goal = materialise(goal.join(last, "key", "left"), "thresholds")
+    return materialise(goal.join(last, "key", "left"), "thresholds")
+
+
+def taken(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """Rows with their source's figures and copies; the hash alone decides, without sorting."""
     copies = F.col("whole") + (F.col("h") <= F.coalesce(F.col("threshold"), F.lit(-1))).cast("long")
-    out = rows.join(goal, "key").withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.join(goal, "key").withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
+    """The mix of docs (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
+
+    copies is how often the mix takes the document and taken is copies * size.
+    Every document is taken floor(target / source_size) times; those whose hash
+    is under their source's threshold once more. No sum of a source misses its
+    target by more than half the documents that share one hash.
+
+    Null and empty texts have size 0; a null source is a source of its own, and
+    a null doc_id is hashed as such. Rows alike in doc_id and text share a hash
+    and are taken alike. Without rows there are no rows; a source of size 0 has
+    target 0. Other columns are ignored.
+    """
+    rows = marked(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")))
+    rows = materialise(rows.select("doc_id", "source", "size", "h", "key"), "sizes")
+    out = taken(rows, thresholds(rows, weights, cap, share))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def mixture(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
+    """The documents that the mix takes, with all their columns and how often it takes them (copies); rules as in mix()."""
+    own = [c for c in docs.columns if c != "copies"]
+    plain = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
+    rows = materialise(marked(plain).select("source", "size", "h", "key"), "sizes")
+    goal = thresholds(rows, weights, cap, share).select("key", "whole", "threshold")
+    # The documents' own columns travel as one, so that none of their names can clash.
+    whole = docs.select(F.struct(*own).alias("doc"), "doc_id", "text", F.col("source").cast("string").alias("source"))
+    return taken(marked(whole).select("doc", "size", "h", "key"), goal).where("copies > 0").select("doc.*", "copies")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -103,7 +129,7 @@ s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, row_number() OVER (ORDER BY
 w AS (SELECT source, n, 3.0::DOUBLE * n AS most, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((k - 1) % 3) + 1] AS weight, sum(n) OVER () AS total, sum([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((k - 1) % 3) + 1]) OVER () AS all_weight FROM s),
 l AS (SELECT *, (total - coalesce(sum(most) OVER f, 0)) / (all_weight - coalesce(sum(weight) OVER f, 0)) AS level FROM w
       WINDOW f AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, n, CASE WHEN most <= weight * level THEN most ELSE weight * min(CASE WHEN most > weight * level THEN level END) OVER () END AS target FROM l),
+t AS (SELECT source, n, CASE WHEN most <= weight * level THEN most ELSE weight * max(CASE WHEN most > weight * level THEN level END) OVER () END AS target FROM l),
 g AS (SELECT source, n, target, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t),
 b AS (SELECT *, target - whole * n AS budget FROM g),
 u AS (SELECT source, h, sum(size) AS n FROM d WHERE size > 0 GROUP BY source, h),
