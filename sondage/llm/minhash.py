@@ -254,5 +254,23 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     return known.unionByName(alone)
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs without all but one document of each class; rules as in near_duplicates().
+
+    Rows that repeat a kept document's doc_id and text go as well; documents
+    with a null doc_id or text stay.
+    """
+    found = materialise(near_duplicates(docs, **options).where("doc_id IS NOT NULL"), "classes")
+    keys = ["_id", "_h1", "_h2"]
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    hashed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    out = hashed.join(materialise(gone, "gone"), keys, "left_anti")
+    again = found.where("kept").groupBy("doc_id", "h1", "h2").count().where("count > 1").limit(1).count()
+    if again:
+        named = out.where("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(keys)
+        out = named.unionByName(out.where("doc_id IS NULL OR text IS NULL"))
+    return out.drop(*keys)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "kept")
