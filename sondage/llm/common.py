@@ -42,12 +42,27 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(df: DataFrame) -> None:
-    """Remove the files of a materialised frame that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()[:1]}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB from now on, unless the session has a limit of its own: texts can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "8m")
+
+
+def tidy(work):
+    """The function of frames, which at its end gives back the memory that its worker would keep while idle."""
+
+    def run(*parts):
+        yield from work(*parts)
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

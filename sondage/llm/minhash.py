@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import CHUNK, SPACE, Fingerprints, chunks, components, forest, joined, materialise, mix, node_key, node_number, runs, whole_groups
+from sondage.llm.common import CHUNK, SPACE, Fingerprints, bounded_batches, chunks, components, forest, joined, materialise, mix, node_key, node_number, runs, tidy, whole_groups
 
 WORDS, THRESHOLD = 5, 0.8
 #: Registers of a sketch: BANDS bands of ROWS; a pair at the threshold shares no band with probability (1 - 0.8**4)**20 < 3e-5.
@@ -53,6 +53,16 @@ def shingles(rows: list[bytes], prints: Fingerprints) -> tuple[np.ndarray, np.nd
     return of[where], total[where], np.diff(np.append(where, len(of)))
 
 
+def each(texts, prints: Fingerprints) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The shingles and counts of each text, from a bounded number of bytes at once."""
+    out = []
+    for _, rows in chunks(texts, CHUNK // 2):
+        row, item, count = shingles(rows, prints)
+        at = np.searchsorted(row, np.arange(len(rows) + 1))
+        out += [(item[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:])]
+    return out
+
+
 def sketches(row: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """ProbMinHash: (registers, which of the n rows have items). A register holds the item that arrives in it first.
 
@@ -138,15 +148,14 @@ def _verify(threshold: float):
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prints = Fingerprints()
         for part in parts:
-            both = [t.encode() for t in part["text_a"]] + [t.encode() for t in part["text_b"]]
-            keep, n = np.zeros(len(part), bool), len(part)
-            for a in range(0, n, 64):
-                b = min(a + 64, n)
-                row, item, count = shingles(both[a:b] + both[n + a : n + b], prints)
-                at = np.searchsorted(row, np.arange(2 * (b - a) + 1))
-                for k in range(b - a):
-                    u, v = slice(at[k], at[k + 1]), slice(at[k + b - a], at[k + b - a + 1])
-                    keep[a + k] = similarity(item[u], count[u], item[v], count[v]) >= threshold
+            # A leader's pairs mostly stand together; its shingles are made once.
+            keep, lead, held = np.zeros(len(part), bool), None, None
+            for a in range(0, len(part), 256):
+                some = part.iloc[a : a + 256]
+                for k, (left, text, node) in enumerate(zip(each(some["text_a"], prints), some["text_b"], some["b"]), a):
+                    if node != lead:
+                        lead, held = node, each([text], prints)[0]
+                    keep[k] = similarity(*left, *held) >= threshold
             yield part.loc[keep, ["a", "b"]]
 
     return verify
@@ -160,8 +169,7 @@ def _rest(threshold: float):
         at_band = int(np.flatnonzero(keys[0] == rows["key"].iloc[0])[0])
         root = pd.factorize(rows["root"])[0]
         side, low, high = rows["part"].to_numpy(), rows["low"].iloc[0], rows["high"].iloc[0]
-        row, item, count = shingles([t.encode() for t in rows["text"]], prints)
-        at = np.searchsorted(row, np.arange(len(rows) + 1))
+        own = each(rows["text"], prints)
         i_found, j_found = [], []
         for i in np.flatnonzero(side == low):
             others = np.flatnonzero((side == high) & (root != root[i]))
@@ -170,8 +178,7 @@ def _rest(threshold: float):
             # A pair that shares an earlier bucket is compared there.
             near = near[~(keys[near, :at_band] == keys[i, :at_band]).any(1)]
             for j in near:
-                u, v = slice(at[i], at[i + 1]), slice(at[j], at[j + 1])
-                if similarity(item[u], count[u], item[v], count[v]) >= threshold:
+                if similarity(*own[i], *own[j]) >= threshold:
                     i_found.append(i)
                     j_found.append(j)
         i, j = np.array(i_found, int), np.array(j_found, int)
@@ -212,9 +219,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     in one class and all marked kept; extra columns are ignored; without rows
     there are no rows.
     """
+    bounded_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = plain.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    every = materialise(plain.select("doc_id", "h1", "h2", "text").mapInPandas(_sketch, "doc_id long, h1 long, h2 long, bands array<long>, sketch binary"), "sketches")
+    every = materialise(plain.select("doc_id", "h1", "h2", "text").mapInPandas(tidy(_sketch), "doc_id long, h1 long, h2 long, bands array<long>, sketch binary"), "sketches")
     nodes = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes.withColumn("node", node_key("doc_id", "h1", "h2")), "nodes")
 
@@ -232,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     texts = plain.withColumn("node", node_key("doc_id", "h1", "h2")).join(materialise(wanted, "wanted").select("node"), "node", "left_semi").select("node", "text")
     texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    links = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verify(threshold), "a binary, b binary"), "links")
+    links = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(tidy(_verify(threshold)), "a binary, b binary"), "links")
 
     roots = materialise(components(links), "roots")
     open_ = met.where("n > 2").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -242,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rest = rest.select("key", "node", "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     rest = materialise(rest, "rest").join(nodes.select("node", "sketch", "bands"), "node").join(texts, "node")
-    more = rest.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(_rest(threshold), "a binary, b binary")
+    more = rest.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(tidy(_rest(threshold)), "a binary, b binary")
     more = materialise(more, "more")
 
     roots = components(links.unionByName(more))
