@@ -1 +1 @@
-
+"""Column expressions: labels, intervals, text, random numbers."""

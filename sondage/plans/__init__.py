@@ -18,4 +18,4 @@ def plan(name: str, sql: str | None = None):
     return add
 
 
-from sondage.plans import cohort  # noqa: E402, F401
+from sondage.plans import cohort, parsing  # noqa: E402, F401
