@@ -1 +1 @@
-
+"""Operators from DataFrame to DataFrame."""
