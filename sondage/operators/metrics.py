@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondage.operators.ranks import running
@@ -117,52 +114,55 @@ def all_metrics(df: DataFrame, keys: list[str], threshold: Column) -> DataFrame:
 
 
 def calibration(df: DataFrame, keys: list[str], iterations: int = 60, tolerance: float = 1e-9) -> DataFrame:
-    """(keys, slope, intercept): logistic recalibration on logit(p) by Newton steps of at most 10.
-
-    The intercept is that of a model whose slope is 1. Each step sums gradients
-    and curvatures by group over the distinct scores; only these sums, one row
-    per group, reach the driver. Null with one class, one score, perfect
-    separation, a singular step or a slope beyond STEEPEST.
+    """(keys, slope, intercept): logistic recalibration on logit(p) by Newton steps.
+
+    The intercept is that of a model whose slope is 1. Steps are scaled so that
+    no coefficient moves by more than 10. Each step sums gradients and curvatures
+    by group over the distinct scores; only these sums, one row per group, reach
+    the driver. Null with one class or one score; the slope also with perfect
+    separation, a singular step or a value beyond STEEPEST. After the last
+    iteration the values reached are returned.
     """
     spark = df.sparkSession
     base = by_score(df, keys).withColumns({"lp": logit(F.col("p")), "n": F.col("pos") + F.col("neg")}).persist()
-    facts = base.groupBy(*keys).agg(
-        F.sum("pos").alias("np"), F.sum("neg").alias("nn"), F.min("lp").alias("low"), F.max("lp").alias("high"),
-        F.max(F.when(F.col("neg") > 0, F.col("p"))).alias("nh"), F.min(F.when(F.col("pos") > 0, F.col("p"))).alias("pl"),
-        F.max(F.when(F.col("pos") > 0, F.col("p"))).alias("ph"), F.min(F.when(F.col("neg") > 0, F.col("p"))).alias("nl"),
-    ).toPandas()
-    ok = (facts.np > 0) & (facts.nn > 0) & (facts.low < facts.high) & ~((facts.nh < facts.pl) | (facts.ph < facts.nl)) if len(facts) else []
-    state = facts[keys].assign(a=0.0, b=1.0, c=0.0, live=list(ok), bad=[not x for x in ok]) if len(facts) else facts[keys]
+    side = lambda f, c: f(F.when(F.col(c) > 0, F.col("p")))
+    split = (side(F.max, "neg") < side(F.min, "pos")) | (side(F.max, "pos") < side(F.min, "neg"))
+    usable = (F.sum("pos") > 0) & (F.sum("neg") > 0) & (F.min("lp") < F.max("lp"))
+    facts = base.groupBy(*keys).agg(usable.alias("usable"), F.coalesce(split, F.lit(False)).alias("split")).toPandas()
+    state = {tuple(getattr(r, k) for k in keys): {"beta": np.array([0.0, 1.0]) if r.usable and not r.split else None, "c": 0.0 if r.usable else None, "moving": r.usable, "going": bool(r.usable and not r.split)} for r in facts.itertuples(index=False)}
+    schema = df.select(*keys).schema.add("a", "double").add("b", "double").add("c", "double")
     for _ in range(iterations):
-        if not len(state) or not state.live.any():
+        live = [(*k, *(v["beta"] if v["beta"] is not None else (0.0, 1.0)), v["c"]) for k, v in state.items() if v["moving"] or v["going"]]
+        if not live:
             break
-        now = spark.createDataFrame(state.loc[state.live, [*keys, "a", "b", "c"]])  # one row per group
-        mu, nu = expit(F.col("a") + F.col("b") * F.col("lp")), expit(F.col("c") + F.col("lp"))
-        x, w = F.col("lp"), F.col("n") * mu * (1 - mu)
+        now = spark.createDataFrame([(*r[: len(keys)], *map(float, r[len(keys) :])) for r in live], schema)  # one row per group
+        x, mu, nu = F.col("lp"), expit(F.col("a") + F.col("b") * F.col("lp")), expit(F.col("c") + F.col("lp"))
+        w, miss = mu * (1 - mu), F.col("pos") - F.col("n") * mu
         sums = base.join(F.broadcast(now), keys).groupBy(*keys).agg(
-            F.sum(F.col("pos") - F.col("n") * mu).alias("g0"), F.sum((F.col("pos") - F.col("n") * mu) * x).alias("g1"),
-            F.sum(w).alias("h00"), F.sum(w * x).alias("h01"), F.sum(w * x * x).alias("h11"),
-            F.sum(F.col("pos") - F.col("n") * nu).alias("k0"), F.sum(F.col("n") * nu * (1 - nu)).alias("l00"),
-        ).toPandas()
-        for r in sums.itertuples(index=False):
-            at = np.logical_and.reduce([state[k] == getattr(r, k) for k in keys])
-            det = r.h00 * r.h11 - r.h01 * r.h01
-            if not math.isfinite(det) or abs(det) < 1e-300 or r.l00 <= 0:
-                state.loc[at, ["live", "bad"]] = False, True
-                continue
-            clip = lambda v: max(-10.0, min(10.0, v))
-            da, db, dc = clip((r.h11 * r.g0 - r.h01 * r.g1) / det), clip((r.h00 * r.g1 - r.h01 * r.g0) / det), clip(r.k0 / r.l00)
-            state.loc[at, "a"] += da
-            state.loc[at, "b"] += db
-            state.loc[at, "c"] += dc
-            if max(abs(da), abs(db), abs(dc)) < tolerance:
-                state.loc[at, "live"] = False
+            F.sum(miss).alias("g0"), F.sum(miss * x).alias("g1"), F.max(w).alias("w"), F.sum(F.col("n") * w).alias("h00"), F.sum(F.col("n") * w * x).alias("h01"),
+            F.sum(F.col("n") * w * x * x).alias("h11"), F.sum(F.col("pos") - F.col("n") * nu).alias("k0"), F.sum(F.col("n") * nu * (1 - nu)).alias("l00"),
+        ).collect()
+        for r in sums:
+            v = state[tuple(r[k] for k in keys)]
+            if v["going"]:
+                det = r.h00 * r.h11 - r.h01 * r.h01
+                step = np.array([r.h11 * r.g0 - r.h01 * r.g1, r.h00 * r.g1 - r.h01 * r.g0]) / det if det else np.array([np.nan])
+                if r.w <= 1e-12 or not np.isfinite(step).all():
+                    v["beta"], v["going"] = None, False
+                else:
+                    step *= min(1.0, 10.0 / max(np.abs(step).max(), 1e-300))
+                    v["beta"] = v["beta"] + step
+                    v["going"] = bool(np.abs(step).max() >= tolerance)
+            if v["moving"]:
+                if r.l00 <= 1e-12:
+                    v["c"], v["moving"] = None, False
+                else:
+                    step = max(-10.0, min(10.0, r.k0 / r.l00))
+                    v["c"] += step
+                    v["moving"] = abs(step) >= tolerance
     base.unpersist()
-    if not len(state):
-        return df.select(*keys).limit(0).select(*keys, F.lit(0.0).alias("slope"), F.lit(0.0).alias("intercept"))
-    lost = state.bad | (state.b.abs() > STEEPEST)
-    out = state[keys].assign(slope=state.b.mask(lost), intercept=state.c.mask(state.bad))
-    return spark.createDataFrame(out).select(*keys, *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in ("slope", "intercept")])
+    found = lambda v: float(v["beta"][1]) if v["beta"] is not None and abs(v["beta"][1]) <= STEEPEST else None
+    return spark.createDataFrame([(*k, found(v), v["c"]) for k, v in state.items()], df.select(*keys).schema.add("slope", "double").add("intercept", "double"))
 
 
 def reach_sensitivity(df: DataFrame, keys: list[str], target: float = 0.90) -> DataFrame:

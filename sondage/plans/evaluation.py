@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from sondage.functions import rng
 from sondage.operators import metrics as M
 from sondage.plans import plan
 from sondage.plans.views import CELL, FOLDS, POOL, PREDS, RAW, folded, pooled, preds, raw
@@ -179,28 +180,31 @@ def logit_expit(spark, sf):
     return raw(spark, sf).where("repeat = 0").select("sample", F.round(lp, 9).alias("lp"), F.round(M.expit(lp), 9).alias("back"))
 
 
+#: Outcomes drawn from the predictions themselves, for which the recalibration is near the identity.
+DRAWN = "drawn AS (SELECT config, model, p, CAST(CAST('0x' || substr(md5('y:' || sample || ':' || repeat), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < p AS INTEGER) AS y FROM raw)"
+X = "x AS (SELECT config, model, ln(p / (1 - p)) AS lp, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM (SELECT config, model, y, greatest(1e-6, least(1 - 1e-6, p)) AS p FROM drawn) GROUP BY 1, 2, 3)"
+
+
 def newton_sql(slope: bool) -> str:
-    """Newton steps as a recursive query, 25 of them."""
-    mu = "1 / (1 + exp(-(a + b * lp)))"
-    clip = lambda s: f"greatest(-10.0, least(10.0, {s}))"
-    det = "(h00 * h11 - h01 * h01)"
-    move = f"a + {clip(f'(h11 * g0 - h01 * g1) / {det}')} AS a, b + {clip(f'(h00 * g1 - h01 * g0) / {det}')} AS b" if slope else f"a + {clip('g0 / h00')} AS a, b"
+    """12 Newton steps as a recursive query."""
+    move = "a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b" if slope else "a + g0 / h00 AS a, b"
     return f"""it(k, config, model, a, b) AS (SELECT 0, config, model, 0.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT config, model FROM x)
       UNION ALL SELECT k + 1, config, model, {move} FROM (SELECT k, config, model, a, b, sum(pos - n * mu) AS g0, sum((pos - n * mu) * lp) AS g1, sum(n * mu * (1 - mu)) AS h00, sum(n * mu * (1 - mu) * lp) AS h01, sum(n * mu * (1 - mu) * lp * lp) AS h11
-        FROM (SELECT it.*, lp, pos, n, {mu} AS mu FROM it JOIN x USING (config, model) WHERE k < 25) GROUP BY k, config, model, a, b))"""
+        FROM (SELECT it.*, lp, pos, n, 1 / (1 + exp(-(a + b * lp))) AS mu FROM it JOIN x USING (config, model) WHERE k < 12) GROUP BY k, config, model, a, b))"""
 
 
-X = "x AS (SELECT config, model, ln(p / (1 - p)) AS lp, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM (SELECT config, model, y, greatest(1e-6, least(1 - 1e-6, p)) AS p FROM pooled) GROUP BY 1, 2, 3)"
+def drawn(spark, sf):
+    return raw(spark, sf).withColumn("y", (rng.uniform("y", F.col("sample"), F.col("repeat")) < F.col("p")).cast("int"))
 
 
-@plan("calibration_slope", f"WITH RECURSIVE {POOL}, {X}, {newton_sql(True)} SELECT config, model, round(b, 6) AS slope FROM it WHERE k = 25")
+@plan("calibration_slope", f"WITH RECURSIVE {RAW}, {DRAWN}, {X}, {newton_sql(True)} SELECT config, model, round(b, 6) AS slope FROM it WHERE k = 12")
 def calibration_slope(spark, sf):
-    return M.calibration(pooled(preds(spark, sf)), CELL).select(*CELL, F.round("slope", 6).alias("slope"))
+    return M.calibration(drawn(spark, sf), CELL).select(*CELL, F.round("slope", 6).alias("slope"))
 
 
-@plan("calibration_intercept", f"WITH RECURSIVE {POOL}, {X}, {newton_sql(False)} SELECT config, model, round(a, 6) AS intercept FROM it WHERE k = 25")
+@plan("calibration_intercept", f"WITH RECURSIVE {RAW}, {DRAWN}, {X}, {newton_sql(False)} SELECT config, model, round(a, 6) AS intercept FROM it WHERE k = 12")
 def calibration_intercept(spark, sf):
-    return M.calibration(pooled(preds(spark, sf)), CELL).select(*CELL, F.round("intercept", 6).alias("intercept"))
+    return M.calibration(drawn(spark, sf), CELL).select(*CELL, F.round("intercept", 6).alias("intercept"))
 
 
 @plan("recalibrate_intercept")
