@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sondage.functions.labels import is_missing, parse_bin
+from sondage.session import ship
 
 
 def bin_map(cells: DataFrame) -> DataFrame:
@@ -38,6 +39,7 @@ def encoded(cells: DataFrame, bins: DataFrame, kind: str) -> DataFrame:
     elif kind == "index":
         value = F.col("pos").cast("double")
     else:
+        ship(cells.sparkSession)
         value = F.pandas_udf(_normal_score, "double")((F.col("pos") + F.lit(0.5)) / F.col("n"))
     return cells.join(bins.select("col", "label", value.alias("x")), ["col", "label"], "left")
 
