@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     bounded_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = plain.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    every = materialise(plain.select("doc_id", "h1", "h2", "text").mapInPandas(tidy(_sketch), "doc_id long, h1 long, h2 long, bands array<long>, sketch binary"), "sketches")
+    every = plain.select("doc_id", "h1", "h2", "text").mapInPandas(tidy(_sketch), "doc_id long, h1 long, h2 long, bands array<long>, sketch binary")
     nodes = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes.withColumn("node", node_key("doc_id", "h1", "h2")), "nodes")
 
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     roots = components(links.unionByName(more))
     named = nodes.join(roots, "node", "left").select("h1", "h2", node_number("node").alias("first"), F.coalesce(node_number("root"), node_number("node")).alias("class_id"))
     classes = materialise(named, "classes").select("h1", "h2", "class_id", "first")
-    known = every.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "h1", "h2")
+    known = plain.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "h1", "h2")
     alone = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NULL OR text IS NULL")
     alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     return known.unionByName(alone)
