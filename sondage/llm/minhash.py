@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sondage.llm.common import CHUNK, SPACE, Fingerprints, bounded_batches, chunks, components, forest, joined, materialise, mix, node_key, node_number, runs, tidy, whole_groups
 
@@ -16,6 +16,8 @@ BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: How far under the threshold an estimate may lie before a pair is not verified: over four deviations.
 SLACK = 0.2
+#: Bits of the bitmap of nodes that meet others, as a power of 2.
+BITS = 27
 #: Members of a bucket's part, and the columns of a group of pairs.
 PART = 512
 GROUP = ["key", "low", "high"]
@@ -195,6 +197,23 @@ def _rest(threshold: float):
     return compare
 
 
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("node"), F.lit(1 << BITS))
+
+
+def bitmap(nodes: DataFrame) -> DataFrame:
+    """A bitmap of the nodes' hashes with 2**BITS bits, whatever their number: at most 2**(BITS - 15) rows of 4 kB."""
+    return nodes.groupBy(F.bitmap_bucket_number(_bit()).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit())).alias("_bits"))
+
+
+def in_bitmap(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows whose node has its bit set: all nodes of the bitmap, and the more others the fuller it is."""
+    at = F.bitmap_bit_position(_bit())
+    byte = F.conv(F.hex(F.substr("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_page", F.bitmap_bucket_number(_bit())).join(F.broadcast(bits), "_page")  # 16 MB at most
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_page", "_bits")
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept, h1, h2) for each row of docs (doc_id, text).
 
@@ -235,10 +254,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     pairs = met.join(leads, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
 
-    # The texts of the nodes that meet others, one row each.
-    wanted = met.select("node").distinct().select("node", node_number("node").alias("doc_id"))
-    texts = plain.withColumn("node", node_key("doc_id", "h1", "h2")).join(materialise(wanted, "wanted").select("node"), "node", "left_semi").select("node", "text")
-    texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # The texts of the nodes that meet others, one row each, and a few more that share a bit with one of them.
+    own = plain.withColumn("node", node_key("doc_id", "h1", "h2"))
+    texts = materialise(in_bitmap(own, bitmap(met)).groupBy("node").agg(F.first("text").alias("text")), "texts")
     a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     links = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(tidy(_verify(threshold)), "a binary, b binary"), "links")
 
