@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-MASK = (1 << 64) - 1
+from sondage.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +42,10 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB from now on, unless the session has a limit of its own: texts can be long."""
+def prepare(spark: SparkSession) -> None:
+    """Before Python code on executors: they get the package, and Arrow batches are of at most 8 MB from now on
+    unless the session has a limit of its own, since texts can be long."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, "8m")

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import Fingerprints, chunks, joined, materialise, runs
+from sondage.llm.common import Fingerprints, chunks, joined, materialise, prepare, runs
 
 #: Bytes of words: digits, letters and everything beyond ASCII; A-Z are lower-cased.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -191,6 +191,7 @@ def search(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words:
     Without items nothing is hit. Other columns of docs stay.
     """
     spark = docs.sparkSession
+    prepare(spark)
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = named.agg(F.sum(F.size(F.split("text", r"[^0-9A-Za-z\x80-\x{10FFFF}]+")))).first()[0] or 0
     blocks = -(-total // block_words) or 1

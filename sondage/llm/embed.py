@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import components, forest, materialise, mix, node_key, node_number, whole_groups
+from sondage.llm.common import components, forest, materialise, mix, node_key, node_number, prepare, whole_groups
 
 #: Members of a bucket's part; a larger bucket is compared part by part, each pair of parts in its own group.
 PART = 1024
@@ -162,6 +162,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95) -> DataFrame
     nor do vectors of different lengths. A row whose vec_id is null links with
     nothing and has a null component. Repeated rows are rows of their own.
     """
+    prepare(vectors.sparkSession)
     valid = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     valid = F.coalesce(valid & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     double = F.col("embedding").cast("array<double>")

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import mix, remainder
+from sondage.llm.common import mix, prepare, remainder
 
 DIM = 1024
 GRAM = 3
@@ -155,6 +155,7 @@ def identify(docs: DataFrame, *, folds: int = 4, fold: int = 2) -> DataFrame:
     when no document teaches. A null lang teaches nothing; a null doc_id is
     held out. Equal cosines go to the first language by name.
     """
+    prepare(docs.sparkSession)
     names, unit = prototypes(docs, folds, fold)
     out = docs.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == fold, F.lit(True)))
     out = out.withColumn("_p", predict_udf(names, unit)("text"))

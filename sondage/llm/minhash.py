@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sondage.llm.common import CHUNK, SPACE, Fingerprints, bounded_batches, chunks, components, forest, joined, materialise, mix, node_key, node_number, runs, tidy, whole_groups
+from sondage.llm.common import CHUNK, SPACE, Fingerprints, prepare, chunks, components, forest, joined, materialise, mix, node_key, node_number, runs, tidy, whole_groups
 
 WORDS, THRESHOLD = 5, 0.8
 #: Registers of a sketch: BANDS bands of ROWS; a pair at the threshold shares no band with probability (1 - 0.8**4)**20 < 3e-5.
@@ -80,7 +80,6 @@ def sketches(row: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int) -> t
     filled = np.zeros(n, bool)
     filled[row] = True
     time, turn = np.zeros(len(row)), 0
-    weight = weight.astype(float)
     while len(row):
         turn += 1
         draw = mix(item + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
@@ -107,29 +106,34 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """A shingle's weight grows with the logarithm of its count, so that one line repeated hundreds of times does not make a text."""
+    return 1 + np.log(count)
+
+
 def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
-    """Probability Jaccard similarity of items a with weights x and b with weights y; items sorted and distinct.
+    """The larger of two similarities of items a with counts x and b with counts y; items sorted and distinct.
 
-    The sum over common items d of 1 / sum over all j of max(x[j] / x[d], y[j] / y[d]);
-    with equal weights it is the Jaccard similarity.
+    The probability Jaccard similarity of the weights u and v is the sum over
+    common items d of 1 / sum over all j of max(u[j] / u[d], v[j] / v[d]). The
+    Jaccard similarity of the items is the same where no item repeats.
     """
     at = np.searchsorted(a, b)
     common = np.flatnonzero(a[np.minimum(at, len(a) - 1)] == b) if len(a) else np.zeros(0, int)
     if not len(common):
         return 0.0
+    plain = len(common) / (len(a) + len(b) - len(common))
     if x.max() == 1 and y.max() == 1:
-        return len(common) / (len(a) + len(b) - len(common))
-    mine = at[common]
-    rest = np.ones(len(a), bool)
-    rest[mine] = False
-    left, right = x[mine].astype(float), y[common].astype(float)
-    only_x, only_y = float(x[rest].sum()), float(y.sum() - right.sum())
+        return plain
+    u, v, mine = weights(x), weights(y), at[common]
+    left, right = u[mine], v[common]
+    only_u, only_v = float(u.sum() - left.sum()), float(v.sum() - right.sum())
     ratio = left / right
     order = np.argsort(ratio, kind="stable")
-    below = np.concatenate(([0.0], np.cumsum(right[order])))  # of y, where x / y is smaller
-    above = np.concatenate((np.cumsum(left[order][::-1])[::-1], [0.0]))  # of x, where it is not
+    below = np.concatenate(([0.0], np.cumsum(right[order])))  # of v, where u / v is smaller
+    above = np.concatenate((np.cumsum(left[order][::-1])[::-1], [0.0]))  # of u, where it is not
     k = np.searchsorted(ratio[order], ratio)
-    return float((left / (only_x + above[k] + ratio * (only_y + below[k]))).sum())
+    return max(plain, float((left / (only_u + above[k] + ratio * (only_v + below[k]))).sum()))
 
 
 def _sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +141,8 @@ def _sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for first, rows in chunks(part["text"].tolist()):
             some = part.iloc[first : first + len(rows)]
-            held, filled = sketches(*shingles(rows, prints), len(rows))
+            row, item, count = shingles(rows, prints)
+            held, filled = sketches(row, item, weights(count), len(rows))
             keys = bands(held)
             yield pd.DataFrame({
                 "doc_id": some["doc_id"].to_numpy(), "h1": some["h1"].to_numpy(), "h2": some["h2"].to_numpy(),
@@ -217,8 +222,8 @@ def in_bitmap(rows: DataFrame, bits: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept, h1, h2) for each row of docs (doc_id, text).
 
-    Documents whose weighted shingles have a probability Jaccard similarity of
-    the threshold at least are linked; class_id is the smallest doc_id that a
+    Documents whose weighted shingles have a probability Jaccard similarity, or
+    whose shingles a Jaccard similarity, of the threshold at least are linked; class_id is the smallest doc_id that a
     document reaches by links, and kept marks the document that has it.
 
     1. Equal texts become one node (h1 and h2 hash the text), and each node's
@@ -238,7 +243,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     in one class and all marked kept; extra columns are ignored; without rows
     there are no rows.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = plain.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}).where("doc_id IS NOT NULL AND text IS NOT NULL")
     every = plain.select("doc_id", "h1", "h2", "text").mapInPandas(tidy(_sketch), "doc_id long, h1 long, h2 long, bands array<long>, sketch binary")

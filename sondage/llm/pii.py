@@ -14,6 +14,8 @@ from math import exp
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sondage.llm.common import prepare
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Base patterns; written so that each reads a text once, however long its runs are.
@@ -381,6 +383,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     repeated rows have the same. The field is trained on invented sentences on
     the driver; its weights are all that is sent.
     """
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(trained())
     return docs.withColumn("pii", find_udf(sent)("text"))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import SPACE, Fingerprints, chunks, joined, remainder, runs
+from sondage.llm.common import SPACE, Fingerprints, chunks, joined, prepare, remainder, runs
 
 #: Classes of bytes, and the class of each byte.
 CLASSES = ("space", "newline", "digit", "upper", "lower", "sentence", "mark", "other")
@@ -186,6 +186,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, fold
     labels, or with one class only, every score is the prior of the labels (0.5
     without any).
     """
+    prepare(docs.sparkSession)
     trees = train(docs, labels, folds=folds, **options)
     out = docs.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == 0, F.lit(True)))
     out = out.withColumn("score", score_udf(trees)("text"))

@@ -26,7 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import Fingerprints, chunks, materialise
+from sondage.llm.common import Fingerprints, chunks, materialise, prepare
 
 BLOCK = "block long, data binary, doc_ids array<long>, sizes array<long>"
 KEYS = "kind int, bucket int, block long, keys binary"
@@ -204,6 +204,7 @@ def repeated_strings(docs: DataFrame, *, length: int = 400) -> DataFrame:
     bucket of them are.
     """
     spark = docs.sparkSession
+    prepare(spark)
     period, members = difference_cover((length + 1) // 2)
     blocks = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(_pack, BLOCK), "blocks", "none")
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sondage.llm.common import prepare
+
 #: The mark that stands for a space, and what an unknown character costs beside the lowest score.
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -139,6 +141,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     count alike. The vocabulary, whose size the tokenizer file fixes, is the
     only thing that is sent to the executors.
     """
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     out = docs.withColumn("_t", count_udf(sent)("text"))
     return out.withColumns({"n_tokens": F.col("_t.n_tokens"), "score": F.col("_t.score")}).drop("_t")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sondage.llm.common import fresh_path, materialise
+from sondage.llm.common import fresh_path, materialise, prepare
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -134,6 +134,7 @@ def write_warc(pages: DataFrame, path: str, *, segment_bytes: int = 8192, chunk_
     Only (digest, number) is grouped by digest; the join that follows has an
     exchange on both sides, so a payload that very many pages share is split.
     """
+    prepare(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.lower(F.hex(F.xxhash64("page_id", "url", "html"))))
     rows = pages.select("page_id", name.alias("name"), "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
@@ -250,6 +251,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     its row, without payload and with the reason in `error`. Other kinds of
     records are skipped; a file is read at once.
     """
+    prepare(spark)
     files = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     whole = files().mapInPandas(_parse(True), WHOLE)
     pieces = files().mapInPandas(_parse(False), PIECE)
