@@ -18,4 +18,4 @@ def plan(name: str, sql: str | None = None):
     return add
 
 
-from sondage.plans import auditing, cohort, evaluation, parsing  # noqa: E402, F401
+from sondage.plans import auditing, cohort, evaluation, linking, parsing, resampling  # noqa: E402, F401
