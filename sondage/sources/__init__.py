@@ -1 +1 @@
-
+"""Readers and writers: strictly typed text tables, archives, checksums."""
