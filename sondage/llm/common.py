@@ -155,7 +155,7 @@ class Fingerprints:
 
 # Texts as byte buffers -----------------------------------------------------------
 
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 
 def chunks(texts, limit: int = CHUNK):

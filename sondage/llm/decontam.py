@@ -158,6 +158,36 @@ def _search_udf(automaton):
     return search
 
 
+def cut(text: bytes, spans) -> bytes:
+    """Text without the spans, which are in order."""
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
+    return b"".join([*kept, text[at:]])
+
+
+def _clean_udf(automaton, max_words: int, max_coverage: float):
+    """Whether a document stays, and its text; one function, so that a task needs one Python worker."""
+
+    @F.pandas_udf("keep boolean, text string")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        prints = Fingerprints()
+        for texts in parts:
+            given = texts.tolist()
+            keep, out = [True] * len(given), list(given)
+            for start, rows in chunks(given):
+                n, hits = automaton.value.search(rows, prints)
+                for i, (spans, cuts, _) in hits.items():
+                    hit = sum(b - a for a, b in spans)
+                    keep[start + i] = hit <= int(n[i]) * max_coverage
+                    if hit > max_words:
+                        out[start + i] = cut(rows[i], cuts).decode()
+            yield pd.DataFrame({"keep": keep, "text": pd.Series(out, dtype=object)})
+
+    return clean.asNondeterministic()
+
+
 def _union(parts: pd.Series) -> pd.DataFrame:
     out = []
     named = lambda pairs: [{"first": a, "last": b} for a, b in pairs]
@@ -178,18 +208,8 @@ def _merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = 250_000) -> DataFrame:
-    """docs with the column `found`: n_words, spans (runs of hit words), cuts (their bytes) and items.
-
-    Items are dealt into blocks of about block_words words by a hash, and each
-    block's automaton alone is sent to the executors. With more than one block
-    the documents are numbered and written once, and the hits that the blocks
-    find in a document are united.
-
-    Null and empty texts have no words, and items without words no windows.
-    Repeated items change nothing; an item whose id is null is named `null`.
-    Without items nothing is hit. Other columns of docs stay.
-    """
+def _automata(docs: DataFrame, items: DataFrame, window: int, block_words: int):
+    """Number of blocks of items, and a function that makes and sends the automaton of one."""
     spark = docs.sparkSession
     prepare(spark)
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -205,6 +225,22 @@ def search(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words:
             found += [(rows[first + i][0], w[row == i].tolist()) for i in range(len(texts))]
         return spark.sparkContext.broadcast(Automaton(found, window))
 
+    return blocks, automaton
+
+
+def search(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = 250_000) -> DataFrame:
+    """docs with the column `found`: n_words, spans (runs of hit words), cuts (their bytes) and items.
+
+    Items are dealt into blocks of about block_words words by a hash, and each
+    block's automaton alone is sent to the executors. With more than one block
+    the documents are numbered and written once, and the hits that the blocks
+    find in a document are united.
+
+    Null and empty texts have no words, and items without words no windows.
+    Repeated items change nothing; an item whose id is null is named `null`.
+    Without items nothing is hit. Other columns of docs stay.
+    """
+    blocks, automaton = _automata(docs, items, window, block_words)
     if blocks == 1:
         return docs.withColumn("found", _search_udf(automaton(0))("text"))
     numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
@@ -221,19 +257,10 @@ def hit_words(spans: str = "found.spans"):
 
 
 def _cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-    out = []
-    for text, spans in zip(texts, cuts):
-        if text is not None and len(spans):
-            b, kept, at = text.encode(), [], 0
-            for s in spans:
-                kept.append(b[at : s["first"]])
-                at = s["last"]
-            text = b"".join([*kept, b[at:]]).decode()
-        out.append(text)
-    return pd.Series(out, dtype=object)
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_words: int = 0, max_coverage: float = 0.5, **options) -> DataFrame:
+    return pd.Series([t if t is None or not len(c) else cut(t.encode(), [(s["first"], s["last"]) for s in c]).decode() for t, c in zip(texts, cuts)], dtype=object)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_words: int = 0, max_coverage: float = 0.5, block_words: int = 250_000) -> DataFrame:
     """docs without their benchmark passages.
 
     Documents with more than max_words hit words lose these (the bytes from the
@@ -241,7 +268,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_wo
     max_coverage of the words are hit go. Others stay as they are. Nulls as in
     search().
     """
-    out = search(docs, items, window=window, **options).withColumn("_hit", hit_words())
+    blocks, automaton = _automata(docs, items, window, block_words)
+    if blocks == 1:
+        out = docs.withColumn("_c", _clean_udf(automaton(0), max_words, max_coverage)("text")).where("_c.keep")
+        return out.withColumn("text", F.col("_c.text")).select(*docs.columns)
+    out = search(docs, items, window=window, block_words=block_words).withColumn("_hit", hit_words())
     out = out.where(F.col("_hit") <= F.col("found.n_words") * max_coverage)
     clean = F.when(F.col("_hit") > max_words, F.pandas_udf(_cut, "string")("text", "found.cuts")).otherwise(F.col("text"))
     return out.withColumn("text", clean).select(*docs.columns)

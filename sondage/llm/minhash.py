@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sondage.llm.common import CHUNK, SPACE, Fingerprints, prepare, chunks, components, forest, joined, materialise, mix, node_key, node_number, runs, tidy, whole_groups
+from sondage.llm.common import SPACE, Fingerprints, prepare, chunks, components, forest, joined, materialise, mix, node_key, node_number, runs, tidy, whole_groups
 
 WORDS, THRESHOLD = 5, 0.8
 #: Registers of a sketch: BANDS bands of ROWS; a pair at the threshold shares no band with probability (1 - 0.8**4)**20 < 3e-5.
@@ -21,6 +21,8 @@ BITS = 27
 #: Members of a bucket's part, and the columns of a group of pairs.
 PART = 512
 GROUP = ["key", "low", "high"]
+#: Bytes of text that are sketched at once: the turns of a sketch cost alike for few texts and many.
+SKETCHED = 2_000_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -58,7 +60,7 @@ def shingles(rows: list[bytes], prints: Fingerprints) -> tuple[np.ndarray, np.nd
 def each(texts, prints: Fingerprints) -> list[tuple[np.ndarray, np.ndarray]]:
     """The shingles and counts of each text, from a bounded number of bytes at once."""
     out = []
-    for _, rows in chunks(texts, CHUNK // 2):
+    for _, rows in chunks(texts):
         row, item, count = shingles(rows, prints)
         at = np.searchsorted(row, np.arange(len(rows) + 1))
         out += [(item[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:])]
@@ -137,9 +139,9 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
 
 
 def _sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    prints = Fingerprints(CHUNK)
+    prints = Fingerprints()
     for part in parts:
-        for first, rows in chunks(part["text"].tolist()):
+        for first, rows in chunks(part["text"].tolist(), SKETCHED):
             some = part.iloc[first : first + len(rows)]
             row, item, count = shingles(rows, prints)
             held, filled = sketches(row, item, weights(count), len(rows))

@@ -388,24 +388,29 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return docs.withColumn("pii", find_udf(sent)("text"))
 
 
+def without(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
+    """Text with each stretch that spans cover replaced by the kind of its first span."""
+    parts, done = [], 0
+    for kind, start, end, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= done:
+            parts += [text[done:start], f"<{kind.upper()}>"]
+        done = max(done, end)
+    return "".join([*parts, text[done:]]) if spans else text
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each stretch of personal data replaced by its kind in angle brackets; rules as in find_pii()."""
 
-    def cut(texts: pd.Series, pii: pd.Series) -> pd.Series:
-        out = []
-        for text, spans in zip(texts, pii):
-            if text is not None and len(spans):
-                parts, done = [], 0
-                for s in sorted(spans, key=lambda s: (s["first"], -s["last"])):
-                    if s["first"] >= done:
-                        parts += [text[done : s["first"]], f"<{s['kind'].upper()}>"]
-                    done = max(done, s["last"])
-                text = "".join([*parts, text[done:]])
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    found = find_pii(docs)
-    return found.withColumn("text", F.when(F.size("pii") > 0, F.pandas_udf(cut, "string")("text", "pii")).otherwise(F.col("text"))).drop("pii")
+    prepare(docs.sparkSession)
+    field = docs.sparkSession.sparkContext.broadcast(trained())
+
+    # Finding and replacing in one function: a task needs one Python worker.
+    @F.pandas_udf("string")
+    def replaced(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([without(t, find(t, field.value)) if isinstance(t, str) else None for t in texts], dtype=object)
+
+    return docs.withColumn("text", replaced("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
