@@ -24,7 +24,9 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the trees reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels, threshold=LEAST_QUALITY).where("predicted = 1").select(*docs.columns)
+    # The documents' own columns travel as one, so that none of their names can clash.
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
+    return quality.classify(whole, labels, threshold=LEAST_QUALITY).where("predicted = 1").select("doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
