@@ -152,10 +152,10 @@ def configuration_features(spark, sf):
     return table(spark, sf, "part").select("p_brand", F.explode(F.split("p_type", " ")).alias("feature")).distinct()
 
 
-@plan("restricted_feature_sets", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT f)), ',') AS features FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS f FROM part) WHERE f NOT IN (SELECT unnest(string_split(p_type, ' ')) FROM part WHERE p_size = 1 AND p_partkey % 50 = 0) GROUP BY p_brand")
+@plan("restricted_feature_sets", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT f)), ',') AS features FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS f FROM part) WHERE f NOT IN (SELECT unnest(string_split(p_type, ' ')) FROM part WHERE p_size = 1 AND p_brand = 'Brand#11') GROUP BY p_brand")
 def restricted_feature_sets(spark, sf):
     part = table(spark, sf, "part")
-    barred = part.where("p_size = 1 AND p_partkey % 50 = 0").select(F.explode(F.split("p_type", " ")).alias("f"))
+    barred = part.where("p_size = 1 AND p_brand = 'Brand#11'").select(F.explode(F.split("p_type", " ")).alias("f"))
     return part.select("p_brand", F.explode(F.split("p_type", " ")).alias("f")).join(barred, "f", "left_anti").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("f")), ",").alias("features"))
 
 
@@ -182,9 +182,9 @@ def set_operations(spark, sf):
     return side(c.intersect(s), "both").union(side(c.subtract(s), "left"))
 
 
-@plan("union_all_misaligned", "SELECT c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier")
+@plan("union_all_misaligned", "SELECT c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier")
 def union_all_misaligned(spark, sf):
-    a = table(spark, sf, "customer").where("c_custkey < 50").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    a = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     b = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     return a.unionByName(b, allowMissingColumns=True).select("name", "segment", "balance")
 

@@ -174,10 +174,10 @@ def calibration_curve(spark, sf):
     return rounded(M.calibration_curve(pooled(preds(spark, sf)), CELL), "mean_p", "observed", "low", "high")
 
 
-@plan("logit_expit", f"WITH {RAW} SELECT sample, round(ln(p / (1 - p)), 9) AS lp, round(1 / (1 + exp(-ln(p / (1 - p)))), 9) AS back FROM raw WHERE repeat = 0")
+@plan("logit_expit", f"WITH {RAW} SELECT sample, repeat, round(ln(p / (1 - p)), 9) AS lp, round(1 / (1 + exp(-ln(p / (1 - p)))), 9) AS back FROM raw")
 def logit_expit(spark, sf):
     lp = M.logit(F.col("p"))
-    return raw(spark, sf).where("repeat = 0").select("sample", F.round(lp, 9).alias("lp"), F.round(M.expit(lp), 9).alias("back"))
+    return raw(spark, sf).select("sample", "repeat", F.round(lp, 9).alias("lp"), F.round(M.expit(lp), 9).alias("back"))
 
 
 #: Outcomes drawn from the predictions themselves, for which the recalibration is near the identity.
@@ -234,10 +234,10 @@ def integrity_checks(spark, sf):
     return preds(spark, sf).groupBy(*CELL, "repeat").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("sample")).alias("repeated"), F.count_if((F.col("p") < 0) | (F.col("p") > 1)).alias("outside"))
 
 
-@plan("label_variants", f"WITH {RAW} SELECT sample, CASE WHEN y = 1 AND stratum = 'click' THEN 0 ELSE y END AS flipped, (y = 1 AND stratum = 'click') AS excluded FROM raw WHERE repeat = 0")
+@plan("label_variants", f"WITH {RAW} SELECT sample, repeat, CASE WHEN y = 1 AND stratum = 'click' THEN 0 ELSE y END AS flipped, (y = 1 AND stratum = 'click') AS excluded FROM raw")
 def label_variants(spark, sf):
     hit = (F.col("y") == 1) & (F.col("stratum") == "click")
-    return raw(spark, sf).where("repeat = 0").select("sample", F.when(hit, 0).otherwise(F.col("y")).alias("flipped"), hit.alias("excluded"))
+    return raw(spark, sf).select("sample", "repeat", F.when(hit, 0).otherwise(F.col("y")).alias("flipped"), hit.alias("excluded"))
 
 
 VAR = f"v AS (SELECT config, model, 'primary' AS variant, y, p FROM raw UNION ALL SELECT config, model, 'flipped', CASE WHEN stratum = 'click' THEN 0 ELSE y END, p FROM raw UNION ALL SELECT config, model, 'excluded', y, p FROM raw WHERE stratum <> 'click')"

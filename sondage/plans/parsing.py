@@ -112,9 +112,10 @@ def dipstick_map(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lower(F.trim(raw)).alias("s"), L.lookup(L.DIPSTICK, raw).alias("level"))
 
 
-@plan("unit_scale", "SELECT l_orderkey, l_linenumber, l_quantity * 1000.0::DOUBLE AS scaled FROM lineitem WHERE l_linenumber = 2")
+@plan("unit_scale", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 2 THEN l_quantity * 1000.0::DOUBLE ELSE l_quantity END AS scaled FROM lineitem")
 def unit_scale(spark, sf):
-    return table(spark, sf, "lineitem").where("l_linenumber = 2").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 1000.0).alias("scaled"))
+    scaled = F.when(F.col("l_linenumber") == 2, F.col("l_quantity") * 1000.0).otherwise(F.col("l_quantity"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scaled.alias("scaled"))
 
 
 @plan("normalise_categorical", "WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Yes' || chr(9) WHEN 1 THEN ' no' WHEN 2 THEN 'Abnormal' WHEN 3 THEN '3.5' WHEN 4 THEN '?' ELSE 'good' END AS v FROM orders) SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 3.5 WHEN 5 THEN 0.0 END AS x FROM t")

@@ -15,7 +15,7 @@ from sondage.session import table
 
 C, DRAWS = "config, model", 16
 UD = "CAST('0x' || substr(md5('boot:' || draw || ':' || sample), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
-BOOT = f"""{POOL}, src AS (SELECT * FROM pooled WHERE config = 'f0'),
+BOOT = f"""{POOL}, src AS (SELECT * FROM pooled),
   num AS (SELECT *, row_number() OVER (PARTITION BY {C}, y ORDER BY md5('boot:' || sample), sample) - 1 AS slot, count(*) OVER (PARTITION BY {C}, y) AS size FROM src),
   drw AS (SELECT {C}, y, draw, CAST(floor({UD} * size) AS BIGINT) AS slot, count(*)::DOUBLE AS w FROM num, (SELECT unnest(range(0, {DRAWS})) AS draw) GROUP BY 1, 2, 3, 4, 5),
   wts AS (SELECT num.config, num.model, num.y, num.p, draw, w FROM num JOIN drw USING ({C}, y, slot)),
@@ -25,7 +25,7 @@ BOOT = f"""{POOL}, src AS (SELECT * FROM pooled WHERE config = 'f0'),
 
 
 def source(spark, sf):
-    return pooled(preds(spark, sf)).where("config = 'f0'")
+    return pooled(preds(spark, sf))
 
 
 def rnd(df, *names):
@@ -172,29 +172,29 @@ def flag(spark, sf):
     return t.select("k", (F.col("lift") < 0.2).alias("low_lift"), (F.when(F.col("k") % 4 != 0, F.col("frac")) < 0.25).alias("saturated"))
 
 
-@plan("severity_balanced", f"""WITH {RAW}, base AS (SELECT * FROM raw WHERE repeat = 0 AND y = 1), k AS (SELECT min(n) AS k FROM (SELECT stratum, count(*) AS n FROM base GROUP BY 1)),
-  r AS (SELECT sample, stratum, draw, row_number() OVER (PARTITION BY draw, stratum ORDER BY md5('bal:' || draw || ':' || sample), sample) - 1 AS rn FROM base, (SELECT unnest(range(0, 3)) AS draw)) SELECT draw, sample, stratum FROM r, k WHERE rn < k""")
+@plan("severity_balanced", f"""WITH {RAW}, base AS (SELECT * FROM raw WHERE y = 1), k AS (SELECT repeat, min(n) AS k FROM (SELECT repeat, stratum, count(*) AS n FROM base GROUP BY 1, 2) GROUP BY 1),
+  r AS (SELECT sample, repeat, stratum, draw, row_number() OVER (PARTITION BY draw, repeat, stratum ORDER BY md5('bal:' || draw || ':' || sample), sample) - 1 AS rn FROM base, (SELECT unnest(range(0, 3)) AS draw)) SELECT draw, repeat, sample, stratum FROM r JOIN k USING (repeat) WHERE rn < k""")
 def severity_balanced(spark, sf):
-    base = raw(spark, sf).where("repeat = 0 AND y = 1").select("sample", "stratum")
-    k = base.groupBy("stratum").count().agg(F.min("count").alias("k"))
+    base = raw(spark, sf).where("y = 1").select("sample", "repeat", "stratum")
+    k = base.groupBy("repeat", "stratum").count().groupBy("repeat").agg(F.min("count").alias("k"))
     drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    ranked = numbered(drawn.withColumn("_h", rng.hashed("bal", F.col("draw"), F.col("sample"))), ["draw", "stratum"], "_h", "rn", ["sample"])
-    return ranked.crossJoin(k).where("rn < k").select("draw", "sample", "stratum")
+    ranked = numbered(drawn.withColumn("_h", rng.hashed("bal", F.col("draw"), F.col("sample"))), ["draw", "repeat", "stratum"], "_h", "rn", ["sample"])
+    return ranked.join(k, "repeat").where("rn < k").select("draw", "repeat", "sample", "stratum")
 
 
-@plan("casemix_simulation", f"""WITH {RAW}, base AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('mix:' || sample), sample) - 1 AS slot, count(*) OVER (PARTITION BY stratum) AS n FROM raw WHERE repeat = 0 AND y = 1),
-  want AS (SELECT stratum, CAST(round_even((SELECT count(*) FROM base) * target, 0) AS BIGINT) AS want FROM (SELECT unnest(['purchase', 'click']) AS stratum, unnest([0.8::DOUBLE, 0.2::DOUBLE]) AS target)),
-  picks AS (SELECT stratum, draw, j, CAST(floor(CAST('0x' || substr(md5('mix:' || stratum || ':' || draw || ':' || j), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * n) AS BIGINT) AS slot FROM (SELECT stratum, want, unnest(range(0, want)) AS j FROM want), (SELECT unnest(range(0, 3)) AS draw), (SELECT DISTINCT stratum AS s2, n FROM base) WHERE s2 = stratum)
-  SELECT draw, stratum, count(*) AS drawn, count(DISTINCT sample) AS distinct_cases, max(c) AS reuse, round(avg(p), 9) AS mean_p FROM (SELECT *, count(*) OVER (PARTITION BY draw, stratum, sample) AS c FROM picks JOIN base USING (stratum, slot)) GROUP BY 1, 2""")
+@plan("casemix_simulation", f"""WITH {RAW}, base AS (SELECT *, row_number() OVER (PARTITION BY repeat, stratum ORDER BY md5('mix:' || sample), sample) - 1 AS slot, count(*) OVER (PARTITION BY repeat, stratum) AS n, count(*) OVER (PARTITION BY repeat) AS cases FROM raw WHERE y = 1),
+  want AS (SELECT DISTINCT repeat, stratum, n, CAST(round_even(cases * target, 0) AS BIGINT) AS want FROM base JOIN (SELECT unnest(['purchase', 'click']) AS stratum, unnest([0.8::DOUBLE, 0.2::DOUBLE]) AS target) USING (stratum)),
+  picks AS (SELECT repeat, stratum, draw, j, CAST(floor(CAST('0x' || substr(md5('mix:' || stratum || ':' || repeat || ':' || draw || ':' || j), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * n) AS BIGINT) AS slot FROM (SELECT repeat, stratum, n, unnest(range(0, want)) AS j FROM want), (SELECT unnest(range(0, 3)) AS draw))
+  SELECT draw, repeat, stratum, count(*) AS drawn, count(DISTINCT sample) AS distinct_cases, max(c) AS reuse, round(avg(p), 9) AS mean_p FROM (SELECT *, count(*) OVER (PARTITION BY draw, repeat, stratum, sample) AS c FROM picks JOIN base USING (repeat, stratum, slot)) GROUP BY 1, 2, 3""")
 def casemix_simulation(spark, sf):
-    base = numbered(raw(spark, sf).where("repeat = 0 AND y = 1").withColumn("_h", rng.hashed("mix", F.col("sample"))), ["stratum"], "_h", "slot", ["sample"])
-    sizes = base.groupBy("stratum").agg(F.count("*").alias("n"))
+    base = numbered(raw(spark, sf).where("y = 1").withColumn("_h", rng.hashed("mix", F.col("sample"))), ["repeat", "stratum"], "_h", "slot", ["sample"])
+    sizes = base.groupBy("repeat", "stratum").agg(F.count("*").alias("n"))
     mix = spark.createDataFrame([("purchase", 0.8), ("click", 0.2)], "stratum string, target double")
-    want = sizes.crossJoin(base.agg(F.count("*").alias("all"))).join(mix, "stratum").withColumn("want", F.bround(F.col("all") * F.col("target"), 0).cast("long"))
+    want = sizes.join(base.groupBy("repeat").agg(F.count("*").alias("all")), "repeat").join(mix, "stratum").withColumn("want", F.bround(F.col("all") * F.col("target"), 0).cast("long"))
     slots = want.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("want") - 1)))
-    picks = slots.select("stratum", "draw", F.floor(rng.uniform("mix", F.col("stratum"), F.col("draw"), F.col("j")) * F.col("n")).alias("slot")).groupBy("stratum", "draw", "slot").agg(F.count("*").alias("c"))
-    out = picks.join(base, ["stratum", "slot"])
-    return out.groupBy("draw", "stratum").agg(F.sum("c").alias("drawn"), F.count("*").alias("distinct_cases"), F.max("c").alias("reuse"), F.round(F.sum(F.col("c") * F.col("p")) / F.sum("c"), 9).alias("mean_p"))
+    picks = slots.select("repeat", "stratum", "draw", F.floor(rng.uniform("mix", F.col("stratum"), F.col("repeat"), F.col("draw"), F.col("j")) * F.col("n")).alias("slot")).groupBy("repeat", "stratum", "draw", "slot").agg(F.count("*").alias("c"))
+    out = picks.join(base, ["repeat", "stratum", "slot"])
+    return out.groupBy("draw", "repeat", "stratum").agg(F.sum("c").alias("drawn"), F.count("*").alias("distinct_cases"), F.max("c").alias("reuse"), F.round(F.sum(F.col("c") * F.col("p")) / F.sum("c"), 9).alias("mean_p"))
 
 
 IMP = "imp AS (SELECT CAST(l_linenumber AS VARCHAR) AS fold, 'x' || (l_partkey % 12) AS feature, round(avg(l_extendedprice) / 1000, 1) AS importance FROM lineitem GROUP BY 1, 2)"

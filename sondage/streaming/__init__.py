@@ -1 +1 @@
-
+"""Nothing here: no streaming operator is to be matched."""
