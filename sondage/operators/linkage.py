@@ -144,7 +144,7 @@ def copula_draws(values: DataFrame, stratum: str, variables: list[str], draws: i
     ship(spark)
     from statistics import NormalDist
 
-    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         draw, s = int(key[0]), key[1]
         x, normal = part[variables].to_numpy(float), NormalDist()
         r = np.random.Generator(np.random.PCG64([seed, draw, int(s)]))

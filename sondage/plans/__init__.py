@@ -18,4 +18,4 @@ def plan(name: str, sql: str | None = None):
     return add
 
 
-from sondage.plans import auditing, cohort, evaluation, linking, modelling, parsing, resampling, screening  # noqa: E402, F401
+from sondage.plans import auditing, cohort, evaluation, linking, modelling, parsing, reports, resampling, screening  # noqa: E402, F401
