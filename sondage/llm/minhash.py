@@ -204,21 +204,24 @@ def _rest(threshold: float):
     return compare
 
 
-def _bit() -> Column:
-    return F.pmod(F.xxhash64("node"), F.lit(1 << BITS))
+def _bit(columns: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << BITS))
 
 
-def bitmap(nodes: DataFrame) -> DataFrame:
-    """A bitmap of the nodes' hashes with 2**BITS bits, whatever their number: at most 2**(BITS - 15) rows of 4 kB."""
-    return nodes.groupBy(F.bitmap_bucket_number(_bit()).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit())).alias("_bits"))
+def bitmap(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A bitmap of the columns' hashes with 2**BITS bits, whatever the number of rows: at most 2**(BITS - 15) rows of 4 kB."""
+    bit = _bit(columns)
+    return rows.groupBy(F.bitmap_bucket_number(bit).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
 
 
-def in_bitmap(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """Rows whose node has its bit set: all nodes of the bitmap, and the more others the fuller it is."""
-    at = F.bitmap_bit_position(_bit())
+def by_bitmap(rows: DataFrame, bits: DataFrame, columns: list[str], inside: bool) -> DataFrame:
+    """Rows whose bit is set, or those whose bit is not: of the rows that the bitmap was made from all are inside, and the
+    more others the fuller it is."""
+    at = F.bitmap_bit_position(_bit(columns))
     byte = F.conv(F.hex(F.substr("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("_page", F.bitmap_bucket_number(_bit())).join(F.broadcast(bits), "_page")  # 16 MB at most
-    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_page", "_bits")
+    found = rows.withColumn("_page", F.bitmap_bucket_number(_bit(columns))).join(F.broadcast(bits), "_page", "left")  # 16 MB at most
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return found.where(hit if inside else ~hit).drop("_page", "_bits")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -263,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
 
     # The texts of the nodes that meet others, one row each, and a few more that share a bit with one of them.
     own = plain.withColumn("node", node_key("doc_id", "h1", "h2"))
-    texts = materialise(in_bitmap(own, bitmap(met)).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = materialise(by_bitmap(own, bitmap(met, ["node"]), ["node"], True).groupBy("node").agg(F.first("text").alias("text")), "texts")
     a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     links = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(tidy(_verify(threshold)), "a binary, b binary"), "links")
 
@@ -297,7 +300,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     keys = ["_id", "_h1", "_h2"]
     gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
     hashed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
-    out = hashed.join(materialise(gone, "gone"), keys, "left_anti")
+    gone = materialise(gone, "gone")
+    bits = materialise(bitmap(gone, keys), "bits")
+    # Only documents that may go are shuffled.
+    out = by_bitmap(hashed, bits, keys, True).join(gone, keys, "left_anti").unionByName(by_bitmap(hashed, bits, keys, False))
     again = found.where("kept").groupBy("doc_id", "h1", "h2").count().where("count > 1").limit(1).count()
     if again:
         named = out.where("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(keys)
