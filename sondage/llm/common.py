@@ -1,43 +1,19 @@
-"""What several corpus operators share: the shared folder, written intermediates, components, hashing in numpy."""
+"""What several corpus operators share: written intermediates, components, hashing and buffers in numpy."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sondage.session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="sondage-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one, removed when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/sondage-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(parent)
-    fs.deleteOnExit(parent)
-    return path
+from sondage.sources.files import scratch
 
 
 def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

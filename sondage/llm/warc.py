@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sondage.llm.common import fresh_path, materialise, prepare
+from sondage.llm.common import materialise, prepare
+from sondage.sources.files import scratch
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -270,6 +271,6 @@ def page_id(urn: str):
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "archive")
+    path = scratch(spark, "archive")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     return read_warc(spark, path).select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"), "error")

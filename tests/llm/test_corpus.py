@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from sondage.llm import common, decontam, embed, langid, minhash, mixing, pii, quality, suffix, tokens, warc
 from sondage.llm.registry import QUERIES, SQL
 
-from .conftest import CLASHES, SCHEMA, prose
+from sondage.sources.files import scratch
+
+from .conftest import CLASHES, prose
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -42,7 +44,7 @@ def expected_pages(rows):
 def test_warc_round_trip(spark):
     big = "é<p>\r\n\r\nWARC/1.1\r\n0\r\n" * 4000
     rows = [(1, "u1", "x"), (2, "u2", big), (3, None, big), (4, "u\r\n4", None), (5, "u5", ""), (6, "u6", "x"), (None, "n", "x"), (7, "u7", "y" * 8000), (8, "u8", "y" * 8000 + "z"), (9, "r", big + "."), (9, "r", big + ".")]
-    path = common.fresh_path(spark, "warc")
+    path = scratch(spark, "warc")
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path, segment_bytes=500, chunk_bytes=64, pack_bytes=3000, packs_per_file=2)
     got = warc.read_warc(spark, path).withColumn("page", warc.page_id("record_id")).withColumn("to", warc.page_id("refers_to")).collect()
     assert not [r.error for r in got if r.error]
@@ -51,7 +53,7 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_empty(spark):
-    path = common.fresh_path(spark, "none")
+    path = scratch(spark, "none")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_warc(spark, path).count() == 0
 
