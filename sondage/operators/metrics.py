@@ -68,9 +68,8 @@ def _bucket() -> Column:
 
 def curve(df: DataFrame, keys: list[str], w: Column | None = None) -> DataFrame:
     """By distinct score: tp and fp of all scores at least as high, with the group's totals."""
-    scores = by_score(df, keys, w)
-    total = scores.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return running(scores, keys, _bucket(), [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True).join(total, keys)
+    sums = {"tp": F.col("pos"), "fp": F.col("neg")}
+    return running(by_score(df, keys, w), keys, _bucket(), [F.col("p").desc()], sums, descending=True, totals={"tp": "all_pos", "fp": "all_neg"})
 
 
 def roc_auc(df: DataFrame, keys: list[str], w: Column | None = None) -> DataFrame:

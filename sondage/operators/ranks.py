@@ -7,18 +7,33 @@ holds most of the rows still spreads over as many tasks as it has buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def running(df: DataFrame, keys: list[str], bucket: Column, order: list, sums: dict[str, Column], descending: bool = False) -> DataFrame:
-    """df with each of sums accumulated in order, the row itself included; bucket must be monotone in the order."""
+def running(df: DataFrame, keys: list[str], bucket: Column, order: list, sums: dict[str, Column], descending: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
+    """df with each of sums accumulated in order, the row itself included; bucket must be monotone in the order.
+
+    totals names columns for the sums of whole groups. The buckets' sums are
+    joined null-safely: no filter is inferred for one side only, so an exchange
+    that df ends with serves both sides.
+    """
     rows = df.withColumn("_b", bucket)
     per = rows.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    by = Window.partitionBy(*keys).orderBy(F.col("_b").desc() if descending else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select(*keys, "_b", *[F.coalesce(F.sum(f"_{n}").over(by), F.lit(0)).alias(f"_{n}") for n in sums])
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(before, [*keys, "_b"])
-    return out.withColumns({n: F.col(f"_{n}") + F.sum(c).over(inside) for n, c in sums.items()}).drop("_b", *[f"_{n}" for n in sums])
+    group = Window.partitionBy(*keys)
+    by = group.orderBy(F.col("_b").desc() if descending else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    names = [*keys, "_b"]
+    before = per.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(names)], *[F.coalesce(F.sum(f"_{n}").over(by), F.lit(0)).alias(f"_{n}") for n in sums],
+        *[F.sum(f"_{n}").over(group).alias(t) for n, t in (totals or {}).items()],
+    )
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(names)])
+    inside = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(before, on)
+    out = out.withColumns({n: F.col(f"_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
+    return out.drop("_b", *[f"_{n}" for n in sums], *[f"_key{i}" for i in range(len(names))])
 
 
 def numbered(df: DataFrame, keys: list[str], hashed: str, name: str, ties: list[str]) -> DataFrame:
