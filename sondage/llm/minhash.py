@@ -138,18 +138,32 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
     return max(plain, float((left / (only_u + above[k] + ratio * (only_v + below[k]))).sum()))
 
 
+def both_sketches(row: np.ndarray, item: np.ndarray, count: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(registers of each row, which of the n rows have items): REGISTERS of the weighted items, then as many of the items
+    with equal weights, whose agreement estimates the Jaccard similarity. Where no item repeats both are the same and stand once."""
+    many = np.unique(row[count > 1])
+    again = np.isin(row, many)
+    rows = np.concatenate((row, n + np.searchsorted(many, row[again])))
+    held, filled = sketches(rows, np.concatenate((item, item[again])), np.concatenate((weights(count), np.ones(int(again.sum())))), n + len(many))
+    out = list(held[:n])
+    for k, r in enumerate(many):
+        out[r] = np.concatenate((held[r], held[n + k]))
+    return out, filled[:n]
+
+
 def _sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     prints = Fingerprints()
     for part in parts:
         for first, rows in chunks(part["text"].tolist(), SKETCHED):
             some = part.iloc[first : first + len(rows)]
             row, item, count = shingles(rows, prints)
-            held, filled = sketches(row, item, weights(count), len(rows))
-            keys = bands(held)
+            held, filled = both_sketches(row, item, count, len(rows))
+            of = np.repeat(np.arange(len(rows)), [len(h) // REGISTERS for h in held])
+            keys = np.split(bands(np.concatenate(held).reshape(-1, REGISTERS)), np.searchsorted(of, np.arange(1, len(rows))))
             yield pd.DataFrame({
                 "doc_id": some["doc_id"].to_numpy(), "h1": some["h1"].to_numpy(), "h2": some["h2"].to_numpy(),
-                "bands": [k if f else None for k, f in zip(keys, filled)],
-                "sketch": [s.tobytes() for s in held.astype(np.uint16)],
+                "bands": [k.reshape(-1) if f else None for k, f in zip(keys, filled)],
+                "sketch": [h.astype(np.uint16).tobytes() for h in held],
             })
 
 
@@ -173,9 +187,10 @@ def _verify(threshold: float):
 def _rest(threshold: float):
     def large(rows: pd.DataFrame, prints: Fingerprints):
         """Links between members of one group that are in different components."""
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
-        keys = np.stack(rows["bands"].to_numpy())
-        at_band = int(np.flatnonzero(keys[0] == rows["key"].iloc[0])[0])
+        # Of the weighted and of the plain items; a text whose items do not repeat has them once.
+        sketch = np.stack([np.resize(np.frombuffer(s, np.uint16), (2, REGISTERS)) for s in rows["sketch"]])
+        keys = np.stack([np.resize(k, (2, BANDS)) for k in rows["bands"]])
+        at_band = int(np.flatnonzero(keys[0] == rows["key"].iloc[0])[0]) % BANDS
         root = pd.factorize(rows["root"])[0]
         side, low, high = rows["part"].to_numpy(), rows["low"].iloc[0], rows["high"].iloc[0]
         own = each(rows["text"], prints)
@@ -183,9 +198,10 @@ def _rest(threshold: float):
         for i in np.flatnonzero(side == low):
             others = np.flatnonzero((side == high) & (root != root[i]))
             others = others[others > i] if low == high else others
-            near = others[(sketch[others] == sketch[i]).mean(1) >= threshold - SLACK]
-            # A pair that shares an earlier bucket is compared there.
-            near = near[~(keys[near, :at_band] == keys[i, :at_band]).any(1)]
+            near = others[(sketch[others] == sketch[i]).mean(2).max(1) >= threshold - SLACK]
+            # A pair that shares an earlier bucket is compared there, whichever sketches brought it in.
+            mine, theirs = keys[i, :, :at_band], keys[near, :, :at_band]
+            near = near[~((theirs == mine) | (theirs == mine[::-1])).any((1, 2))]
             for j in near:
                 if similarity(*own[i], *own[j]) >= threshold:
                     i_found.append(i)
@@ -232,7 +248,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     document reaches by links, and kept marks the document that has it.
 
     1. Equal texts become one node (h1 and h2 hash the text), and each node's
-       ProbMinHash registers give its band keys.
+       ProbMinHash registers give its band keys: those of the weighted shingles
+       and, where a shingle repeats, those of the shingles alone as well, so
+       that both similarities bring their pairs together.
     2. In every bucket of a band the member that meets most others leads; each
        member is verified with its leaders on the whole texts. So a group of
        any size has as many pairs as members, and copies of one original meet
@@ -255,7 +273,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     nodes = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes.withColumn("node", node_key("doc_id", "h1", "h2")), "nodes")
 
-    keyed = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("key"))
+    keyed = nodes.where("bands IS NOT NULL").select("node", F.explode(F.array_distinct("bands")).alias("key"))
     buckets = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     met = materialise(keyed.join(buckets, "key"), "met")
     mates = met.groupBy("node").agg(F.sum(F.col("n") - 1).alias("mates"))

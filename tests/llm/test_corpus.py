@@ -174,6 +174,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert found == brute_classes(rows)
 
 
+def test_near_duplicates_whose_lines_repeat_differently(spark):
+    # Copies have the same shingles but for a few, and one has a line far more often: plain Jaccard over 0.8, of the weights far under.
+    rows = []
+    for k in range(40):
+        lines, own = prose(5000 + k, 60).split(), [f"l{k}x{i}" for i in range(22)]
+        rows += [(2 * k, " ".join(lines + own * 300)), (2 * k + 1, " ".join(lines + own + own[:4] + [f"t{i}" for i in range(14)]))]
+    # A larger group, whose members repeat a line 1 to 181 times.
+    rows += [(1000 + k, " ".join(prose(77, 60).split() + [f"m{i}" for i in range(20)] * (1 + 60 * (k % 4)) + [f"e{k}"])) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    wanted = brute_classes(rows)
+    assert all(wanted[2 * k + 1] == 2 * k for k in range(40))
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == wanted
+
+
+def test_registers_estimate_both_similarities():
+    r = np.random.Generator(np.random.PCG64(5))
+    items = r.integers(0, 2**63, 100, dtype=np.uint64)
+    a, b = np.sort(items[:95]), np.sort(items[5:])
+    x, y = np.where(np.arange(95) < 25, 300, 1), np.ones(90 + 5, int)
+    held, filled = minhash.both_sketches(np.repeat([0, 1], 95), np.concatenate((a, b)), np.concatenate((x, y)), 3)
+    assert [len(h) for h in held] == [160, 80, 80] and filled.tolist() == [True, True, False]
+    weighted, plain = (held[0][:80] == held[1]).mean(), (held[0][80:] == held[1]).mean()
+    assert abs(plain - 0.9) < 0.15 and weighted < 0.7
+
+
 def test_registers_estimate_the_similarity():
     r = np.random.Generator(np.random.PCG64(4))
     agree, real = [], []
