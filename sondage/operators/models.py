@@ -102,10 +102,138 @@ class Fourier:
         return self.inner(self.expand(x))
 
 
+class Forest:
+    """Random forest of unpruned Gini trees on bootstrap samples: as many features as the root of their number are tried in a
+    node, and more only while none of them varies. Trees grow side by side, a level at a time."""
+
+    def __init__(self, x, y, depth: int | None = None, leaf: int = 1, balanced: bool = False, trees: int = 300):
+        r = np.random.Generator(np.random.PCG64(11))
+        w = np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1))) if balanced else np.ones(len(y))
+        values = [np.unique(c) for c in x.T]
+        rank = np.column_stack([np.searchsorted(v, c) for v, c in zip(values, x.T)])
+        at_once = max(1, 2_000_000 // len(y))
+        self.parts = [self.grow(rank, values, y, w, r, min(at_once, trees - t), depth, leaf) for t in range(0, trees, at_once)]
+        self.trees = trees
+
+    @staticmethod
+    def grow(rank, values, y, w, r, trees, depth, leaf):
+        n, f = rank.shape
+        times = np.bincount((np.arange(trees)[:, None] * n + r.integers(0, n, (trees, n))).ravel(), minlength=trees * n)
+        at = np.flatnonzero(times)
+        node, row = at // n, at % n
+        weight = times[at] * w[row]
+        few, m, first, level, out = max(1, int(np.sqrt(f))), trees, 0, 0, []
+        while m:
+            target = y[row]
+            count, total, pos = np.bincount(node, minlength=m), np.bincount(node, weight, m), np.bincount(node, weight * target, m)
+            ones = np.bincount(node, target, m)
+            wanted = (ones > 0) & (ones < count) & (count >= 2 * leaf) & (depth is None or level < depth)
+            order = np.argsort(r.random((m, f)), axis=1)
+            varies, best, feature, cut = np.zeros(m, bool), np.full(m, -np.inf), np.full(m, -1), np.zeros(m)
+            for j in range(f):
+                e = np.flatnonzero((wanted & ((j < few) | ~varies))[node])
+                if not len(e):
+                    break
+                v = rank[row[e], order[node[e], j]]
+                by = np.argsort(node[e] * (n + 1) + v, kind="stable")
+                e, v = e[by], v[by]
+                nd, start = node[e], np.flatnonzero(np.diff(node[e], prepend=-1))
+                begin = np.repeat(start, np.diff(np.append(start, len(e))))
+                before = lambda c: (s := np.cumsum(c)) - (s - c)[begin]
+                left, left_pos, left_n = before(weight[e]), before(weight[e] * target[e]), np.arange(len(e)) - begin + 1
+                edge = np.flatnonzero((nd[:-1] == nd[1:]) & (v[:-1] != v[1:]))
+                varies[nd[edge]] = True
+                edge = edge[(left_n[edge] >= leaf) & (count[nd[edge]] - left_n[edge] >= leaf)]
+                if not len(edge):
+                    continue
+                k, a, b = nd[edge], left[edge], left_pos[edge]
+                c, d = total[k] - a, pos[k] - b
+                score = (b**2 + (a - b) ** 2) / a + (d**2 + (c - d) ** 2) / c
+                top = np.lexsort((-score, k))
+                top = top[np.flatnonzero(np.diff(k[top], prepend=-1))]
+                top = top[score[top] > best[k[top]]]
+                k = k[top]
+                best[k], feature[k] = score[top], order[k, j]
+                cut[k] = [(values[q][lo] + values[q][hi]) / 2 for q, lo, hi in zip(order[k, j], v[edge[top]], v[edge[top] + 1])]
+            split = feature >= 0
+            child = np.cumsum(split) * 2 - 2
+            out.append((feature, cut, np.where(split, first + m + child, 0), pos / total))
+            go = split[node]
+            node, row, weight = node[go], row[go], weight[go]
+            q = feature[node]
+            x = np.empty(len(row))
+            for j in range(f):
+                x[q == j] = values[j][rank[row[q == j], j]]
+            node, first, m, level = child[node] + (x > cut[node]), first + m, 2 * int(split.sum()), level + 1
+        return trees, *(np.concatenate(c) for c in zip(*out))
+
+    def __call__(self, x):
+        total = np.zeros(len(x))
+        for trees, feature, cut, child, value in self.parts:
+            for t in range(trees):
+                node = np.full(len(x), t)
+                while len(live := np.flatnonzero(feature[node] >= 0)):
+                    at = node[live]
+                    node[live] = child[at] + (x[live, feature[at]] > cut[at])
+                total += value[node]
+        return total / self.trees
+
+
+class Boosted:
+    """Gradient-boosted trees on histograms of 256 bins at most, with second-order gains of the logistic loss."""
+
+    def __init__(self, x, y, depth: int = 3, rate: float = 0.1, ridge: float = 1.0, rows: float = 0.8, columns: float = 0.8, trees: int = 300, least: float = 1.0):
+        r = np.random.Generator(np.random.PCG64(11))
+        n, f = x.shape
+        mean = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+        self.base, self.depth, self.trees, bins = float(np.log(mean / (1 - mean))), depth, [], 256
+        self.edges = [(u[1:] + u[:-1]) / 2 if len(u := np.unique(c)) <= bins else np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+        b = self.bin(x)
+        margin = np.full(n, self.base)
+        for _ in range(trees):
+            p = 1 / (1 + np.exp(-margin))
+            in_ = np.flatnonzero(r.random(n) < rows)
+            some = np.sort(r.permutation(f)[: max(1, int(columns * f))])
+            g, h, at, node, tree = (p - y)[in_], (p * (1 - p))[in_], b[in_], np.zeros(len(in_), int), []
+            for level in range(depth):
+                m = 1 << level
+                key = ((node[:, None] * len(some) + np.arange(len(some))) * bins + at[:, some]).ravel()
+                fill = lambda c: np.bincount(key, np.repeat(c, len(some)), m * len(some) * bins).reshape(m, len(some), bins).cumsum(2)  # noqa: B023, E731
+                left_g, left_h = fill(g), fill(h)
+                all_g, all_h = left_g[:, :, -1:], left_h[:, :, -1:]
+                right_g, right_h = all_g - left_g, all_h - left_h
+                gain = left_g**2 / (left_h + ridge) + right_g**2 / (right_h + ridge) - all_g**2 / (all_h + ridge)
+                gain = np.where((left_h >= least) & (right_h >= least), gain, -np.inf).reshape(m, -1)
+                best = gain.argmax(1)
+                # A node without a gain sends all its rows left.
+                cut = np.where(gain[np.arange(m), best] > 1e-6, best % bins, bins)
+                tree.append((some[best // bins], cut))
+                node = 2 * node + (at[np.arange(len(in_)), tree[-1][0][node]] > cut[node])
+            leaf = -rate * np.bincount(node, g, 1 << depth) / (np.bincount(node, h, 1 << depth) + ridge)
+            self.trees.append((tree, leaf))
+            margin += self.one(b, tree, leaf)
+
+    def bin(self, x):
+        return np.column_stack([np.searchsorted(e, c) for e, c in zip(self.edges, x.T)])
+
+    @staticmethod
+    def one(b, tree, leaf):
+        node, every = np.zeros(len(b), int), np.arange(len(b))
+        for feature, cut in tree:
+            node = 2 * node + (b[every, feature[node]] > cut[node])
+        return leaf[node]
+
+    def __call__(self, x):
+        b = self.bin(x)
+        return 1 / (1 + np.exp(-(self.base + sum(self.one(b, *t) for t in self.trees))))
+
+
 MODELS = {
     "dummy": (Prior, [{}]),
     "logreg": (Logistic, [{"c": c, "balanced": b} for c in (0.01, 0.1, 1.0, 10.0) for b in (False, True)]),
     "additive": (Additive, [{"bins": b} for b in (4, 8)]),
+    "random_forest": (Forest, [{"depth": d, "leaf": n, "balanced": b} for d in (3, None) for n in (1, 5) for b in (False, True)]),
+    "xgboost": (Boosted, [{"depth": d, "rate": r, "ridge": c} for d in (2, 3) for r in (0.05, 0.1) for c in (1.0, 5.0)]),
     "kernel": (Fourier, [{"c": c, "gamma": g} for c in (0.1, 1.0) for g in (0.03, 0.1)]),
 }
 

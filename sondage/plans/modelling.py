@@ -29,7 +29,7 @@ def grid(spark, models, calibrations, repeats=2):
 
 @plan("nested_cv")
 def nested_cv(spark, sf):
-    return Z.nested_cv(training(spark, sf), FEATURES, grid(spark, ["dummy", "logreg", "additive", "kernel"], ["none"]))
+    return Z.nested_cv(training(spark, sf), FEATURES, grid(spark, ["dummy", "logreg", "additive", "kernel", "random_forest", "xgboost"], ["none"]))
 
 
 @plan("calibrated_nested_cv")

@@ -181,6 +181,41 @@ def test_models_learn_and_stay_in_range():
     assert (np.diff(step(np.linspace(0, 1, 20))) >= 0).all()
 
 
+@pytest.mark.parametrize("name", ["random_forest", "xgboost"])
+def test_trees_find_an_interaction(name):
+    r = np.random.Generator(np.random.PCG64(8))
+    x = np.column_stack([r.normal(size=(900, 2)), r.integers(0, 4, 900)])
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    make, grid = models.MODELS[name]
+    assert len(grid) == 8
+    for options in (grid[0], grid[-1]):
+        model = make(x[:600], y[:600], **options)
+        p = model(x[600:])
+        assert ((p >= 0) & (p <= 1)).all() and models.auc(y[600:], p) > 0.9
+        assert (sum(len(t) for t in [model.trees]) if name == "xgboost" else sum(part[0] for part in model.parts)) == 300
+    assert models.auc(y[600:], models.Logistic(x[:600], y[:600])(x[600:])) < 0.7
+
+
+def test_a_tree_cuts_where_gini_is_least():
+    r = np.random.Generator(np.random.PCG64(9))
+    x, y = np.sort(r.normal(size=60))[:, None], (np.arange(60) >= 37).astype(float)
+    y[[5, 50]] = 1 - y[[5, 50]]
+    model = models.Forest(x, y, depth=1, trees=1)
+    drawn = np.random.Generator(np.random.PCG64(11)).integers(0, 60, (1, 60))[0]
+    gini = lambda v: len(v) * 2 * v.mean() * (1 - v.mean()) if len(v) else 0.0
+    cuts = np.unique(x[drawn])
+    least = min((cuts[1:] + cuts[:-1]) / 2, key=lambda c: gini(y[drawn][x[drawn, 0] <= c]) + gini(y[drawn][x[drawn, 0] > c]))
+    assert model.parts[0][2][0] == least
+    assert np.allclose(np.unique(model(x)), np.sort([y[drawn][x[drawn, 0] <= least].mean(), y[drawn][x[drawn, 0] > least].mean()]))
+
+
+def test_nested_cv_has_all_six_models(spark, small):
+    from sondage.plans import modelling
+
+    n = {r.model: r["count"] for r in modelling.nested_cv(spark, small).groupBy("model").count().collect()}
+    assert set(n) == {"dummy", "logreg", "random_forest", "kernel", "xgboost", "additive"} == set(models.available_models()) and len(set(n.values())) == 1
+
+
 def test_nested_cv_is_reproducible_and_whole(spark, small):
     from sondage.plans import modelling
 
