@@ -216,10 +216,28 @@ def maximum_matching(spark, sf):
     return matching_size(spark, sf).groupBy("o").agg(F.count("*").alias("matched"))
 
 
+def null_matched(spark, sf, draws):
+    """(draw, matched) of the largest matchings with every draw's shuffled right side."""
+    # The draw joins like a second outcome.
+    each = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
+    code = lambda c: F.col(c).cast("long") * draws + F.col("draw")
+    lhs = left(spark, sf).withColumn("draw", each).withColumns({"i": code("i"), "o": code("o")}).drop("draw")
+    rhs = shuffled(spark, sf, draws).withColumn("o", code("o")).drop("draw")
+    found = L.edges(L.pairs(lhs, rhs, VARS, "o", L.EPS, 500.0), VARS).join(lhs.select("i", "o"), "i")
+    sizes = L.maximum_matching(found, "o").groupBy((F.col("o") % draws).alias("draw")).agg(F.count("*").alias("matched"))
+    return spark.range(draws).select(F.col("id").alias("draw")).join(sizes, "draw", "left").select("draw", F.coalesce("matched", F.lit(0)).alias("matched"))
+
+
+SHUFFLES = 50
+
+
 @plan("containment_check")
 def containment_check(spark, sf):
     n = right(spark, sf).agg(F.count("*").alias("n"))
-    return matching_size(spark, sf).agg(F.count("*").alias("matched")).crossJoin(n).select("matched", (F.col("matched") / F.col("n")).alias("fraction"))
+    null = null_matched(spark, sf, SHUFFLES).crossJoin(n).select((F.col("matched") / F.col("n")).alias("f"))
+    null = null.agg(F.avg("f").alias("null_mean"), F.stddev_samp("f").alias("null_sd"), F.max("f").alias("null_max"), F.count("f").alias("draws"))
+    real = matching_size(spark, sf).agg(F.count("*").alias("matched")).crossJoin(n).select("matched", (F.col("matched") / F.col("n")).alias("fraction"))
+    return real.crossJoin(null)
 
 
 @plan("copula_null")

@@ -103,12 +103,33 @@ FOLDED = f"{FEAT}, fld AS (SELECT feat.*, repeat, CAST('0x' || substr(md5('nest:
   pick AS (SELECT repeat, k, feature, sign FROM (SELECT *, CASE WHEN auc >= 0.5 THEN 1 ELSE -1 END AS sign, row_number() OVER (PARTITION BY repeat, k ORDER BY round(greatest(auc, 1 - auc), 9) DESC, feature) AS rn FROM aucs) WHERE rn = 1)
   SELECT feature, sign, count(*) AS picks FROM pick GROUP BY 1, 2""")
 def nested_best_single(spark, sf):
+    return nested_picks(spark, sf)[1].groupBy("feature", "sign").agg(F.count("*").alias("picks"))
+
+
+def nested_picks(spark, sf):
+    """The training rows of each (repeat, k), the best feature of each and its sign, and all rows with their fold."""
     h = F.conv(F.substring(rng.hashed("nest", F.col("repeat"), F.col("id")), 1, 8), 16, 10).cast("long")
     df = features(spark, sf).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("fold", h % 4)
     train = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).where("fold != k")
     auc = S.single_predictors(train, ["repeat", "k"]).withColumns({"score": F.round(S.folded(F.col("auc")), 9), "sign": F.when(F.col("auc") >= 0.5, 1).otherwise(-1)})
     best = auc.withColumn("rn", F.row_number().over(Window.partitionBy("repeat", "k").orderBy(F.desc("score"), "feature"))).where("rn = 1")  # one row per feature
-    return best.groupBy("feature", "sign").agg(F.count("*").alias("picks"))
+    return train, best.select("repeat", "k", "feature", "sign"), df
+
+
+def unit(df, score):
+    """Scores in [0, 1], in their order."""
+    span = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    return df.crossJoin(span).withColumn("p", F.coalesce(F.try_divide(F.col(score) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))).drop("_lo", "_hi")
+
+
+@plan("nested_best_single_auc")
+def nested_best_single_auc(spark, sf):
+    train, best, df = nested_picks(spark, sf)
+    middle = train.join(best, ["repeat", "k", "feature"]).groupBy("repeat", "k", "feature", "sign").agg(F.median("x").alias("middle"))
+    held = df.withColumnRenamed("fold", "k").join(middle, ["repeat", "k", "feature"])
+    # A sample's score is the mean over the repeats.
+    pooled_ = held.groupBy("id", "y").agg(F.avg(F.col("sign") * F.coalesce("x", "middle")).alias("score"))
+    return M.roc_auc(unit(pooled_, "score").withColumn("pool", F.lit("out of fold")), ["pool"])
 
 
 @plan("multivariable_lift", f"WITH {FAUC}, mm AS (SELECT c_custkey % 2 AS m, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS y, round(abs(c_acctbal) / 10000, 4) AS p FROM customer), {auc_sql('mm', 'm', 'model')} SELECT m, round(model.auc - (SELECT max(greatest(auc, 1 - auc)) FROM aucs), 9) AS lift FROM model")
@@ -119,6 +140,26 @@ def multivariable_lift(spark, sf):
     return model.crossJoin(best).select("m", F.round(F.col("auc") - F.col("best"), 9).alias("lift"))
 
 
+LIFT_DRAWS = 2000
+
+
+def lift_draws(spark, sf, draws):
+    """(m, draw, lift) on stratified resamples of the customers; both AUCs are of the same resample."""
+    best = best_single_predictor(spark, sf).first()["feature"]  # one row
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).alias("m"), F.round(F.abs("c_acctbal") / 10000, 4).alias("model"))
+    rows = unit(features(spark, sf).where(F.col("feature") == best), "x").withColumn("p", F.when(F.col("x").isNotNull(), F.col("p"))).select("id", "y", F.col("p").alias("single"))
+    boot = S.bootstrap_weights(rows.join(c, "id"), [], "id", draws)
+    w = F.col("w").cast("double")
+    model = M.roc_auc(boot.withColumn("p", F.col("model")), ["m", "draw"], w)
+    single = M.roc_auc(boot.where("single IS NOT NULL").withColumn("p", F.col("single")), ["draw"], w).select("draw", S.folded(F.col("auc")).alias("single"))
+    return model.join(single, "draw").select("m", "draw", (F.col("auc") - F.col("single")).alias("lift"))
+
+
+@plan("multivariable_lift_interval")
+def multivariable_lift_interval(spark, sf):
+    return multivariable_lift(spark, sf).join(S.interval_of(lift_draws(spark, sf, LIFT_DRAWS), ["m"], "lift"), "m")
+
+
 def wauc_sql(src: str) -> str:
     return f"ws AS (SELECT {C}, p, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS neg FROM {src} GROUP BY 1, 2, 3), wc AS (SELECT *, sum(neg) OVER (PARTITION BY {C} ORDER BY p) - neg AS below FROM ws), wa AS (SELECT {C}, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM wc GROUP BY {C})"
 

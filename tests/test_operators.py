@@ -223,6 +223,52 @@ def test_nested_cv_is_reproducible_and_whole(spark, small):
     assert sorted(a) == sorted(b) and len(a) == len({(x.model, x.repeat, x.sample) for x in a})
 
 
+def test_containment_check_has_its_null(spark, small):
+    from sondage.plans import linking
+
+    found = linking.containment_check(spark, small).first()
+    assert found.draws == 50 and 0 <= found.null_mean <= found.null_max <= 1 and found.null_sd >= 0
+    # Against augmenting paths over all pairs of three of the shuffles.
+    lhs, rhs = linking.left(spark, small).collect(), linking.shuffled(spark, small, 3).collect()
+    inside = lambda a, b: a.o == b.o and all(b[v] is None or a[v + "_lo"] - 1e-9 <= b[v] <= a[v + "_hi"] + 1e-9 for v in linking.VARS)
+    for draw, matched in linking.null_matched(spark, small, 3).collect():
+        partners = {b.j: [a.i for a in lhs if inside(a, b)] for b in rhs if b.draw == draw}
+        held = {}
+
+        def place(j, seen):
+            for i in partners[j]:
+                if i not in seen:
+                    seen.add(i)
+                    if i not in held or place(held[i], seen):
+                        held[i] = j
+                        return True
+            return False
+
+        assert sum(place(j, set()) for j in partners) == matched
+
+
+def test_nested_best_single_auc_against_pandas(spark, small):
+    from sondage.plans import resampling
+
+    train, best, df = (d.toPandas() for d in resampling.nested_picks(spark, small))
+    scores = {}
+    for b in best.itertuples():
+        middle = train[(train.repeat == b.repeat) & (train.k == b.k) & (train.feature == b.feature)].x.median()
+        for r in df[(df.repeat == b.repeat) & (df.fold == b.k) & (df.feature == b.feature)].itertuples():
+            scores.setdefault((r.id, r.y), []).append(b.sign * (middle if math.isnan(r.x) else r.x))
+    y, p = np.array([k[1] for k in scores], float), np.array([np.mean(v) for v in scores.values()])
+    assert abs(resampling.nested_best_single_auc(spark, small).first().auc - models.auc(y, p)) < 1e-6
+
+
+def test_lift_interval_is_around_the_lift(spark, small):
+    from sondage.plans import resampling
+
+    assert resampling.LIFT_DRAWS == 2000
+    lift = {r.m: r.lift for r in resampling.multivariable_lift(spark, small).collect()}
+    for r in resample.interval_of(resampling.lift_draws(spark, small, 50), ["m"], "lift").collect():
+        assert r.n_draws == 50 and r.lo < lift[r.m] < r.hi
+
+
 def test_checksum_gate(spark, tmp_path):
     import hashlib
 
