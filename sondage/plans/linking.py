@@ -190,20 +190,23 @@ def shuffled(spark, sf, draws):
     return out.select("draw", "j", "o", *VARS)
 
 
+PERMUTATIONS, COPULA_DRAWS = 200, 200
+
+
 @plan("null_exceedance", f"""WITH {LEFT}, {RIGHT}, pl AS (SELECT j, o, row_number() OVER (ORDER BY substr(md5('place:' || j), 1, 16), j) AS pos FROM rgt),
-  sh AS (SELECT draw, pl.j, pl.o, a.v1, b.v2 FROM (SELECT unnest(range(0, 3)) AS draw), pl JOIN (SELECT d, v1, row_number() OVER (PARTITION BY d ORDER BY md5('shuffle:v1:' || d || ':' || j), j) AS pos FROM rgt, (SELECT unnest(range(0, 3)) AS d)) a ON a.pos = pl.pos
-    JOIN (SELECT d, v2, row_number() OVER (PARTITION BY d ORDER BY md5('shuffle:v2:' || d || ':' || j), j) AS pos FROM rgt, (SELECT unnest(range(0, 3)) AS d)) b ON b.pos = pl.pos WHERE a.d = draw AND b.d = draw),
+  sh AS (SELECT draw, pl.j, pl.o, a.v1, b.v2 FROM (SELECT unnest(range(0, {PERMUTATIONS})) AS draw), pl JOIN (SELECT d, v1, row_number() OVER (PARTITION BY d ORDER BY md5('shuffle:v1:' || d || ':' || j), j) AS pos FROM rgt, (SELECT unnest(range(0, {PERMUTATIONS})) AS d)) a ON a.pos = pl.pos
+    JOIN (SELECT d, v2, row_number() OVER (PARTITION BY d ORDER BY md5('shuffle:v2:' || d || ':' || j), j) AS pos FROM rgt, (SELECT unnest(range(0, {PERMUTATIONS})) AS d)) b ON b.pos = pl.pos WHERE a.d = draw AND b.d = draw),
   e AS (SELECT draw, count(*) AS edges FROM lft JOIN sh ON lft.o = sh.o WHERE {GAP('v1')} <= 1e-9 AND {GAP('v2')} <= 1e-9 GROUP BY 1),
   r AS (SELECT count(*) AS real FROM lft JOIN rgt ON lft.o = rgt.o WHERE {GAP('v1')} <= 1e-9 AND {GAP('v2')} <= 1e-9)
-  SELECT real, count(*) FILTER (WHERE edges >= real) AS exceed, round((count(*) FILTER (WHERE edges >= real) + 1) / 4.0, 9)::DOUBLE AS p_bound FROM e, r GROUP BY real""")
+  SELECT real, count(*) FILTER (WHERE edges >= real) AS exceed, round((count(*) FILTER (WHERE edges >= real) + 1) / {PERMUTATIONS + 1}.0, 9)::DOUBLE AS p_bound FROM e, r GROUP BY real""")
 def null_exceedance(spark, sf):
     real = edges(spark, sf).agg(F.count("*").alias("real"))
     # The draw joins like a second outcome.
     both = lambda d: d.withColumn("o", F.col("o") * 1000 + F.col("draw"))
-    lhs = left(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    drawn = L.edges(L.pairs(both(lhs).withColumn("i", F.col("i") * 10 + F.col("draw")).drop("draw"), both(shuffled(spark, sf, 3)).drop("draw"), VARS, "o", L.EPS, 500.0), VARS)
-    per = drawn.groupBy((F.col("i") % 10).alias("draw")).agg(F.count("*").alias("edges"))
-    return per.crossJoin(real).groupBy("real").agg(F.count_if(F.col("edges") >= F.col("real")).alias("exceed"), F.round((F.count_if(F.col("edges") >= F.col("real")) + 1) / F.lit(4.0), 9).alias("p_bound"))
+    lhs = left(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))))
+    drawn = L.edges(L.pairs(both(lhs).withColumn("i", F.col("i") * 1000 + F.col("draw")).drop("draw"), both(shuffled(spark, sf, PERMUTATIONS)).drop("draw"), VARS, "o", L.EPS, 500.0), VARS)
+    per = drawn.groupBy((F.col("i") % 1000).alias("draw")).agg(F.count("*").alias("edges"))
+    return per.crossJoin(real).groupBy("real").agg(F.count_if(F.col("edges") >= F.col("real")).alias("exceed"), F.round((F.count_if(F.col("edges") >= F.col("real")) + 1) / F.lit(PERMUTATIONS + 1.0), 9).alias("p_bound"))
 
 
 def matching_size(spark, sf):
@@ -243,13 +246,13 @@ def containment_check(spark, sf):
 @plan("copula_null")
 def copula_null(spark, sf):
     r = right(spark, sf).withColumn("o", F.col("o").cast("long"))
-    return L.copula_draws(r, "o", VARS, 3).groupBy("draw").agg(F.count("*").alias("n"), F.round(F.corr("v1", "v2"), 6).alias("corr"), F.median("v1").alias("median_v1"))
+    return L.copula_draws(r, "o", VARS, COPULA_DRAWS).groupBy("draw").agg(F.count("*").alias("n"), F.round(F.corr("v1", "v2"), 6).alias("corr"), F.median("v1").alias("median_v1"))
 
 
 @plan("copula_diagnostics")
 def copula_diagnostics(spark, sf):
     r = right(spark, sf).withColumn("o", F.col("o").cast("long"))
     real = r.agg(F.median("v1").alias("real_median"), F.stddev_samp("v1").alias("real_sd"))
-    null = L.copula_draws(r, "o", VARS, 3)
+    null = L.copula_draws(r, "o", VARS, COPULA_DRAWS)
     outside = null.join(r.select("v1").distinct(), "v1", "left_anti").where("v1 IS NOT NULL").agg(F.count("*").alias("off_support"))
     return null.agg(F.median("v1").alias("null_median"), F.stddev_samp("v1").alias("null_sd")).crossJoin(real).crossJoin(outside)

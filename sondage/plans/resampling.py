@@ -13,7 +13,7 @@ from sondage.plans.evaluation import auc_sql
 from sondage.plans.views import CELL, POOL, RAW, pooled, preds, raw
 from sondage.session import table
 
-C, DRAWS = "config, model", 16
+C, DRAWS, CHECKPOINTS = "config, model", 2000, [100, 200, 500, 1000]
 UD = "CAST('0x' || substr(md5('boot:' || draw || ':' || sample), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 BOOT = f"""{POOL}, src AS (SELECT * FROM pooled),
   num AS (SELECT *, row_number() OVER (PARTITION BY {C}, y ORDER BY md5('boot:' || sample), sample) - 1 AS slot, count(*) OVER (PARTITION BY {C}, y) AS size FROM src),
@@ -42,10 +42,10 @@ def bootstrap_ci(spark, sf):
     return rnd(S.interval_of(S.bootstrap_auc(source(spark, sf), CELL, "sample", DRAWS), CELL, "auc"), "lo", "hi", "se")
 
 
-@plan("bootstrap_checkpoints", f"WITH {BOOT} SELECT {C}, n, round(quantile_cont(auc, 0.025), 9) AS lo, round(quantile_cont(auc, 0.975), 9) AS hi FROM bts JOIN (SELECT unnest([4, 8, 16]) AS n) c ON draw < n GROUP BY {C}, n")
+@plan("bootstrap_checkpoints", f"WITH {BOOT} SELECT {C}, n, round(quantile_cont(auc, 0.025), 9) AS lo, round(quantile_cont(auc, 0.975), 9) AS hi FROM bts JOIN (SELECT unnest({CHECKPOINTS}) AS n) c ON draw < n GROUP BY {C}, n")
 def bootstrap_checkpoints(spark, sf):
     draws = S.bootstrap_auc(source(spark, sf), CELL, "sample", DRAWS)
-    at = draws.withColumn("n", F.explode(F.array(F.lit(4), F.lit(8), F.lit(16)))).where("draw < n")
+    at = draws.withColumn("n", F.explode(F.array(*map(F.lit, CHECKPOINTS)))).where("draw < n")
     return rnd(S.interval_of(at, [*CELL, "n"], "auc").select(*CELL, "n", "lo", "hi"), "lo", "hi")
 
 

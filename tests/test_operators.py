@@ -269,6 +269,18 @@ def test_lift_interval_is_around_the_lift(spark, small):
         assert r.n_draws == 50 and r.lo < lift[r.m] < r.hi
 
 
+def test_resampling_has_all_its_draws(spark, small):
+    from sondage.plans import PLANS, linking, modelling, resampling
+
+    assert resampling.DRAWS == 2000 and resampling.CHECKPOINTS == [100, 200, 500, 1000] and linking.PERMUTATIONS == 200
+    assert PLANS["copula_null"](spark, small).count() == 200
+    assert PLANS["procedure_bootstrap"](spark, small).first().draws == 200
+    curve = PLANS["saturation_curve"](spark, small).collect()
+    assert sorted(r.percent for r in curve) == [10, 20, 30, 40, 55, 70, 85, 100] and max(r.n for r in curve) == 5 * modelling.SATURATION_REPEATS
+    found = PLANS["null_exceedance"](spark, small).first()
+    assert found.p_bound == round((found.exceed + 1) / 201, 9)
+
+
 def test_checksum_gate(spark, tmp_path):
     import hashlib
 
