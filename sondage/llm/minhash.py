@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
 
     Documents whose weighted shingles have a probability Jaccard similarity, or
     whose shingles a Jaccard similarity, of the threshold at least are linked; class_id is the smallest doc_id that a
-    document reaches by links, and kept marks the document that has it.
+    document reaches by links, and kept marks the document that has it
+    (of several texts with that doc_id the one whose node key is smallest).
 
     1. Equal texts become one node (h1 and h2 hash the text), and each node's
        ProbMinHash registers give its band keys: those of the weighted shingles
@@ -300,9 +301,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     more = materialise(more, "more")
 
     roots = components(links.unionByName(more))
-    named = nodes.join(roots, "node", "left").select("h1", "h2", node_number("node").alias("first"), F.coalesce(node_number("root"), node_number("node")).alias("class_id"))
-    classes = materialise(named, "classes").select("h1", "h2", "class_id", "first")
-    known = plain.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "h1", "h2")
+    named = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce(node_number("root"), node_number("node")).alias("class_id"), (F.coalesce("root", "node") == F.col("node")).alias("top"))
+    classes = materialise(named, "classes").select("h1", "h2", "class_id", "top")
+    known = plain.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", (F.col("top") & (F.col("doc_id") == F.col("class_id"))).alias("kept"), "h1", "h2")
     alone = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NULL OR text IS NULL")
     alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     return known.unionByName(alone)

@@ -188,6 +188,14 @@ def test_near_duplicates_whose_lines_repeat_differently(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == wanted
 
 
+def test_one_of_several_texts_with_the_smallest_id_is_kept(spark):
+    text = prose(31, 100)
+    df = spark.createDataFrame([(1, text), (1, text + " more"), (1, text + " other"), (2, text + " third"), (3, prose(32, 100))], "doc_id long, text string")
+    rows = minhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.class_id) for r in rows) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
+    assert sorted(r.doc_id for r in rows if r.kept) == [1, 3] == sorted(r.doc_id for r in minhash.keep_one(df).collect())
+
+
 def test_registers_estimate_both_similarities():
     r = np.random.Generator(np.random.PCG64(5))
     items = r.integers(0, 2**63, 100, dtype=np.uint64)
