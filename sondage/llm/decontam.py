@@ -192,7 +192,10 @@ def _union(parts: pd.Series) -> pd.DataFrame:
     named = lambda pairs: [{"first": a, "last": b} for a, b in pairs]
     for results in parts:
         spans = _merged([(s["first"], s["last"]) for r in results for s in r["spans"]])
-        cuts = _merged([(s["first"], s["last"]) for r in results for s in r["cuts"]])
+        # From the first byte to the last of the runs that a merged run unites, so that side by side they lose what is between them.
+        begin = {s["first"]: c["first"] for r in results for s, c in zip(r["spans"], r["cuts"])}
+        end = {s["last"]: c["last"] for r in results for s, c in zip(r["spans"], r["cuts"])}
+        cuts = [(begin[a], end[b]) for a, b in spans]
         out.append((max(r["n_words"] for r in results), named(spans), named(cuts), sorted({i for r in results for i in r["items"]})))
     return pd.DataFrame(out, columns=["n_words", "spans", "cuts", "items"])
 

@@ -490,6 +490,15 @@ def test_decontamination_against_brute_force(spark, block_words):
     assert [got[i] for i in range(len(docs))] == brute_hits(docs, items, 5)
 
 
+@pytest.mark.parametrize("block_words", [250_000, 8])
+def test_passages_side_by_side_are_one_cut(spark, block_words):
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(6)]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    docs = [(k, prose(k, 60) + " | " + " -- ".join(passages[k % 6 : k % 6 + 2]) + " | " + prose(k + 50, 60)) for k in range(5)]
+    got = {r.doc_id: r.text for r in decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items, block_words=block_words).collect()}
+    assert got == {k: prose(k, 60) + " |  | " + prose(k + 50, 60) for k in range(5)}
+
+
 @pytest.mark.parametrize("block_words", [250_000, 8])
 def test_decontamination_cuts(spark, block_words):
     item = "one two three four five six seven eight nine ten"
