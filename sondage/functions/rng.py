@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 MODULUS = 2147483647
@@ -30,3 +33,37 @@ def dataset_seed(*parts) -> Column:
 def fold_seed(base: Column, repeat: Column, fold: Column, salt: Column) -> Column:
     one = lambda c: c.cast("long")
     return F.pmod(one(base) * 1000003 + one(repeat) * 10007 + one(fold) * 101 + one(salt), F.lit(MODULUS).cast("long"))
+
+
+# Streams in numpy, for draws that never become rows --------------------------------
+
+#: Odd multipliers of 32 bits: the step of the stream and two of a bijective mix.
+STEP, FIRST, SECOND, WORD = 0x9E3779B9, 0x7FEB352D, 0x846CA68B, 0xFFFFFFFF
+
+
+def seeds(parts: list[str]) -> np.ndarray:
+    """The first 64 bits of the md5 of each text."""
+    return np.array([int(hashlib.md5(p.encode()).hexdigest()[:16], 16) for p in parts], np.uint64)
+
+
+def positions(seed: int, draws: int, size: int) -> np.ndarray:
+    """Draws from range(size) with replacement, for a size well under 2**32."""
+    seed, word, shift = int(seed), np.uint64(WORD), lambda x, n: x ^ (x >> np.uint64(n))
+    x = np.uint64(seed >> 32) + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(STEP) & word
+    x = shift(x, 16) * np.uint64(FIRST) & word
+    x = shift(x ^ np.uint64(seed & WORD), 15) * np.uint64(SECOND) & word
+    return (shift(x, 16) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+
+
+def seed_sql(text: str) -> str:
+    """The two halves of seeds() of a text, as columns _s1 and _s2 of a DuckDB query."""
+    return ", ".join(f"CAST('0x' || substr(md5({text}), {at}, 8) AS UBIGINT) AS _s{k}" for k, at in ((1, 1), (2, 9)))
+
+
+def positions_sql(rows: str, columns: str, j: str, size: str, name: str) -> str:
+    """A DuckDB query for columns of rows and, as name, the (j + 1)-th draw of positions() with the seed _s1, _s2."""
+    shift = lambda n: f"xor(_x, _x >> {n}::UBIGINT)"
+    out = f"SELECT {columns}, {size}::UBIGINT AS _size, _s2, (_s1 + ({j} + 1)::UBIGINT * {STEP}::UBIGINT) & {WORD}::UBIGINT AS _x FROM {rows}"
+    for step in (shift(16), f"_x * {FIRST}::UBIGINT & {WORD}::UBIGINT", "xor(_x, _s2)", shift(15), f"_x * {SECOND}::UBIGINT & {WORD}::UBIGINT", shift(16)):
+        out = f"SELECT {columns}, _size, _s2, {step} AS _x FROM ({out})"
+    return f"SELECT {columns}, CAST(_x * _size >> 32::UBIGINT AS BIGINT) AS {name} FROM ({out})"

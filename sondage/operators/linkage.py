@@ -8,34 +8,60 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sondage.functions import rng
+from sondage.functions.normal import norm_cdf, norm_ppf
+from sondage.operators.ranks import by_edges, quantiles, running
+from sondage.operators.resample import midranks
 from sondage.session import ship
 
 EPS = 1e-9
 INF = float("inf")
 
 
+#: Into how many parts the rows without a value of the first variable are dealt.
+SALTS = 16
+
+
 def pairs(intervals: DataFrame, values: DataFrame, variables: list[str], outcome: str | None, slack: float, width: float) -> DataFrame:
     """(i, j, <var>_gap...) of pairs whose first variable fits within slack; a gap is by how much a value misses its interval.
 
     intervals has i, outcome and <var>_lo, <var>_hi; values has j, outcome and
-    <var>. An equi-join on the outcome and on buckets of the first variable
-    takes the place of a nested loop: an interval is sent to every bucket that
-    it covers between the values' extremes; a missing value meets all.
+    <var>. An equi-join takes the place of a nested loop: a value is in one
+    bucket of `width`, of twice that width, four times and so on, and an interval
+    is cut into at most two buckets of each size that together cover it. So open
+    intervals and outliers cost no more than the logarithm of the values' range.
+    A missing value meets all intervals of its outcome, in SALTS parts.
     """
     first = variables[0]
-    ends = values.agg(F.min(first).alias("_min"), F.max(first).alias("_max"))
-    bucket = lambda c: F.floor(c / F.lit(width))
-    low, high = F.greatest(F.col(f"{first}_lo") - slack, F.col("_min")), F.least(F.col(f"{first}_hi") + slack, F.col("_max"))
-    covered = F.when(low <= high, F.concat(F.sequence(bucket(low), bucket(high)), F.array(F.lit(None).cast("long"))))
-    left = intervals.crossJoin(ends).withColumn("_b", F.explode(F.coalesce(covered, F.array(F.lit(None).cast("long"))))).drop("_min", "_max")
-    right = values.withColumn("_b", bucket(F.col(first)))
-    on = left["_b"].eqNullSafe(right["_b"])
+    ends = values.agg(F.min(first).alias("low"), F.max(first).alias("high")).first()
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+    node = lambda level, n: F.struct(F.lit(level).alias("level"), n.alias("n"))
+    covered, held = [], []
+    low, high = F.col(f"{first}_lo") - slack, F.col(f"{first}_hi") + slack
+    if ends.low is not None:
+        a, b = bucket(F.greatest(low, F.lit(ends.low))), bucket(F.least(high, F.lit(ends.high)))
+        from_ = lambda k: -F.shiftright(-a, k)
+        to = lambda k: F.shiftright(b + 1, k) - 1
+        span = int(ends.high // width) - int(ends.low // width) + 1
+        for k in range(span.bit_length() + 1):
+            # Whole buckets of this size within the interval whose own double is not.
+            whole = lambda n: (from_(k) <= to(k)) & ((F.shiftright(n, 1) < from_(k + 1)) | (F.shiftright(n, 1) > to(k + 1)))  # noqa: B023, E731
+            covered += [F.when(whole(from_(k)), node(k, from_(k))), F.when(whole(to(k)) & (to(k) != from_(k)), node(k, to(k)))]
+            held.append(node(k, F.shiftright(bucket(F.col(first)), k)))
+    missing = [node(-1, F.lit(s).cast("long")) for s in range(SALTS)]
+    fits = F.when((low <= F.lit(ends.high)) & (high >= F.lit(ends.low)), F.array_compact(F.array(*covered))) if covered else None
+    nodes = F.concat(F.coalesce(fits, F.array().cast("array<struct<level:int,n:long>>")), F.array(*missing)) if covered else F.array(*missing)
+    left = intervals.withColumn("_b", F.explode(nodes))
+    none = F.array(node(-1, F.pmod(F.xxhash64("j"), F.lit(SALTS))))
+    right = values.withColumn("_v", F.explode(F.when(F.col(first).isNull(), none).otherwise(F.array(*held)) if held else none))
+    on = left["_b"] == right["_v"]
     if outcome:
         right = right.withColumnRenamed(outcome, "_o")
-        on = left["_b"].eqNullSafe(right["_b"]) & (left[outcome] == right["_o"])
+        on = (left["_b"] == right["_v"]) & (left[outcome] == right["_o"])
     both = left.join(right, on)
     gap = lambda v: F.when(F.col(v).isNull(), 0.0).otherwise(F.greatest(F.col(f"{v}_lo") - F.col(v), F.col(v) - F.col(f"{v}_hi"), F.lit(0.0)))
-    return both.select("i", "j", *[gap(v).alias(f"{v}_gap") for v in variables])
+    near = both.where(F.col(first).isNull() | ((F.col(first) >= low) & (F.col(first) <= high)))
+    return near.select("i", "j", *[gap(v).alias(f"{v}_gap") for v in variables])
 
 
 def edges(gaps: DataFrame, variables: list[str], eps: float = EPS) -> DataFrame:
@@ -134,43 +160,63 @@ def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([one(*map(int, t)) for t in zip(a, b, c, d)], dtype=float)
 
 
-def copula_draws(values: DataFrame, stratum: str, variables: list[str], draws: int, seed: int = 1) -> DataFrame:
-    """(draw, stratum, variables): values drawn from a Gaussian copula of each stratum, marginals and gaps kept.
+def copula_draws(values: DataFrame, stratum: str, variables: list[str], draws: int, key: str = "j", seed: str = "copula") -> DataFrame:
+    """(draw, key, stratum, variables): rows drawn from a Gaussian copula of each stratum, marginals and gaps kept.
 
-    A stratum is held in one task for each draw; strata are outcome classes of a
-    release, which is a small table by its nature.
+    1. A value's average rank within its stratum gives its normal score; a gap
+       scores 0. The scores' correlations are plain aggregates.
+    2. A row of a draw mixes independent normal numbers, which are hashes of
+       (draw, key, number), by the triangular root of its stratum's correlations.
+    3. Its share below each mixed number says which of the stratum's sorted
+       values it takes, the nearest, by a join on the value's place. Where the
+       row has a gap the draw has one.
     """
-    spark = values.sparkSession
-    ship(spark)
-    from statistics import NormalDist
-
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        draw, s = int(key[0]), key[1]
-        x, normal = part[variables].to_numpy(float), NormalDist()
-        r = np.random.Generator(np.random.PCG64([seed, draw, int(s)]))
-        scores = np.zeros_like(x)
-        for k in range(x.shape[1]):
-            ok = np.isfinite(x[:, k])
-            order = x[ok, k].argsort().argsort() + 1
-            scores[ok, k] = [normal.inv_cdf(q / (ok.sum() + 1)) for q in order]
-        corr = np.nan_to_num(np.atleast_2d(np.corrcoef(scores, rowvar=False)))
-        np.fill_diagonal(corr, 1)
+    ship(values.sparkSession)
+    rows, places = values.select(key, stratum, *variables), {}
+    for v in variables:
+        some = rows.where(F.col(v).isNotNull()).select(key, stratum, v)
+        n = some.groupBy(stratum).agg(F.count("*").alias(f"_n_{v}"))
+        scored = midranks(some, [stratum], v, "_r").join(n, stratum)
+        rows = rows.join(scored.select(key, norm_ppf(F.col("_r") / (F.col(f"_n_{v}") + 1)).alias(f"_z_{v}")), key, "left").join(n, stratum, "left")
+        sorted_, bucket = by_edges(some, [stratum], v)
+        places[v] = running(sorted_, [stratum], bucket, [v, key], {"_at": F.lit(1)}).select(F.col(stratum).alias("_s"), (F.col("_at") - 1).alias("_at"), F.col(v).alias("_value"))
+    scores = [F.coalesce(F.col(f"_z_{v}"), F.lit(0.0)) for v in variables]
+    number = range(len(variables))
+    corr = [F.coalesce(F.corr(scores[a], scores[b]), F.lit(0.0)).alias(f"c{a}_{b}") for a in number for b in range(a)]
+    tables = rows.groupBy(stratum).agg(F.count("*").alias("_n"), *corr)
+
+    def root(key_: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        c = np.eye(len(variables))
+        for a in number:
+            for b in range(a):
+                c[a, b] = c[b, a] = np.nan_to_num(part[f"c{a}_{b}"].iloc[0])
         try:
-            root = np.linalg.cholesky(corr + 1e-6 * np.eye(len(variables)))
-        except np.linalg.LinAlgError:
-            root = np.eye(len(variables))
-        z = r.standard_normal(x.shape) @ root.T
-        out = x.copy()
-        for k in range(x.shape[1]):
-            ok = np.isfinite(x[:, k])
-            if ok.sum() >= 3:
-                q = np.array([normal.cdf(v) for v in z[ok, k]])
-                out[ok, k] = np.quantile(x[ok, k], q, method="nearest")
-        return pd.DataFrame({"draw": draw, stratum: s, **{v: out[:, k] for k, v in enumerate(variables)}})
-
-    many = values.select(stratum, *variables).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    schema = f"draw long, {stratum} long, " + ", ".join(f"{v} double" for v in variables)
-    return many.groupBy("draw", stratum).applyInPandas(one, schema)
+            c = np.linalg.cholesky(c + 1e-6 * np.eye(len(c)))
+        except np.linalg.LinAlgError:  # scores that do not go together: independent draws
+            c = np.eye(len(c))
+        return pd.DataFrame({stratum: [key_[0]], "_root": [c.ravel().tolist()]})
+
+    kind = dict(values.dtypes)[stratum]
+    roots = tables.groupBy(stratum).applyInPandas(root, f"{stratum} {kind}, _root array<double>")  # one row per stratum
+    out = rows.join(roots, stratum).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    free = [norm_ppf((rng.uniform(seed, F.col("draw"), F.col(key), k) * 4294967296.0 + 0.5) / 4294967296.0).alias(f"_e{k}") for k in number]
+    out = out.select(key, stratum, "draw", "_root", *[F.col(v).alias(f"_old_{v}") for v in variables], *[f"_n_{v}" for v in variables], *free)
+    for k, v in enumerate(variables):
+        mixed = sum((F.col("_root")[k * len(variables) + m] * F.col(f"_e{m}") for m in range(1, k + 1)), F.col("_root")[k * len(variables)] * F.col("_e0"))
+        share = F.when(F.col(f"_old_{v}").isNotNull(), F.rint(norm_cdf(mixed) * (F.col(f"_n_{v}") - 1)).cast("long"))
+        out = out.withColumn("_place", share).join(places[v], (F.col(stratum) == F.col("_s")) & (F.col("_place") == F.col("_at")), "left")
+        out = out.withColumnRenamed("_value", v).drop("_s", "_at", "_place")
+    return out.select("draw", key, stratum, *variables)
+
+
+def edge_forensics(edges_: DataFrame, values: DataFrame, variable: str, eps: float = EPS) -> DataFrame:
+    """(edge, seen, to_decile) of distinct edges: whether a value lies within eps, and how far the nearest decile is."""
+    near = edges_.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(F.col("edge") - eps), F.floor(F.col("edge") + eps)))))
+    held = values.where(F.col(variable).isNotNull()).select(F.col(variable).alias("_v"), F.floor(variable).alias("_b"))
+    hit = near.join(held, "_b").where(F.abs(F.col("_v") - F.col("edge")) <= eps).select("edge").distinct().withColumn("seen", F.lit(True))
+    deciles = quantiles(values, [], variable, [k / 10 for k in range(1, 10)], "_q")  # one row
+    far = F.round(F.array_min(F.transform("_q", lambda q: F.abs(q - F.col("edge")))), 6)
+    return edges_.join(hit, "edge", "left").crossJoin(deciles).select("edge", F.coalesce("seen", F.lit(False)).alias("seen"), far.alias("to_decile"))
 
 
 def majority(counts: DataFrame, key: str, label: str) -> DataFrame:

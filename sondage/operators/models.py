@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sondage.session import ship
+from sondage.sources.files import written
 
 
 @dataclass(frozen=True)
@@ -18,6 +19,7 @@ class Settings:
     outer: int = 5
     inner: int = 4
     target_sensitivity: float = 0.90
+    ensemble: bool = False
 
 
 def auc(y: np.ndarray, p: np.ndarray) -> float:
@@ -280,43 +282,75 @@ def reach(y: np.ndarray, p: np.ndarray, target: float) -> float:
 def nested_cv(data: DataFrame, features: list[str], tasks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Prediction table of a task grid (model, calibration, repeat) over data (sample, y, repeat, fold, features).
 
-    Each (task, outer fold) is one group: parameters by the mean inner AUC,
-    inner predictions for the threshold and the calibrator, then the refitted
-    model on the test rows. All that is learned comes from the training rows.
+    Each (task, outer fold, parameter set) is one group that gives its mean
+    inner AUC; then each (task, outer fold) with its best set is one: inner
+    predictions for the threshold and the calibrator, then the refitted model on
+    the test rows, or with settings.ensemble the mean of the inner models, each
+    with a calibrator of its own. All that is learned comes from training rows;
+    a model without a choice of parameters has no inner score.
     Groups are as large as a training set, which a single-machine trainer must
     hold; larger ones belong to pyspark.ml.
     """
     ship(data.sparkSession)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def sides(part: pd.DataFrame):
         model, kind, fold = part["model"].iloc[0], part["calibration"].iloc[0], int(part["k"].iloc[0])
         part = part.sort_values("sample")
         train, test = part[part["fold"] != fold], part[part["fold"] == fold]
-        make, grid = MODELS[model]
         x, y = train[features].to_numpy(float), train["y"].to_numpy(float)
         inner = (np.arange(len(y)) % settings.inner)[np.argsort(np.argsort(y, kind="stable"), kind="stable")]
-
-        def out_of_fold(options):
-            p = np.zeros(len(y))
+        return model, kind, fold, test, x, y, inner
+
+    def out_of_fold(model: str, options: dict, x, y, inner):
+        p = np.zeros(len(y))
+        for i in range(settings.inner):
+            a, b = inner != i, inner == i
+            scale = Scale(x[a])
+            p[b] = MODELS[model][0](scale(x[a]), y[a], **options)(scale(x[b]))
+        return p
+
+    def try_out(part: pd.DataFrame) -> pd.DataFrame:
+        """The mean inner AUC of one parameter set."""
+        model, kind, fold, _, x, y, inner = sides(part)
+        option = int(part["option"].iloc[0])
+        p = out_of_fold(model, MODELS[model][1][option], x, y, inner)
+        each = [auc(y[inner == i], p[inner == i]) for i in range(settings.inner)]
+        score = float(np.mean(finite)) if (finite := [v for v in each if v == v]) else 0.0
+        return pd.DataFrame({"model": [model], "calibration": [kind], "repeat": [part["repeat"].iloc[0]], "k": [fold], "option": [option], "score": [score]})
+
+    def refit(part: pd.DataFrame) -> pd.DataFrame:
+        model, kind, fold, test, x, y, inner = sides(part)
+        make, options = MODELS[model][0], MODELS[model][1][int(part["option"].iloc[0])]
+        p, scale, rest = out_of_fold(model, options, x, y, inner), Scale(x), test[features].to_numpy(float)
+        calibrate = calibrator(kind, p, y)
+        if settings.ensemble and kind != "none":
+            # A calibrator for each inner split, on the rows that its model has not seen; their mean predicts.
+            each = []
             for i in range(settings.inner):
                 a, b = inner != i, inner == i
-                scale = Scale(x[a])
-                p[b] = make(scale(x[a]), y[a], **options)(scale(x[b]))
-            return p
-
-        scored = [(np.nan_to_num(np.nanmean([auc(y[inner == i], p[inner == i]) for i in range(settings.inner)])), -k, p, o) for k, o in enumerate(grid) for p in [out_of_fold(o)]]
-        score, _, p, options = max(scored, key=lambda s: s[:2])
-        scale, calibrate = Scale(x), calibrator(kind, p, y)
-        predicted = calibrate(make(scale(x), y, **options)(scale(test[features].to_numpy(float))))
+                own = Scale(x[a])
+                fitted = make(own(x[a]), y[a], **options)
+                each.append(calibrator(kind, fitted(own(x[b])), y[b])(fitted(own(rest))))
+            predicted = np.mean(each, axis=0)
+        else:
+            predicted = calibrate(make(scale(x), y, **options)(scale(rest)))
         return pd.DataFrame({
             "model": model, "calibration": kind, "repeat": part["repeat"].iloc[0], "fold": fold, "sample": test["sample"].to_numpy(), "y": test["y"].to_numpy(),
-            "p": predicted, "cut": reach(y, calibrate(p), settings.target_sensitivity), "inner_score": float(score), "params": str(options),
+            "p": predicted, "cut": reach(y, calibrate(p), settings.target_sensitivity), "inner_score": float(part["score"].iloc[0]), "params": str(options),
         })
 
+    names = ["model", "calibration", "repeat", "k"]
     grid = tasks.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(settings.outer - 1))))
-    rows = data.join(F.broadcast(grid), "repeat")  # a task grid of some dozens of rows
+    count = F.create_map(*[x for m, (_, g) in MODELS.items() for x in (F.lit(m), F.lit(len(g)))])[F.col("model")]
+    tried = grid.withColumn("option", F.explode(F.sequence(F.lit(0), count - 1)))
+    rows = lambda of: data.join(F.broadcast(of), "repeat")  # noqa: E731  # a task grid of some dozens or hundreds of rows
+    kinds = "model string, calibration string, repeat int, k int, option int, score double"
+    scores = written(rows(tried.where(count > 1)).groupBy(*names, "option").applyInPandas(try_out, kinds), "scores")
+    best = scores.groupBy(*names).agg(F.max(F.struct("score", (-F.col("option")).alias("_o"))).alias("top"))
+    best = best.select(*names, (-F.col("top._o")).alias("option"), F.col("top.score").alias("score"))
+    only = grid.where(count == 1).select(*names, F.lit(0).alias("option"), F.lit(None).cast("double").alias("score"))
     schema = "model string, calibration string, repeat int, fold int, sample long, y int, p double, cut double, inner_score double, params string"
-    return rows.groupBy("model", "calibration", "repeat", "k").applyInPandas(run, schema)
+    return rows(best.unionByName(only)).groupBy(*names).applyInPandas(refit, schema)
 
 
 def permutation_importance(data: DataFrame, features: list[str], shuffles: int = 5) -> DataFrame:

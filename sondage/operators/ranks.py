@@ -40,3 +40,37 @@ def numbered(df: DataFrame, keys: list[str], hashed: str, name: str, ties: list[
     """df with the 0-based rank of each row in the order of a hexadecimal hash, then of ties."""
     out = running(df, keys, F.substring(hashed, 1, 3), [hashed, *ties], {name: F.lit(1)})
     return out.withColumn(name, F.col(name) - 1)
+
+
+def by_edges(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> tuple[DataFrame, Column]:
+    """df with a column _edges, and the bucket of value between these edges.
+
+    The edges are approximate quantiles of each group, so buckets stay alike
+    whatever the range: one outlier does not put all others into one bucket. A
+    null is in the bucket below all others.
+    """
+    cuts = df.groupBy(*keys).agg(F.approx_percentile(value, [i / buckets for i in range(1, buckets)], 2000).alias("_edges"))
+    rows = df.join(cuts.select(*[F.col(k).alias(f"_at{i}") for i, k in enumerate(keys)], "_edges"), reduce(and_, [F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(keys)], F.lit(True)))
+    bucket = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.coalesce("_edges", F.array()), lambda e: e <= F.col(value))))
+    return rows.drop(*[f"_at{i}" for i in range(len(keys))]), bucket
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], name: str) -> DataFrame:
+    """(keys, name): exact quantiles of each group's values, interpolated between neighbours, as an array.
+
+    From counts of the distinct values and running sums over them, so no group's
+    values meet in one task. Nulls do not count; a group without values has no row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    rows, bucket = by_edges(counts, keys, value)
+    rows = running(rows, keys, bucket, [value], {"_upto": F.col("_n")}, totals={"_upto": "_all"}).drop("_edges")
+    # Of the 0-based places of the two neighbours of each quantile.
+    place = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
+    holds = lambda at: (F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto"))
+    parts = []
+    for i, q in enumerate(probabilities):
+        parts += [F.max(F.when(holds(F.floor(place(q))), F.col(value))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(place(q))), F.col(value))).alias(f"_hi{i}")]
+    found = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), *parts)
+    share = lambda q: place(q) - F.floor(place(q))
+    each = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share(q) for i, q in enumerate(probabilities)]
+    return found.select(*keys, F.array(*each).alias(name))

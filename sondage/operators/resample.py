@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondage.functions import rng
 from sondage.operators import metrics as M
-from sondage.operators.ranks import numbered, running
+from sondage.operators.ranks import by_edges, numbered, running
 
 
 def midranks(df: DataFrame, keys: list[str], value: str, name: str, descending: bool = False) -> DataFrame:
-    """df with ranks from 1, ties averaged, from counts of the distinct values."""
+    """df with ranks from 1, ties averaged, from counts of the distinct values. Nulls rank last and tie with each other."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    rows = counts.join(span, keys) if keys else counts.crossJoin(span)
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
-    bucket = F.coalesce(F.floor((F.col(value) - F.col("_lo")) / width * 64), F.lit(0).cast("long"))
-    order = F.col(value).desc() if descending else F.col(value)
+    rows, bucket = by_edges(counts, keys, value)
+    if not descending:
+        bucket = F.when(F.col(value).isNull(), 1 << 30).otherwise(bucket)
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     ranked = running(rows, keys, bucket, [order], {"_c": F.col("_n")}, descending)
-    out = ranked.select(*keys, value, (F.col("_c") - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
-    return df.join(out, [*keys, value])
+    names = [*keys, value]
+    out = ranked.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(names)], (F.col("_c") - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(names)])
+    return df.join(out, on).drop(*[f"_of{i}" for i in range(len(names))])
 
 
 def bootstrap_weights(df: DataFrame, keys: list[str], sample: str, draws: int, seed: str = "boot") -> DataFrame:
     """(keys, y, draw, slot, w): how often each numbered row is drawn, positives and negatives to their own numbers.
 
-    Row k of a class is also slot k of every draw and takes the row that a hash
-    of (draw, sample) points at; only the counts go on.
+    For statistics that need several columns of a row: the rows times the draws
+    are shuffled once. Metrics of one score are in operators.bootstrap.
     """
     order = numbered(df.withColumn("_h", rng.hashed(seed, F.col(sample))), [*keys, "y"], "_h", "slot", [sample])
     size = df.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("_size"))
@@ -36,11 +40,6 @@ def bootstrap_weights(df: DataFrame, keys: list[str], sample: str, draws: int, s
     return order.drop("_h").join(drawn, [*keys, "y", "slot"])
 
 
-def bootstrap_auc(df: DataFrame, keys: list[str], sample: str, draws: int) -> DataFrame:
-    """(keys, draw, auc)."""
-    return M.roc_auc(bootstrap_weights(df, keys, sample, draws), [*keys, "draw"], F.col("w").cast("double"))
-
-
 def interval_of(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Percentile interval, standard error and number of finite draws."""
     return draws.groupBy(*keys).agg(F.percentile(value, 0.025).alias("lo"), F.percentile(value, 0.975).alias("hi"), F.stddev_samp(value).alias("se"), F.count(value).alias("n_draws"))
@@ -67,9 +66,8 @@ def single_predictors(long: DataFrame, keys: list[str] | None = None) -> DataFra
     keys = [*(keys or []), "feature"]
     some = long.where("x IS NOT NULL")
     usable = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n >= 10 AND lo < hi")
-    # Scores in [0, 1), in the features' order.
-    scaled = some.join(usable, keys).withColumn("p", (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return M.roc_auc(scaled, keys).join(usable.select(*keys, "n"), keys)
+    auc = M.roc_auc(some.withColumn("p", F.col("x")), keys, any_range=True)
+    return auc.join(usable.select(*keys, "n"), keys)
 
 
 def kendalls_w(ranks: DataFrame, item: str, judge: str, rank: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from sondage.functions import rng
 from sondage.operators import metrics as M
+from sondage.operators.ranks import quantiles
 from sondage.plans import plan
 from sondage.plans.views import CELL, FOLDS, POOL, PREDS, RAW, folded, pooled, preds, raw
 
@@ -16,15 +17,17 @@ def rounded(df, *names):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
-RATES = ["sensitivity", "specificity", "precision", "npv", "accuracy", "f1", "balanced_accuracy"]
+RATES = M.RATES
 
 
-def rates_sql(source: str, keys: str, cut: str) -> str:
-    """Confusion counts and rates at p >= cut."""
-    return f"""conf AS (SELECT {keys}, count(*) FILTER (WHERE y = 1 AND p >= {cut}) AS tp, count(*) FILTER (WHERE y = 0 AND p >= {cut}) AS fp,
+def rates_sql(source: str, keys: str, cut: str, name: str = "") -> str:
+    """Confusion counts and rates at p >= cut, as full_rates; with a name, full_<name>, whose columns have it in front."""
+    mark = f"{name}_" if name else ""
+    shown = "*" if not name else f"{keys}, " + ", ".join(f"{c} AS {mark}{c}" for c in ("tp", "fp", "tn", "fn", *RATES))
+    return f"""conf{mark} AS (SELECT {keys}, count(*) FILTER (WHERE y = 1 AND p >= {cut}) AS tp, count(*) FILTER (WHERE y = 0 AND p >= {cut}) AS fp,
       count(*) FILTER (WHERE y = 0 AND p < {cut}) AS tn, count(*) FILTER (WHERE y = 1 AND p < {cut}) AS fn FROM {source} GROUP BY {keys}),
-    rates AS (SELECT *, tp / nullif(tp + fn, 0)::DOUBLE AS sensitivity, tn / nullif(tn + fp, 0)::DOUBLE AS specificity, tp / nullif(tp + fp, 0)::DOUBLE AS precision, tn / nullif(tn + fn, 0)::DOUBLE AS npv, (tp + tn) / (tp + fp + tn + fn)::DOUBLE AS accuracy FROM conf),
-    full_rates AS (SELECT *, CASE WHEN sensitivity + precision > 0 THEN 2 * sensitivity * precision / (sensitivity + precision) ELSE 0.0 END AS f1, CASE WHEN sensitivity IS NULL THEN specificity WHEN specificity IS NULL THEN sensitivity ELSE (sensitivity + specificity) / 2 END AS balanced_accuracy FROM rates)"""
+    rates{mark} AS (SELECT *, tp / nullif(tp + fn, 0)::DOUBLE AS sensitivity, tn / nullif(tn + fp, 0)::DOUBLE AS specificity, tp / nullif(tp + fp, 0)::DOUBLE AS precision, tn / nullif(tn + fn, 0)::DOUBLE AS npv, (tp + tn) / (tp + fp + tn + fn)::DOUBLE AS accuracy FROM conf{mark}),
+    full_{name or "rates"} AS (SELECT {shown} FROM (SELECT *, CASE WHEN sensitivity + precision > 0 THEN 2 * sensitivity * precision / (sensitivity + precision) ELSE 0.0 END AS f1, CASE WHEN sensitivity IS NULL THEN specificity WHEN specificity IS NULL THEN sensitivity ELSE (sensitivity + specificity) / 2 END AS balanced_accuracy FROM rates{mark}))"""
 
 
 def auc_sql(source: str, keys: str, name: str = "aucs") -> str:
@@ -79,14 +82,57 @@ def separates_perfectly(spark, sf):
     return M.separation(raw(spark, sf), CELL)
 
 
-ALL = f"{rates_sql('pooled', C, '0.5')}, {auc_sql('pooled', C)}, {curve_sql('pooled', C)}, {AP(C)}, {BRIER('pooled', C)}, {ECE('pooled', C)}"
-NAMES = [*RATES, "auc", "pr_auc", "brier", "brier_skill", "ece"]
-JOIN = "FROM full_rates JOIN aucs USING (config, model) JOIN ap USING (config, model) JOIN br USING (config, model) JOIN ec USING (config, model)"
+def newton_sql(source: str, keys: str, name: str = "fit") -> str:
+    """Slope and intercept of each group as columns of <name>: 60 scaled Newton steps as recursive queries."""
+    same = f"USING ({keys})"
+    step = lambda x: f"{x} * least(1.0, 10.0 / greatest(abs(da), abs(db), 1e-300))"
+    sums = "sum(pos - n * mu) AS g0, sum((pos - n * mu) * lp) AS g1, sum(n * mu * (1 - mu)) AS h00, sum(n * mu * (1 - mu) * lp) AS h01, sum(n * mu * (1 - mu) * lp * lp) AS h11"
 
+    def walk(of: str, da: str, db: str) -> str:
+        return f"""{of}(k, {keys}, a, b) AS (SELECT 0, {keys}, 0.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT {keys} FROM {name}_x)
+      UNION ALL SELECT k + 1, {keys}, a + {step('da')}, b + {step('db')} FROM (SELECT *, {da} AS da, {db} AS db FROM (SELECT k, {keys}, a, b, {sums}
+        FROM (SELECT {of}.*, lp, pos, n, 1 / (1 + exp(-(a + b * lp))) AS mu FROM {of} JOIN {name}_x {same} WHERE k < 60) GROUP BY k, {keys}, a, b)))"""
 
-@plan("all_metrics", f"WITH {POOL}, {ALL} SELECT config, model, tp, fp, tn, fn, {R(*NAMES)} {JOIN}")
+    return f"""{name}_x AS (SELECT {keys}, ln(p / (1 - p)) AS lp, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM (SELECT {keys}, y, greatest(1e-6, least(1 - 1e-6, p)) AS p FROM {source}) GROUP BY ALL),
+    {walk(f'{name}_s', '(h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01)', '(h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)')}, {walk(f'{name}_i', 'greatest(-10.0, least(10.0, g0 / h00))', '0.0')},
+    {name} AS (SELECT {keys}, s.b AS slope, i.a AS intercept FROM {name}_s s JOIN {name}_i i {same} WHERE s.k = 60 AND i.k = 60)"""
+
+
+def bag_sql(source: str, keys: str, screening: str, bins: int = 10) -> str:
+    """Every metric of each group, as all_metrics names them."""
+    on = f"USING ({keys})"
+    return f"""{rates_sql(source, keys, '0.5')}, {rates_sql(source, keys, screening, 'screening')}, {auc_sql(source, keys)}, {curve_sql(source, keys)}, {AP(keys)}, {BRIER(source, keys)}, {ECE(source, keys, bins)}, {newton_sql(source, keys)},
+    bag AS (SELECT *, tp + fp + tn + fn AS n, tp + fn AS n_positive FROM full_rates JOIN full_screening {on} JOIN aucs {on} JOIN ap {on} JOIN br {on} JOIN ec {on} JOIN fit {on})"""
+
+
+NAMES = ["auc", "pr_auc", "brier", "brier_skill", "ece", *RATES, *[f"screening_{r}" for r in RATES]]
+BAG = "n, n_positive, " + ", ".join(f"{f}{c}" for f in ("", "screening_") for c in M.CELLS) + f", {R(*NAMES)}, round(slope, 6) AS slope, round(intercept, 6) AS intercept"
+
+
+def bag(df, keys, screening, bins=10):
+    """Every metric of each group, at 0.5 and at the group's screening threshold."""
+    out = M.all_metrics(df.withColumn("_t", screening), keys, F.lit(0.5), {"screening": F.col("_t")}, bins)
+    return rounded(out, *NAMES).withColumns({n: F.round(n, 6) for n in ("slope", "intercept")})
+
+
+def mean_cut(df, keys):
+    """df with c, the mean of cut over each group."""
+    return df.join(df.groupBy(*keys).agg(F.round(F.avg("cut"), 9).alias("c")), keys)
+
+
+WITH_CUT = lambda s, k: f"src AS (SELECT *, round(avg(cut) OVER (PARTITION BY {k}), 9) AS c FROM {s})"
+
+
+@plan("all_metrics", f"WITH RECURSIVE {POOL}, {WITH_CUT('pooled', C)}, {bag_sql('src', C, 'c')} SELECT {C}, {BAG} FROM bag")
 def all_metrics(spark, sf):
-    return rounded(M.all_metrics(pooled(preds(spark, sf)), CELL, F.lit(0.5)), *NAMES)
+    return bag(mean_cut(pooled(preds(spark, sf)), CELL), CELL, F.col("c"))
+
+
+@plan("metric_labels")
+def metric_labels(spark, sf):
+    """The headline metrics in their order, with the names that reports use."""
+    rows = [(i, n, M.LABELS[n], n not in M.LOWER_IS_BETTER) for i, n in enumerate(M.HEADLINE)]
+    return spark.createDataFrame(rows, "place int, metric string, label string, higher_is_better boolean")
 
 
 @plan("roc_curve", f"WITH {RAW}, {curve_sql('raw', C)} SELECT config, model, p, round(tp / all_pos, 9) AS tpr, round(fp / all_neg, 9) AS fpr FROM crv")
@@ -137,23 +183,18 @@ def confusion_operating_points(spark, sf):
 REP = "config, model, repeat"
 
 
-@plan("metrics_per_repeat", f"WITH {PREDS}, src AS (SELECT *, round(avg(cut) OVER (PARTITION BY {REP}), 9) AS c FROM preds), {rates_sql('src', REP, 'c')}, {auc_sql('src', REP)}, {BRIER('src', REP)} SELECT {REP}, {R('auc', 'brier', 'sensitivity', 'specificity')} FROM full_rates JOIN aucs USING ({REP}) JOIN br USING ({REP})")
+@plan("metrics_per_repeat", f"WITH RECURSIVE {PREDS}, {WITH_CUT('preds', REP)}, {bag_sql('src', REP, 'c')} SELECT {REP}, {BAG} FROM bag")
 def metrics_per_repeat(spark, sf):
     keys = [*CELL, "repeat"]
-    df = preds(spark, sf)
-    df = df.join(df.groupBy(*keys).agg(F.round(F.avg("cut"), 9).alias("c")), keys)
-    out = M.threshold_metrics(df, keys, F.col("c")).join(M.roc_auc(df, keys), keys).join(M.brier(df, keys), keys)
-    return rounded(out.select(*keys, "auc", "brier", "sensitivity", "specificity"), "auc", "brier", "sensitivity", "specificity")
+    return bag(mean_cut(preds(spark, sf), keys), keys, F.col("c"))
 
 
 FOLD = "config, model, repeat, fold"
 
 
-@plan("metrics_per_fold", f"WITH {PREDS}, {rates_sql('preds', FOLD, 'cut')}, {auc_sql('preds', FOLD)}, {ECE('preds', FOLD, 5)} SELECT {FOLD}, tp, fn, {R('auc', 'ece', 'sensitivity')} FROM full_rates JOIN aucs USING ({FOLD}) JOIN ec USING ({FOLD})")
+@plan("metrics_per_fold", f"WITH RECURSIVE {PREDS}, {bag_sql('preds', FOLD, 'cut', 5)} SELECT {FOLD}, {BAG} FROM bag")
 def metrics_per_fold(spark, sf):
-    keys, df = [*CELL, "repeat", "fold"], preds(spark, sf)
-    out = M.threshold_metrics(df, keys, F.col("cut")).join(M.roc_auc(df, keys), keys).join(M.ece(df, keys, 5), keys)
-    return rounded(out.select(*keys, "tp", "fn", "auc", "ece", "sensitivity"), "auc", "ece", "sensitivity")
+    return bag(preds(spark, sf), [*CELL, "repeat", "fold"], F.col("cut"), 5)
 
 
 STATS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
@@ -174,6 +215,11 @@ def calibration_curve(spark, sf):
     return rounded(M.calibration_curve(pooled(preds(spark, sf)), CELL), "mean_p", "observed", "low", "high")
 
 
+@plan("calibration_curve_width", f"WITH {POOL} SELECT config, model, least(CAST(floor(p * 10) AS BIGINT), 9) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(y), 9) AS observed FROM pooled GROUP BY ALL")
+def calibration_curve_width(spark, sf):
+    return rounded(M.calibration_curve(pooled(preds(spark, sf)), CELL, equal="width").drop("low", "high"), "mean_p", "observed")
+
+
 @plan("logit_expit", f"WITH {RAW} SELECT sample, repeat, round(ln(p / (1 - p)), 9) AS lp, round(1 / (1 + exp(-ln(p / (1 - p)))), 9) AS back FROM raw")
 def logit_expit(spark, sf):
     lp = M.logit(F.col("p"))
@@ -181,33 +227,37 @@ def logit_expit(spark, sf):
 
 
 #: Outcomes drawn from the predictions themselves, for which the recalibration is near the identity.
-DRAWN = "drawn AS (SELECT config, model, p, CAST(CAST('0x' || substr(md5('y:' || sample || ':' || repeat), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < p AS INTEGER) AS y FROM raw)"
-X = "x AS (SELECT config, model, ln(p / (1 - p)) AS lp, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM (SELECT config, model, y, greatest(1e-6, least(1 - 1e-6, p)) AS p FROM drawn) GROUP BY 1, 2, 3)"
-
-
-def newton_sql(slope: bool) -> str:
-    """12 Newton steps as a recursive query."""
-    move = "a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b" if slope else "a + g0 / h00 AS a, b"
-    return f"""it(k, config, model, a, b) AS (SELECT 0, config, model, 0.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT config, model FROM x)
-      UNION ALL SELECT k + 1, config, model, {move} FROM (SELECT k, config, model, a, b, sum(pos - n * mu) AS g0, sum((pos - n * mu) * lp) AS g1, sum(n * mu * (1 - mu)) AS h00, sum(n * mu * (1 - mu) * lp) AS h01, sum(n * mu * (1 - mu) * lp * lp) AS h11
-        FROM (SELECT it.*, lp, pos, n, 1 / (1 + exp(-(a + b * lp))) AS mu FROM it JOIN x USING (config, model) WHERE k < 12) GROUP BY k, config, model, a, b))"""
+DRAWN = "drawn AS (SELECT config, model, repeat, p, CAST(CAST('0x' || substr(md5('y:' || sample || ':' || repeat), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < p AS INTEGER) AS y FROM raw)"
 
 
 def drawn(spark, sf):
     return raw(spark, sf).withColumn("y", (rng.uniform("y", F.col("sample"), F.col("repeat")) < F.col("p")).cast("int"))
 
 
-@plan("calibration_slope", f"WITH RECURSIVE {RAW}, {DRAWN}, {X}, {newton_sql(True)} SELECT config, model, round(b, 6) AS slope FROM it WHERE k = 12")
+@plan("calibration_slope", f"WITH RECURSIVE {RAW}, {DRAWN}, {newton_sql('drawn', C)} SELECT config, model, round(slope, 6) AS slope FROM fit")
 def calibration_slope(spark, sf):
     return M.calibration(drawn(spark, sf), CELL).select(*CELL, F.round("slope", 6).alias("slope"))
 
 
-@plan("calibration_intercept", f"WITH RECURSIVE {RAW}, {DRAWN}, {X}, {newton_sql(False)} SELECT config, model, round(a, 6) AS intercept FROM it WHERE k = 12")
+@plan("calibration_intercept", f"WITH RECURSIVE {RAW}, {DRAWN}, {newton_sql('drawn', C)} SELECT config, model, round(intercept, 6) AS intercept FROM fit")
 def calibration_intercept(spark, sf):
     return M.calibration(drawn(spark, sf), CELL).select(*CELL, F.round("intercept", 6).alias("intercept"))
 
 
-@plan("recalibrate_intercept")
+@plan("calibration_per_repeat", f"WITH RECURSIVE {RAW}, {DRAWN}, {newton_sql('drawn', REP)} SELECT config, model, " + ", ".join(f"round({f}({m}), 6) AS {m}_{n}" for m in ("slope", "intercept") for n, f in (("median", "median"), ("min", "min"), ("max", "max"))) + ", count(*) FILTER (WHERE slope IS NULL) AS undefined FROM fit GROUP BY ALL")
+def calibration_per_repeat(spark, sf):
+    fit = M.calibration(drawn(spark, sf), [*CELL, "repeat"])
+    per = [F.round(getattr(F, f)(m), 6).alias(f"{m}_{f}") for m in ("slope", "intercept") for f in ("median", "min", "max")]  # of five repeats
+    return fit.groupBy(*CELL).agg(*per, F.count_if(F.col("slope").isNull()).alias("undefined"))
+
+
+#: The offset at which the mean is 0.2, by Newton steps.
+OFFSET = """ox AS (SELECT config, model, ln(p / (1 - p)) AS lp, count(*)::DOUBLE AS n FROM pooled GROUP BY ALL),
+  oit(k, config, model, c) AS (SELECT 0, config, model, 0.0::DOUBLE FROM (SELECT DISTINCT config, model FROM ox) UNION ALL SELECT k + 1, config, model, c + greatest(-2.0, least(2.0, (0.2 * sum(n) - sum(n * mu)) / sum(n * mu * (1 - mu))))
+    FROM (SELECT oit.*, n, 1 / (1 + exp(-(c + lp))) AS mu FROM oit JOIN ox USING (config, model) WHERE k < 25) GROUP BY k, config, model, c)"""
+
+
+@plan("recalibrate_intercept", f"WITH RECURSIVE {POOL}, {OFFSET} SELECT config, model, round(c, 6) AS offset FROM oit WHERE k = 25")
 def recalibrate_intercept(spark, sf):
     return M.recalibrated_offset(pooled(preds(spark, sf)), CELL, 0.2).select(*CELL, F.round("offset", 6).alias("offset"))
 
@@ -275,11 +325,15 @@ def leakage_audit(spark, sf):
     return best.crossJoin(base).select("config", "auc", F.round(F.col("auc") - F.col("base"), 9).alias("inflation"), F.round((F.col("auc") - F.col("base")) / (1 - F.col("base")), 9).alias("share"))
 
 
-@plan("optimism", f"WITH {PREDS}, {auc_sql('preds', C)}, {auc_sql('preds', FOLD, 'folds')}, nested AS (SELECT config, model, avg(auc) AS nested FROM folds GROUP BY ALL) SELECT config, model, round(auc - nested, 9) AS optimism FROM aucs JOIN nested USING (config, model)")
+OPT = ["auc", "brier", "sensitivity"]
+
+
+@plan("optimism", f"WITH {PREDS}, {rates_sql('preds', C, '0.5')}, {auc_sql('preds', C)}, {BRIER('preds', C)}, one AS (SELECT * FROM full_rates JOIN aucs USING ({C}) JOIN br USING ({C})), {rates_sql('preds', FOLD, '0.5', 'folds')}, {auc_sql('preds', FOLD, 'fauc')}, fbr AS (SELECT {FOLD}, avg((p - y) * (p - y)) AS brier FROM preds GROUP BY ALL), nested AS (SELECT {C}, avg(auc) AS n_auc, avg(brier) AS n_brier, avg(folds_sensitivity) AS n_sensitivity FROM full_folds JOIN fauc USING ({FOLD}) JOIN fbr USING ({FOLD}) GROUP BY ALL) SELECT {C}, " + ", ".join(f"round({m} - n_{m}, 9) AS {m}_optimism" for m in OPT) + f" FROM one JOIN nested USING ({C})")
 def optimism(spark, sf):
     df = preds(spark, sf)
-    nested = M.roc_auc(df, [*CELL, "repeat", "fold"]).groupBy(*CELL).agg(F.avg("auc").alias("nested"))
-    return M.roc_auc(df, CELL).join(nested, CELL).select(*CELL, F.round(F.col("auc") - F.col("nested"), 9).alias("optimism"))
+    of = lambda keys: M.all_metrics(df, keys, F.lit(0.5)).select(*keys, *OPT)
+    nested = of([*CELL, "repeat", "fold"]).groupBy(*CELL).agg(*[F.avg(m).alias(f"n_{m}") for m in OPT])
+    return of(CELL).join(nested, CELL).select(*CELL, *[F.round(F.col(m) - F.col(f"n_{m}"), 9).alias(f"{m}_optimism") for m in OPT])
 
 
 @plan("ceiling_analysis", f"WITH {RAW}, {auc_sql('raw', C)}, m AS (SELECT config, min(round(auc, 9)) AS low, max(round(auc, 9)) AS high FROM aucs GROUP BY config) SELECT config, low, high, CASE WHEN 1 - low > 1e-9 THEN round((high - low) / (1 - low), 9) END AS closed FROM m")
@@ -297,7 +351,10 @@ def paired_comparison(spark, sf):
 
 @plan("median_iqr", f"WITH {RAW} SELECT config, model, round(median(p), 9) AS median, round(quantile_cont(p, 0.75) - quantile_cont(p, 0.25), 9) AS iqr, count(*) FILTER (WHERE p IS NULL) AS undefined FROM raw GROUP BY ALL")
 def median_iqr(spark, sf):
-    return raw(spark, sf).groupBy(*CELL).agg(F.round(F.median("p"), 9).alias("median"), F.round(F.percentile("p", 0.75) - F.percentile("p", 0.25), 9).alias("iqr"), F.count_if(F.col("p").isNull()).alias("undefined"))
+    df = raw(spark, sf)
+    q = quantiles(df, CELL, "p", [0.25, 0.5, 0.75], "q")
+    undefined = df.groupBy(*CELL).agg(F.count_if(F.col("p").isNull()).alias("undefined"))
+    return undefined.join(q, CELL, "left").select(*CELL, F.round(F.col("q")[1], 9).alias("median"), F.round(F.col("q")[2] - F.col("q")[0], 9).alias("iqr"), "undefined")
 
 
 @plan("headline_wide", f"WITH {RAW}, {auc_sql('raw', REP)}, {BRIER('raw', REP)}, m AS (SELECT config, model, 'auc' AS metric, auc AS v FROM aucs UNION ALL SELECT config, model, 'brier', brier FROM br) SELECT config, model, metric, round(avg(v), 9) AS est, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi, round(stddev_samp(v), 9) AS sd FROM m GROUP BY ALL")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from sondage.functions import rng
 from sondage.operators import linkage as L
 from sondage.operators import resample as S
+from sondage.operators.ranks import numbered, quantiles
 from sondage.plans import plan
 from sondage.plans.evaluation import auc_sql
 from sondage.session import table
+from sondage.sources.files import written
 
 VARS = ["v1", "v2"]
 LEFT = """lft AS (SELECT c_custkey AS i, c_nationkey % 3 AS o, CASE WHEN c_custkey % 10 IN (0, 1) THEN '-inf'::DOUBLE ELSE floor(c_acctbal / 500) * 500 END AS v1_lo,
@@ -85,13 +87,15 @@ def outcome_excluded(spark, sf):
     return L.edges(gaps(spark, sf, outcome=None), VARS).agg(F.count("*").alias("edges"))
 
 
-@plan("bin_edge_forensics", f"WITH {LEFT}, {RIGHT}, e AS (SELECT DISTINCT v1_lo AS edge FROM lft WHERE isfinite(v1_lo)) SELECT edge, EXISTS (SELECT 1 FROM rgt WHERE abs(v1 - edge) <= 60) AS seen FROM e")
+@plan("bin_edge_forensics", f"""WITH {LEFT}, {RIGHT}, w AS (SELECT i, round(v1_lo) AS edge FROM lft WHERE isfinite(v1_lo) UNION SELECT -j, round(v1, 0) FROM rgt WHERE j % 4 = 0 AND v1 IS NOT NULL), e AS (SELECT DISTINCT edge FROM w), r AS (SELECT CASE WHEN j % 2 = 0 THEN round(v1, 0) ELSE v1 END AS v1 FROM rgt WHERE v1 IS NOT NULL),
+  d AS (SELECT quantile_cont(v1, [{', '.join(str(k / 10) for k in range(1, 10))}]) AS q FROM r)
+  SELECT edge, EXISTS (SELECT 1 FROM r WHERE abs(v1 - edge) <= 1e-9) AS seen, round(list_min(list_transform(q, lambda x: abs(x - edge))), 6) AS to_decile FROM e, d""")
 def bin_edge_forensics(spark, sf):
-    e = left(spark, sf).where(F.abs("v1_lo") != L.INF).select(F.col("v1_lo").alias("edge")).distinct()
-    near = e.withColumn("_b", F.explode(F.sequence(F.floor((F.col("edge") - 60) / 100), F.floor((F.col("edge") + 60) / 100))))
-    values = right(spark, sf).where("v1 IS NOT NULL").select("v1", F.floor(F.col("v1") / 100).alias("_b"))
-    hit = near.join(values, "_b").where(F.abs(F.col("v1") - F.col("edge")) <= 60).select("edge").distinct().withColumn("seen", F.lit(True))
-    return e.join(hit, "edge", "left").select("edge", F.coalesce("seen", F.lit(False)).alias("seen"))
+    """Of each finite bin edge: whether a value lies on it (within 1e-9), and how far the nearest decile of the values is."""
+    r = right(spark, sf).where("v1 IS NOT NULL").select("j", F.when(F.col("j") % 2 == 0, F.round("v1", 0)).otherwise(F.col("v1")).alias("v1"))
+    some = right(spark, sf).where("v1 IS NOT NULL AND j % 4 = 0").select(F.round("v1", 0).alias("edge"))
+    e = left(spark, sf).where(F.abs("v1_lo") != L.INF).select(F.round("v1_lo").alias("edge")).union(some).distinct()
+    return L.edge_forensics(e, r, "v1")
 
 
 @plan("classify_verdict", "WITH f AS (SELECT s_suppkey AS k, (s_suppkey % 21) / 20.0 AS f, 0.3::DOUBLE AS m, (s_suppkey % 4) / 50.0 AS s, s_suppkey % 17 = 0 AS same FROM supplier) SELECT k, CASE WHEN same THEN 'SAME-SOURCE' WHEN f >= m + 0.1 AND coalesce((f - m) / nullif(s, 0), 'inf'::DOUBLE) >= 5 THEN CASE WHEN f >= 0.95 THEN 'SAME-SOURCE' ELSE 'OVERLAPPING' END ELSE 'INDEPENDENT' END AS verdict FROM f")
@@ -181,8 +185,6 @@ def blood_pressure_audit(spark, sf):
 def shuffled(spark, sf, draws):
     """The right side with each variable permuted in every draw."""
     r = right(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    from sondage.operators.ranks import numbered
-
     out = numbered(r.select("draw", "j", "o").withColumn("_h", F.lpad(F.hex("j"), 16, "0")).withColumn("_k", F.substring(rng.hashed("place", F.col("j")), 1, 16)), ["draw"], "_k", "pos", ["j"])
     for v in VARS:
         col = numbered(r.select("draw", "j", v).withColumn("_h", rng.hashed("shuffle", v, F.col("draw"), F.col("j"))), ["draw"], "_h", "pos", ["j"])
@@ -201,12 +203,15 @@ PERMUTATIONS, COPULA_DRAWS = 200, 200
   SELECT real, count(*) FILTER (WHERE edges >= real) AS exceed, round((count(*) FILTER (WHERE edges >= real) + 1) / {PERMUTATIONS + 1}.0, 9)::DOUBLE AS p_bound FROM e, r GROUP BY real""")
 def null_exceedance(spark, sf):
     real = edges(spark, sf).agg(F.count("*").alias("real"))
-    # The draw joins like a second outcome.
+    # Equal intervals count once, with their number; the draw joins like a second outcome.
+    bounds = [f"{v}_{e}" for v in VARS for e in ("lo", "hi")]
+    lhs = left(spark, sf).groupBy("o", *bounds).agg(F.min("i").alias("i"), F.count("*").alias("times"))
     both = lambda d: d.withColumn("o", F.col("o") * 1000 + F.col("draw"))
-    lhs = left(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))))
-    drawn = L.edges(L.pairs(both(lhs).withColumn("i", F.col("i") * 1000 + F.col("draw")).drop("draw"), both(shuffled(spark, sf, PERMUTATIONS)).drop("draw"), VARS, "o", L.EPS, 500.0), VARS)
-    per = drawn.groupBy((F.col("i") % 1000).alias("draw")).agg(F.count("*").alias("edges"))
-    return per.crossJoin(real).groupBy("real").agg(F.count_if(F.col("edges") >= F.col("real")).alias("exceed"), F.round((F.count_if(F.col("edges") >= F.col("real")) + 1) / F.lit(PERMUTATIONS + 1.0), 9).alias("p_bound"))
+    each = both(lhs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))))).withColumn("i", F.col("i") * 1000 + F.col("draw")).drop("draw")
+    drawn = L.edges(L.pairs(each, both(shuffled(spark, sf, PERMUTATIONS)).drop("draw"), VARS, "o", L.EPS, 500.0), VARS).join(each.select("i", "times"), "i")
+    per = drawn.groupBy((F.col("i") % 1000).alias("draw")).agg(F.sum("times").alias("edges"))
+    exceed = F.count_if(F.col("edges") >= F.col("real"))
+    return per.crossJoin(real).groupBy("real").agg(exceed.alias("exceed"), F.round((exceed + 1) / F.lit(PERMUTATIONS + 1.0), 9).alias("p_bound"))
 
 
 def matching_size(spark, sf):
@@ -221,14 +226,7 @@ def maximum_matching(spark, sf):
 
 def null_matched(spark, sf, draws):
     """(draw, matched) of the largest matchings with every draw's shuffled right side."""
-    # The draw joins like a second outcome.
-    each = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
-    code = lambda c: F.col(c).cast("long") * draws + F.col("draw")
-    lhs = left(spark, sf).withColumn("draw", each).withColumns({"i": code("i"), "o": code("o")}).drop("draw")
-    rhs = shuffled(spark, sf, draws).withColumn("o", code("o")).drop("draw")
-    found = L.edges(L.pairs(lhs, rhs, VARS, "o", L.EPS, 500.0), VARS).join(lhs.select("i", "o"), "i")
-    sizes = L.maximum_matching(found, "o").groupBy((F.col("o") % draws).alias("draw")).agg(F.count("*").alias("matched"))
-    return spark.range(draws).select(F.col("id").alias("draw")).join(sizes, "draw", "left").select("draw", F.coalesce("matched", F.lit(0)).alias("matched"))
+    return matched_per_draw(spark, sf, shuffled(spark, sf, draws), draws)
 
 
 SHUFFLES = 50
@@ -243,16 +241,53 @@ def containment_check(spark, sf):
     return real.crossJoin(null)
 
 
+def matched_per_draw(spark, sf, rhs, draws):
+    """(draw, matched) of the largest matchings of the left side with each draw's right side (draw, j, o, variables)."""
+    # The draw joins like a second outcome.
+    each = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
+    code = lambda c: F.col(c).cast("long") * draws + F.col("draw")
+    lhs = left(spark, sf).withColumn("draw", each).withColumns({"i": code("i"), "o": code("o")}).drop("draw")
+    found = L.edges(L.pairs(lhs, rhs.withColumn("o", code("o")).drop("draw"), VARS, "o", L.EPS, 500.0), VARS).join(lhs.select("i", "o"), "i")
+    sizes = L.maximum_matching(found, "o").groupBy((F.col("o") % draws).alias("draw")).agg(F.count("*").alias("matched"))
+    return spark.range(draws).select(F.col("id").alias("draw")).join(sizes, "draw", "left").select("draw", F.coalesce("matched", F.lit(0)).alias("matched"))
+
+
+def copula(spark, sf, draws=None):
+    r = right(spark, sf).withColumn("o", F.col("o").cast("long"))
+    return written(L.copula_draws(r, "o", VARS, draws or COPULA_DRAWS), "copula")
+
+
 @plan("copula_null")
 def copula_null(spark, sf):
-    r = right(spark, sf).withColumn("o", F.col("o").cast("long"))
-    return L.copula_draws(r, "o", VARS, COPULA_DRAWS).groupBy("draw").agg(F.count("*").alias("n"), F.round(F.corr("v1", "v2"), 6).alias("corr"), F.median("v1").alias("median_v1"))
+    null = copula(spark, sf)
+    per = null.groupBy("draw").agg(F.count("*").alias("n"), F.round(F.corr("v1", "v2"), 6).alias("corr"))
+    return per.join(matched_per_draw(spark, sf, null, COPULA_DRAWS), "draw").withColumn("fraction", F.col("matched") / F.col("n"))
 
 
 @plan("copula_diagnostics")
 def copula_diagnostics(spark, sf):
-    r = right(spark, sf).withColumn("o", F.col("o").cast("long"))
-    real = r.agg(F.median("v1").alias("real_median"), F.stddev_samp("v1").alias("real_sd"))
-    null = L.copula_draws(r, "o", VARS, COPULA_DRAWS)
-    outside = null.join(r.select("v1").distinct(), "v1", "left_anti").where("v1 IS NOT NULL").agg(F.count("*").alias("off_support"))
-    return null.agg(F.median("v1").alias("null_median"), F.stddev_samp("v1").alias("null_sd")).crossJoin(real).crossJoin(outside)
+    """Medians, deviations, Spearman correlations of the real rows and of all draws, and drawn values that no row has."""
+    real, null = right(spark, sf).withColumn("draw", F.lit(-1)), copula(spark, sf)
+    both = real.select("draw", "j", *VARS).unionByName(null.select("draw", "j", *VARS)).withColumn("side", F.when(F.col("draw") < 0, "real").otherwise("null"))
+    middle = quantiles(both, ["side"], "v1", [0.5], "m").select("side", F.col("m")[0].alias("median"))
+    ranks = both.where("v1 IS NOT NULL AND v2 IS NOT NULL")
+    for v in VARS:
+        ranks = S.midranks(ranks, ["draw"], v, f"r_{v}")
+    rho = ranks.groupBy("side", "draw").agg(F.corr("r_v1", "r_v2").alias("rho")).groupBy("side").agg(F.avg("rho").alias("spearman"))
+    sd = both.groupBy("side").agg(F.stddev_samp("v1").alias("sd"))
+    outside = null.join(real.select("v1").distinct(), "v1", "left_anti").where("v1 IS NOT NULL").agg(F.count("*").alias("off_support"))
+    return middle.join(sd, "side").join(rho, "side").crossJoin(outside)
+
+
+@plan("row_permutation_degeneracy", f"{EDGES}, r AS (SELECT count(*) AS edges, count(DISTINCT i) AS matched FROM edg) SELECT draw, edges, matched FROM r, (SELECT unnest(range(0, 20))::INTEGER AS draw)")
+def row_permutation_degeneracy(spark, sf):
+    """Edges after permuting whole rows: the same in every draw, so such a permutation is no null."""
+    r = right(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    keys = numbered(r.select("draw", "j").withColumn("_h", rng.hashed("rows", F.col("draw"), F.col("j"))), ["draw"], "_h", "pos", ["j"]).select("draw", "pos", F.col("j").alias("_new"))
+    rows = numbered(r.withColumn("_k", F.lpad(F.hex("j"), 16, "0")), ["draw"], "_k", "pos", ["j"])
+    moved = rows.join(keys, ["draw", "pos"]).select("draw", F.col("_new").alias("j"), "o", *VARS)
+    # The same rows under other numbers: all draws at once, each a part of the values.
+    code = lambda c: F.col(c).cast("long") * 20 + F.col("draw")
+    lhs = left(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumns({"i": code("i"), "o": code("o")}).drop("draw")
+    found = L.edges(L.pairs(lhs, moved.withColumn("o", code("o")).drop("draw"), VARS, "o", L.EPS, 500.0), VARS)
+    return found.groupBy((F.col("i") % 20).cast("int").alias("draw")).agg(F.count("*").alias("edges"), F.countDistinct("i").alias("matched"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondage.functions import rng
+from sondage.operators import bootstrap as B
 from sondage.operators import metrics as M
 from sondage.operators import models as Z
 from sondage.operators.guard import FeatureSet, assert_clean, guard, select_columns
 from sondage.plans import plan
 from sondage.plans.views import folded
 from sondage.session import table
+from sondage.sources.files import written
 
 FEATURES = ["price", "orders", "nation"]
 
@@ -29,12 +31,18 @@ def grid(spark, models, calibrations, repeats=2):
 
 @plan("nested_cv")
 def nested_cv(spark, sf):
-    return Z.nested_cv(training(spark, sf), FEATURES, grid(spark, ["dummy", "logreg", "additive", "kernel", "random_forest", "xgboost"], ["none"]))
+    return Z.nested_cv(training(spark, sf), FEATURES, grid(spark, ["dummy", "logreg", "additive", "kernel"], ["none"]))
+
+
+@plan("nested_cv_trees")
+def nested_cv_trees(spark, sf):
+    """The models of 300 trees and eight parameter sets each: most of a grid's time."""
+    return Z.nested_cv(training(spark, sf), FEATURES, grid(spark, ["random_forest", "xgboost"], ["none"]))
 
 
 @plan("calibrated_nested_cv")
 def calibrated_nested_cv(spark, sf):
-    out = Z.nested_cv(training(spark, sf, 1), FEATURES, grid(spark, ["logreg"], ["none", "sigmoid", "isotonic"], 1))
+    out = Z.nested_cv(training(spark, sf, 1), FEATURES, grid(spark, ["logreg"], ["none", "sigmoid", "isotonic"], 1), Z.Settings(ensemble=True))
     return M.brier(out, ["model", "calibration"])
 
 
@@ -85,14 +93,40 @@ def procedure_bootstrap(spark, sf):
     rows = drawn.join(df, "sample").select(F.col("slot").alias("sample"), "repeat", "y", "fold", *FEATURES)
     tasks = spark.createDataFrame([("logreg", "none", r) for r in range(RESAMPLES)], "model string, calibration string, repeat int")
     auc = M.roc_auc(Z.nested_cv(rows, FEATURES, tasks), ["repeat"])
-    return auc.agg(F.percentile("auc", 0.025).alias("lo"), F.percentile("auc", 0.975).alias("hi"), F.stddev_samp("auc").alias("sd"), F.count("auc").alias("draws"))
+    lo, hi = F.percentile("auc", 0.025), F.percentile("auc", 0.975)  # of RESAMPLES numbers
+    return auc.agg(lo.alias("lo"), hi.alias("hi"), (hi - lo).alias("width"), F.stddev_samp("auc").alias("sd"), F.count("auc").alias("draws"), (F.lit(RESAMPLES) - F.count("auc")).alias("failures"))
+
+
+def transferred(spark, sf):
+    """Predictions for customers of the other nations, from a model that never saw them."""
+    df = training(spark, sf, 1).withColumn("fold", F.when(F.col("nation") < 12, 1).otherwise(0))
+    return written(Z.nested_cv(df, FEATURES, grid(spark, ["logreg"], ["none"], 1), Z.Settings(outer=1)), "transfer")
 
 
 @plan("frozen_transfer")
 def frozen_transfer(spark, sf):
-    df = training(spark, sf, 1).withColumn("fold", F.when(F.col("nation") < 12, 1).otherwise(0))
-    out = Z.nested_cv(df, FEATURES, grid(spark, ["logreg"], ["none"], 1), Z.Settings(outer=1))
-    return M.all_metrics(out, ["model"], F.lit(0.5))
+    """Metrics of the frozen model elsewhere with bootstrap intervals, as it is and with its scores moved to the prevalence there."""
+    out = transferred(spark, sf)
+    prevalence = out.agg(F.avg("y").alias("m")).first()["m"]
+    offset = M.recalibrated_offset(out, ["model"], prevalence)
+    moved = out.join(offset, "model").withColumn("p", M.expit(M.logit(F.col("p")) + F.col("offset"))).drop("offset")
+    both = out.withColumn("arm", F.lit("frozen")).unionByName(moved.withColumn("arm", F.lit("recalibrated")))
+    keys = ["arm", "model"]
+    names = [*B.METRICS[:5], *M.RATES]
+    point = M.all_metrics(both, keys, F.lit(0.5))
+    long = point.unpivot(keys, [F.col(n) for n in [*names, "slope", "intercept"]], "metric", "value")
+    return long.join(B.intervals(B.bootstrap_metrics(both, keys, 2000), keys, names), [*keys, "metric"], "left")
+
+
+@plan("binned_vs_continuous")
+def binned_vs_continuous(spark, sf):
+    """Nested cross-validation on values and on their bins' midpoints, in the same folds: metrics of both arms and their difference."""
+    df = training(spark, sf)
+    binned = df.withColumns({"price": F.floor(F.col("price") / 40000) * 40000 + 20000, "orders": F.floor(F.col("orders") / 4) * 4.0 + 2, "nation": F.floor(F.col("nation") / 5) * 5.0 + 2})
+    arms = [M.all_metrics(Z.nested_cv(d, FEATURES, grid(spark, ["logreg", "additive"], ["none"])), ["model", "repeat"], F.lit(0.5)).withColumn("arm", F.lit(n)) for n, d in (("continuous", df), ("binned", binned))]
+    mean = arms[0].unionByName(arms[1]).groupBy("model", "arm").agg(*[F.avg(m).alias(m) for m in ("auc", "brier", "ece", "sensitivity")])
+    long = mean.unpivot(["model", "arm"], ["auc", "brier", "ece", "sensitivity"], "metric", "value").groupBy("model", "metric").pivot("arm", ["continuous", "binned"]).agg(F.first("value"))
+    return long.withColumn("cost", F.col("continuous") - F.col("binned"))
 
 
 @plan("leakage_guard", "SELECT c_custkey, c_mktsegment FROM customer")

@@ -5,23 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from sondage.functions import rng
+from sondage.operators import bootstrap as B
 from sondage.operators import metrics as M
 from sondage.operators import resample as S
 from sondage.operators.ranks import numbered
 from sondage.plans import plan
-from sondage.plans.evaluation import auc_sql
+from sondage.plans.evaluation import auc_sql, mean_cut
 from sondage.plans.views import CELL, POOL, RAW, pooled, preds, raw
 from sondage.session import table
 
 C, DRAWS, CHECKPOINTS = "config, model", 2000, [100, 200, 500, 1000]
-UD = "CAST('0x' || substr(md5('boot:' || draw || ':' || sample), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
-BOOT = f"""{POOL}, src AS (SELECT * FROM pooled),
-  num AS (SELECT *, row_number() OVER (PARTITION BY {C}, y ORDER BY md5('boot:' || sample), sample) - 1 AS slot, count(*) OVER (PARTITION BY {C}, y) AS size FROM src),
-  drw AS (SELECT {C}, y, draw, CAST(floor({UD} * size) AS BIGINT) AS slot, count(*)::DOUBLE AS w FROM num, (SELECT unnest(range(0, {DRAWS})) AS draw) GROUP BY 1, 2, 3, 4, 5),
-  wts AS (SELECT num.config, num.model, num.y, num.p, draw, w FROM num JOIN drw USING ({C}, y, slot)),
-  sc AS (SELECT {C}, draw, p, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS neg FROM wts GROUP BY 1, 2, 3, 4),
-  cum AS (SELECT *, sum(neg) OVER (PARTITION BY {C}, draw ORDER BY p) - neg AS below FROM sc),
-  bts AS (SELECT {C}, draw, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM cum GROUP BY 1, 2, 3)"""
+#: The draws of operators.bootstrap for groups of one block, which all cells of the tables that DuckDB reads are.
+BOOT = f"""{POOL}, src AS (SELECT *, round(avg(cut) OVER (PARTITION BY {C}), 9) AS c FROM pooled),
+  num AS (SELECT {C}, y, p, row_number() OVER (PARTITION BY {C}, y ORDER BY p, sample) - 1 AS slot FROM src),
+  sizes AS (SELECT {C}, y, count(*) AS size FROM src GROUP BY ALL),
+  sd AS (SELECT *, {rng.seed_sql("'boot:' || config || ':' || model || ':' || y || ':0:' || draw")} FROM sizes, (SELECT unnest(range(0, {DRAWS})) AS draw)),
+  drw AS (SELECT {C}, y, draw, slot, count(*)::DOUBLE AS w FROM ({rng.positions_sql('(SELECT *, unnest(range(0, size)) AS j FROM sd)', f'{C}, y, draw', 'j', 'size', 'slot')}) GROUP BY ALL),
+  sc AS (SELECT {C}, draw, p, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS neg FROM drw JOIN num USING ({C}, y, slot) GROUP BY ALL),
+  cum AS (SELECT *, sum(pos) OVER (PARTITION BY {C}, draw ORDER BY p DESC) AS tps, sum(neg) OVER (PARTITION BY {C}, draw ORDER BY p DESC) AS fps, sum(pos) OVER (PARTITION BY {C}, draw) AS np, sum(neg) OVER (PARTITION BY {C}, draw) AS nn FROM sc),
+  cuts AS (SELECT {C}, min(c) AS c FROM src GROUP BY ALL),
+  raw_bts AS (SELECT {C}, draw, max(np) AS np, max(nn) AS nn, sum(pos * (nn - fps + neg / 2)) / (max(np) * max(nn)) AS auc, sum(pos / np * tps / (tps + fps)) AS pr_auc, sum(pos * (1 - p) * (1 - p) + neg * p * p) / (max(np) + max(nn)) AS brier,
+    sum(CASE WHEN p >= 0.5 THEN pos ELSE 0 END) AS tp, sum(CASE WHEN p >= 0.5 THEN neg ELSE 0 END) AS fp, sum(CASE WHEN p >= c THEN pos ELSE 0 END) AS stp, sum(CASE WHEN p >= c THEN neg ELSE 0 END) AS sfp FROM cum JOIN cuts USING ({C}) GROUP BY {C}, draw),
+  gap AS (SELECT {C}, draw, sum(abs(g)) / sum(n) AS ece FROM (SELECT {C}, draw, least(floor(p * 10), 9) AS b, sum(pos - (pos + neg) * p) AS g, sum(pos + neg) AS n FROM sc GROUP BY ALL) GROUP BY ALL),
+  bts AS (SELECT {C}, draw, auc, pr_auc, brier, 1 - brier / (np / (np + nn) * nn / (np + nn)) AS brier_skill, ece, {{rates}} FROM raw_bts JOIN gap USING ({C}, draw))"""
+
+
+def _rates(tp: str, fp: str, mark: str) -> str:
+    sens, spec, prec = f"({tp} / np)", f"((nn - {fp}) / nn)", f"({tp} / nullif({tp} + {fp}, 0))"
+    each = {
+        "sensitivity": sens, "specificity": spec, "precision": prec, "npv": f"(nn - {fp}) / nullif(nn - {fp} + np - {tp}, 0)", "accuracy": f"({tp} + nn - {fp}) / (np + nn)",
+        "f1": f"CASE WHEN {sens} + {prec} > 0 THEN 2 * {sens} * {prec} / ({sens} + {prec}) ELSE 0.0 END", "balanced_accuracy": f"({sens} + {spec}) / 2",
+    }
+    return ", ".join(f"{v} AS {mark}{k}" for k, v in each.items())
+
+
+BOOT = BOOT.replace("{rates}", f"{_rates('tp', 'fp', '')}, {_rates('stp', 'sfp', 'screening_')}")
+LONG = lambda names: f"(UNPIVOT bts ON {', '.join(names)} INTO NAME metric VALUE value)"
+#: Metrics that are followed over growing numbers of draws.
+FOLLOWED = ["auc", "brier", "sensitivity"]
 
 
 def source(spark, sf):
@@ -32,21 +53,24 @@ def rnd(df, *names):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
-@plan("stratified_bootstrap_draws", f"WITH {BOOT} SELECT {C}, draw, round(auc, 9) AS auc FROM bts")
+def boot(spark, sf):
+    return B.bootstrap_metrics(mean_cut(source(spark, sf), CELL), CELL, DRAWS, 0.5, F.col("c"))
+
+
+@plan("stratified_bootstrap_draws", f"WITH {BOOT} SELECT {C}, CAST(draw AS INTEGER) AS draw, " + ", ".join(f"round({m}, 9) AS {m}" for m in B.METRICS) + " FROM bts")
 def stratified_bootstrap_draws(spark, sf):
-    return rnd(S.bootstrap_auc(source(spark, sf), CELL, "sample", DRAWS), "auc")
+    return rnd(boot(spark, sf), *B.METRICS)
 
 
-@plan("bootstrap_ci", f"WITH {BOOT} SELECT {C}, round(quantile_cont(auc, 0.025), 9) AS lo, round(quantile_cont(auc, 0.975), 9) AS hi, round(stddev_samp(auc), 9) AS se, count(auc) AS n_draws FROM bts GROUP BY ALL")
+@plan("bootstrap_ci", f"WITH {BOOT} SELECT {C}, metric, round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi, round(stddev_samp(value), 9) AS se, count(value) AS n_draws FROM {LONG(B.METRICS)} GROUP BY ALL")
 def bootstrap_ci(spark, sf):
-    return rnd(S.interval_of(S.bootstrap_auc(source(spark, sf), CELL, "sample", DRAWS), CELL, "auc"), "lo", "hi", "se")
+    return rnd(B.intervals(boot(spark, sf), CELL), "lo", "hi", "se")
 
 
-@plan("bootstrap_checkpoints", f"WITH {BOOT} SELECT {C}, n, round(quantile_cont(auc, 0.025), 9) AS lo, round(quantile_cont(auc, 0.975), 9) AS hi FROM bts JOIN (SELECT unnest({CHECKPOINTS}) AS n) c ON draw < n GROUP BY {C}, n")
+@plan("bootstrap_checkpoints", f"WITH {BOOT} SELECT {C}, n, metric, round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi FROM {LONG(FOLLOWED)} JOIN (SELECT unnest({CHECKPOINTS}) AS n) c ON draw < n GROUP BY ALL")
 def bootstrap_checkpoints(spark, sf):
-    draws = S.bootstrap_auc(source(spark, sf), CELL, "sample", DRAWS)
-    at = draws.withColumn("n", F.explode(F.array(*map(F.lit, CHECKPOINTS)))).where("draw < n")
-    return rnd(S.interval_of(at, [*CELL, "n"], "auc").select(*CELL, "n", "lo", "hi"), "lo", "hi")
+    at = boot(spark, sf).withColumn("n", F.explode(F.array(*map(F.lit, CHECKPOINTS)))).where("draw < n")
+    return rnd(B.intervals(at, [*CELL, "n"], FOLLOWED).select(*CELL, "n", "metric", "lo", "hi"), "lo", "hi")
 
 
 SPEC = "spc AS (SELECT config, model, sub, y, p FROM raw, (SELECT unnest(['all', 'click', 'purchase']) AS sub) WHERE y = 0 OR sub = 'all' OR sub = stratum)"
@@ -116,12 +140,6 @@ def nested_picks(spark, sf):
     return train, best.select("repeat", "k", "feature", "sign"), df
 
 
-def unit(df, score):
-    """Scores in [0, 1], in their order."""
-    span = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    return df.crossJoin(span).withColumn("p", F.coalesce(F.try_divide(F.col(score) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))).drop("_lo", "_hi")
-
-
 @plan("nested_best_single_auc")
 def nested_best_single_auc(spark, sf):
     train, best, df = nested_picks(spark, sf)
@@ -129,7 +147,7 @@ def nested_best_single_auc(spark, sf):
     held = df.withColumnRenamed("fold", "k").join(middle, ["repeat", "k", "feature"])
     # A sample's score is the mean over the repeats.
     pooled_ = held.groupBy("id", "y").agg(F.avg(F.col("sign") * F.coalesce("x", "middle")).alias("score"))
-    return M.roc_auc(unit(pooled_, "score").withColumn("pool", F.lit("out of fold")), ["pool"])
+    return M.roc_auc(pooled_.withColumnRenamed("score", "p").withColumn("pool", F.lit("out of fold")), ["pool"], any_range=True)
 
 
 @plan("multivariable_lift", f"WITH {FAUC}, mm AS (SELECT c_custkey % 2 AS m, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS y, round(abs(c_acctbal) / 10000, 4) AS p FROM customer), {auc_sql('mm', 'm', 'model')} SELECT m, round(model.auc - (SELECT max(greatest(auc, 1 - auc)) FROM aucs), 9) AS lift FROM model")
@@ -147,11 +165,11 @@ def lift_draws(spark, sf, draws):
     """(m, draw, lift) on stratified resamples of the customers; both AUCs are of the same resample."""
     best = best_single_predictor(spark, sf).first()["feature"]  # one row
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).alias("m"), F.round(F.abs("c_acctbal") / 10000, 4).alias("model"))
-    rows = unit(features(spark, sf).where(F.col("feature") == best), "x").withColumn("p", F.when(F.col("x").isNotNull(), F.col("p"))).select("id", "y", F.col("p").alias("single"))
+    rows = features(spark, sf).where(F.col("feature") == best).select("id", "y", F.col("x").alias("single"))
     boot = S.bootstrap_weights(rows.join(c, "id"), [], "id", draws)
     w = F.col("w").cast("double")
     model = M.roc_auc(boot.withColumn("p", F.col("model")), ["m", "draw"], w)
-    single = M.roc_auc(boot.where("single IS NOT NULL").withColumn("p", F.col("single")), ["draw"], w).select("draw", S.folded(F.col("auc")).alias("single"))
+    single = M.roc_auc(boot.where("single IS NOT NULL").withColumn("p", F.col("single")), ["draw"], w, any_range=True).select("draw", S.folded(F.col("auc")).alias("single"))
     return model.join(single, "draw").select("m", "draw", (F.col("auc") - F.col("single")).alias("lift"))
 
 

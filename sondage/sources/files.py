@@ -14,8 +14,15 @@ class SourceError(ValueError):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under a folder of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sondage-")
+    """A new folder under spark.checkpoint.dir, or under a folder of our own where that is unset and Spark runs in one process.
+
+    A cluster's executors do not share a local folder, so there the setting must be there.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise SourceError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sondage-")
     path = f"{base.rstrip('/')}/sondage-{uuid.uuid4().hex}/{name}"
     jvm = spark.sparkContext._jvm
     parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
@@ -25,6 +32,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: what follows does not compute it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_strict(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """CSV with a header, every cell as text, nothing read as null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])

@@ -11,7 +11,7 @@ from sondage.functions import labels as L
 from sondage.functions import rng
 from sondage.operators import linkage, metrics, models, resample
 from sondage.operators.guard import FeatureSet, LeakageError, assert_clean, gate, guard, select_columns
-from sondage.operators.ranks import numbered, running
+from sondage.operators.ranks import numbered, quantiles, running
 from sondage.sources import files
 
 
@@ -114,6 +114,82 @@ def test_bootstrap_keeps_class_sizes_and_seeds(spark):
     assert w.exceptAll(resample.bootstrap_weights(df, ["g"], "sample", 3)).count() == 0 and w.exceptAll(other).count() > 0
 
 
+def brute_metrics(y, p, w, cut, low):
+    """Metrics of weighted rows, by their definitions."""
+    pos, neg = w * (y == 1), w * (y == 0)
+    pairs = (p[:, None] > p[None, :]) + (p[:, None] == p[None, :]) / 2
+    out = {"auc": pos @ pairs @ neg / (pos.sum() * neg.sum()), "brier": (w * (p - y) ** 2).sum() / w.sum()}
+    out["pr_auc"] = sum(pos[p == t].sum() / pos.sum() * pos[p >= t].sum() / w[p >= t].sum() for t in np.unique(p) if w[p >= t].sum())
+    b = np.minimum((p * 10).astype(int), 9)
+    out["ece"] = sum(abs((w * (y - p))[b == k].sum()) for k in range(10)) / w.sum()
+    for mark, t in (("", cut), ("screening_", low)):
+        hit = p >= t
+        out[mark + "sensitivity"], out[mark + "specificity"] = pos[hit].sum() / pos.sum(), neg[~hit].sum() / neg.sum()
+        out[mark + "precision"] = pos[hit].sum() / w[hit].sum()
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 14, 40])
+def test_bootstrap_counts_draws_by_score(spark, block):
+    from sondage.operators import bootstrap
+
+    r = np.random.Generator(np.random.PCG64(21))
+    y, p = (r.random(300) < 0.4).astype(int), np.round(r.random(300), 2)
+    df = spark.createDataFrame([("a", 7, int(a), float(b)) for a, b in zip(y, p)], "g string, h int, y int, p double")
+    draws = {x.draw: x for x in bootstrap.bootstrap_metrics(df, ["g", "h"], 400, 0.5, 0.3, block=block).collect()}
+    whole = brute_metrics(y, p, np.ones(300), 0.5, 0.3)
+    assert sorted(draws) == list(range(400))
+    # Around the metrics of all rows, with the spread of draws made by another generator.
+    other = [brute_metrics(y, p, np.bincount(np.concatenate([r.choice(np.flatnonzero(y == k), (y == k).sum()) for k in (0, 1)]), minlength=300), 0.5, 0.3) for _ in range(150)]
+    for m in ("auc", "pr_auc", "brier", "sensitivity", "screening_specificity", "precision"):
+        mine, theirs = np.array([d[m] for d in draws.values()]), np.array([d[m] for d in other])
+        assert abs(mine.mean() - theirs.mean()) < 5 * theirs.std() / 150**0.5 and 0.8 < mine.std() / theirs.std() < 1.25, m
+    if block > 300:
+        order = np.lexsort((np.arange(300), p))
+        for d in (0, 17):
+            w = np.zeros(300)
+            for k in (0, 1):
+                rows = order[y[order] == k]
+                np.add.at(w, rows[rng.positions(rng.seeds([f"boot:a:7:{k}:0:{d}"])[0], len(rows), len(rows))], 1)
+            want = brute_metrics(y, p, w, 0.5, 0.3)
+            assert {m: draws[d][m] for m in want} == pytest.approx(want)
+    assert whole["auc"] == pytest.approx(metrics.roc_auc(df, ["g"]).first().auc)
+
+
+def test_all_metrics_against_definitions(spark):
+    r = np.random.Generator(np.random.PCG64(22))
+    y, p = (r.random(200) < 0.3).astype(int), np.round(r.random(200), 2)
+    df = spark.createDataFrame([("a", int(a), float(b)) for a, b in zip(y, p)] + [("one", 1, 0.4)], "g string, y int, p double")
+    rows = {x.g: x for x in metrics.all_metrics(df, ["g"], F.lit(0.5), {"screening": F.lit(0.3)}).collect()}
+    want = brute_metrics(y, p, np.ones(200), 0.5, 0.3)
+    assert {m: rows["a"][m] for m in want} == pytest.approx(want) and rows["a"].n == 200 and rows["a"].n_positive == y.sum()
+    assert rows["one"].auc is None and rows["one"].pr_auc is None and rows["one"].slope is None and rows["one"].sensitivity == 0 and rows["one"].screening_sensitivity == 1
+
+
+def test_large_groups_are_fitted_like_small_ones(spark):
+    r = np.random.Generator(np.random.PCG64(23))
+    rows = [(g, int(r.random() < 0.2 + 0.6 * q), q) for g in "ab" for q in r.random(200).round(3).tolist()] + [("c", 1, 0.9), ("c", 0, 0.2), ("c", 1, 0.1)]
+    df = scores(spark, rows)
+    small, large = ({x.g: (x.slope, x.intercept) for x in metrics.calibration(df, ["g"], largest=n).collect()} for n in (1000, 50))
+    assert set(small) == set("abc") == set(large) and all(small[g] == pytest.approx(large[g]) for g in small)
+    few, many = ({x.g: x.offset for x in metrics.recalibrated_offset(df, ["g"], 0.3, largest=n).collect()} for n in (1000, 50))
+    assert few == pytest.approx(many, abs=1e-8)
+
+
+def test_quantiles_are_exact_with_an_outlier(spark):
+    r = np.random.Generator(np.random.PCG64(24))
+    values = [*np.round(r.normal(size=500), 1).tolist(), 1e12]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 3.0), ("b", None), ("c", None)], "g string, x double")
+    found = {x.g: x.q for x in quantiles(df, ["g"], "x", [0, 0.1, 0.5, 0.975, 1], "q").collect()}
+    assert found["a"] == pytest.approx(np.quantile(values, [0, 0.1, 0.5, 0.975, 1])) and found["b"] == [3.0] * 5 and "c" not in found
+
+
+def test_missing_values_rank_last(spark):
+    df = spark.createDataFrame([("a", "u", 1.0), ("a", "v", None), ("a", "w", 2.0), ("a", "x", 2.0), ("a", "z", 1e12)], "g string, f string, x double")
+    ranks = lambda d: {x.f: x.r for x in resample.midranks(df, ["g"], "x", "r", descending=d).collect()}
+    assert ranks(True) == {"z": 1, "w": 2.5, "x": 2.5, "u": 4, "v": 5} and ranks(False) == {"u": 1, "w": 2.5, "x": 2.5, "z": 4, "v": 5}
+
+
 def test_linkage_against_nested_loop(spark):
     r = random.Random(5)
     inf = math.inf
@@ -212,7 +288,8 @@ def test_a_tree_cuts_where_gini_is_least():
 def test_nested_cv_has_all_six_models(spark, small):
     from sondage.plans import modelling
 
-    n = {r.model: r["count"] for r in modelling.nested_cv(spark, small).groupBy("model").count().collect()}
+    both = modelling.nested_cv(spark, small).unionByName(modelling.nested_cv_trees(spark, small))
+    n = {r.model: r["count"] for r in both.groupBy("model").count().collect()}
     assert set(n) == {"dummy", "logreg", "random_forest", "kernel", "xgboost", "additive"} == set(models.available_models()) and len(set(n.values())) == 1
 
 
@@ -301,3 +378,40 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 5000 and all(r.value == f"row{r.line}" for r in rows)
+
+
+def test_open_intervals_and_outliers_stay_cheap(spark):
+    inf = math.inf
+    a = spark.createDataFrame([(1, -inf, inf), (2, 5.0, inf), (3, -inf, 5.0), (4, 1.0, 2.0), (5, 1e10, 1e10)], "i long, v_lo double, v_hi double").withColumn("o", F.lit(0))
+    values = [0.5, 1.0, 2.0, 4.9, 5.0, 7.5, 1e10, -1e10, None]
+    b = spark.createDataFrame(list(enumerate(values)), "j long, v double").withColumn("o", F.lit(0))
+    found = {(x.i, x.j) for x in linkage.pairs(a, b, ["v"], "o", linkage.EPS, 1.0).collect()}
+    assert found == {(x.i, j) for x in a.collect() for j, v in enumerate(values) if v is None or x.v_lo <= v <= x.v_hi}
+    none = linkage.pairs(a, b.where("v IS NULL"), ["v"], None, linkage.EPS, 1.0)
+    assert none.count() == 5 and linkage.pairs(a, b.limit(0), ["v"], "o", linkage.EPS, 1.0).count() == 0
+
+
+def test_normal_distribution(spark):
+    from statistics import NormalDist
+
+    from sondage.functions.normal import norm_cdf, norm_ppf
+
+    p = [0.0, 1e-300, 1e-9, 0.01, 0.024, 0.3, 0.5, 0.9, 0.999999, 1.0]
+    rows = spark.createDataFrame([(v,) for v in p], "p double").select("p", norm_ppf(F.col("p")).alias("x"), norm_cdf(norm_ppf(F.col("p"))).alias("q")).collect()
+    assert rows[0].x == -math.inf and rows[-1].x == math.inf
+    assert all(r.x == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-8, abs=1e-9) and r.q == pytest.approx(r.p, rel=1e-6) for r in rows[1:-1])
+    x = [-40.0, -8.0, -1.0, 0.0, 2.5, 40.0]
+    got = [r.q for r in spark.createDataFrame([(v,) for v in x], "x double").select(norm_cdf(F.col("x")).alias("q")).collect()]
+    assert got == pytest.approx([NormalDist().cdf(v) for v in x], rel=1e-7, abs=1e-15)
+
+
+def test_copula_keeps_marginals_gaps_and_correlation(spark):
+    r = np.random.Generator(np.random.PCG64(25))
+    z = r.standard_normal((400, 2)) @ np.linalg.cholesky([[1, 0.8], [0.8, 1]]).T
+    rows = [(j, j % 2, float(round(np.exp(a), 1)), float(b) if j % 10 else None) for j, (a, b) in enumerate(z)]
+    df = spark.createDataFrame(rows, "j long, s long, u double, v double")
+    out = linkage.copula_draws(df, "s", ["u", "v"], 20).toPandas()
+    assert len(out) == 8000 and set(out.u) <= {x[2] for x in rows} and out[out.j % 10 == 0].v.isna().all() and out[out.j % 10 != 0].v.notna().all()
+    rho = out.dropna().groupby("draw")[["u", "v"]].apply(lambda d: d.u.rank().corr(d.v.rank()))
+    assert 0.65 < rho.mean() < 0.85 and rho.std() > 0.005
+    assert abs(np.median(out.u) - np.median([x[2] for x in rows])) < 0.15
