@@ -9,13 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import mix, prepare, remainder
+from sondage.llm.common import mix, packed, prepare, remainder, unpacked
 
 DIM = 1024
 GRAM = 3
 UNKNOWN = "und"
-#: Code points of a step, and cells of a count matrix that are held at once.
-STEP, CELLS = 1_000_000, 2_000_000
+#: Code points and texts of a step, trigrams whose vectors are held at once, and cells of a count matrix.
+STEP, ROWS, GRAMS, CELLS = 500_000, 2_000, 8_192, 2_000_000
 
 
 @cache
@@ -40,36 +40,44 @@ def gram_vectors(vectors: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def _steps(texts: list):
-    first, rows, total = 0, [], 0
+    """Runs of (number of the text, a piece of it in lower case, bounds of the letters to count): at most ROWS pieces and STEP
+    code points. A piece of a longer text has one more code point on either side where the text goes on."""
+    held, total = [], 0
     for i, t in enumerate(texts):
         t = t.lower() if isinstance(t, str) else ""
-        if rows and total + len(t) > STEP:
-            yield first, rows
-            first, rows, total = i, [], 0
-        rows.append(t)
-        total += len(t)
-    if rows:
-        yield first, rows
-
-
-def trigrams(rows: list[str]):
-    """For lower-case texts: the row and trigram number of each trigram, the trigrams' vectors, and which rows have letters.
+        for a in range(0, max(len(t), 1), STEP):
+            b = min(a + STEP, len(t))
+            if held and (total + b - a > STEP or len(held) == ROWS):
+                yield held
+                held, total = [], 0
+            first = max(a - 1, 0)
+            held.append((i, t[first : b + 1], a - first, b - first))
+            total += b - a
+    if held:
+        yield held
+
+
+def trigrams(pieces: list[tuple[str, int, int]]):
+    """For (text in lower case, bounds of the letters to count): the piece and trigram number of each trigram, the letters of
+    each trigram, the vectors of the letters, and which pieces have letters.
 
     Letters follow str.isalpha; everything else ends a word, and a word's edge
-    counts as one symbol. Trigrams lie within one word and its edges.
+    counts as one symbol. Trigrams lie within one word and its edges; one counts
+    where its middle letter does.
     """
-    size = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
-    codes = np.frombuffer(("\0".join(rows) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(rows)), size)
-    letter = letters()[codes]
-    lettered = np.bincount(row[letter], minlength=len(rows)) > 0
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    symbols = np.concatenate((np.zeros(1, np.uint32), np.where(letter, codes, 0)[keep]))
-    row = np.concatenate((row[:1], row[keep]))
+    size = np.fromiter((len(t) for t, _, _ in pieces), np.int64, len(pieces)) + 1
+    codes = np.frombuffer(("\0" + "\0".join(t for t, _, _ in pieces) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = np.where(letters()[codes], codes, 0)
+    start = np.concatenate(([0], np.cumsum(size)))[:-1] + 1
+    mid = np.flatnonzero(symbols)
+    piece = np.searchsorted(start, mid, side="right") - 1
+    at = mid - start[piece]
+    low, high = (np.array([p[k] for p in pieces], np.int64) for k in (1, 2))
+    counts = (at >= low[piece]) & (at < high[piece])
+    mid, piece = mid[counts], piece[counts]
+    lettered = np.bincount(piece, minlength=len(pieces)) > 0
     alphabet, ids = np.unique(symbols, return_inverse=True)
     n = len(alphabet)
-    mid = np.flatnonzero(symbols[1:-1]) + 1 if len(symbols) > 2 else np.zeros(0, np.int64)
     gram = (ids[mid - 1] * n + ids[mid]) * n + ids[mid + 1]
     if n**GRAM <= 4_000_000:
         present = np.flatnonzero(np.bincount(gram, minlength=1))
@@ -78,36 +86,61 @@ def trigrams(rows: list[str]):
         gram = number[gram]
     else:
         present, gram = np.unique(gram, return_inverse=True)
-    parts = np.column_stack([present // n**2, present // n % n, present % n])
-    return row[mid], gram, gram_vectors(letter_vectors(alphabet), parts), lettered
-
-
-def bundle(groups: np.ndarray, gram: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
-    """For each of n groups, the sum of its trigrams' vectors."""
-    counts = np.bincount(groups * len(vectors) + gram, minlength=n * len(vectors)).reshape(n, -1)
-    return counts.astype(np.float32) @ vectors
-
-
-def bundled(rows: list[str]):
-    """(first row, vectors of consecutive rows, which have letters), a bounded number of rows at once."""
-    row, gram, vectors, lettered = trigrams(rows)
-    step = max(1, CELLS // max(1, len(vectors)))
-    for a in range(0, len(rows), step):
-        b = min(a + step, len(rows))
-        lo, hi = np.searchsorted(row, [a, b])
-        yield a, bundle(row[lo:hi] - a, gram[lo:hi], vectors, b - a), lettered[a:b]
+    return piece, gram, np.column_stack([present // n**2, present // n % n, present % n]), letter_vectors(alphabet), lettered
+
+
+def bundle(groups: np.ndarray, gram: np.ndarray, parts: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
+    """For each of n groups in ascending order, the sum of its trigrams' vectors; GRAMS of these are made at once."""
+    out = np.zeros((n, DIM), np.float32)
+    order = np.argsort(gram, kind="stable") if len(parts) > GRAMS else None
+    for first in range(0, len(parts), GRAMS):
+        last = min(first + GRAMS, len(parts))
+        of, number = groups, gram
+        if order is not None:
+            some = np.sort(order[slice(*np.searchsorted(gram[order], [first, last]))])
+            of, number = groups[some], gram[some] - first
+        made, width = gram_vectors(vectors, parts[first:last]), last - first
+        step = max(1, CELLS // width)
+        for a in range(0, n, step):
+            b = min(a + step, n)
+            lo, hi = np.searchsorted(of, [a, b])
+            if hi > lo:
+                counts = np.bincount((of[lo:hi] - a) * width + number[lo:hi], minlength=(b - a) * width).reshape(b - a, width)
+                out[a:b] += counts.astype(np.float32) @ made
+    return out
+
+
+def bundled(texts: list):
+    """(numbers of texts, their vectors, which have letters): a bounded number of texts at once, each of them whole."""
+    held = None
+    for step in _steps(texts):
+        of, row = np.unique([i for i, *_ in step], return_inverse=True)
+        piece, gram, parts, vectors, some = trigrams([p[1:] for p in step])
+        sums = bundle(row[piece], gram, parts, vectors, len(of))
+        lettered = np.bincount(row, some, len(of)) > 0
+        if held is not None:
+            if held[0][0] == of[0]:
+                sums[0] += held[1][0]
+                lettered[0] |= held[2][0]
+            else:
+                yield held
+        # The last text may go on in the next step.
+        yield of[:-1], sums[:-1], lettered[:-1]
+        held = of[-1:], sums[-1:], lettered[-1:]
+    if held is not None:
+        yield held
 
 
 def _profile(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[str, np.ndarray] = {}
     for part in parts:
-        langs, texts = part["lang"].tolist(), part["text"].tolist()
-        for first, rows in _steps(texts):
-            names, group = np.unique(np.array(langs[first : first + len(rows)], dtype=object).astype(str), return_inverse=True)
-            row, gram, vectors, _ = trigrams(rows)
-            if len(row):
-                for name, v in zip(names.tolist(), bundle(group[row], gram, vectors, len(names)).astype(np.float64)):
-                    sums[name] = sums.get(name, 0.0) + v
+        langs = np.array(part["lang"].tolist(), dtype=object).astype(str)
+        for step in _steps(part["text"].tolist()):
+            names, group = np.unique(langs[[i for i, *_ in step]], return_inverse=True)
+            piece, gram, letters_of, vectors, _ = trigrams([p[1:] for p in step])
+            by = np.argsort(group[piece], kind="stable")
+            for name, v in zip(names.tolist(), bundle(group[piece][by], gram[by], letters_of, vectors, len(names)).astype(np.float64)):
+                sums[name] = sums.get(name, 0.0) + v
     yield pd.DataFrame([(k, i, float(x)) for k, v in sums.items() for i, x in enumerate(v)], columns=["lang", "i", "x"]).astype({"i": "int32", "x": "float64"})
 
 
@@ -132,16 +165,14 @@ def predict_udf(names: list[str], unit: np.ndarray):
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            for first, rows in _steps(texts.tolist()):
-                for a, vectors, lettered in bundled(rows):
-                    norm = np.linalg.norm(vectors, axis=1)
-                    use = np.flatnonzero(lettered & (norm > 0)) if names else np.zeros(0, np.int64)
-                    if len(use):
-                        cosine = (vectors[use] @ unit.T) / norm[use, None]
-                        best = cosine.argmax(1)
-                        at = first + a + use
-                        pred[at] = np.array(names, object)[best]
-                        score[at] = np.clip(cosine[np.arange(len(use)), best].astype(float), 0, 1)
+            for of, vectors, lettered in bundled(texts.tolist()):
+                norm = np.linalg.norm(vectors, axis=1)
+                use = np.flatnonzero(lettered & (norm > 0)) if names else np.zeros(0, np.int64)
+                if len(use):
+                    cosine = (vectors[use] @ unit.T) / norm[use, None]
+                    best = cosine.argmax(1)
+                    pred[of[use]] = np.array(names, object)[best]
+                    score[of[use]] = np.clip(cosine[np.arange(len(use)), best].astype(float), 0, 1)
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
     return predict
@@ -150,16 +181,18 @@ def predict_udf(names: list[str], unit: np.ndarray):
 def identify(docs: DataFrame, *, folds: int = 4, fold: int = 2) -> DataFrame:
     """docs with held_out, lang_pred and score (the cosine with the nearest prototype, 0 to 1).
 
-    All columns of docs stay; the prediction uses the whole text alone. Texts
+    All columns of docs stay (a result whose name is taken gets an underscore
+    behind it); the prediction uses the whole text alone. Texts
     that are null or have no letter are `und` with score 0, as is everything
     when no document teaches. A null lang teaches nothing; a null doc_id is
-    held out. Equal cosines go to the first language by name.
+    held out. Equal cosines go to the first language by name. A text of any
+    length is read in pieces, whose sums are those of the whole.
     """
     prepare(docs.sparkSession)
     names, unit = prototypes(docs, folds, fold)
-    out = docs.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == fold, F.lit(True)))
-    out = out.withColumn("_p", predict_udf(names, unit)("text"))
-    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    out = packed(docs, id=F.col("doc_id"), text=F.col("text")).withColumn("found", predict_udf(names, unit)("text"))
+    held_out = F.coalesce(remainder("id", folds) == fold, F.lit(True))
+    return unpacked(out, docs, held_out=held_out, lang_pred=F.col("found.lang_pred"), score=F.col("found.score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
