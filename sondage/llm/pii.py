@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from math import exp
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import prepare
+from sondage.llm.common import packed, prepare, replaced, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -74,6 +75,8 @@ CUES = {
 _CUE_OF = {w: k for k, ws in CUES.items() for w in ws}
 #: Bounds of an entity: tokens, and characters.
 MOST_TOKENS, MOST_CHARS = 16, 80
+#: Tokens before an entity that its features look at, and tokens whose candidates are made at once.
+CONTEXT, TOKENS_AT_ONCE = 2, 4_000
 _JOINTS = frozenset("+-.() /")
 
 
@@ -95,11 +98,11 @@ def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text, start, end)]
 
 
-def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """(first token, token after the last, family) of spans that could be an entity: numbers, or words with an at sign."""
+def candidates(text: str, toks: list[tuple[int, int]], low: int = 0, high: int | None = None) -> list[tuple[int, int, str]]:
+    """(first token, token after the last, family) of spans that could be an entity and begin in [low, high): numbers, or words with an at sign."""
     out, n = [], len(toks)
     words = [text[s:e] for s, e in toks]
-    for i in range(n):
+    for i in range(low, n if high is None else high):
         w = words[i]
         if w[0].isdigit() or w in "+(":
             for j in range(i, min(n, i + MOST_TOKENS)):
@@ -164,10 +167,10 @@ class Field:
     def __init__(self):
         self.weights: dict[tuple[str, str], float] = defaultdict(float)
 
-    def segments(self, text: str, toks, base: Known):
-        """By end token: (start token, kind, features)."""
+    def segments(self, text: str, toks, base: Known, low: int = 0, high: int | None = None):
+        """By end token: (start token, kind, features) of the candidates that begin in [low, high)."""
         by: dict[int, list[tuple[int, str, list[str]]]] = defaultdict(list)
-        for i, j, family in candidates(text, toks):
+        for i, j, family in candidates(text, toks, low, high):
             fs = features(text, toks, i, j, family, base)
             for kind in KINDS if family == "number" else ("email",):
                 by[j].append((i, kind, fs))
@@ -177,28 +180,43 @@ class Field:
         get = self.weights.get
         return sum(get((f, kind), 0.0) for f in fs)
 
-    def best(self, text: str, toks, base: Known) -> list[tuple[str, int, int]]:
-        """The segmentation with the highest score: of each prefix, one that ends outside (0) and one that ends in an entity (1)."""
-        by = self.segments(text, toks, base)
-        if not by:
-            return []
-        n, low = len(toks), float("-inf")
-        value, back = [[0.0, low]] + [[low, low] for _ in range(n)], {}
+    def best(self, text: str, start: int, end: int, base: Known) -> list[tuple[str, int, int]]:
+        """The segmentation of text[start:end] with the highest score: of each prefix, one that ends outside (0) and one that
+        ends in an entity (1).
+
+        Candidates are made for some thousand tokens at a time, which changes
+        nothing, since they are bounded; what stays are numbers by token.
+        """
+        first, last = array("q"), array("q")
+        for m in _TOKEN.finditer(text, start, end):
+            first.append(m.start())
+            last.append(m.end())
+        n, low = len(first), float("-inf")
         after = self.weights.get(("after", ""), 0.0)
-        for j in range(1, n + 1):
-            was = 0 if value[j - 1][0] >= value[j - 1][1] else 1
-            value[j][0], back[j, 0] = value[j - 1][was], (j - 1, was, None)
-            for i, kind, fs in by.get(j, ()):
-                own = self.score(kind, fs)
-                for was, more in ((0, 0.0), (1, after)):
-                    if (total := value[i][was] + own + more) > value[j][1]:
-                        value[j][1], back[j, 1] = total, (i, was, kind)
-        out, j, was = [], n, 0 if value[n][0] >= value[n][1] else 1
+        value = array("d", [0.0, low]) + array("d", [low, low]) * n
+        # Of each prefix: how the one outside went on (0 or 1); where the entity of the other begins, its kind and what came before.
+        outside, begin, kinds, came = array("b", [0]) * (n + 1), array("q", [0]) * (n + 1), array("b", [0]) * (n + 1), array("b", [0]) * (n + 1)
+        pending: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
+        for a in range(0, n, TOKENS_AT_ONCE):
+            b, back = min(a + TOKENS_AT_ONCE, n), min(a, CONTEXT)
+            some = [(first[k], last[k]) for k in range(a - back, min(b + MOST_TOKENS + 1, n))]
+            for j, rows in self.segments(text, some, base, back, back + b - a).items():
+                for i, kind, fs in rows:
+                    pending[j + a - back].append((i + a - back, KINDS.index(kind), self.score(kind, fs)))
+            for j in range(a + 1, b + 1):
+                was = 0 if value[2 * j - 2] >= value[2 * j - 1] else 1
+                value[2 * j], outside[j] = value[2 * j - 2 + was], was
+                for i, kind, own in pending.pop(j, ()):
+                    for was, more in ((0, 0.0), (1, after)):
+                        if (total := value[2 * i + was] + own + more) > value[2 * j + 1]:
+                            value[2 * j + 1], begin[j], kinds[j], came[j] = total, i, kind, was
+        out, j, was = [], n, 0 if value[2 * n] >= value[2 * n + 1] else 1
         while j:
-            i, before, kind = back[j, was]
-            if kind:
-                out.append((kind, toks[i][0], toks[j - 1][1]))
-            j, was = i, before
+            if was:
+                out.append((KINDS[kinds[j]], first[begin[j]], last[j - 1]))
+                j, was = begin[j], came[j]
+            else:
+                j, was = j - 1, outside[j]
         return out[::-1]
 
     def fit(self, sentences: list[tuple[str, list[tuple[str, int, int]]]], *, epochs: int = 12, rate: float = 0.3, ridge: float = 1e-3) -> Field:
@@ -318,18 +336,14 @@ _ANCHOR = re.compile(r"[0-9]+|@|[\[(]\s?at\s?[\])]|\bdot\b", re.IGNORECASE)
 _SPELLED = ("(at", "[at", "( at", "[ at", "dot")
 
 
-#: Characters of a stretch that is searched at once; a longer one is cut at white space.
-STRETCH = 50_000
-
-
 def regions(text: str):
     """Stretches around the anchors that hold every candidate, from white space to white space."""
     if not (_DIGIT.search(text) or "@" in text or any(s in text.lower() for s in _SPELLED)):
         return
-    room, n = MOST_CHARS + 20, len(text)
+    room = MOST_CHARS + 20
     first = last = -1
     for m in _ANCHOR.finditer(text):
-        if first >= 0 and (m.start() - last > 2 * room or (m.start() - first > STRETCH and text[m.start() - 1].isspace())):
+        if first >= 0 and m.start() - last > 2 * room:
             yield first, last
             first = -1
         first, last = (m.start() if first < 0 else first), m.end()
@@ -354,7 +368,7 @@ def find(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
     known = Known(base)
     spans = {(k, s, e): True for k, s, e in base}
     for start, end in (widened(text, *r) for r in regions(text)):
-        for kind, s, e in field.best(text, tokens(text, start, end), known):
+        for kind, s, e in field.best(text, start, end, known):
             if not known.overlaps(s, e):
                 spans.setdefault((kind, s, e), False)
     return sorted(((k, s, e, b) for (k, s, e), b in spans.items()), key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
@@ -377,15 +391,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """docs with `pii`: the spans of personal data in each whole text, by kind and start, in code points.
 
     The spans that match a base pattern are all there, with base = true; the
-    field, which reads stretches around digits and at signs (a stretch that goes
-    on for over STRETCH characters in parts), adds others (numbers and addresses written in other ways) where no
-    base span lies. All columns of docs stay. Null and empty texts have none;
+    field, which reads stretches around digits and at signs, each of them whole
+    however long it is, adds others (numbers and addresses written in other
+    ways) where no base span lies. All columns of docs stay (if one is called
+    pii, the result is `pii_`). Null and empty texts have none;
     repeated rows have the same. The field is trained on invented sentences on
     the driver; its weights are all that is sent.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(trained())
-    return docs.withColumn("pii", find_udf(sent)("text"))
+    return unpacked(packed(docs, text=F.col("text")).withColumn("found", find_udf(sent)("text")), docs, pii=F.col("found"))
 
 
 def without(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
@@ -399,18 +414,17 @@ def without(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each stretch of personal data replaced by its kind in angle brackets; rules as in find_pii()."""
-
+    """docs with each stretch of personal data replaced by its kind in angle brackets; rules as in find_pii(). Only text changes."""
     prepare(docs.sparkSession)
     field = docs.sparkSession.sparkContext.broadcast(trained())
 
     # Finding and replacing in one function: a task needs one Python worker.
     @F.pandas_udf("string")
-    def replaced(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def rewrite(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([without(t, find(t, field.value)) if isinstance(t, str) else None for t in texts], dtype=object)
 
-    return docs.withColumn("text", replaced("text"))
+    return replaced(packed(docs, text=F.col("text")).withColumn("new", rewrite("text")), docs, "text", F.col("new"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
