@@ -20,13 +20,46 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Before Python code on executors: they get the package, and Arrow batches are of at most 8 MB from now on
-    unless the session has a limit of its own, since texts can be long."""
+    unless the session has a limit of its own, since texts can be long. The limit must still hold when a result is
+    computed, so it is not put back."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, "8m")
 
 
+#: The columns of a caller's row, as one struct.
+OWN = "_own"
+
+
+def _named(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed(docs: DataFrame, **used: Column) -> DataFrame:
+    """docs' rows as one struct OWN, beside the columns that an operator reads under names of its own: whatever docs'
+    columns are called, none of them can clash with the operator's."""
+    return docs.select(F.struct(*[_named(c) for c in docs.columns]).alias(OWN), *[c.alias(n) for n, c in used.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **results: Column) -> DataFrame:
+    """All columns of docs as they are, then the results. A result whose name docs has already, in whatever case, gets
+    as many underscores behind it as make it new."""
+    taken = {c.lower() for c in docs.columns}
+    out = [F.col(OWN).getField(c).alias(c) for c in docs.columns]
+    for name, c in results.items():
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(c.alias(name))
+    return rows.select(*out)
+
+
+def replaced(rows: DataFrame, docs: DataFrame, column: str, by: Column) -> DataFrame:
+    """All columns of docs in their order, one of them replaced."""
+    return rows.select(*[(by if c == column else F.col(OWN).getField(c)).alias(c) for c in docs.columns])
+
+
 def tidy(work):
     """The function of frames, which at its end gives back the memory that its worker would keep while idle."""
 
@@ -129,6 +162,38 @@ class Fingerprints:
         return mix((self._sums[end] - self._sums[start]) * self._down[start])
 
 
+class Residues:
+    """31-bit fingerprints of any substrings of a buffer, from prefix sums modulo a prime: independent of Fingerprints, and
+    without the weakness that sums modulo a power of 2 have against texts made for it."""
+
+    PRIME, BASE = np.uint64((1 << 31) - 1), 1_103_515_245
+    WORDS = BYTE_WORDS % PRIME
+
+    def __init__(self):
+        self._up = self._down = np.ones(1, np.uint64)
+
+    @classmethod
+    def _powers(cls, base: int, n: int) -> np.ndarray:
+        out = np.ones(n + 1, np.uint64)
+        k = 1
+        while k <= n:
+            m = min(k, n + 1 - k)
+            out[k : k + m] = out[:m] * np.uint64(pow(base, k, int(cls.PRIME))) % cls.PRIME
+            k += m
+        return out
+
+    def load(self, buf: np.ndarray) -> Residues:
+        if len(self._up) <= len(buf):
+            self._up, self._down = self._powers(self.BASE, len(buf)), self._powers(pow(self.BASE, -1, int(self.PRIME)), len(buf))
+        self._sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(self.WORDS[buf] * self._up[: len(buf)] % self.PRIME, out=self._sums[1:])
+        return self
+
+    def of(self, start: np.ndarray, end) -> np.ndarray:
+        """Of buf[start:end], for arrays of starts and ends."""
+        return (self._sums[end] - self._sums[start]) % self.PRIME * self._down[start] % self.PRIME
+
+
 # Texts as byte buffers -----------------------------------------------------------
 
 CHUNK = 500_000

@@ -10,9 +10,17 @@ same buckets, again sorted one at a time. Since only equality counts here,
 buckets are ranges of fingerprints and not of text, which keeps them alike in
 size whatever the text.
 
+A string's bucket comes from sums modulo a prime and its key within the bucket
+from other sums modulo 2**64, so two different strings count as equal with
+probability 2**-64 / buckets. Buckets grow with the text: among n strings that
+can tie, about n * n / (2**65 * buckets) are false, that is 1e-8 in 30 GB and
+under 1 in 100 TB of text with as many repeats as the check tables have.
+
 Text is packed into compressed blocks that are written once. Between blocks and
 buckets only packed arrays of fingerprints and bit maps travel; each block sends
-a fingerprint once, so very frequent strings fill no bucket.
+a fingerprint once, so very frequent strings fill no bucket. A block's keys for
+a bucket are one row, if there are any: at most as many rows as keys, however
+many blocks and buckets there are.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import Fingerprints, chunks, materialise, prepare
+from sondage.llm.common import Fingerprints, Residues, chunks, materialise, prepare
 
 BLOCK = "block long, data binary, doc_ids array<long>, sizes array<long>"
 KEYS = "kind int, bucket int, block long, keys binary"
@@ -37,6 +45,8 @@ TEXTS, COVER, WINDOWS = range(3)
 DTYPE = {TEXTS: np.dtype("V16"), COVER: np.dtype("<u4"), WINDOWS: np.dtype("<u8")}
 #: Bytes of a block of text, and of keys in a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 16_000_000
+#: Bytes that a task of a shuffle reads at most, but for a document that is longer.
+TASK_BYTES = 64_000_000
 
 
 def difference_cover(period_limit: int) -> tuple[int, np.ndarray]:
@@ -99,6 +109,7 @@ class Block:
         self.length, self.period = length, period
         self.long = np.flatnonzero(sizes >= length)
         self.prints = Fingerprints().load(self.buf) if len(self.long) else None
+        self.residues = Residues().load(self.buf) if len(self.long) else None
         most = int(sizes.max(initial=0))
         self.sample = (np.arange(0, most + period, period)[:, None] + members).ravel()
 
@@ -106,17 +117,22 @@ class Block:
         """A digest of each text that is long enough."""
         return np.array([hashlib.md5(self.raw[self.starts[i] : self.ends[i]]).digest() for i in self.long], DTYPE[TEXTS]) if len(self.long) else np.zeros(0, DTYPE[TEXTS])
 
-    def cover(self) -> tuple[np.ndarray, np.ndarray]:
-        """The cover's positions with a whole prefix in their text, and the prefixes' fingerprints."""
+    def strings(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints of the strings that start there, and what says their buckets."""
+        none = np.zeros(0, np.uint64)
+        return (self.prints.of(at, at + length), self.residues.of(at, at + length)) if len(at) else (none, none)
+
+    def cover(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The cover's positions with a whole prefix in their text, and these prefixes."""
         key = self.length - self.period + 1
         at = [self.sample[: np.searchsorted(self.sample, self.ends[i] - self.starts[i] - key, side="right")] + self.starts[i] for i in self.long]
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        return at, self.prints.of(at, at + key) if len(at) else np.zeros(0, np.uint64)
+        return at, self.strings(at, key)
 
-    def windows(self, positions: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the strings that hold one of the cover's positions, but for the texts to skip, and their fingerprints."""
+    def windows(self, positions: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Starts of the strings that hold one of the cover's positions, but for the texts to skip, and these strings."""
         if not len(positions):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), self.strings(positions, self.length)
         doc = np.searchsorted(self.ends, positions, side="right")
         low = np.maximum(positions - self.period + 1, self.starts[doc])
         high = np.minimum(positions, self.ends[doc] - self.length)
@@ -125,18 +141,15 @@ class Block:
         np.add.at(step, low[ok], 1)
         np.add.at(step, high[ok] + 1, -1)
         at = np.flatnonzero(np.cumsum(step) > 0)
-        return at, self.prints.of(at, at + self.length)
-
-
-def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
-    return ((prints >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        return at, self.strings(at, self.length)
 
 
 class Sent:
     """The distinct keys of one kind that a block sends, by bucket, and the answers for its positions."""
 
-    def __init__(self, kind: int, prints: np.ndarray, buckets: int):
+    def __init__(self, kind: int, strings: np.ndarray | tuple[np.ndarray, np.ndarray], buckets: int):
         self.kind, self.buckets = kind, buckets
+        prints, residues = (strings, None) if kind == TEXTS else strings
         if kind == TEXTS:
             halves = prints.view(np.uint64).reshape(-1, 2)
             order = np.lexsort((halves[:, 1], halves[:, 0]))
@@ -147,13 +160,19 @@ class Sent:
             self.number[order] = np.cumsum(new) - 1
             self.first = order[new]  # the first of equal ones, since lexsort is stable
             self.keys = self.keys[new]
-            where = bucket_of(self.keys[:, 0], buckets)
+            where = ((self.keys[:, 0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         else:
-            whole = prints if kind == WINDOWS else bucket_of(prints, buckets) << np.uint64(32) | prints & np.uint64(0xFFFFFFFF)
-            self.keys, self.number = np.unique(whole, return_inverse=True)
-            where = bucket_of(self.keys, buckets) if kind == WINDOWS else self.keys >> np.uint64(32)
+            bucket = (residues * np.uint64(buckets)) >> np.uint64(31)
             if kind == COVER:
-                self.keys = self.keys & np.uint64(0xFFFFFFFF)
+                self.keys, self.number = np.unique(bucket << np.uint64(32) | prints & np.uint64(0xFFFFFFFF), return_inverse=True)
+                where, self.keys = self.keys >> np.uint64(32), self.keys & np.uint64(0xFFFFFFFF)
+            else:
+                # In a block two strings with one fingerprint are taken for equal, wherever their buckets are.
+                self.keys, first, number = np.unique(prints, return_index=True, return_inverse=True)
+                order = np.argsort(bucket[first], kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                self.keys, where, self.number = self.keys[order], bucket[first][order], place[number]
         self.own = np.bincount(self.number, minlength=len(self.keys)) > 1
         self.bounds = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
 
@@ -200,8 +219,8 @@ def repeated_strings(docs: DataFrame, *, length: int = 400) -> DataFrame:
     Null texts are empty; texts shorter than length stay whole. Repeated rows
     are texts of their own, so a text of at least length bytes that occurs twice
     goes entirely. A null doc_id stays null. Extra columns are ignored; without
-    rows there are no rows. Strings are equal if 64-bit fingerprints within a
-    bucket of them are.
+    rows there are no rows. Strings are equal if their fingerprints are, of 64
+    bits within a bucket of them.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -212,6 +231,11 @@ def repeated_strings(docs: DataFrame, *, length: int = 400) -> DataFrame:
     # Were every string of the text a key, no bucket would hold more than four times BUCKET_BYTES.
     buckets = max(spread, -(-total * 2 // BUCKET_BYTES))
     of = lambda r: Block(r.data, r.sizes, length, period, members)
+    # Where the session's number of partitions would make large tasks, there are more.
+    tasks = -(-total // TASK_BYTES)
+    dealt = lambda df, *keys: df.repartition(tasks, *keys) if tasks * 8 > spread else df
+    sorted_ = lambda df: dealt(df, "kind", "bucket").groupBy("kind", "bucket").applyInPandas(sort_bucket, FLAGS)
+    by_block = lambda df: dealt(df, "block").groupBy("block")
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -262,10 +286,10 @@ def repeated_strings(docs: DataFrame, *, length: int = 400) -> DataFrame:
                 out.append((doc_id, b"".join(b.raw[x:y] for x, y in stay), spans))
         return pd.DataFrame(out, columns=["doc_id", "kept", "spans"])
 
-    flags = materialise(blocks.mapInPandas(emit, KEYS).groupBy("kind", "bucket").applyInPandas(sort_bucket, FLAGS), "flags")
-    joined = blocks.groupBy("block").cogroup(flags.groupBy("block"))
-    more = materialise(joined.applyInPandas(emit_ties, KEYS).groupBy("kind", "bucket").applyInPandas(sort_bucket, FLAGS), "more_flags")
-    return blocks.groupBy("block").cogroup(flags.unionByName(more).groupBy("block")).applyInPandas(cut, RESULT)
+    flags = materialise(sorted_(blocks.mapInPandas(emit, KEYS)), "flags")
+    joined = by_block(blocks).cogroup(by_block(flags))
+    more = materialise(sorted_(joined.applyInPandas(emit_ties, KEYS)), "more_flags")
+    return by_block(blocks).cogroup(by_block(flags.unionByName(more))).applyInPandas(cut, RESULT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
