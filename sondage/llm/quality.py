@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import SPACE, Fingerprints, chunks, joined, prepare, remainder, runs
+from sondage.llm.common import Fingerprints, OWN, SPACE, chunks, joined, packed, prepare, remainder, runs, unpacked
 
 #: Classes of bytes, and the class of each byte.
 CLASSES = ("space", "newline", "digit", "upper", "lower", "sentence", "mark", "other")
@@ -143,16 +143,20 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 80, depth: int = 4, rate:
 def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, folds: int = 5, **options) -> Trees:
     """Trees fitted on labelled documents whose crc32(doc_id as text) mod folds is not 0.
 
-    A sample of about train_rows labelled rows is used at most, taken by a hash
-    of doc_id; only its statistics reach the driver. Null labels and null
-    doc_ids teach nothing; an id that has several labels or rows counts for each.
+    A sample of train_rows labelled rows is used at most, taken by hashes: of
+    about as many ids first, then of their rows, since an id can have many.
+    Only the sample's statistics reach the driver. Null labels and null doc_ids
+    teach nothing; an id with several labels or rows counts for each, but equal
+    labels of an id count once.
     """
-    usable = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where(F.col("y").isNotNull() & (remainder("doc_id", folds) != 0))
+    y = (F.col("quality").cast("double") > 0).cast("double").alias("y")
+    usable = labels.select(F.col("doc_id").alias("id"), y).where(F.col("y").isNotNull() & (remainder("id", folds) != 0)).distinct()
     n = usable.count()
     if n > train_rows:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (train_rows / n)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # at most train_rows rows
-    table = rows.select("y", features_udf()("text").alias("x")).toPandas()
+        usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * (train_rows / n)))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(F.broadcast(usable), "id")  # about train_rows rows
+    order = F.xxhash64("id", "text", "y")
+    table = rows.select("y", features_udf()("text").alias("x"), order.alias("h")).orderBy("h").limit(train_rows).toPandas()
     if table.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(table["x"].to_numpy()).astype(float), (table["y"].to_numpy() > 0).astype(float)
@@ -180,7 +184,8 @@ def score_udf(trees: Trees):
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds: int = 5, **options) -> DataFrame:
     """docs with held_out, score (0 to 1, higher is better) and predicted (1 if score >= threshold).
 
-    All columns of docs stay; the score comes from the whole text alone. Null
+    All columns of docs stay (a result whose name is taken gets an underscore
+    behind it); the score comes from the whole text alone. Null
     and empty texts have all statistics 0 and the score that these get. A null
     doc_id counts as held out. Repeated rows get the same score. Without usable
     labels, or with one class only, every score is the prior of the labels (0.5
@@ -188,9 +193,15 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, fold
     """
     prepare(docs.sparkSession)
     trees = train(docs, labels, folds=folds, **options)
-    out = docs.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == 0, F.lit(True)))
-    out = out.withColumn("score", score_udf(trees)("text"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = packed(docs, id=F.col("doc_id"), text=F.col("text")).withColumn("score", score_udf(trees)("text"))
+    held_out = F.coalesce(remainder("id", folds) == 0, F.lit(True))
+    return unpacked(out, docs, held_out=held_out, score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs without those that classify() predicts as 0; their columns stay as they are."""
+    found = classify(packed(docs, doc_id=F.col("doc_id"), text=F.col("text")), labels, **options)
+    return found.where("predicted = 1").select(*[F.col(OWN).getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
