@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import Fingerprints, chunks, joined, materialise, prepare, runs
+from sondage.llm.common import Fingerprints, chunks, joined, materialise, packed, prepare, replaced, runs, unpacked
 
 #: Bytes of words: digits, letters and everything beyond ASCII; A-Z are lower-cased.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -240,8 +240,15 @@ def search(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words:
 
     Null and empty texts have no words, and items without words no windows.
     Repeated items change nothing; an item whose id is null is named `null`.
-    Without items nothing is hit. Other columns of docs stay.
+    Without items nothing is hit. All columns of docs stay (if one is called
+    found, the result is `found_`).
     """
+    found = _searched(packed(docs, text=F.col("text")), items, window, block_words)
+    return unpacked(found, docs, found=F.col("found"))
+
+
+def _searched(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """docs (packed rows with their text) with `found`."""
     blocks, automaton = _automata(docs, items, window, block_words)
     if blocks == 1:
         return docs.withColumn("found", _search_udf(automaton(0))("text"))
@@ -267,17 +274,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_wo
 
     Documents with more than max_words hit words lose these (the bytes from the
     first to the last word of each hit run); those of which more than
-    max_coverage of the words are hit go. Others stay as they are. Nulls as in
-    search().
+    max_coverage of the words are hit go. Others stay as they are, as do all
+    other columns whatever their names. Nulls as in search().
     """
-    blocks, automaton = _automata(docs, items, window, block_words)
+    rows = packed(docs, text=F.col("text"))
+    blocks, automaton = _automata(rows, items, window, block_words)
     if blocks == 1:
-        out = docs.withColumn("_c", _clean_udf(automaton(0), max_words, max_coverage)("text")).where("_c.keep")
-        return out.withColumn("text", F.col("_c.text")).select(*docs.columns)
-    out = search(docs, items, window=window, block_words=block_words).withColumn("_hit", hit_words())
-    out = out.where(F.col("_hit") <= F.col("found.n_words") * max_coverage)
-    clean = F.when(F.col("_hit") > max_words, F.pandas_udf(_cut, "string")("text", "found.cuts")).otherwise(F.col("text"))
-    return out.withColumn("text", clean).select(*docs.columns)
+        out = rows.withColumn("clean", _clean_udf(automaton(0), max_words, max_coverage)("text")).where("clean.keep")
+        return replaced(out, docs, "text", F.col("clean.text"))
+    out = _searched(rows, items, window, block_words).withColumn("hit", hit_words())
+    out = out.where(F.col("hit") <= F.col("found.n_words") * max_coverage)
+    clean = F.when(F.col("hit") > max_words, F.pandas_udf(_cut, "string")("text", "found.cuts")).otherwise(F.col("text"))
+    return replaced(out, docs, "text", clean)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sondage.llm.common import SPACE, Fingerprints, prepare, chunks, components, forest, joined, materialise, mix, node_key, node_number, runs, tidy, whole_groups
+from sondage.llm.common import Fingerprints, SPACE, chunks, components, forest, joined, materialise, mix, node_key, node_number, packed, prepare, runs, tidy, unpacked, whole_groups
 
 WORDS, THRESHOLD = 5, 0.8
 #: Registers of a sketch: BANDS bands of ROWS; a pair at the threshold shares no band with probability (1 - 0.8**4)**20 < 3e-5.
@@ -313,21 +313,22 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document of each class; rules as in near_duplicates().
 
     Rows that repeat a kept document's doc_id and text go as well; documents
-    with a null doc_id or text stay.
+    with a null doc_id or text stay. All columns stay, whatever their names.
     """
     found = materialise(near_duplicates(docs, **options).where("doc_id IS NOT NULL"), "classes")
-    keys = ["_id", "_h1", "_h2"]
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
-    hashed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    keys = ["id", "h1", "h2"]
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("id"), "h1", "h2").distinct()
+    text = F.col("text")
+    hashed = packed(docs, id=F.col("doc_id").cast("long"), h1=F.xxhash64(text), h2=F.xxhash64(F.lit(1), text), empty=text.isNull())
     gone = materialise(gone, "gone")
     bits = materialise(bitmap(gone, keys), "bits")
     # Only documents that may go are shuffled.
     out = by_bitmap(hashed, bits, keys, True).join(gone, keys, "left_anti").unionByName(by_bitmap(hashed, bits, keys, False))
     again = found.where("kept").groupBy("doc_id", "h1", "h2").count().where("count > 1").limit(1).count()
     if again:
-        named = out.where("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(keys)
-        out = named.unionByName(out.where("doc_id IS NULL OR text IS NULL"))
-    return out.drop(*keys)
+        named = out.where("id IS NOT NULL AND NOT empty").dropDuplicates(keys)
+        out = named.unionByName(out.where("id IS NULL OR empty"))
+    return unpacked(out, docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sondage.llm.common import materialise
+from sondage.llm.common import OWN, materialise, packed, unpacked
 
 #: Bits of the hash that each level of buckets adds; the last level is the whole hash.
 LEVELS = (8, 16, 24, 32, 60)
@@ -105,14 +105,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3
 
 
 def mixture(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
-    """The documents that the mix takes, with all their columns and how often it takes them (copies); rules as in mix()."""
-    own = [c for c in docs.columns if c != "copies"]
+    """The documents that the mix takes, with all their columns and how often it takes them: copies, or `copies_` if docs
+    has a column of that name; rules as in mix()."""
     plain = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
     rows = materialise(marked(plain).select("source", "size", "h", "key"), "sizes")
     goal = thresholds(rows, weights, cap, share).select("key", "whole", "threshold")
-    # The documents' own columns travel as one, so that none of their names can clash.
-    whole = docs.select(F.struct(*own).alias("doc"), "doc_id", "text", F.col("source").cast("string").alias("source"))
-    return taken(marked(whole).select("doc", "size", "h", "key"), goal).where("copies > 0").select("doc.*", "copies")
+    whole = packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source").cast("string"))
+    rows = taken(marked(whole).select(OWN, "size", "h", "key"), goal).where("copies > 0")
+    return unpacked(rows, docs, copies=F.col("copies"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,12 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import prepare
+from sondage.llm.common import packed, prepare, unpacked
 
 #: The mark that stands for a space, and what an unknown character costs beside the lowest score.
 MARK = "▁"
 UNKNOWN_COST = 10.0
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of the memo of a task's words; it is emptied when full.
 MEMO = 400_000
 
@@ -31,8 +30,13 @@ class Vocabulary:
     prefix: bool = True
 
 
-def load(model_file: str = MODEL) -> Vocabulary:
-    """The normal pieces of a tokenizer file, with their scores read as unigram scores."""
+def load(model_file: str) -> Vocabulary:
+    """The normal pieces of a tokenizer file, with their scores read as unigram scores.
+
+    A file whose own algorithm is another (merges of pairs) counts here as a
+    unigram model with those scores: counts are exact for that model, and not
+    those of the file's own algorithm.
+    """
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -136,17 +140,22 @@ def count_udf(vocabulary):
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """docs with n_tokens and score (of the best path) of each whole text.
 
-    All columns of docs stay. Null and empty texts have no tokens and score 0;
+    All columns of docs stay (a result whose name is taken gets an underscore
+    behind it). Null and empty texts have no tokens and score 0;
     without byte pieces an unknown character counts as one token. Repeated rows
     count alike. The vocabulary, whose size the tokenizer file fixes, is the
     only thing that is sent to the executors.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    out = docs.withColumn("_t", count_udf(sent)("text"))
-    return out.withColumns({"n_tokens": F.col("_t.n_tokens"), "score": F.col("_t.score")}).drop("_t")
+    out = packed(docs, text=F.col("text")).withColumn("found", count_udf(sent)("text"))
+    return unpacked(out, docs, n_tokens=F.col("found.n_tokens"), score=F.col("found.score"))
+
+
+#: The vocabulary file that the query reads.
+QUERY_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def query(spark, sf_dir: str, model_file: str = MODEL) -> DataFrame:
+def query(spark, sf_dir: str, model_file: str = QUERY_MODEL) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return count_tokens(docs, load(model_file)).select("doc_id", "n_tokens", "score")

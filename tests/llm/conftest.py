@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; a table may have them too.
-CLASHES = ["size", "h", "key", "score", "found", "node", "pii", "copies", "predicted", "held_out", "bands", "block", "data", "kept", "label", "y", "t", "n"]
+CLASHES = ["size", "h", "key", "score", "found", "node", "pii", "copies", "predicted", "held_out", "bands", "block", "data", "kept", "label", "y", "t", "n", "n_tokens", "_own", "_t", "_id", "h1", "id", "lang_pred", "row", "clean", "new", "low"]
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven bright birds sing near old river stones under pale morning light".split()
 

@@ -25,6 +25,10 @@ def test_agrees_with_sql(name, agree):
     agree(QUERIES[name], SQL[name])
 
 
+def own_columns_stay(rows):
+    return all(r[c] == i for r in rows for i, c in enumerate(CLASHES))
+
+
 # 1 -----------------------------------------------------------------------------------
 
 
@@ -89,7 +93,7 @@ def test_chunk_framing():
 def test_token_counts_are_the_tokenizers():
     from tokenizers import Tokenizer, models
 
-    v = tokens.load()
+    v = tokens.load(tokens.QUERY_MODEL)
     c = tokens.Counter(v)
     theirs = Tokenizer(models.Unigram([("<unk>", 0.0), *v.scores.items(), *[(f"<0x{i:02X}>", 0.0) for i in range(256)]], unk_id=0, byte_fallback=True))
     r = random.Random(2)
@@ -116,9 +120,10 @@ def test_token_search_against_all_segmentations():
 
 
 def test_token_counts_awkward(awkward, nothing):
-    v = tokens.load()
-    rows = tokens.count_tokens(awkward.drop("score"), v).collect()
-    assert len(rows) == 16 and all((r.n_tokens == 0) == (not r.text) for r in rows) and rows[0].label == CLASHES.index("label")
+    v = tokens.load(tokens.QUERY_MODEL)
+    rows = tokens.count_tokens(awkward, v).collect()
+    assert len(rows) == 16 and all((r.n_tokens_ == 0) == (not r.text) for r in rows) and own_columns_stay(rows)
+    assert all((r.score_ == 0) == (not r.text) for r in rows)
     assert tokens.count_tokens(nothing, v).count() == 0
 
 
@@ -228,7 +233,7 @@ def test_near_duplicates_awkward(spark, awkward, nothing):
     assert rows[2] == {(1, False)} and rows[7] == {(6, False)} and rows[11] == {(10, False)} and rows[3] == {(3, True)} and rows[4] == {(4, True)} and rows[5] == {(5, True)} and rows[8] == {(8, True)} and rows[None] == {(None, True)}
     assert minhash.near_duplicates(nothing).count() == 0
     kept = minhash.keep_one(awkward).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [1, 3, 4, 5, None, None, 6, 8, 9, 10, 12, 13])) and kept[0].label == CLASHES.index("label")
+    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [1, 3, 4, 5, None, None, 6, 8, 9, 10, 12, 13])) and own_columns_stay(kept)
     assert minhash.keep_one(nothing).count() == 0
 
 
@@ -278,7 +283,7 @@ def test_mix_awkward(spark, awkward, nothing):
     assert len(rows) == 16 and {r.taken for r in rows if not r.size} == {0}
     assert sum(r.size for r in rows if r.source is None) == [r.source_size for r in rows if r.source is None][0]
     out = mixing.mixture(awkward)
-    assert set(out.columns) == set(awkward.columns) and out.where("text IS NULL AND copies > 3").count() == 0
+    assert out.columns == [*awkward.columns, "copies_"] and out.where("text IS NULL AND copies_ > 3").count() == 0 and own_columns_stay(out.collect())
     assert mixing.mix(nothing).count() == 0 and mixing.mixture(nothing).count() == 0
 
 
@@ -321,7 +326,9 @@ def test_field_adds_what_patterns_miss():
 
 
 def test_pii_awkward(awkward, nothing):
-    rows = {r.doc_id: r for r in pii.redact(awkward.drop("pii")).collect()}
+    assert own_columns_stay(pii.redact(awkward).collect()) and own_columns_stay(pii.find_pii(awkward).collect())
+    assert {r.doc_id: len(r.pii_) for r in pii.find_pii(awkward).collect()}[12] == 4
+    rows = {r.doc_id: r for r in pii.redact(awkward).collect()}
     assert rows[12].text == "<EMAIL> <PHONE> <CARD> <IP>" and rows[3].text is None and rows[4].text == "" and rows[9].text == "été à la forêt ñ ß 日本語 🙂"
     assert pii.find_pii(nothing).count() == 0 and pii.redact(nothing).count() == 0
 
@@ -397,10 +404,14 @@ def test_language_on_held_out(spark, small):
     assert (held.lang == held.lang_pred).mean() > 0.97 and rows.score.between(0, 1).all()
 
 
-def test_language_vectors_are_the_definition():
+@pytest.mark.parametrize("step, grams", [(500_000, 8192), (2, 8192), (3, 2)])
+def test_language_vectors_are_the_definition(monkeypatch, step, grams):
     text = "Abc été"
-    row, gram, vectors, _ = langid.trigrams([text.lower()])
-    got = langid.bundle(row, gram, vectors, 1)[0]
+    monkeypatch.setattr(langid, "STEP", step)
+    monkeypatch.setattr(langid, "GRAMS", grams)
+    found = list(langid.bundled([None, text, "", text + " x"]))
+    assert [i for of, _, _ in found for i in of] == [0, 1, 2, 3] and [bool(x) for _, _, some in found for x in some] == [False, True, False, True]
+    got = np.concatenate([v for _, v, _ in found])[1]
     want = np.zeros(langid.DIM)
     for word in text.lower().split():
         codes = np.array([0, *map(ord, word), 0], np.uint32)
@@ -411,10 +422,11 @@ def test_language_vectors_are_the_definition():
 
 
 def test_language_awkward(awkward, nothing):
-    rows = langid.identify(awkward.drop("score", "held_out")).collect()
-    assert len(rows) == 16 and all(r.lang_pred == "und" and r.score == 0 for r in rows if not r.text or not any(map(str.isalpha, r.text)))
+    rows = langid.identify(awkward).collect()
+    assert len(rows) == 16 and all(r.lang_pred_ == "und" and r.score_ == 0 for r in rows if not r.text or not any(map(str.isalpha, r.text)))
+    assert own_columns_stay(rows) and {r.held_out_ for r in rows if r.doc_id is None} == {True}
     assert langid.identify(nothing).count() == 0
-    assert {r.lang_pred for r in langid.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert {r.lang_pred_ for r in langid.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
 # 8 -----------------------------------------------------------------------------------
@@ -510,7 +522,12 @@ def test_decontamination_cuts(spark, block_words):
 
 def test_decontamination_awkward(spark, awkward, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
-    assert decontam.decontaminate(awkward, none).count() == 16 and decontam.search(awkward.drop("found"), none).count() == 16
+    assert decontam.decontaminate(awkward, none).count() == 16 and own_columns_stay(decontam.search(awkward, none).collect())
+    items = spark.createDataFrame([(1, prose(2, 120)), (2, "the the")], "item_id long, text string")
+    for block_words in (250_000, 5):
+        assert {r.doc_id for r in decontam.search(awkward, items, block_words=block_words).where("size(found_.items) > 0").collect()} == {1, 2}
+        left = decontam.decontaminate(awkward, items, block_words=block_words).collect()
+        assert own_columns_stay(left) and len(left) == 14
     assert decontam.search(nothing, none).count() == 0 and decontam.decontaminate(awkward, none).columns == awkward.columns
 
 
@@ -549,7 +566,146 @@ def test_quality_on_held_out(spark):
 
 def test_quality_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1), (10, 0), (8, 1), (8, 0), (None, 1), (12, None), (99, 0)], "doc_id long, quality int")
-    rows = quality.classify(awkward.drop("score", "predicted", "held_out"), labels).collect()
-    assert len(rows) == 16 and all(0 <= r.score <= 1 for r in rows) and [r.held_out for r in rows if r.doc_id is None] == [True, True]
+    rows = quality.classify(awkward, labels).collect()
+    assert len(rows) == 16 and all(0 <= r.score_ <= 1 for r in rows) and [r.held_out_ for r in rows if r.doc_id is None] == [True, True] and own_columns_stay(rows)
     assert quality.classify(nothing, labels).count() == 0
-    assert {r.score for r in quality.classify(awkward, labels.limit(0)).collect()} == {0.5}
+    assert {r.score_ for r in quality.classify(awkward, labels.limit(0)).collect()} == {0.5}
+    assert own_columns_stay(quality.keep_good(awkward, labels).collect())
+
+
+def test_quality_sample_has_a_bound(spark, monkeypatch):
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, **o: seen.append(len(y)) or fit(x, y, **o))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0)] + [(i, i % 2) for i in range(2, 60)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(i, prose(i, 20)) for i in range(2, 60)], "doc_id long, text string")
+    quality.train(docs, labels, train_rows=50)
+    quality.train(docs, labels)
+    assert seen[0] == min(50, seen[0]) and seen[1] > 600
+
+
+def brute_split(x, y, g, h, edges, least, ridge):
+    """The best gain of one node over all features and cuts."""
+    best = 0.0
+    for f in range(x.shape[1]):
+        for e in edges[f]:
+            left = x[:, f] <= e
+            if h[left].sum() >= least and h[~left].sum() >= least:
+                gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + ridge)
+                best = max(best, gain(left) + gain(~left) - gain(np.ones(len(y), bool)))
+    return best
+
+
+def test_each_split_has_the_best_gain():
+    r = np.random.Generator(np.random.PCG64(34))
+    x = r.integers(0, 9, (200, 3)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 2] > 6) ^ (r.random(200) < 0.1)).astype(float)
+    import inspect
+
+    given = {k: v.default for k, v in inspect.signature(quality.fit).parameters.items()}
+    t = quality.fit(x, y, rounds=1, depth=2)
+    p = 1 / (1 + np.exp(-t.start))
+    g, h = y - p, np.full(200, p * (1 - p))
+    edges = [np.arange(9.0)] * 3  # a cut between two values is one at the lower of them
+    at = np.zeros(200, int)
+    for node, rows in ((0, np.ones(200, bool)), (1, None), (2, None)):
+        rows = rows if rows is not None else at == node
+        f, c = t.feature[0][node], t.threshold[0][node]
+        left = rows & (x[:, f] <= c)
+        right = rows & ~left
+        gain = sum(g[m].sum() ** 2 / (h[m].sum() + given["ridge"]) for m in (left, right)) - g[rows].sum() ** 2 / (h[rows].sum() + given["ridge"])
+        assert gain == pytest.approx(brute_split(x[rows], y[rows], g[rows], h[rows], edges, given["least"], given["ridge"]))
+        if node == 0:
+            at = np.where(left, 1, 2)
+
+
+def test_language_predictions_against_brute_force(spark):
+    texts = {"aa": ["kala mala tala"] * 3, "bb": ["the fox jumps over"] * 3, "cc": ["ñandú año señor"] * 3}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, f"{t} {k}") for lang, ts in texts.items() for k, t in enumerate(ts))]
+    rows += [(100 + k, t, None) for k, t in enumerate(["mala kala", "a fox", "señor año the", "12", ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(df).collect()
+
+    def vector(text):
+        total = np.zeros(langid.DIM)
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            v = langid.letter_vectors(np.array([0, *map(ord, word), 0], np.uint32)).astype(float)
+            for i in range(len(v) - 2):
+                total += np.roll(v[i], 2) * np.roll(v[i + 1], 1) * v[i + 2]
+        return total
+
+    import zlib
+
+    proto = {}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            proto[lang] = proto.get(lang, 0) + vector(t)
+    for r in out:
+        v = vector(r.text)
+        best = max((v @ p / np.linalg.norm(v) / np.linalg.norm(p), lang) for lang, p in proto.items()) if v.any() else (0, "und")
+        assert r.lang_pred == best[1] and r.score == pytest.approx(max(best[0], 0), abs=1e-5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_language_memory_has_a_bound():
+    import tracemalloc
+
+    r = random.Random(33)
+    text = "".join(chr(0x4E00 + r.randrange(20000)) for _ in range(300_000))
+    langid.letters()
+    tracemalloc.start()
+    [(of, vectors, _)] = [b for b in langid.bundled([text]) if len(b[0])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and vectors.shape == (1, langid.DIM)
+
+
+def enumerated(field, text, base):
+    """The best segmentation by trying all of them."""
+    toks = pii.tokens(text, 0, len(text))
+    by_start = collections.defaultdict(list)
+    for j, found in field.segments(text, toks, base).items():
+        for i, kind, fs in found:
+            by_start[i].append((j, kind, field.score(kind, fs)))
+    after = field.weights.get(("after", ""), 0.0)
+
+    def best(i, was):
+        if i == len(toks):
+            return 0.0, ()
+        return max([best(i + 1, 0)] + [(s + own + (after if was else 0.0), ((kind, toks[i][0], toks[j - 1][1]), *rest)) for j, kind, own in by_start[i] for s, rest in [best(j, 1)]], key=lambda x: x[0])
+
+    return best(0, 0)
+
+
+def test_field_search_against_all_segmentations():
+    field, r = pii.trained(), random.Random(31)
+    for _ in range(60):
+        text = " ".join(r.choice(["(555) 123-4567", "4111111111111111", "ann at mail dot com", "10.0.0.1", "x", "20", "card", "+1 555", "5555", "a@b.co"]) for _ in range(r.randint(1, 4)))
+        base = pii.Known(pii.base_spans(text))
+        total, spans = enumerated(field, text, base)
+        got = field.best(text, 0, len(text), base)
+        toks = pii.tokens(text, 0, len(text))
+        score = {(k, toks[i][0], toks[j - 1][1]): field.score(k, fs) for j, found in field.segments(text, toks, base).items() for i, k, fs in found}
+        next_to = sum(any(b[1] == toks[t + 1][0] for b in got) for a in got for t in [next(t for t, x in enumerate(toks) if x[1] == a[2])] if t + 1 < len(toks))
+        assert sum(score[g] for g in got) + next_to * field.weights.get(("after", ""), 0.0) == pytest.approx(total), text
+
+
+def test_long_stretches_are_searched_whole(monkeypatch):
+    field, r = pii.trained(), random.Random(32)
+    parts = ["(555) 123-4567", "ann at mail dot com", "12 34 56 78", "4111111111111111 5500005555555559", "10.0.0.1", "call me at 20"]
+    text = " ".join(r.choice(parts) for _ in range(12_000))
+    assert len(text) > 170_000
+    known = pii.find(text, field)
+    monkeypatch.setattr(pii, "TOKENS_AT_ONCE", 10**9)
+    assert known == pii.find(text, field) and sum(not b for *_, b in known) > 1000
+
+
+def test_residues_are_of_the_substring():
+    r = np.random.Generator(np.random.PCG64(30))
+    buf = r.integers(0, 4, 5000).astype(np.uint8)
+    buf[3000:3700] = buf[100:800]
+    p = common.Residues().load(buf)
+    a, b = np.arange(100, 500), np.arange(3000, 3400)
+    assert (p.of(a, a + 300) == p.of(b, b + 300)).all() and (p.of(a, a + 300) < 2**31 - 1).all()
+    assert len(np.unique(p.of(np.arange(2000), np.arange(2000) + 60))) > 1990
+    words = [int(common.Residues.WORDS[x]) for x in buf[7:20]]
+    assert int(p.of(np.array([7]), np.array([20]))[0]) == sum(w * pow(common.Residues.BASE, k, 2**31 - 1) for k, w in enumerate(words)) % (2**31 - 1)
