@@ -3,6 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
 columns of documents; the last adds `copies`, how often the mix takes a document.
+
+Further columns of documents stay as they are, whatever their names; if one is
+called copies, the mix adds `copies_`. A null or empty text is scored by the
+quality stage like any other; it is in no class of near duplicates unless equal
+texts are, holds no passages and no personal data, and the mix takes it 0 times
+more than its source's whole rounds. A null doc_id is in no class and always
+stays. Repeated rows (doc_id and text) are one document after the second stage.
+Very long texts go through every stage whole. n_chars is the text's length after
+the third and fourth stages, and null for a null text. Without documents every
+stage returns none.
 """
 
 from __future__ import annotations
@@ -16,33 +26,31 @@ from sondage.llm.common import materialise
 LEAST_QUALITY = 0.3
 
 
-def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
+def _with_length(docs: DataFrame) -> DataFrame:
     """n_chars follows a text that has changed."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the trees reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    # The documents' own columns travel as one, so that none of their names can clash.
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
-    return quality.classify(whole, labels, threshold=LEAST_QUALITY).where("predicted = 1").select("doc.*")
+    return quality.keep_good(docs, labels, threshold=LEAST_QUALITY)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id stays."""
-    return minhash.keep_one(docs).select(*docs.columns)
+    return minhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly such passages go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _with_length(decontam.decontaminate(docs, items), docs.columns)
+    return _with_length(decontam.decontaminate(docs, items))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind in angle brackets."""
-    return _with_length(pii.redact(docs), docs.columns)
+    return _with_length(pii.redact(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
