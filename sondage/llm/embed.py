@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import components, forest, materialise, mix, node_key, node_number, prepare, whole_groups
+from sondage.llm.common import bitmap, by_bitmap, components, forest, materialise, mix, prepare, whole_groups
 
-#: Members of a bucket's part; a larger bucket is compared part by part, each pair of parts in its own group.
-PART = 1024
-GROUP = ["t", "key", "dim", "low", "high"]
+#: Members of a bucket that are compared by codes alone, and of a part of a larger one, each pair of parts in its own group.
+SMALL, PART = 32, 1024
+BUCKET = ["t", "key", "dim"]
+#: A bucket's key among those of a node's large buckets, -1 for none.
+KEY = np.dtype(">i4")
 #: How many deviations the confidence bound allows an estimate.
 SIGMAS = 4.5
 #: Chance that a pair right at the threshold meets in some bucket.
@@ -37,8 +39,22 @@ def tables(n: int, threshold: float) -> tuple[int, int]:
     return bits, max(1, ceil(log(1 - RECALL) / log(1 - same)))
 
 
-def encode(unit: np.ndarray, bits: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sign codes in the first rotation, their correction factors, and the bucket keys of each table."""
+def nibbles(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in four bits a component, two of them in a byte, with each row's lowest value and step."""
+    low, high = turned.min(1), turned.max(1)
+    step = np.maximum((high - low) / 15, 1e-12)
+    q = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    q = np.pad(q, ((0, 0), (0, q.shape[1] % 2)))
+    return q[:, ::2] << 4 | q[:, 1::2], low.astype(np.float32), step.astype(np.float32)
+
+
+def widened(packed: np.ndarray, low: np.ndarray, step: np.ndarray, dim: int) -> np.ndarray:
+    q = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)[:, :dim]
+    return q * step[:, None] + low[:, None]
+
+
+def encode(unit: np.ndarray, bits: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sign codes in the first rotation, their correction factors, the rows in that rotation, and the bucket keys of each table."""
     dim = unit.shape[1]
     turned = unit @ rotations(dim, max(1, ceil(bits * count / dim)))
     signs = turned > 0
@@ -47,65 +63,99 @@ def encode(unit: np.ndarray, bits: int, count: int) -> tuple[np.ndarray, np.ndar
     padded[:, :, : min(bits, 64)] = signs[:, : bits * count].reshape(len(unit), count, bits)[:, :, :64]
     words = np.packbits(padded, axis=2).view(np.uint64)[:, :, 0]
     keys = (mix(words) & np.uint64(0x7FFFFFFF)).astype(np.int32)
-    return np.packbits(signs[:, :dim], axis=1), factor.astype(np.float32), keys
+    return np.packbits(signs[:, :dim], axis=1), factor.astype(np.float32), turned[:, :dim].astype(np.float32), keys
+
+
+def signs_of(codes, dim: int) -> np.ndarray:
+    """Unit vectors of sign codes."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    return (np.unpackbits(raw, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(dim**0.5)
+
+
+def bounds(factor: np.ndarray, dim: int, step: np.ndarray | float = 0.0) -> np.ndarray:
+    """By how much an estimate may fall short: SIGMAS deviations, those of the code given its factor and of a rounding to steps.
+    Nothing is estimated in one dimension."""
+    if dim == 1:
+        return np.full(len(factor), 9, np.float32)
+    code = np.maximum(0, 1 - factor**2) / (dim - 1)
+    return (SIGMAS * np.sqrt(code + np.square(step) / 12) / np.maximum(factor, 1e-6)).astype(np.float32)
 
 
 class Members:
-    """Rows of some buckets, with what estimates and exact values need."""
+    """Rows of one large bucket, with what estimates and exact values need."""
 
     def __init__(self, rows: pd.DataFrame, dim: int, count: int):
-        self.node = rows["node"].to_numpy()
+        self.id = rows["id"].to_numpy()
         self.mult = rows["mult"].to_numpy()
-        raw = np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(-1, dim)
-        self.unit = raw
-        self.codes = (np.unpackbits(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(dim**0.5)
-        self.turned = (raw @ rotations(dim, 1)).astype(np.float32)
+        self.unit = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(-1, dim)
+        self.codes = signs_of(rows["code"], dim)
+        self.turned = (self.unit @ rotations(dim, 1)).astype(np.float32)
         self.factor = rows["factor"].to_numpy(np.float32)
-        self.keys = np.frombuffer(b"".join(rows["keys"]), np.int32).reshape(-1, count)
-        # The estimate's deviation, given the factor; nothing to estimate in one dimension.
-        self.bound = (SIGMAS * np.sqrt(np.maximum(0, 1 - self.factor**2)) / np.maximum(self.factor, 1e-6) / max(dim - 1, 1) ** 0.5).astype(np.float32) if dim > 1 else np.full(len(rows), 9, np.float32)
-
+        self.keys = np.frombuffer(b"".join(rows["large"]), KEY).reshape(-1, count)
+        self.bound = bounds(self.factor, dim)
 
-def linked(m: Members, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs have a cosine of the threshold at least: the estimates' upper bounds first, then exact products."""
-    estimate = np.einsum("ij,ij->i", m.codes[i], m.turned[j]) / np.maximum(m.factor[i], 1e-6)
-    out = np.zeros(len(i), bool)
-    near = np.flatnonzero(estimate + m.bound[i] >= threshold)
-    out[near] = np.einsum("ij,ij->i", m.unit[i[near]], m.unit[j[near]]) >= threshold
-    return out
 
+def _small(threshold: float, count: int):
+    """Pairs of buckets of at most SMALL members that may be linked, by their estimates."""
 
-def _pairs(threshold: float, count: int):
-    columns = ["a", "b", "n"]
-
-    def small(rows: pd.DataFrame, group: np.ndarray, dim: int):
-        """All pairs within groups of consecutive rows."""
-        m, k, found = Members(rows, dim, count), 1, []
-        while True:
+    def estimated(rows: pd.DataFrame, group: np.ndarray, dim: int) -> pd.DataFrame:
+        ids, factor, step = rows["id"].to_numpy(), rows["factor"].to_numpy(np.float32), rows["step"].to_numpy(np.float32)
+        codes = signs_of(rows["code"], dim)
+        turned = widened(np.frombuffer(b"".join(rows["query"]), np.uint8).reshape(len(rows), -1), rows["low"].to_numpy(np.float32), step, dim)
+        none = np.full(count, -1, KEY).tobytes()
+        large = np.frombuffer(b"".join(none if k is None else k for k in rows["large"]), KEY).reshape(-1, count)
+        found = []
+        for k in range(1, SMALL):
             i = np.flatnonzero(group[:-k] == group[k:]) if len(group) > k else np.zeros(0, int)
             if not len(i):
                 break
             for a in range(0, len(i), 200_000):
                 part = i[a : a + 200_000]
-                found.append((part[ok := linked(m, part, part + k, threshold)], part[ok] + k))
-            k += 1
-        i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
-        return m, i, j
+                j = part + k
+                estimate = np.einsum("ij,ij->i", codes[part], turned[j]) / np.maximum(factor[part], 1e-6)
+                # The deviation of the code, and of the other vector's four bits.
+                near = estimate + bounds(factor[part], dim, step[j]) >= threshold
+                # A pair that shares a large bucket is compared there.
+                near &= ~((large[part] == large[j]) & (large[part] >= 0)).any(1)
+                found.append(np.stack([ids[part[near]], ids[j[near]]]))
+        both = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": both[0], "b": both[1]})
 
-    def counted(m: Members, i: np.ndarray, j: np.ndarray, table: np.ndarray):
-        """Link counts from pairs whose first common table is this one, and edges that span them."""
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, group in whole_groups(parts, BUCKET):
+            for dim in rows["dim"].unique().tolist():
+                mine = (rows["dim"] == dim).to_numpy()
+                yield estimated(rows[mine].reset_index(drop=True), group[mine], dim)
+
+    return compare
+
+
+def _exact(threshold: float):
+    def exact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            linked = [float(np.dot(np.frombuffer(x, np.float64), np.frombuffer(y, np.float64))) >= threshold for x, y in zip(rows["unit_a"], rows["unit_b"])]
+            yield rows.loc[linked, ["a", "b", "mult_a", "mult_b"]]
+
+    return exact
+
+
+def _large(threshold: float, count: int):
+    columns = ["a", "b", "n"]
+
+    def counted(m: Members, i: np.ndarray, j: np.ndarray, table: int):
+        """Link counts from pairs whose first common large bucket is in this table, and edges that span them."""
         first = np.ones(len(i), bool)
-        for t in range(int(table.max(initial=0))):
-            first &= ~((m.keys[i, t] == m.keys[j, t]) & (t < table))
-        n = np.bincount(i[first], m.mult[j[first]], len(m.node)) + np.bincount(j[first], m.mult[i[first]], len(m.node))
+        for t in range(table):
+            first &= (m.keys[i, t] != m.keys[j, t]) | (m.keys[i, t] < 0)
+        n = np.bincount(i[first], m.mult[j[first]], len(m.id)) + np.bincount(j[first], m.mult[i[first]], len(m.id))
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"a": m.node[some], "b": None, "n": n[some].astype(np.int64)}, columns=columns)
-        keep = forest(i, j, len(m.node))
-        yield pd.DataFrame({"a": m.node[i[keep]], "b": m.node[j[keep]], "n": 0}, columns=columns)
+        yield pd.DataFrame({"a": m.id[some], "b": pd.array([None] * len(some), "Int64"), "n": n[some].astype(np.int64)}, columns=columns)
+        keep = forest(i, j, len(m.id))
+        yield pd.DataFrame({"a": m.id[i[keep]], "b": pd.array(m.id[j[keep]], "Int64"), "n": 0}, columns=columns)
 
-    def large(rows: pd.DataFrame, dim: int):
-        """Pairs of one group with many members: within one part, or between two."""
-        m = Members(rows, dim, count)
+    def large(rows: pd.DataFrame):
+        """Pairs of one group: within one part of a bucket, or between two."""
+        m = Members(rows, int(rows["dim"].iloc[0]), count)
         side, table = rows["part"].to_numpy(), int(rows["t"].iloc[0])
         low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
         left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
@@ -116,28 +166,12 @@ def _pairs(threshold: float, count: int):
             i, j = np.nonzero(near)
             i, j = some[i], right[j]
             ok = np.concatenate([np.einsum("ij,ij->i", m.unit[i[b : b + 100_000]], m.unit[j[b : b + 100_000]]) >= threshold for b in range(0, len(i), 100_000)]) if len(i) else np.zeros(0, bool)
-            yield from counted(m, i[ok], j[ok], np.full(int(ok.sum()), table))
-
-    def run(rows: pd.DataFrame, group: np.ndarray):
-        """Rows of whole groups, in order."""
-        size = np.bincount(group)[group]
-        for dim in rows["dim"].unique().tolist():
-            mine = (rows["dim"] == dim).to_numpy()
-            some = mine & (size <= 32)
-            if some.any():
-                part = rows[some].reset_index(drop=True)
-                m, i, j = small(part, group[some], dim)
-                # In a group of two parts only pairs across them count; within one they meet in a group of their own.
-                cross = part["low"].to_numpy() != part["high"].to_numpy()
-                side = part["part"].to_numpy()
-                ok = ~cross[i] | (side[i] != side[j])
-                yield from counted(m, i[ok], j[ok], part["t"].to_numpy()[i[ok]])
-            for g in np.unique(group[mine & (size > 32)]):
-                yield from large(rows[group == g].reset_index(drop=True), dim)
+            yield from counted(m, i[ok], j[ok], table)
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, group in whole_groups(parts, GROUP):
-            yield from run(rows, group)
+        for rows, group in whole_groups(parts, [*BUCKET, "low_part", "high_part"]):
+            for _, some in rows.groupby(group, sort=False):
+                yield from large(some.rename(columns={"low_part": "low", "high_part": "high"}).reset_index(drop=True))
 
     return compare
 
@@ -152,10 +186,13 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95) -> DataFrame
     threshold is met with probability RECALL, nearer ones more surely, and the
     number of tables follows from that. Within a bucket the codes give unbiased
     estimates of the inner products; only pairs whose upper confidence bound
-    reaches the threshold are computed exactly. A pair counts in its first
-    common bucket alone, and a bucket leaves only counts and a spanning forest
-    of its links. Large buckets are split into parts that are compared in groups
-    of their own.
+    reaches the threshold are computed exactly.
+
+    To buckets of at most SMALL members only codes, factors and vectors of four
+    bits travel; the few pairs that they leave fetch the vectors. Members of
+    larger buckets bring theirs: they are compared in parts, each pair of parts
+    in a group of its own, a pair counts in its first common large bucket alone,
+    and a bucket leaves only counts and a spanning forest of its links.
 
     Equal embeddings are one node with a multiplicity. Embeddings that are
     null, empty, zero or have null or non-finite components link with nothing,
@@ -169,8 +206,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95) -> DataFrame
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(valid, double).alias("embedding"))
     keyed = rows.withColumns({"h1": F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")), "h2": F.when(F.col("embedding").isNotNull(), F.xxhash64(F.lit(1), "embedding"))})
     nodes = keyed.where("embedding IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("mult"), F.first("embedding").alias("embedding"))
-    # A node sorts by its smallest vec_id; the hashes tell nodes with the same one apart.
-    nodes = materialise(nodes.withColumn("node", node_key("vec_id", "h1", "h2")), "nodes")
+    # The number is written with the node, so it stays whatever is computed again.
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     bits, count = tables(nodes.count(), threshold)
 
     def codes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,28 +216,51 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95) -> DataFrame
                 raw = np.stack(some["embedding"].to_numpy()).astype(np.float64)
                 raw = raw / np.abs(raw).max(1)[:, None]
                 unit = raw / np.sqrt((raw * raw).sum(1))[:, None]
-                code, factor, keys = encode(unit, bits, count)
+                code, factor, turned, keys = encode(unit, bits, count)
+                query_, low, step = nibbles(turned)
                 yield pd.DataFrame({
-                    "node": some["node"].to_numpy(), "mult": some["mult"].to_numpy(), "dim": np.int32(dim), "vector": [v.tobytes() for v in unit],
-                    "code": [c.tobytes() for c in code], "factor": factor, "keys": [k.tobytes() for k in keys], "buckets": list(keys),
+                    "id": some["id"].to_numpy(), "mult": some["mult"].to_numpy(), "dim": np.int32(dim), "unit": [v.tobytes() for v in unit],
+                    "code": [c.tobytes() for c in code], "factor": factor, "query": [c.tobytes() for c in query_], "low": low, "step": step, "buckets": list(keys),
                 })
 
-    fat = materialise(nodes.select("node", "mult", "embedding").mapInPandas(codes, "node binary, mult long, dim int, vector binary, code binary, factor float, keys binary, buckets array<int>"), "codes")
-    thin = fat.select("node", "dim", F.posexplode("buckets").alias("t", "key"))
-    full = materialise(thin.groupBy("t", "key", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    met = thin.join(full, ["t", "key", "dim"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("node", "t", "key", "dim", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    met = materialise(met, "members").join(fat.drop("buckets", "dim"), "node")
-    found = met.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(_pairs(threshold, count), "a binary, b binary, n long")
+    schema = "id long, mult long, dim int, unit binary, code binary, factor float, query binary, low float, step float, buckets array<int>"
+    fat = materialise(nodes.select("id", "mult", "embedding").mapInPandas(codes, schema), "codes")
+    thin = fat.select("id", "dim", F.posexplode("buckets").alias("t", "key"))
+    full = materialise(thin.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    met = materialise(thin.join(full, BUCKET), "members")
+    # Of a node's buckets the keys of the large ones, by table; -1 where its bucket is not.
+    large = met.where(F.col("n") > SMALL).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("keys"))
+    at = F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(F.col("keys")[t].cast("long"), F.lit(0xFFFFFFFF).cast("long"))), 8, "0")) for t in range(count)])
+    large = materialise(large.select("id", at.alias("large")), "large")
+
+    light = fat.select("id", "code", "factor", "query", "low", "step")
+    few = met.where(F.col("n") <= SMALL).select("id", *BUCKET).join(light, "id").join(large, "id", "left")
+    pairs = few.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInPandas(_small(threshold, count), "a long, b long").distinct()
+    pairs = materialise(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    whole = by_bitmap(fat.select("id", "unit", "mult"), materialise(bitmap(ends, ["id"]), "ends"), ["id"], True)
+    a, b = (whole.select(F.col("id").alias(k), F.col("unit").alias(f"unit_{k}"), F.col("mult").alias(f"mult_{k}")) for k in "ab")
+    near = pairs.join(a, "a").join(b, "b").select("a", "b", "unit_a", "unit_b", "mult_a", "mult_b").mapInPandas(_exact(threshold), "a long, b long, mult_a long, mult_b long")
+    near = materialise(near, "near")
+
+    size = F.ceil(F.col("n") / PART).cast("int")
+    many = met.where(F.col("n") > SMALL).withColumn("parts", size).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.select("id", *BUCKET, "part", F.least("part", "other").alias("low_part"), F.greatest("part", "other").alias("high_part"))
+    many = many.join(fat.select("id", "unit", "mult", "code", "factor"), "id").join(large, "id")
+    group = [*BUCKET, "low_part", "high_part"]
+    found = many.repartition(*group).sortWithinPartitions(*group).mapInPandas(_large(threshold, count), "a long, b long, n long")
     found = materialise(found, "links")
 
-    links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    roots = components(found.where("b IS NOT NULL"))
-    known = nodes.select("h1", "h2", "node", "mult").join(links, "node", "left").join(roots, "node", "left")
-    known = materialise(known.select("h1", "h2", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")).withColumn("component_id", node_number("root")).drop("root"), "found")
-    out = keyed.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
+    sides = near.select("a", F.col("mult_b").alias("n")).union(near.select("b", "mult_a")).union(found.where("b IS NULL").select("a", "n"))
+    links = sides.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
+    roots = components(near.select("a", "b").union(found.where("b IS NOT NULL").select("a", "b"))).withColumnRenamed("node", "id")
+    named = nodes.select("id", "vec_id").join(roots, "id")
+    least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    named = named.join(least, "root").select("id", "component_id")
+    known = nodes.select("h1", "h2", "id", "mult", "vec_id").join(links, "id", "left").join(named, "id", "left")
+    known = known.select("h1", "h2", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = keyed.select("vec_id", "h1", "h2").join(materialise(known, "found"), ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import Fingerprints, SPACE, chunks, components, forest, joined, materialise, mix, node_key, node_number, packed, prepare, runs, tidy, unpacked, whole_groups
+from sondage.llm.common import Fingerprints, SPACE, bitmap, by_bitmap, chunks, components, forest, joined, materialise, mix, node_key, node_number, packed, prepare, runs, tidy, unpacked, whole_groups
 
 WORDS, THRESHOLD = 5, 0.8
 #: Registers of a sketch: BANDS bands of ROWS; a pair at the threshold shares no band with probability (1 - 0.8**4)**20 < 3e-5.
@@ -16,8 +16,6 @@ BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: How far under the threshold an estimate may lie before a pair is not verified: over four deviations.
 SLACK = 0.2
-#: Bits of the bitmap of nodes that meet others, as a power of 2.
-BITS = 27
 #: Members of a bucket's part, and the columns of a group of pairs.
 PART = 512
 GROUP = ["key", "low", "high"]
@@ -220,26 +218,6 @@ def _rest(threshold: float):
     return compare
 
 
-def _bit(columns: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << BITS))
-
-
-def bitmap(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A bitmap of the columns' hashes with 2**BITS bits, whatever the number of rows: at most 2**(BITS - 15) rows of 4 kB."""
-    bit = _bit(columns)
-    return rows.groupBy(F.bitmap_bucket_number(bit).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
-
-
-def by_bitmap(rows: DataFrame, bits: DataFrame, columns: list[str], inside: bool) -> DataFrame:
-    """Rows whose bit is set, or those whose bit is not: of the rows that the bitmap was made from all are inside, and the
-    more others the fuller it is."""
-    at = F.bitmap_bit_position(_bit(columns))
-    byte = F.conv(F.hex(F.substr("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("_page", F.bitmap_bucket_number(_bit(columns))).join(F.broadcast(bits), "_page", "left")  # 16 MB at most
-    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return found.where(hit if inside else ~hit).drop("_page", "_bits")
-
-
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept, h1, h2) for each row of docs (doc_id, text).
 

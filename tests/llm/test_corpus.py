@@ -384,14 +384,29 @@ def test_embeddings_awkward(spark):
 
 def test_estimates_are_unbiased_and_bounded():
     r = np.random.Generator(np.random.PCG64(9))
-    x = r.standard_normal((400, 64))
+    x = r.standard_normal((400, 65))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    code, factor, keys = embed.encode(x, 10, 4)
-    m = embed.Members(pd.DataFrame({"node": range(400), "mult": 1, "vector": [v.tobytes() for v in x], "code": [c.tobytes() for c in code], "factor": factor, "keys": [k.tobytes() for k in keys]}), 64, 4)
-    estimate = (m.codes @ m.turned.T) / m.factor[:, None]
-    error = estimate - x @ x.T
-    off = ~np.eye(400, dtype=bool)
-    assert abs(error[off].mean()) < 0.005 and (np.abs(error) <= m.bound[:, None])[off].mean() > 0.999
+    code, factor, turned, keys = embed.encode(x, 10, 4)
+    codes, off = embed.signs_of([c.tobytes() for c in code], 65), ~np.eye(400, dtype=bool)
+    packed, low, step = embed.nibbles(turned)
+    for query, more in ((turned, 0.0), (embed.widened(packed, low, step, 65), step[None, :])):
+        error = (codes @ query.T) / factor[:, None] - x @ x.T
+        bound = np.stack([embed.bounds(factor, 65, s) for s in np.broadcast_to(more, (1, 400))[0]], axis=1)
+        assert abs(error[off].mean()) < 0.005 and (np.abs(error) <= bound)[off].mean() > 0.999
+
+
+def test_links_right_over_the_threshold_are_found(spark):
+    r = np.random.Generator(np.random.PCG64(35))
+    a = r.standard_normal((2500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = r.standard_normal((2500, 64))
+    side -= (side * a).sum(1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = r.uniform(0.9505, 0.955, 2500)[:, None]
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * side])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(5000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = embed.near_duplicates(df).toPandas().set_index("vec_id")
+    assert 0.975 * 5000 <= got.n_links.sum() <= 5000 and (got.component_id <= got.index).all()
 
 
 # 7 -----------------------------------------------------------------------------------
