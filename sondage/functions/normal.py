@@ -23,6 +23,26 @@ def _horner(x: Column, coefficients) -> Column:
     return total
 
 
+def _horner_sql(x: str, coefficients) -> str:
+    total = f"({coefficients[0]!r}::DOUBLE)"
+    for c in coefficients[1:]:
+        total = f"({total} * ({x}) + ({c!r}))"
+    return total
+
+
+def ppf_sql(p: str) -> str:
+    """norm_ppf of a DuckDB expression within (0, 1)."""
+    tail = lambda t: f"{_horner_sql(t, TAIL_TOP)} / {_horner_sql(t, TAIL_BOTTOM)}"
+    q = f"({p} - 0.5)"
+    return f"CASE WHEN {p} < {TAIL} THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > {1 - TAIL} THEN -({tail(f'sqrt(-2 * ln(1 - {p}))')}) ELSE {_horner_sql(q + ' * ' + q, CENTRE_TOP)} * {q} / {_horner_sql(q + ' * ' + q, CENTRE_BOTTOM)} END"
+
+
+def cdf_sql(x: str) -> str:
+    """norm_cdf of a DuckDB expression within -7 and 7."""
+    upper = f"(exp(-({x}) * ({x}) / 2) * {_horner_sql(f'abs({x})', HART_TOP)} / {_horner_sql(f'abs({x})', HART_BOTTOM)})"
+    return f"CASE WHEN {x} > 0 THEN 1 - {upper} ELSE {upper} END"
+
+
 def norm_ppf(p: Column) -> Column:
     """The quantile of p; infinite at 0 and 1, null outside."""
     q, low, high = p - 0.5, F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sondage.functions.labels import is_missing, parse_bin
-from sondage.session import ship
+from sondage.functions.normal import norm_ppf
 
 
 def bin_map(cells: DataFrame) -> DataFrame:
@@ -25,10 +22,6 @@ def cell_issues(cells: DataFrame) -> DataFrame:
     return cells.where(parse_bin(F.col("raw")).isNull()).select("line", "raw", reason.alias("reason"))
 
 
-def _normal_score(p: pd.Series) -> pd.Series:
-    return p.map(lambda x: NormalDist().inv_cdf(x), na_action="ignore").astype(float)
-
-
 def encoded(cells: DataFrame, bins: DataFrame, kind: str) -> DataFrame:
     """Cells with x: the label's midpoint, position, or normal score of its position; null if it is no interval.
 
@@ -39,8 +32,7 @@ def encoded(cells: DataFrame, bins: DataFrame, kind: str) -> DataFrame:
     elif kind == "index":
         value = F.col("pos").cast("double")
     else:
-        ship(cells.sparkSession)
-        value = F.pandas_udf(_normal_score, "double")((F.col("pos") + F.lit(0.5)) / F.col("n"))
+        value = norm_ppf((F.col("pos") + F.lit(0.5)) / F.col("n"))
     return cells.join(bins.select("col", "label", value.alias("x")), ["col", "label"], "left")
 
 

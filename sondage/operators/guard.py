@@ -26,6 +26,85 @@ class FeatureSet:
             raise LeakageError(f"{self.name} is valid and yet declares leaks")
 
 
+class UnknownName(KeyError):
+    """A name that a registry does not hold; the message lists those that it does."""
+
+
+class ParseError(ValueError):
+    """A label that is no interval where one is needed."""
+
+
+@dataclass(frozen=True)
+class Variable:
+    """A variable of the registry: its category of leakage, its tier of cost, and whether its meaning is in doubt."""
+
+    name: str
+    category: str
+    tier: str = "standard"
+    uncertain: bool = False
+
+
+@dataclass(frozen=True)
+class Registry:
+    """Feature sets and variables by name."""
+
+    sets: tuple[FeatureSet, ...] = ()
+    variables: tuple[Variable, ...] = ()
+
+    def by_name(self, name: str) -> FeatureSet:
+        for s in self.sets:
+            if s.name == name:
+                return s
+        raise UnknownName(f"{name!r} is unknown; known: {', '.join(sorted(s.name for s in self.sets))}")
+
+    def valid_names(self) -> list[str]:
+        return [s.name for s in self.sets if s.valid]
+
+    def uncertain(self) -> list[Variable]:
+        return [v for v in self.variables if v.uncertain]
+
+    def by_tier(self, tier: str) -> list[Variable]:
+        found = [v for v in self.variables if v.tier == tier]
+        if not found:
+            raise UnknownName(f"tier {tier!r} is unknown; known: {', '.join(sorted({v.tier for v in self.variables}))}")
+        return found
+
+    def of(self, *categories: str) -> frozenset[str]:
+        return frozenset(v.name for v in self.variables if v.category in categories)
+
+
+#: The categories of leakage that restrict a feature set.
+CRITERION, SEDIMENT, CONSEQUENCE, DERIVED, EARLY = "diagnostic_criterion_input", "possible_criterion_sediment", "consequence_of_advanced_disease", "deterministic_outcome_derivative", "legitimate_pre_index"
+
+
+def restricted_sets(registry: Registry, full: str, cheap: str, filtration: str, albumin: str) -> dict[str, tuple[str, ...]]:
+    """The ten feature sets that leave out more and more of what the outcome is made of.
+
+    full and cheap name two of the registry's sets, filtration and albumin the
+    variables of the two limbs of the outcome's definition. Each set keeps the
+    order of the set that it comes from.
+    """
+    whole, low_cost = registry.by_name(full).features, registry.by_name(cheap).features
+    criteria, consequence, early = registry.of(CRITERION), registry.of(CONSEQUENCE), registry.of(EARLY)
+    incorporated, doubtful = criteria | registry.of(SEDIMENT), {v.name for v in registry.uncertain()}
+    without = lambda gone: tuple(f for f in whole if f not in gone)
+    sure = lambda some: tuple(f for f in some if f in early and f not in doubtful)
+    return {
+        "full": whole, "minus filtration": without({filtration} | registry.of(DERIVED)), "minus albumin": without({albumin}), "minus criteria": without(criteria), "minus incorporation": without(incorporated),
+        "minus consequences": without(consequence), "minus incorporation and consequences": without(incorporated | consequence), "early only": tuple(f for f in whole if f in early),
+        "early and certain": sure(whole), "cheap, early and certain": sure(low_cost),
+    }
+
+
+def gated(df: DataFrame, verdict: str, wanted: str | None = None) -> DataFrame:
+    """df, if the verdict is the wanted one (by default any but OVERLAPPING)."""
+    if wanted is None and verdict == "OVERLAPPING":
+        raise LeakageError("the verdict is OVERLAPPING")
+    if wanted is not None:
+        gate(verdict, wanted)
+    return df
+
+
 def base_name(column: str) -> str:
     """The variable that an encoded column comes from."""
     return column.split("__")[0]

@@ -64,6 +64,11 @@ def pairs(intervals: DataFrame, values: DataFrame, variables: list[str], outcome
     return near.select("i", "j", *[gap(v).alias(f"{v}_gap") for v in variables])
 
 
+def interval_bounds(labels: DataFrame, bins: DataFrame) -> DataFrame:
+    """labels with lo and hi of their label in bins (label, lo, hi); a missing or unknown label covers everything."""
+    return labels.join(bins, "label", "left").withColumns({"lo": F.coalesce("lo", F.lit(-INF)), "hi": F.coalesce("hi", F.lit(INF))})
+
+
 def edges(gaps: DataFrame, variables: list[str], eps: float = EPS) -> DataFrame:
     """Pairs that fit in all of the variables."""
     fit = F.lit(True)

@@ -53,6 +53,41 @@ def case_weights(df: DataFrame, mix: DataFrame, stratum: str) -> DataFrame:
     return df.join(weight, stratum, "left").withColumn("w", F.when(F.col("y") == 1, F.coalesce("_w", F.lit(0.0))).otherwise(1.0)).drop("_w")
 
 
+def flags(lift: str, fraction: str, shift: str, sensitivity_shift: str) -> dict[str, Column]:
+    """The four warnings of a separability report; null where the diagnostic is absent or no number."""
+    known = lambda c, hit: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), hit)
+    return {
+        "low_lift": known(lift, F.col(lift) < 0.05), "saturated": known(fraction, F.col(fraction) < 0.25),
+        "casemix_auc": known(shift, F.abs(shift) > 0.05), "casemix_sensitivity": known(sensitivity_shift, F.abs(sensitivity_shift) > 0.05),
+    }
+
+
+def casemix(df: DataFrame, keys: list[str], mix: DataFrame, stratum: str, sample: str, draws: int, threshold: float = 0.5, seed: str = "mix") -> DataFrame:
+    """(keys, draw, auc, pr_auc, sensitivity, distinct_cases, reuse) of draws whose cases have another mix of strata.
+
+    Of each stratum round(cases * target) cases are drawn with replacement, to
+    even; controls stay. A draw's AUC is the mean, over its cases, of the share
+    of controls that score lower, so only the cases are ever repeated.
+    """
+    scores = M.curve(df, keys).withColumn("placed", (F.col("all_neg") - F.col("fp") + F.col("neg") / 2) / F.col("all_neg")).select(*keys, "p", "placed", "fp")
+    cases = df.where("y = 1").join(scores, [*keys, "p"])
+    base = numbered(cases.withColumn("_h", rng.hashed(seed, F.col(sample))), [*keys, stratum], "_h", "slot", [sample]).select(*keys, stratum, "slot", "p", "placed", "fp")
+    sizes = base.groupBy(*keys, stratum).agg(F.count("*").alias("n"))
+    every = sizes.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    want = sizes.join(every, keys).join(mix, stratum).withColumn("want", F.bround(F.col("_all") * F.col("target"), 0).cast("long")).where("want > 0")
+    slots = want.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("want") - 1)))
+    taken = F.floor(rng.uniform(seed, F.col(stratum), *[F.col(k) for k in keys], F.col("draw"), F.col("j")) * F.col("n"))
+    picks = slots.select(*keys, stratum, "draw", taken.alias("slot")).groupBy(*keys, stratum, "draw", "slot").agg(F.count("*").alias("c"))
+    drawn = picks.join(base, [*keys, stratum, "slot"])
+    by = [*keys, "draw"]
+    most = drawn.groupBy(*by).agg(F.sum(F.col("c") * F.col("placed")).alias("a"), F.sum(F.when(F.col("p") >= threshold, F.col("c")).otherwise(0)).alias("s"), F.sum("c").alias("m"), F.count("*").alias("distinct_cases"), F.max("c").alias("reuse"))
+    at = drawn.groupBy(*by, "p").agg(F.sum("c").alias("c"), F.first("fp").alias("fp"))
+    tp = running(at, by, F.floor(F.col("p") * 16), [F.col("p").desc()], {"tp": F.col("c")}, descending=True, totals={"tp": "all_tp"})
+    precise = tp.groupBy(*by).agg(F.sum(F.col("c") / F.col("all_tp") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("pr_auc"))
+    out = most.join(precise, by)
+    return out.select(*by, (F.col("a") / F.col("m")).alias("auc"), "pr_auc", (F.col("s") / F.col("m")).alias("sensitivity"), "distinct_cases", "reuse")
+
+
 def kish(w: Column) -> Column:
     return F.sum(w) * F.sum(w) / F.sum(w * w)
 

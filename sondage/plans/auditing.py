@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from sondage.operators import audit as A
+from sondage.operators.guard import CONSEQUENCE, CRITERION, DERIVED, EARLY, SEDIMENT, FeatureSet, Registry, Variable, restricted_sets
+from sondage.operators.ranks import quantiles
 from sondage.plans import plan
 from sondage.session import table
 
@@ -152,6 +154,24 @@ def configuration_features(spark, sf):
     return table(spark, sf, "part").select("p_brand", F.explode(F.split("p_type", " ")).alias("feature")).distinct()
 
 
+RULES = "CASE n_nationkey % 7 WHEN 0 THEN 'diagnostic_criterion_input' WHEN 1 THEN 'possible_criterion_sediment' WHEN 2 THEN 'consequence_of_advanced_disease' WHEN 3 THEN 'deterministic_outcome_derivative' ELSE 'legitimate_pre_index' END"
+
+
+@plan("ten_restricted_sets", f"""WITH v AS (SELECT n_nationkey AS k, n_name AS f, {RULES} AS c, n_nationkey % 5 = 0 AS u, n_nationkey < 15 AS cheap FROM nation),
+  s AS (SELECT k, f, cheap, unnest(['full', 'minus filtration', 'minus albumin', 'minus criteria', 'minus incorporation', 'minus consequences', 'minus incorporation and consequences', 'early only', 'early and certain', 'cheap, early and certain']) AS name, c, u FROM v)
+  SELECT name, count(*) AS n, string_agg(f, ',' ORDER BY k) AS features FROM s WHERE CASE name WHEN 'full' THEN true WHEN 'minus filtration' THEN f <> 'NATION_0' AND c <> 'deterministic_outcome_derivative' WHEN 'minus albumin' THEN f <> 'NATION_7'
+    WHEN 'minus criteria' THEN c <> 'diagnostic_criterion_input' WHEN 'minus incorporation' THEN c NOT IN ('diagnostic_criterion_input', 'possible_criterion_sediment') WHEN 'minus consequences' THEN c <> 'consequence_of_advanced_disease'
+    WHEN 'minus incorporation and consequences' THEN c NOT IN ('diagnostic_criterion_input', 'possible_criterion_sediment', 'consequence_of_advanced_disease') WHEN 'early only' THEN c = 'legitimate_pre_index'
+    WHEN 'early and certain' THEN c = 'legitimate_pre_index' AND NOT u ELSE c = 'legitimate_pre_index' AND NOT u AND cheap END GROUP BY name""")
+def ten_restricted_sets(spark, sf):
+    rows = sorted(tuple(r) for r in table(spark, sf, "nation").select("n_nationkey", "n_name").collect())  # 25 variables
+    category = {0: CRITERION, 1: SEDIMENT, 2: CONSEQUENCE, 3: DERIVED}
+    variables = tuple(Variable(n, category.get(k % 7, EARLY), uncertain=k % 5 == 0) for k, n in rows)
+    registry = Registry((FeatureSet("all", tuple(n for _, n in rows)), FeatureSet("cheap", tuple(n for k, n in rows if k < 15))), variables)
+    found = restricted_sets(registry, "all", "cheap", "NATION_0", "NATION_7")
+    return spark.createDataFrame([(name, len(f), ",".join(f)) for name, f in found.items()], "name string, n long, features string")
+
+
 @plan("restricted_feature_sets", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT f)), ',') AS features FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS f FROM part) WHERE f NOT IN (SELECT unnest(string_split(p_type, ' ')) FROM part WHERE p_size = 1 AND p_brand = 'Brand#11') GROUP BY p_brand")
 def restricted_feature_sets(spark, sf):
     part = table(spark, sf, "part")
@@ -159,12 +179,18 @@ def restricted_feature_sets(spark, sf):
     return part.select("p_brand", F.explode(F.split("p_type", " ")).alias("f")).join(barred, "f", "left_anti").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("f")), ",").alias("features"))
 
 
-@plan("prior_work_summary", "SELECT count(*) AS n, count(*) FILTER (WHERE p_size > 25) AS large, count(*) FILTER (WHERE p_retailprice > 1000) AS dear, count(*) FILTER (WHERE p_name LIKE '%a%') AS with_a, round(median(p_retailprice), 6) AS median_price FROM part")
+#: The conditional counts of a table of studies: name, DuckDB condition.
+STUDIES = [
+    ("large", "p_size > 25"), ("small", "p_size < 10"), ("dear", "p_retailprice > 1000"), ("with_a", "p_name LIKE '%a%'"), ("two_words", "p_name LIKE '% %'"), ("brand_low", "p_brand < 'Brand#2'"), ("economy", "p_type LIKE 'ECONOMY%'"),
+    ("even", "p_partkey % 2 = 0"), ("priced", "p_retailprice IS NOT NULL"), ("between", "p_size BETWEEN 10 AND 20"), ("cheap_and_large", "p_retailprice < 950 AND p_size > 25"), ("named", "length(p_name) > 10"),
+]
+
+
+@plan("prior_work_summary", "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in STUDIES) + ", round(median(p_retailprice), 6) AS median_price FROM part")
 def prior_work_summary(spark, sf):
-    return table(spark, sf, "part").agg(
-        F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("large"), F.count_if(F.col("p_retailprice") > 1000).alias("dear"),
-        F.count_if(F.col("p_name").contains("a")).alias("with_a"), F.round(F.median("p_retailprice"), 6).alias("median_price"),
-    )
+    part = table(spark, sf, "part")
+    counts = part.agg(F.count("*").alias("n"), *[F.count_if(F.expr(c)).alias(n) for n, c in STUDIES])
+    return counts.crossJoin(quantiles(part, [], "p_retailprice", [0.5], "q").select(F.round(F.col("q")[0], 6).alias("median_price")))  # a row each
 
 
 @plan("hyperparam_frequency", "WITH c AS (SELECT l_returnflag AS model, CAST(l_linenumber AS VARCHAR) AS param, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT model, param AS mode, round(n / total::DOUBLE, 9) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY model) AS total, row_number() OVER (PARTITION BY model ORDER BY n DESC, param) AS rn FROM c) WHERE rn = 1")

@@ -128,7 +128,7 @@ def all_metrics(spark, sf):
     return bag(mean_cut(pooled(preds(spark, sf)), CELL), CELL, F.col("c"))
 
 
-@plan("metric_labels")
+@plan("metric_labels", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{M.LABELS[n]}', {n not in M.LOWER_IS_BETTER})" for i, n in enumerate(M.HEADLINE)) + ") AS t(place, metric, label, higher_is_better)")
 def metric_labels(spark, sf):
     """The headline metrics in their order, with the names that reports use."""
     rows = [(i, n, M.LABELS[n], n not in M.LOWER_IS_BETTER) for i, n in enumerate(M.HEADLINE)]
@@ -284,6 +284,14 @@ def integrity_checks(spark, sf):
     return preds(spark, sf).groupBy(*CELL, "repeat").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("sample")).alias("repeated"), F.count_if((F.col("p") < 0) | (F.col("p") > 1)).alias("outside"))
 
 
+@plan("one_label_per_sample", f"WITH {RAW} SELECT count(*) AS samples, count(*) FILTER (WHERE hi <> lo) AS contradicted FROM (SELECT sample, min(y) AS lo, max(y) AS hi FROM (SELECT sample, CASE WHEN sample % 50 = 0 AND repeat = 1 THEN 1 - y ELSE y END AS y FROM raw) GROUP BY 1)")
+def one_label_per_sample(spark, sf):
+    """Samples whose predictions do not all have the same label (every fiftieth has been given another in one repeat)."""
+    y = F.when((F.col("sample") % 50 == 0) & (F.col("repeat") == 1), 1 - F.col("y")).otherwise(F.col("y"))
+    per = raw(spark, sf).select("sample", y.alias("y")).groupBy("sample").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    return per.agg(F.count("*").alias("samples"), F.count_if(F.col("hi") != F.col("lo")).alias("contradicted"))
+
+
 @plan("label_variants", f"WITH {RAW} SELECT sample, repeat, CASE WHEN y = 1 AND stratum = 'click' THEN 0 ELSE y END AS flipped, (y = 1 AND stratum = 'click') AS excluded FROM raw")
 def label_variants(spark, sf):
     hit = (F.col("y") == 1) & (F.col("stratum") == "click")

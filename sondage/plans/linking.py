@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions import rng
 from sondage.operators import linkage as L
+from sondage.operators.guard import gated
 from sondage.operators import resample as S
 from sondage.operators.ranks import numbered, quantiles
 from sondage.plans import plan
@@ -46,9 +47,16 @@ def edges(spark, sf):
     return L.edges(gaps(spark, sf), VARS)
 
 
-@plan("interval_bounds", f"WITH {LEFT} SELECT i, v1_lo, v1_hi FROM lft")
+BINS = "map AS (SELECT DISTINCT floor(c_acctbal / 500)::BIGINT::VARCHAR AS label, floor(c_acctbal / 500) * 500 AS lo, floor(c_acctbal / 500) * 500 + 500 AS hi FROM customer WHERE c_custkey % 3 <> 0)"
+
+
+@plan("interval_bounds", f"WITH {BINS}, lab AS (SELECT c_custkey AS i, CASE WHEN c_custkey % 8 <> 0 THEN floor(c_acctbal / 500)::BIGINT::VARCHAR END AS label FROM customer) SELECT i, coalesce(lo, '-inf'::DOUBLE) AS lo, coalesce(hi, 'inf'::DOUBLE) AS hi FROM lab LEFT JOIN map USING (label)")
 def interval_bounds(spark, sf):
-    return left(spark, sf).select("i", "v1_lo", "v1_hi")
+    """Bounds of each label by the map of bins; a missing or unknown label covers everything."""
+    c = table(spark, sf, "customer")
+    low = F.floor(F.col("c_acctbal") / 500)
+    bins = c.where("c_custkey % 3 != 0").select(low.cast("string").alias("label"), (low * 500).cast("double").alias("lo"), (low * 500 + 500).cast("double").alias("hi")).distinct()
+    return L.interval_bounds(c.select(F.col("c_custkey").alias("i"), F.when(F.col("c_custkey") % 8 != 0, low.cast("string")).alias("label")), bins).select("i", "lo", "hi")
 
 
 @plan("compatibility_edges", f"{EDGES} SELECT i, j FROM edg")
@@ -75,11 +83,32 @@ def leave_one_variable_out(spark, sf):
     return arm(L.edges(near, VARS), "none").union(arm(L.edges(near, ["v1"]), "v2")).union(arm(L.edges(by_second, ["v2"]), "v1"))
 
 
-@plan("tolerance_sensitivity", f"{BASE} SELECT tol, count(*) AS edges, count(DISTINCT i) AS matched FROM gaps, (SELECT unnest([0.0, 1e-9, 1.0, 50.0]) AS tol) WHERE same AND greatest(v1_gap, v2_gap) <= tol GROUP BY tol")
+TOLERANCES = [0.0, 1e-9, 1e-6, 1e-3, 1e-2]
+
+
+@plan("tolerance_sensitivity", f"{BASE}, tl AS (SELECT tol, i, count(*) AS n FROM gaps, (SELECT unnest({TOLERANCES}) AS tol) WHERE same AND greatest(v1_gap, v2_gap) <= tol GROUP BY ALL) SELECT tol, sum(n)::BIGINT AS edges, count(*) AS matched, count(*) FILTER (WHERE n = 1) AS pins, round(sum(n) / (SELECT count(*) FROM lft)::DOUBLE, 9) AS mean_partners, max(n) AS most FROM tl GROUP BY tol")
 def tolerance_sensitivity(spark, sf):
-    worst = gaps(spark, sf, slack=50.0).withColumn("worst", F.greatest("v1_gap", "v2_gap"))
-    at = worst.withColumn("tol", F.explode(F.array(*map(F.lit, (0.0, 1e-9, 1.0, 50.0))))).where("worst <= tol")
-    return at.groupBy("tol").agg(F.count("*").alias("edges"), F.countDistinct("i").alias("matched"))
+    return tolerances(spark, sf)
+
+
+def tolerances(spark, sf):
+    worst = gaps(spark, sf, slack=max(TOLERANCES)).withColumn("worst", F.greatest("v1_gap", "v2_gap"))
+    at = worst.withColumn("tol", F.explode(F.array(*map(F.lit, TOLERANCES)))).where("worst <= tol").groupBy("tol", "i").agg(F.count("*").alias("n"))
+    every = left(spark, sf).agg(F.count("*").alias("_all"))
+    per = at.groupBy("tol").agg(F.sum("n").alias("edges"), F.count("*").alias("matched"), F.count_if(F.col("n") == 1).alias("pins"), F.max("n").alias("most"))
+    return per.crossJoin(every).select("tol", "edges", "matched", "pins", F.round(F.col("edges") / F.col("_all"), 9).alias("mean_partners"), "most")
+
+
+@plan("tolerance_match_fraction")
+def tolerance_match_fraction(spark, sf):
+    """The largest matching at each tolerance, as a share of the right rows."""
+    worst = gaps(spark, sf, slack=max(TOLERANCES)).withColumn("worst", F.greatest("v1_gap", "v2_gap"))
+    steps = spark.createDataFrame(list(enumerate(TOLERANCES)), "k long, tol double")
+    at = worst.join(F.broadcast(steps), F.col("worst") <= F.col("tol")).join(left(spark, sf).select("i", F.col("o").cast("long").alias("o")), "i")
+    found = at.select((F.col("o") * len(TOLERANCES) + F.col("k")).alias("o"), (F.col("i") * len(TOLERANCES) + F.col("k")).alias("i"), "j")
+    sizes = L.maximum_matching(found, "o").groupBy((F.col("o") % len(TOLERANCES)).alias("k")).agg(F.count("*").alias("matched"))
+    n = right(spark, sf).agg(F.count("*").alias("n"))
+    return steps.join(sizes, "k", "left").crossJoin(n).select("tol", F.coalesce("matched", F.lit(0)).alias("matched"), (F.coalesce("matched", F.lit(0)) / F.col("n")).alias("fraction"))
 
 
 @plan("outcome_excluded", f"{BASE} SELECT count(*) AS edges FROM gaps WHERE v1_gap <= 1e-9 AND v2_gap <= 1e-9")
@@ -104,17 +133,34 @@ def classify_verdict(spark, sf):
     return table(spark, sf, "supplier").select(k.alias("k"), L.verdict((k % 21) / F.lit(20.0), F.lit(0.3), (k % 4) / F.lit(50.0), k % 17 == 0).alias("verdict"))
 
 
-@plan("categorical_agreement", f"{PINS}, c AS (SELECT s_nationkey % 4 AS cand, c_mktsegment AS intern, count(*) AS n FROM pins JOIN customer ON i = c_custkey JOIN supplier ON j = s_suppkey GROUP BY 1, 2) SELECT cand, intern AS majority, n, total - n AS contradictions FROM (SELECT *, sum(n) OVER (PARTITION BY cand)::BIGINT AS total, row_number() OVER (PARTITION BY cand ORDER BY n DESC, intern) AS rn FROM c) WHERE rn = 1")
+CAT = f"{PINS}, c AS (SELECT CASE WHEN j % 9 <> 0 THEN s_nationkey % 4 END AS cand, c_mktsegment AS intern, count(*) AS n FROM pins JOIN customer ON i = c_custkey JOIN supplier ON j = s_suppkey GROUP BY 1, 2), m AS (SELECT cand, intern, n, sum(n) OVER (PARTITION BY cand)::BIGINT AS total, row_number() OVER (PARTITION BY cand ORDER BY n DESC, intern) AS rn FROM c)"
+
+
+@plan("categorical_agreement", f"{CAT} SELECT cand, intern AS majority, n, total - n AS contradictions FROM m WHERE rn = 1")
 def categorical_agreement(spark, sf):
+    return agreement(spark, sf).select("cand", "majority", "n", "contradictions")
+
+
+def agreement(spark, sf):
     pins = L.unique_pins(edges(spark, sf)).join(table(spark, sf, "customer"), F.col("i") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("j") == F.col("s_suppkey"))
-    counts = pins.groupBy((F.col("s_nationkey") % 4).alias("cand"), F.col("c_mktsegment").alias("majority")).agg(F.count("*").alias("n"))
-    total = counts.groupBy("cand").agg(F.sum("n").alias("total"))
-    return L.majority(counts, "cand", "majority").join(total, "cand").select("cand", "majority", "n", (F.col("total") - F.col("n")).alias("contradictions"))
+    counts = pins.groupBy(F.when(F.col("j") % 9 != 0, F.col("s_nationkey") % 4).alias("cand"), F.col("c_mktsegment").alias("majority")).agg(F.count("*").alias("n"))
+    total = counts.groupBy(F.col("cand").alias("_c")).agg(F.sum("n").alias("total"))
+    return L.majority(counts, "cand", "majority").join(total, F.col("cand").eqNullSafe(F.col("_c"))).withColumn("contradictions", F.col("total") - F.col("n"))
+
 
+@plan("categorical_mapping", f"{CAT} SELECT coalesce(sum(total) FILTER (WHERE cand IS NULL), 0)::BIGINT AS missing, coalesce(sum(total - n) FILTER (WHERE cand IS NOT NULL), 0)::BIGINT AS contradictions, coalesce(string_agg(cand || '->' || intern, '; ' ORDER BY cand) FILTER (WHERE cand IS NOT NULL), '') AS mapping FROM m WHERE rn = 1")
+def categorical_mapping(spark, sf):
+    """Which internal value each candidate value stands for, as text, and what contradicts it or is missing."""
+    a, known = agreement(spark, sf), F.col("cand").isNotNull()
+    parts = F.transform(F.array_sort(F.collect_list(F.when(known, F.struct("cand", "majority")))), lambda s: F.concat(s["cand"].cast("string"), F.lit("->"), s["majority"]))  # one row per value
+    total = lambda c, w: F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0).cast("long"))
+    return a.agg(total("total", ~known).alias("missing"), total("contradictions", known).alias("contradictions"), F.array_join(parts, "; ").alias("mapping"))
 
-@plan("matched_pair_sample", f"{PINS} SELECT i, j FROM pins ORDER BY md5('audit:' || i), i LIMIT 12")
+
+@plan("matched_pair_sample", f"{PINS} SELECT i, j, v1_lo, v1_hi, v1 FROM pins JOIN lft USING (i) JOIN rgt USING (j) ORDER BY md5('audit:' || i), i LIMIT 12")
 def matched_pair_sample(spark, sf):
-    return L.unique_pins(edges(spark, sf)).orderBy(rng.hashed("audit", F.col("i")), "i").limit(12)
+    picked = L.unique_pins(edges(spark, sf)).orderBy(rng.hashed("audit", F.col("i")), "i").limit(12)
+    return picked.join(left(spark, sf).select("i", "v1_lo", "v1_hi"), "i").join(right(spark, sf).select("j", "v1"), "j")
 
 
 @plan("held_out_crosscheck", f"{PINS} SELECT 'nation' AS variable, count(*) FILTER (WHERE c_nationkey = s_nationkey) AS agree, count(*) FILTER (WHERE c_nationkey <> s_nationkey) AS disagree FROM pins JOIN customer ON i = c_custkey JOIN supplier ON j = s_suppkey")
@@ -164,12 +210,24 @@ def two_by_two(spark, sf):
     return t.agg(F.count_if(rich & low).alias("a"), F.count_if(rich & ~low).alias("b"), F.count_if(~rich & low).alias("c"), F.count_if(~rich & ~low).alias("d"))
 
 
-@plan("imputation_audit", f"WITH {TWO} SELECT g, a, b, c, d, round(a * d / nullif(b * c, 0)::DOUBLE, 9) AS odds_ratio FROM two")
+LABELLED = "lb AS (SELECT c_mktsegment AS g, CASE WHEN c_nationkey < 12 THEN c_nationkey % 5 END AS label FROM customer), lc AS (SELECT g, label, count(*) AS n FROM lb WHERE label IS NOT NULL GROUP BY ALL), lm AS (SELECT g, label AS mode, n / sum(n) OVER (PARTITION BY g)::DOUBLE AS share, row_number() OVER (PARTITION BY g ORDER BY n DESC, label) AS rn FROM lc)"
+
+
+@plan("imputation_audit", f"WITH {TWO}, {LABELLED} SELECT g, a, b, c, d, round(a * d / nullif(b * c, 0)::DOUBLE, 9) AS odds_ratio, mode, round(share, 9) AS share FROM two JOIN lm USING (g) WHERE rn = 1")
 def imputation_audit(spark, sf):
-    return two_by_two(spark, sf).withColumn("odds_ratio", F.round(F.try_divide((F.col("a") * F.col("d")).cast("double"), F.col("b") * F.col("c")), 9))
+    """Of each group the label that missing rows were given most often and its share, the 2 x 2 counts and their odds ratio."""
+    given = table(spark, sf, "customer").where("c_nationkey < 12").groupBy(F.col("c_mktsegment").alias("g"), (F.col("c_nationkey") % 5).alias("mode")).agg(F.count("*").alias("n"))
+    total = given.groupBy("g").agg(F.sum("n").alias("_all"))
+    mode = L.majority(given, "g", "mode").join(total, "g").select("g", "mode", F.round(F.col("n") / F.col("_all"), 9).alias("share"))
+    return two_by_two(spark, sf).withColumn("odds_ratio", F.round(F.try_divide((F.col("a") * F.col("d")).cast("double"), F.col("b") * F.col("c")), 9)).join(mode, "g")
+
+
+CHOOSE = lambda n, k: f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
 
 
-@plan("fisher_exact")
+@plan("fisher_exact", f"""WITH {TWO}, m AS (SELECT *, a + b + c + d AS n, a + b AS r, a + c AS k FROM two), x AS (SELECT *, unnest(range(greatest(0, k - (n - r)), least(r, k) + 1)) AS x FROM m),
+  q AS (SELECT g, a, b, c, d, x, exp({CHOOSE('r', 'x')} + {CHOOSE('(n - r)', '(k - x)')} - {CHOOSE('n', 'k')}) AS q FROM x)
+  SELECT g, a, b, c, d, round(least(1.0, sum(q) FILTER (WHERE q <= (SELECT s.q FROM q s WHERE s.g = q.g AND s.x = s.a) * (1 + 1e-7))), 9) AS p FROM q GROUP BY ALL""")
 def fisher_exact(spark, sf):
     from sondage.session import ship
 
@@ -257,6 +315,20 @@ def copula(spark, sf, draws=None):
     return written(L.copula_draws(r, "o", VARS, draws or COPULA_DRAWS), "copula")
 
 
+@plan("containment_verdict")
+def containment_verdict(spark, sf):
+    """The verdict of the matched fraction and its null, as a gate reads it."""
+    c = containment_check(spark, sf)
+    return c.select("fraction", "null_mean", "null_sd", L.verdict(F.col("fraction"), F.col("null_mean"), F.col("null_sd"), F.lit(False)).alias("verdict"))
+
+
+@plan("provenance_gate")
+def provenance_gate(spark, sf):
+    """The rows behind a gate that lets everything through but an OVERLAPPING source; with that it raises."""
+    found = written(containment_verdict(spark, sf), "verdict")
+    return gated(found, found.first()["verdict"])
+
+
 @plan("copula_null")
 def copula_null(spark, sf):
     null = copula(spark, sf)
@@ -279,6 +351,19 @@ def copula_diagnostics(spark, sf):
     return middle.join(sd, "side").join(rho, "side").crossJoin(outside)
 
 
+@plan("null_diagnostics_summary")
+def null_diagnostics_summary(spark, sf):
+    """Mean and greatest difference between the real and the drawn Spearman correlation over pairs of variables, and where."""
+    real, null = right(spark, sf).withColumn("draw", F.lit(-1)), copula(spark, sf, 50)
+    wide = lambda d: d.withColumn("v3", F.col("v1") % 1000).select("draw", "j", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(v).alias("x")) for v in ("v1", "v2", "v3")])).alias("s"))
+    long = wide(real).unionByName(wide(null)).select("draw", "j", F.col("s.v").alias("v"), F.col("s.x").alias("x")).where("x IS NOT NULL")
+    ranked = S.midranks(long, ["draw", "v"], "x", "r").select("draw", "j", "v", "r")
+    other = ranked.select("draw", "j", F.col("v").alias("w"), F.col("r").alias("q"))
+    rho = ranked.join(other, ["draw", "j"]).where("v < w").groupBy("draw", F.concat_ws("-", "v", "w").alias("pair")).agg(F.corr("r", "q").alias("rho"))
+    gap = rho.groupBy("pair").agg(F.abs(F.avg(F.when(F.col("draw") >= 0, F.col("rho"))) - F.max(F.when(F.col("draw") < 0, F.col("rho")))).alias("gap"))
+    return gap.agg(F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"), F.max_by("pair", "gap").alias("at"))
+
+
 @plan("row_permutation_degeneracy", f"{EDGES}, r AS (SELECT count(*) AS edges, count(DISTINCT i) AS matched FROM edg) SELECT draw, edges, matched FROM r, (SELECT unnest(range(0, 20))::INTEGER AS draw)")
 def row_permutation_degeneracy(spark, sf):
     """Edges after permuting whole rows: the same in every draw, so such a permutation is no null."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondage.functions import labels as L
+from sondage.functions.normal import cdf_sql, norm_cdf, norm_ppf, ppf_sql
 from sondage.functions import rng
 from sondage.operators import encode
 from sondage.plans import plan
@@ -164,10 +165,28 @@ def enc_bin_index(spark, sf):
     return encode.encoded(c, encode.bin_map(c), "index").select("line", "x")
 
 
-@plan("enc_rank_normal")
+@plan("enc_rank_normal", f"{BINMAP}, sized AS (SELECT *, (pos + 0.5::DOUBLE) / count(*) OVER (PARTITION BY col) AS u FROM bin_map) SELECT line, round({ppf_sql('u')}, 9) AS x FROM parsed LEFT JOIN sized ON grp % 3 = col AND t = sized.label")
 def enc_rank_normal(spark, sf):
     c = bin_cells(spark, sf)
-    return encode.encoded(c, encode.bin_map(c), "rank_normal").select("line", "x")
+    return encode.encoded(c, encode.bin_map(c), "rank_normal").select("line", F.round("x", 9).alias("x"))
+
+
+UNIT = "u AS (SELECT p_partkey, (p_partkey % 999 + 0.5::DOUBLE) / 999 AS p FROM part)"
+
+
+@plan("normal_scores", f"WITH {UNIT}, z AS (SELECT *, {ppf_sql('p')} AS z FROM u) SELECT p_partkey, round(z, 9) AS z, round({cdf_sql('z')}, 9) AS p FROM z")
+def normal_scores(spark, sf):
+    """Normal quantiles of a share, and the share below each."""
+    z = norm_ppf((F.col("p_partkey") % 999 + F.lit(0.5)) / F.lit(999.0))
+    return table(spark, sf, "part").select("p_partkey", z.alias("z")).select("p_partkey", F.round("z", 9).alias("z"), F.round(norm_cdf(F.col("z")), 9).alias("p"))
+
+
+@plan("date_parse", "SELECT o_orderkey, try_strptime(t, '%Y-%m-%dT%H:%M:%S') AS stamp FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 11 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS t FROM orders)")
+def date_parse(spark, sf):
+    """ISO timestamps from text; what is none becomes null."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 7 == 0, "unknown").when(k % 11 == 0, None).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    return table(spark, sf, "orders").select("o_orderkey", F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("stamp"))
 
 
 @plan("enc_onehot", "SELECT c_custkey, " + ", ".join(f"CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(c_mktsegment = '{s}' AS INTEGER) END AS seg__{s.lower()}" for s in ("AUTOMOBILE", "BUILDING", "MACHINERY")) + " FROM customer")

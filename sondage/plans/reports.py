@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from sondage.operators import bootstrap as B
+from sondage.operators import linkage as L
 from sondage.operators import metrics as M
 from sondage.operators import resample as S
 from sondage.plans import plan
-from sondage.plans.evaluation import BRIER, auc_sql, rates_sql
-from sondage.plans.linking import LEFT, RIGHT, gaps, left, right
-from sondage.plans.resampling import FAUC, features
-from sondage.plans.views import CELL, RAW, raw
+from sondage.plans.evaluation import BRIER, NAMES, REP, WITH_CUT, auc_sql, bag, bag_sql, drawn, mean_cut, newton_sql, DRAWN
+from sondage.plans.linking import LEFT, PINS, RIGHT, edges, gaps, left, right
+from sondage.plans.resampling import BOOT, DRAWS, FAUC, FEAT, LONG, boot, features
+from sondage.plans.views import CELL, RAW, pooled, preds, raw
 from sondage.session import table
 
-C, REP = "config, model", "config, model, repeat"
+C = "config, model"
 
 
 def rnd(df, *names):
@@ -42,12 +44,27 @@ def encoding_robustness(spark, sf):
     return auc.where("encoding != 'midpoint'").join(base, CELL).select(*CELL, "encoding", F.round(F.col("auc") - F.col("base"), 9).alias("delta"))
 
 
-@plan("encoding_summary", f"WITH {EAUC}, d AS (SELECT a.encoding, round(a.auc, 9) AS auc, abs(round(round(a.auc, 9) - round(b.auc, 9), 9)) AS delta FROM aucs a JOIN aucs b ON a.config = b.config AND a.model = b.model AND b.encoding = 'midpoint') SELECT encoding, count(*) AS cells, round(median(auc), 9) AS median_auc, max(delta) AS max_delta FROM d GROUP BY 1")
+COLUMNS = {"midpoint": 1, "tenths": 11, "halves": 3}
+NCOL = "(SELECT unnest(['midpoint', 'tenths', 'halves']) AS encoding, unnest([1, 11, 3]) AS k)"
+DELTAS = f"{EAUC}, d AS (SELECT a.encoding, round(a.auc, 9) AS auc, abs(round(round(a.auc, 9) - round(b.auc, 9), 9)) AS delta FROM aucs a JOIN aucs b ON a.config = b.config AND a.model = b.model AND b.encoding = 'midpoint')"
+
+
+@plan("encoding_summary", f"WITH {DELTAS} SELECT encoding, count(*) AS cells, round(median(auc), 9) AS median_auc, max(delta) AS max_delta, max(k)::BIGINT AS most_columns FROM d JOIN {NCOL} USING (encoding) GROUP BY 1")
 def encoding_summary(spark, sf):
+    return encoding_table(spark, sf)
+
+
+def encoding_table(spark, sf):
     auc = encoding_auc(spark, sf)
     base = auc.where("encoding = 'midpoint'").select(*CELL, F.col("auc").alias("base"))
     d = auc.join(base, CELL).withColumn("delta", F.abs(F.round(F.col("auc") - F.col("base"), 9)))
-    return d.groupBy("encoding").agg(F.count("*").alias("cells"), F.round(F.median("auc"), 9).alias("median_auc"), F.max("delta").alias("max_delta"))
+    wide = F.create_map(*[x for k, v in COLUMNS.items() for x in (F.lit(k), F.lit(v))])[F.col("encoding")]
+    return d.groupBy("encoding").agg(F.count("*").alias("cells"), F.round(F.median("auc"), 9).alias("median_auc"), F.max("delta").alias("max_delta"), F.max(wide).cast("long").alias("most_columns"))
+
+
+@plan("worst_encoding", f"WITH {DELTAS} SELECT encoding, max(delta) AS max_delta FROM d WHERE encoding <> 'midpoint' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def worst_encoding(spark, sf):
+    return encoding_table(spark, sf).where("encoding != 'midpoint'").select("encoding", "max_delta").orderBy(F.desc("max_delta"), "encoding").limit(1)
 
 
 @plan("best_row_per_featureset", f"WITH {RAW}, {auc_sql('raw', C)}, o AS (SELECT unnest([1, 2]) AS pos, unnest(['f1', 'f0']) AS config) SELECT pos, config, model, round(auc, 9) AS auc FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY round(auc, 9) DESC, model) AS rn FROM aucs) JOIN o USING (config) WHERE rn = 1")
@@ -74,23 +91,53 @@ def label_variant_wide(spark, sf):
     return wide.select(*CELL, *[F.round(F.col(v) - F.col("primary"), 9).alias(v) for v in ("excluded", "flipped")])
 
 
-@plan("calibration_median_best", f"WITH {RAW}, {BRIER('raw', REP)}, {auc_sql('raw', REP)} SELECT model, round(median(brier), 9) AS brier, round(median(auc), 9) AS auc FROM br JOIN aucs USING ({REP}) GROUP BY model ORDER BY 2, 1 LIMIT 1")
+FOUR = ["brier", "ece", "slope", "intercept"]
+
+
+@plan("calibration_median_best", f"WITH RECURSIVE {RAW}, {DRAWN}, {newton_sql('drawn', REP)}, {BRIER('drawn', REP)}, ec AS (SELECT {REP}, sum(gap) / sum(n) AS ece FROM (SELECT {REP}, least(floor(p * 10), 9) AS b, count(*) AS n, abs(sum(y) - sum(p)) AS gap FROM drawn GROUP BY {REP}, b) GROUP BY {REP}) SELECT model, " + ", ".join(f"round(median({m}), 6) AS {m}" for m in FOUR) + f" FROM fit JOIN br USING ({REP}) JOIN ec USING ({REP}) GROUP BY model ORDER BY median(brier), model LIMIT 1")
 def calibration_median_best(spark, sf):
-    keys, df = [*CELL, "repeat"], raw(spark, sf)
-    both = M.brier(df, keys).join(M.roc_auc(df, keys), keys)
-    return both.groupBy("model").agg(F.round(F.median("brier"), 9).alias("brier"), F.round(F.median("auc"), 9).alias("auc")).orderBy("brier", "model").limit(1)
+    """Medians over cells and repeats of each method; that with the lowest Brier score."""
+    per = M.all_metrics(drawn(spark, sf), [*CELL, "repeat"], F.lit(0.5))
+    return per.groupBy("model").agg(*[F.round(F.median(m), 6).alias(m) for m in FOUR]).orderBy("brier", "model").limit(1)
 
 
 CELLS = [("f0", "m0"), ("f0", "m2"), ("f1", "m1"), ("f1", "m2")]
 
 
-@plan("model_comparison", f"WITH {RAW}, {auc_sql('raw', C)}, {BRIER('raw', C)}, {rates_sql('raw', C, '0.5')} SELECT {C}, round(auc, 9) AS auc, round(brier, 9) AS brier, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity FROM aucs JOIN br USING ({C}) JOIN full_rates USING ({C}) WHERE config || model IN ('f0m0', 'f0m2', 'f1m1', 'f1m2')")
+SHOWN = ["auc", "brier", "sensitivity", "specificity", "slope", "intercept"]
+
+
+@plan("model_comparison", f"WITH RECURSIVE {RAW}, {DRAWN}, {bag_sql('drawn', C, '0.5')} SELECT {C}, " + ", ".join(f"round({n}, 6) AS {n}" for n in SHOWN) + " FROM bag WHERE config || model IN ('f0m0', 'f0m2', 'f1m1', 'f1m2')")
 def model_comparison(spark, sf):
     wanted = spark.createDataFrame(CELLS, "config string, model string")
-    df = raw(spark, sf).join(F.broadcast(wanted), CELL, "left_semi")  # four cells
-    out = M.roc_auc(df, CELL).join(M.brier(df, CELL), CELL).join(M.threshold_metrics(df, CELL, F.lit(0.5)), CELL)
-    names = ["auc", "brier", "sensitivity", "specificity"]
-    return rnd(out.select(*CELL, *names), *names)
+    df = drawn(spark, sf).join(F.broadcast(wanted), CELL, "left_semi")  # four cells
+    return M.all_metrics(df, CELL, F.lit(0.5)).select(*CELL, *[F.round(n, 6).alias(n) for n in SHOWN])
+
+
+WIDE = ["auc", "brier", "sensitivity"]
+SD = f"sds AS (SELECT {C}, " + ", ".join(f"stddev_samp({m}) AS {m}_sd" for m in WIDE) + f" FROM (SELECT {REP}, avg((p - y) * (p - y)) AS brier, count(*) FILTER (WHERE y = 1 AND p >= 0.5) / count(*) FILTER (WHERE y = 1)::DOUBLE AS sensitivity FROM preds GROUP BY ALL) JOIN rauc USING ({REP}) GROUP BY {C})"
+
+
+@plan("headline_table", f"WITH {BOOT}, {auc_sql('preds', REP, 'rauc')}, {SD}, {auc_sql('pooled', C)}, est AS (SELECT {C}, auc, brier, sensitivity FROM aucs JOIN (SELECT {C}, avg((p - y) * (p - y)) AS brier, count(*) FILTER (WHERE y = 1 AND p >= 0.5) / count(*) FILTER (WHERE y = 1)::DOUBLE AS sensitivity FROM pooled GROUP BY ALL) USING ({C})), iv AS (SELECT {C}, " + ", ".join(f"quantile_cont({m}, {q}) AS {m}_{n}" for m in WIDE for n, q in (("lo", 0.025), ("hi", 0.975))) + f" FROM bts GROUP BY ALL) SELECT {C}, config <> 'f1' AS valid, " + ", ".join(f"round({m}{e}, 9) AS {m}{e}" for m in WIDE for e in ("", "_lo", "_hi", "_sd")) + f" FROM est JOIN iv USING ({C}) JOIN sds USING ({C})")
+def headline_table(spark, sf):
+    """A row for each cell: of each metric the estimate, its bootstrap interval and its deviation across repeats, and whether the
+    feature set is a valid one."""
+    df = preds(spark, sf)
+    point = M.all_metrics(pooled(df), CELL, F.lit(0.5)).select(*CELL, *WIDE)
+    spread = M.all_metrics(df, [*CELL, "repeat"], F.lit(0.5)).groupBy(*CELL).agg(*[F.stddev_samp(m).alias(f"{m}_sd") for m in WIDE])
+    long = B.intervals(boot(spark, sf), CELL, WIDE)
+    wide = long.groupBy(*CELL).pivot("metric", WIDE).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    out = point.join(spread, CELL).join(wide, CELL).withColumn("valid", F.col("config") != "f1")
+    return out.select(*CELL, "valid", *[F.round(f"{m}{e}", 9).alias(f"{m}{e}") for m in WIDE for e in ("", "_lo", "_hi", "_sd")])
+
+
+@plan("featureset_table", f"WITH {BOOT}, {auc_sql('pooled', C)}, top AS (SELECT config, model, auc FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY round(auc, 9) DESC, model) AS rn FROM aucs) WHERE rn = 1), iv AS (SELECT {C}, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi FROM bts GROUP BY ALL) SELECT {C}, round(top.auc, 9) AS auc, round(lo, 9) AS lo, round(hi, 9) AS hi, lo >= 0.99 AS saturated FROM top JOIN iv USING ({C})")
+def featureset_table(spark, sf):
+    """The best model of each feature set with its interval; saturated if even its lower end is 0.99 or more."""
+    auc = M.roc_auc(pooled(preds(spark, sf)), CELL).withColumn("auc", F.round("auc", 9))
+    best = auc.withColumn("_r", F.row_number().over(Window.partitionBy("config").orderBy(F.desc("auc"), "model"))).where("_r = 1").drop("_r")  # one row per model
+    out = best.join(B.intervals(boot(spark, sf), CELL, ["auc"]), CELL)
+    return out.select(*CELL, "auc", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), (F.col("lo") >= 0.99).alias("saturated"))
 
 
 @plan("wilson_interval", "WITH g AS (SELECT c_nationkey AS g, count(*)::DOUBLE AS n, avg(CAST(c_acctbal > 4500 AS INTEGER)) AS o FROM customer GROUP BY 1) SELECT g, round(greatest(0.0, (o + 3.8416 / (2 * n) - 1.96 * sqrt(o * (1 - o) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS low, round(least(1.0, (o + 3.8416 / (2 * n) + 1.96 * sqrt(o * (1 - o) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS high FROM g")
@@ -100,10 +147,24 @@ def wilson_interval(spark, sf):
     return g.select("g", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-@plan("direction_summary", f"WITH {FAUC} SELECT feature, CASE WHEN abs(auc - 0.5) < 0.03 THEN 'undetermined' WHEN auc > 0.5 THEN 'up' ELSE 'down' END AS direction FROM aucs")
+SIDE = "CASE WHEN abs(auc - 0.5) < 0.03 THEN 'undetermined' WHEN auc > 0.5 THEN 'up' ELSE 'down' END"
+SHAPES = f"""{FAUC}, cuts AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM feat WHERE x IS NOT NULL GROUP BY 1),
+  shp AS (SELECT feature, least(9, floor((x - lo) / (hi - lo) * 10)) AS b, avg(y) AS f FROM feat JOIN cuts USING (feature) WHERE x IS NOT NULL GROUP BY ALL),
+  rks AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY b) AS rb, rank() OVER (PARTITION BY feature ORDER BY round(f, 9)) + (count(*) OVER (PARTITION BY feature, round(f, 9)) - 1) / 2.0::DOUBLE AS rf FROM shp),
+  rho AS (SELECT feature, corr(rb, rf) AS rho FROM rks GROUP BY 1)"""
+
+
+@plan("direction_summary", f"WITH {SHAPES} SELECT feature, {SIDE} AS direction, round(rho, 9) AS rho, CASE WHEN abs(auc - 0.5) < 0.03 THEN NULL ELSE (rho > 0) = (auc > 0.5) END AS agrees FROM aucs JOIN rho USING (feature)")
 def direction_summary(spark, sf):
-    auc = F.col("auc")
-    return S.single_predictors(features(spark, sf)).select("feature", F.when(F.abs(auc - 0.5) < 0.03, "undetermined").when(auc > 0.5, "up").otherwise("down").alias("direction"))
+    """Whether the Spearman correlation of a feature's shape points where its AUC does; an AUC near a half says nothing."""
+    auc, long = F.col("auc"), features(spark, sf).where("x IS NOT NULL")
+    ends = long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    b = F.least(F.lit(9), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 10))
+    shape = long.join(ends, "feature").groupBy("feature", b.cast("double").alias("b")).agg(F.round(F.avg("y"), 9).alias("f"))  # ten bins
+    rho = S.midranks(S.midranks(shape, ["feature"], "b", "rb"), ["feature"], "f", "rf").groupBy("feature").agg(F.corr("rb", "rf").alias("rho"))
+    side = F.when(F.abs(auc - 0.5) < 0.03, "undetermined").when(auc > 0.5, "up").otherwise("down")
+    agrees = F.when(F.abs(auc - 0.5) >= 0.03, (F.col("rho") > 0) == (auc > 0.5))
+    return S.single_predictors(features(spark, sf)).join(rho, "feature").select("feature", side.alias("direction"), F.round("rho", 9).alias("rho"), agrees.alias("agrees"))
 
 
 @plan("direction_notes", f"WITH {FAUC} SELECT CASE WHEN abs(auc - 0.5) < 0.03 THEN 'undetermined' WHEN auc > 0.5 THEN 'up' ELSE 'down' END AS direction, string_agg(feature, ', ' ORDER BY feature) AS features FROM aucs GROUP BY 1")
@@ -123,11 +184,11 @@ def tier_composition(spark, sf):
     return table(spark, sf, "part").select("p_brand", F.explode(F.split("p_type", " ")).alias("tier")).groupBy("p_brand", "tier").agg(F.count("*").alias("n"))
 
 
-@plan("null_diagnostics_summary", "WITH f AS (SELECT o_orderpriority AS term, abs(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') - avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O')) AS gap FROM orders GROUP BY 1) SELECT round(avg(gap), 4) AS mean_gap, round(max(gap), 4) AS max_gap, arg_max(term, gap) AS at FROM f")
-def null_diagnostics_summary(spark, sf):
-    side = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
-    gap = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("term")).agg(F.abs(side("F") - side("O")).alias("gap"))
-    return gap.agg(F.round(F.avg("gap"), 4).alias("mean_gap"), F.round(F.max("gap"), 4).alias("max_gap"), F.max_by("term", "gap").alias("at"))
+@plan("literature_summary", f"{PINS}, n AS (SELECT s_nationkey AS study, count(*) AS pins FROM pins JOIN supplier ON j = s_suppkey GROUP BY 1) SELECT row_number() OVER (ORDER BY pins DESC, study) AS place, study, pins FROM n")
+def literature_summary(spark, sf):
+    """The studies in the order of their pins."""
+    pins = L.unique_pins(edges(spark, sf)).join(table(spark, sf, "supplier"), F.col("j") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("study")).agg(F.count("*").alias("pins"))
+    return pins.select(F.row_number().over(Window.orderBy(F.desc("pins"), "study")).cast("long").alias("place"), "study", "pins")  # one row per study
 
 
 @plan("casemix_report", "SELECT o_orderpriority AS mix, format('{:.3f}', round(avg(o_totalprice) / 1e5, 3)) || ' (' || format('{:.3f}', round(quantile_cont(o_totalprice, 0.025) / 1e5, 3)) || '-' || format('{:.3f}', round(quantile_cont(o_totalprice, 0.975) / 1e5, 3)) || ')' AS shown FROM orders GROUP BY 1")
@@ -148,8 +209,6 @@ def variable_subsets(spark, sf):
 
 @plan("negative_control", f"WITH {LEFT}, {RIGHT} SELECT count(*) AS edges FROM lft JOIN (SELECT j, o, v1 + 20000 AS v1 FROM rgt WHERE v1 IS NOT NULL) r ON lft.o = r.o WHERE v1 BETWEEN v1_lo - 1e-9 AND v1_hi + 1e-9 AND isfinite(v1_hi)")
 def negative_control(spark, sf):
-    from sondage.operators import linkage as L
-
     far = right(spark, sf).where("v1 IS NOT NULL").withColumn("v1", F.col("v1") + 20000)
     finite = left(spark, sf).where(F.abs("v1_hi") != L.INF)
     return L.edges(L.pairs(finite, far, ["v1"], "o", L.EPS, 500.0), ["v1"]).agg(F.count("*").alias("edges"))

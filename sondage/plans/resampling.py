@@ -225,10 +225,18 @@ def fraction_to_reach(spark, sf):
     return s.join(top, "k").groupBy("k").agg(F.min(F.when(hit, F.col("f"))).alias("fraction"))
 
 
-@plan("flag", f"WITH {SAT}, t AS (SELECT k, max(score) - min(score) AS lift, CASE WHEN k % 4 <> 0 THEN min(f) FILTER (WHERE score > 0.75) END AS frac FROM sat GROUP BY k) SELECT k, lift < 0.2 AS low_lift, frac < 0.25 AS saturated FROM t")
+DIAGNOSTICS = "dg AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 11) / 100.0::DOUBLE END AS lift, CASE WHEN c_custkey % 7 = 0 THEN 'nan'::DOUBLE ELSE (c_custkey % 9) / 10.0::DOUBLE END AS fraction, (c_custkey % 21 - 10) / 100.0::DOUBLE AS shift, CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 25 - 12) / 100.0::DOUBLE END AS sensitivity_shift FROM customer)"
+KNOWN = lambda c, hit: f"CASE WHEN isfinite({c}) THEN {hit} END"
+
+
+@plan("flag", f"WITH {DIAGNOSTICS} SELECT k, {KNOWN('lift', 'lift < 0.05')} AS low_lift, {KNOWN('fraction', 'fraction < 0.25')} AS saturated, {KNOWN('shift', 'abs(shift) > 0.05')} AS casemix_auc, {KNOWN('sensitivity_shift', 'abs(sensitivity_shift) > 0.05')} AS casemix_sensitivity FROM dg")
 def flag(spark, sf):
-    t = saturation(spark, sf).groupBy("k").agg((F.max("score") - F.min("score")).alias("lift"), F.min(F.when(F.col("score") > 0.75, F.col("f"))).alias("frac"))
-    return t.select("k", (F.col("lift") < 0.2).alias("low_lift"), (F.when(F.col("k") % 4 != 0, F.col("frac")) < 0.25).alias("saturated"))
+    k = F.col("c_custkey")
+    d = table(spark, sf, "customer").select(
+        k.alias("k"), F.when(k % 5 != 0, (k % 11) / F.lit(100.0)).alias("lift"), F.when(k % 7 == 0, float("nan")).otherwise((k % 9) / F.lit(10.0)).alias("fraction"),
+        ((k % 21 - 10) / F.lit(100.0)).alias("shift"), F.when(k % 3 != 0, (k % 25 - 12) / F.lit(100.0)).alias("sensitivity_shift"),
+    )
+    return d.select("k", *[c.alias(n) for n, c in S.flags("lift", "fraction", "shift", "sensitivity_shift").items()])
 
 
 @plan("severity_balanced", f"""WITH {RAW}, base AS (SELECT * FROM raw WHERE y = 1), k AS (SELECT repeat, min(n) AS k FROM (SELECT repeat, stratum, count(*) AS n FROM base GROUP BY 1, 2) GROUP BY 1),
@@ -241,19 +249,26 @@ def severity_balanced(spark, sf):
     return ranked.join(k, "repeat").where("rn < k").select("draw", "repeat", "sample", "stratum")
 
 
-@plan("casemix_simulation", f"""WITH {RAW}, base AS (SELECT *, row_number() OVER (PARTITION BY repeat, stratum ORDER BY md5('mix:' || sample), sample) - 1 AS slot, count(*) OVER (PARTITION BY repeat, stratum) AS n, count(*) OVER (PARTITION BY repeat) AS cases FROM raw WHERE y = 1),
-  want AS (SELECT DISTINCT repeat, stratum, n, CAST(round_even(cases * target, 0) AS BIGINT) AS want FROM base JOIN (SELECT unnest(['purchase', 'click']) AS stratum, unnest([0.8::DOUBLE, 0.2::DOUBLE]) AS target) USING (stratum)),
-  picks AS (SELECT repeat, stratum, draw, j, CAST(floor(CAST('0x' || substr(md5('mix:' || stratum || ':' || repeat || ':' || draw || ':' || j), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * n) AS BIGINT) AS slot FROM (SELECT repeat, stratum, n, unnest(range(0, want)) AS j FROM want), (SELECT unnest(range(0, 3)) AS draw))
-  SELECT draw, repeat, stratum, count(*) AS drawn, count(DISTINCT sample) AS distinct_cases, max(c) AS reuse, round(avg(p), 9) AS mean_p FROM (SELECT *, count(*) OVER (PARTITION BY draw, repeat, stratum, sample) AS c FROM picks JOIN base USING (repeat, stratum, slot)) GROUP BY 1, 2, 3""")
+MIXES = 2000
+CASEMIX = f"""{POOL}, base AS (SELECT {C}, stratum, p, row_number() OVER (PARTITION BY {C}, stratum ORDER BY md5('mix:' || sample), sample) - 1 AS slot FROM pooled WHERE y = 1),
+  sz AS (SELECT {C}, stratum, count(*) AS n FROM base GROUP BY ALL), want AS (SELECT {C}, stratum, n, CAST(round_even(sum(n) OVER (PARTITION BY {C}) * target, 0) AS BIGINT) AS want FROM sz JOIN (SELECT unnest(['purchase', 'click']) AS stratum, unnest([0.8::DOUBLE, 0.2::DOUBLE]) AS target) USING (stratum)),
+  pk AS (SELECT {C}, stratum, draw, CAST(floor(CAST('0x' || substr(md5('mix:' || stratum || ':' || config || ':' || model || ':' || draw || ':' || j), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * n) AS BIGINT) AS slot FROM (SELECT {C}, stratum, n, unnest(range(0, want)) AS j FROM want), (SELECT unnest(range(0, {MIXES})) AS draw)),
+  dr AS (SELECT {C}, draw, p, stratum, slot, count(*) AS c FROM pk JOIN base USING ({C}, stratum, slot) GROUP BY ALL),
+  ng AS (SELECT {C}, p, count(*)::DOUBLE AS n FROM pooled WHERE y = 0 GROUP BY ALL), pp AS (SELECT DISTINCT {C}, p FROM base),
+  sc AS (SELECT {C}, p, sum(n) OVER w AS fp, coalesce(n, 0) AS own, sum(n) OVER (PARTITION BY {C}) AS nn FROM (SELECT {C}, p, max(n) AS n FROM (SELECT * FROM ng UNION ALL SELECT {C}, p, 0 FROM pp) GROUP BY ALL) WINDOW w AS (PARTITION BY {C} ORDER BY p DESC)),
+  dp AS (SELECT {C}, draw, p, sum(c) AS c FROM dr GROUP BY ALL), cu AS (SELECT *, sum(c) OVER (PARTITION BY {C}, draw ORDER BY p DESC) AS tp, sum(c) OVER (PARTITION BY {C}, draw) AS m FROM dp JOIN sc USING ({C}, p)),
+  per AS (SELECT {C}, draw, sum(c * (nn - fp + own / 2) / nn) / max(m) AS auc, sum(c / m * tp / (tp + fp)) AS pr_auc, sum(CASE WHEN p >= 0.5 THEN c ELSE 0 END) / max(m) AS sensitivity FROM cu GROUP BY ALL),
+  us AS (SELECT {C}, draw, count(*) AS distinct_cases, max(c) AS reuse FROM dr GROUP BY ALL)"""
+MEASURED = ["auc", "pr_auc", "sensitivity"]
+
+
+@plan("casemix_simulation", f"WITH {CASEMIX} SELECT {C}, " + ", ".join(f"round({f}, 9) AS {m}_{n}" for m in MEASURED for n, f in (("mean", f"avg({m})"), ("lo", f"quantile_cont({m}, 0.025)"), ("hi", f"quantile_cont({m}, 0.975)"), ("se", f"stddev_samp({m}) / sqrt(count(*))"))) + f", round(avg(distinct_cases), 6) AS distinct_cases, max(reuse) AS reuse FROM per JOIN us USING ({C}, draw) GROUP BY ALL")
 def casemix_simulation(spark, sf):
-    base = numbered(raw(spark, sf).where("y = 1").withColumn("_h", rng.hashed("mix", F.col("sample"))), ["repeat", "stratum"], "_h", "slot", ["sample"])
-    sizes = base.groupBy("repeat", "stratum").agg(F.count("*").alias("n"))
+    """Metrics of each cell with 80 % of its cases from one stratum: mean, Monte-Carlo interval and error, and how cases are used."""
     mix = spark.createDataFrame([("purchase", 0.8), ("click", 0.2)], "stratum string, target double")
-    want = sizes.join(base.groupBy("repeat").agg(F.count("*").alias("all")), "repeat").join(mix, "stratum").withColumn("want", F.bround(F.col("all") * F.col("target"), 0).cast("long"))
-    slots = want.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("want") - 1)))
-    picks = slots.select("repeat", "stratum", "draw", F.floor(rng.uniform("mix", F.col("stratum"), F.col("repeat"), F.col("draw"), F.col("j")) * F.col("n")).alias("slot")).groupBy("repeat", "stratum", "draw", "slot").agg(F.count("*").alias("c"))
-    out = picks.join(base, ["repeat", "stratum", "slot"])
-    return out.groupBy("draw", "repeat", "stratum").agg(F.sum("c").alias("drawn"), F.count("*").alias("distinct_cases"), F.max("c").alias("reuse"), F.round(F.sum(F.col("c") * F.col("p")) / F.sum("c"), 9).alias("mean_p"))
+    draws = S.casemix(source(spark, sf), CELL, mix, "stratum", "sample", MIXES)
+    stats = [F.round(c, 9).alias(f"{m}_{n}") for m in MEASURED for n, c in (("mean", F.avg(m)), ("lo", F.percentile(m, 0.025)), ("hi", F.percentile(m, 0.975)), ("se", F.stddev_samp(m) / F.sqrt(F.count("*"))))]
+    return draws.groupBy(*CELL).agg(*stats, F.round(F.avg("distinct_cases"), 6).alias("distinct_cases"), F.max("reuse").alias("reuse"))
 
 
 IMP = "imp AS (SELECT CAST(l_linenumber AS VARCHAR) AS fold, 'x' || (l_partkey % 12) AS feature, round(avg(l_extendedprice) / 1000, 1) AS importance FROM lineitem GROUP BY 1, 2)"

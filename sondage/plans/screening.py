@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from sondage.functions import text as X
@@ -143,9 +147,89 @@ def sinks_round_trip(spark, sf):
     return out
 
 
-@plan("file_checksum")
+NATION_TEXT = "(SELECT string_agg(n_nationkey || ',' || n_name, chr(10) ORDER BY n_nationkey) AS c FROM nation)"
+CHECKSUM = f"SELECT 'nation.txt' AS file, strlen(c)::BIGINT AS length, sha256(c) AS sha256 FROM {NATION_TEXT}"
+
+
+def nation_text(spark, sf):
+    """A folder with one file, and its bytes."""
+    rows = sorted(tuple(r) for r in table(spark, sf, "nation").select("n_nationkey", "n_name").collect())  # 25 rows
+    path, data = S.scratch(spark, "files"), "\n".join(f"{k},{n}" for k, n in rows).encode()
+    S.put(spark, f"{path}/nation.txt", data)
+    return path, data
+
+
+@plan("file_checksum", CHECKSUM)
 def file_checksum(spark, sf):
-    return S.checksums(spark, f"{sf}/nation.parquet")
+    return S.checksums(spark, nation_text(spark, sf)[0])
+
+
+@plan("checksum_gate", CHECKSUM)
+def checksum_gate(spark, sf):
+    path, data = nation_text(spark, sf)
+    return S.checksum_gate(spark, path, {"nation.txt": hashlib.sha256(data).hexdigest()})
+
+
+@plan("yaml_scan", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def yaml_scan(spark, sf):
+    path = S.scratch(spark, "yaml")
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
+    S.put(spark, f"{path}/nations.yaml", ("nations:\n" + "".join(f"  - key: {r[0]}\n    name: '{r[1]}'\n" for r in rows)).encode())
+    found = S.read_yaml(spark, f"{path}/nations.yaml")["nations"]
+    return spark.createDataFrame([(d["key"], d["name"]) for d in found], "n_nationkey long, n_name string")
+
+
+@plan("zip_extract", f"SELECT 'nations.zip' AS archive, 'in/nation.txt' AS entry, strlen(c)::BIGINT AS length, sha256(c) AS sha256 FROM {NATION_TEXT}")
+def zip_extract(spark, sf):
+    path, data = nation_text(spark, sf)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("in/", b"")
+        z.writestr("in/nation.txt", data)
+    S.put(spark, f"{path}/zip/nations.zip", held.getvalue())
+    return S.read_zip(spark, f"{path}/zip").select("archive", "entry", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
+
+
+@plan("xlsx_scan", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, CASE WHEN n_nationkey % 4 <> 0 THEN n_regionkey / 2.0::DOUBLE END AS half FROM nation")
+def xlsx_scan(spark, sf):
+    """A worksheet with shared strings, header names in white space and empty cells."""
+    rows = sorted(tuple(r) for r in table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").collect())  # 25 rows
+    names = [" n_nationkey ", "n_name", "half\n", *[n for _, n, _ in rows]]
+    string = lambda ref, k: f'<c r="{ref}" t="s"><v>{k}</v></c>'
+    body = [f'<row r="1">{string("A1", 0)}{string("B1", 1)}{string("D1", 2)}</row>']
+    for i, (k, _, region) in enumerate(rows, 2):
+        body.append(f'<row r="{i}"><c r="A{i}"><v>{k}</v></c>{string(f"B{i}", i + 1)}{f"""<c r="D{i}"><v>{region / 2}</v></c>""" if k % 4 else ""}</row>')
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><t>{n}</t></si>" for n in names) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{''.join(body)}</sheetData></worksheet>")
+    path = S.scratch(spark, "xlsx")
+    S.put(spark, f"{path}/nations.xlsx", held.getvalue())
+    return S.read_xlsx(spark, path, "n_nationkey long, n_name string, half double")
+
+
+PARTS = "SELECT p_partkey::VARCHAR AS k, CASE p_partkey % 4 WHEN 0 THEN 'a, \"b\"' WHEN 1 THEN '' WHEN 2 THEN 'x' || chr(160) || 'y' ELSE p_name END AS v FROM part"
+
+
+def awkward_parts(spark, sf):
+    """A row for each part: commas and quotes, empty cells and no-break spaces."""
+    k = F.col("p_partkey")
+    v = F.when(k % 4 == 0, 'a, "b"').when(k % 4 == 1, "").when(k % 4 == 2, "x\u00a0y").otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select(k.cast("string").alias("k"), v.alias("v"))
+
+
+@plan("csv_awkward_cells", PARTS)
+def csv_awkward_cells(spark, sf):
+    path = S.scratch(spark, "parts")
+    awkward_parts(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+    return S.read_strict(spark, path, ["k", "v"])
+
+
+@plan("json_awkward_cells", PARTS)
+def json_awkward_cells(spark, sf):
+    path = S.scratch(spark, "parts")
+    awkward_parts(spark, sf).write.json(path)
+    return spark.read.schema("k string, v string").json(path)
 
 
 @plan("arff_scan", "SELECT n_nationkey::DOUBLE AS key, n_name AS name, CASE WHEN n_regionkey <> 2 THEN n_regionkey::DOUBLE END AS region FROM nation")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
 import uuid
+import zipfile
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from sondage.session import ship
+
 
 class SourceError(ValueError):
     """A source that is missing or not what it is declared to be."""
@@ -39,10 +45,99 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file, such as a manifest, to any store that Spark writes to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def get(spark: SparkSession, path: str) -> bytes:
+    """The content of one small file."""
+    rows = spark.read.format("binaryFile").load(path).select("content").take(1)
+    if not rows:
+        raise SourceError(f"{path} is missing")
+    return bytes(rows[0]["content"])
+
+
+def read_yaml(spark: SparkSession, path: str):
+    """The document of a YAML file, which is read on the driver: configuration, not data."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise SourceError("YAML needs the yaml package") from e
+    return yaml.safe_load(get(spark, path))
+
+
+def read_zip(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, entry, content) of the files in zip archives; an archive is opened by one task."""
+    ship(spark)
+
+    def entries(parts):
+        for part in parts:
+            for archive, data in zip(part["path"], part["content"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    for info in z.infolist():
+                        if not info.is_dir():
+                            yield pd.DataFrame({"archive": [archive.rsplit("/", 1)[-1]], "entry": [info.filename], "content": [z.read(info)]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "archive string, entry string, content binary")
+
+
+def _sheet(data: bytes, sheet: int) -> list[list[str | None]]:
+    """The cells of a worksheet as text, with the gaps of sparse rows filled."""
+    name = lambda e: e.tag.rpartition("}")[2]
+    text = lambda e: "".join(t.text or "" for t in e.iter() if name(t) == "t")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        root = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml"))
+    out = []
+    for row in (e for e in root.iter() if name(e) == "row"):
+        cells: list[str | None] = []
+        for c in (e for e in row if name(e) == "c"):
+            at = 0
+            for letter in re.match(r"[A-Z]*", c.get("r", ""))[0]:
+                at = at * 26 + ord(letter) - 64
+            value = next((e.text for e in c if name(e) == "v"), None)
+            if c.get("t") == "s" and value is not None:
+                value = shared[int(value)]
+            elif c.get("t") == "inlineStr":
+                value = text(c)
+            cells += [None] * ((at or len(cells) + 1) - 1 - len(cells)) + [value]
+        out.append(cells)
+    return out
+
+
+def read_xlsx(spark: SparkSession, path: str, schema: str, sheet: int = 1) -> DataFrame:
+    """The rows of a worksheet below its header, whose names are stripped; only the columns of schema, cast to its types.
+
+    A workbook is one file and is parsed by one task.
+    """
+    ship(spark)
+    wanted = T.StructType.fromDDL(schema).names
+
+    def rows(parts):
+        for part in parts:
+            for data in part["content"]:
+                head, *body = _sheet(bytes(data), sheet) or [[]]
+                head = [(h or "").strip() for h in head]
+                absent = [c for c in wanted if c not in head]
+                if absent:
+                    raise SourceError(f"absent columns: {', '.join(absent)}")
+                at = [head.index(c) for c in wanted]
+                yield pd.DataFrame([[r[i] if i < len(r) else None for i in at] for r in body if any(v is not None for v in r)], columns=wanted, dtype=object)
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ", ".join(f"`{c}` string" for c in wanted))
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])
+
+
 def read_strict(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """CSV with a header, every cell as text, nothing read as null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.schema(schema).option("header", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    df = spark.read.schema(schema).option("header", True).option("nullValue", "\u0000").option("emptyValue", "").option("escape", '"').csv(path)
     return df.na.fill("")
 
 
@@ -62,8 +157,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def split_metadata(lines: DataFrame, n: int, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(metadata, records) of numbered CSV lines: the header, then n metadata rows, then records with their line."""
-    cells = F.split("value", ",")
-    out = lines.where("line > 1").select("line", *[cells[i].alias(c) for i, c in enumerate(columns)])
+    cells = F.from_csv("value", ", ".join(f"`{c}` string" for c in columns), {"emptyValue": "", "nullValue": "\u0000", "escape": '"'})
+    out = lines.where("line > 1").select("line", cells.alias("_c")).select("line", "_c.*").na.fill("", columns)
     return out.where(F.col("line") <= n + 1), out.where(F.col("line") > n + 1)
 
 
@@ -74,9 +169,10 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     if not heads:
         raise SourceError(f"{path} declares no attributes")
     found = [re.match(r"@attribute\s+'?([^'{]+?)'?\s+(\{.*\}|\S+)$", h, re.IGNORECASE) for h in heads]
-    cells = F.split("v", ",")
-    rows = lines.where(~F.col("v").startswith("@") & ~F.col("v").startswith("%") & (F.col("v") != ""))
-    cell = lambda i: F.nullif(F.trim(cells[i]), F.lit("?"))
+    names = ", ".join(f"c{i} string" for i in range(len(found)))
+    cells = F.from_csv("v", names, {"quote": "'", "escape": "\\", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    rows = lines.where(~F.col("v").startswith("@") & ~F.col("v").startswith("%") & (F.col("v") != "")).select(cells.alias("_c"))
+    cell = lambda i: F.nullif(F.trim(F.col(f"_c.c{i}")), F.lit("?"))
     return rows.select(*[(cell(i).try_cast("double") if m[2].lower() in ("numeric", "real", "integer") else cell(i)).alias(m[1].strip()) for i, m in enumerate(found)])
 
 

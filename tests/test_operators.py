@@ -415,3 +415,68 @@ def test_copula_keeps_marginals_gaps_and_correlation(spark):
     rho = out.dropna().groupby("draw")[["u", "v"]].apply(lambda d: d.u.rank().corr(d.v.rank()))
     assert 0.65 < rho.mean() < 0.85 and rho.std() > 0.005
     assert abs(np.median(out.u) - np.median([x[2] for x in rows])) < 0.15
+
+
+def test_registry_names_what_it_knows():
+    from sondage.operators.guard import Registry, UnknownName, Variable, restricted_sets
+
+    r = Registry((FeatureSet("a", ("x", "y")), FeatureSet("b", ("x",), valid=False)), (Variable("x", "legitimate_pre_index"), Variable("y", "diagnostic_criterion_input", "cheap", True)))
+    assert r.by_name("a").features == ("x", "y") and r.valid_names() == ["a"] and [v.name for v in r.uncertain()] == ["y"] and [v.name for v in r.by_tier("cheap")] == ["y"]
+    with pytest.raises(UnknownName, match="a, b"):
+        r.by_name("c")
+    with pytest.raises(UnknownName, match="cheap"):
+        r.by_tier("dear")
+    found = restricted_sets(r, "a", "b", "x", "y")
+    assert len(found) == 10 and found["minus criteria"] == ("x",) and found["minus filtration"] == ("y",) and found["cheap, early and certain"] == ("x",)
+
+
+def test_gate_refuses_an_overlap(spark):
+    from sondage.operators.guard import gated
+
+    df = spark.range(1)
+    assert gated(df, "INDEPENDENT") is df and gated(df, "SAME-SOURCE", "SAME-SOURCE") is df
+    with pytest.raises(LeakageError):
+        gated(df, "OVERLAPPING")
+    with pytest.raises(LeakageError):
+        gated(df, "INDEPENDENT", "SAME-SOURCE")
+
+
+def test_quoted_commas_keep_their_columns(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\nunits,"x, y"\n1,"p, ""q"""\n2,\n')
+    meta, rows = files.split_metadata(files.numbered_lines(spark, str(tmp_path / "m.csv")), 1, ["a", "b"])
+    assert meta.first().b == "x, y" and [(r.a, r.b) for r in rows.orderBy("line").collect()] == [("1", 'p, "q"'), ("2", "")]
+    (tmp_path / "x.arff").write_text("% c\n@relation r\n@attribute 'n m' numeric\n@attribute t {any}\n@data\n1.5,'a, b'\n?,plain\n")
+    assert [tuple(r) for r in files.read_arff(spark, str(tmp_path / "x.arff")).collect()] == [(1.5, "a, b"), (None, "plain")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        class getConf:
+            def get(self, _):
+                return None
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda k, d: None)
+
+    with pytest.raises(files.SourceError):
+        files.scratch(Session, "x")
+
+
+def test_draws_of_a_mix(spark):
+    r = np.random.Generator(np.random.PCG64(26))
+    rows = [("g", i, int(i < 40), "a" if i % 4 else "b", round(float(r.random() * (1.2 if i < 40 else 1)) / 1.2, 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, sample int, y int, s string, p double")
+    mix = spark.createDataFrame([("a", 0.25), ("b", 0.75)], "s string, target double")
+    out = resample.casemix(df, ["g"], mix, "s", "sample", 200).toPandas()
+    pos = {s: [x[4] for x in rows if x[2] and x[3] == s] for s in "ab"}
+    neg = np.array([x[4] for x in rows if not x[2]])
+    place = lambda p: (neg < p).mean() + (neg == p).mean() / 2
+    want = 0.25 * np.mean([place(p) for p in pos["a"]]) + 0.75 * np.mean([place(p) for p in pos["b"]])
+    assert len(out) == 200 and abs(out.auc.mean() - want) < 0.02 and (out.distinct_cases <= 20).all() and (out.reuse >= 3).all()
+    sens = 0.25 * np.mean([p >= 0.5 for p in pos["a"]]) + 0.75 * np.mean([p >= 0.5 for p in pos["b"]])
+    assert abs(out.sensitivity.mean() - sens) < 0.03 and out.pr_auc.between(0, 1).all()
