@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondage.functions import rng
 from sondage.functions.normal import norm_cdf, norm_ppf
+from sondage.operators.graph import components
 from sondage.operators.ranks import by_edges, quantiles, running
 from sondage.operators.resample import midranks
 from sondage.session import ship
@@ -84,7 +85,9 @@ def partner_counts(left: DataFrame, found: DataFrame) -> DataFrame:
 
 def partner_stats(counts: DataFrame) -> DataFrame:
     n = F.col("n")
-    return counts.agg(F.count_if(n > 0).alias("with_partner"), F.avg("n").alias("mean"), F.median("n").alias("median"), F.max("n").alias("most"), (F.max("n") == 1).alias("one_to_one"))
+    out = counts.agg(F.count_if(n > 0).alias("with_partner"), F.avg("n").alias("mean"), F.max("n").alias("most"), (F.max("n") == 1).alias("one_to_one"))
+    middle = quantiles(counts, [], "n", [0.5], "q").select(F.col("q")[0].alias("median"))
+    return out.crossJoin(middle).select("with_partner", "mean", "median", "most", "one_to_one")  # a row each
 
 
 def unique_pins(found: DataFrame) -> DataFrame:
@@ -143,13 +146,22 @@ def _hopcroft_karp(adjacent: dict) -> dict:
 def maximum_matching(found: DataFrame, by: str) -> DataFrame:
     """(by, i, j) of a largest matching within each group that no edge leaves; a group is held in one task."""
     ship(found.sparkSession)
+    kind = dict(found.dtypes)
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
         adjacent = {u: sorted(g) for u, g in part.groupby("i")["j"]}
         out = _hopcroft_karp(adjacent)
         return pd.DataFrame({by: part[by].iloc[0], "i": list(out), "j": list(out.values())})
 
-    return found.groupBy(by).applyInPandas(match, f"{by} long, i long, j long")
+    return found.groupBy(by).applyInPandas(match, f"{by} {kind[by]}, i long, j long")
+
+
+def matching_by_component(found: DataFrame) -> DataFrame:
+    """(i, j) of a largest matching of edges (i, j): a task holds one connected component of the edges, whatever their groups."""
+    side = lambda c, k: F.col(c).cast("long") * 2 + k
+    roots = components(found.select(side("i", 0).alias("a"), side("j", 1).alias("b")))
+    of = found.select("i", "j").join(roots, side("i", 0) == F.col("node")).select("root", "i", "j")
+    return maximum_matching(of, "root").select("i", "j")
 
 
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:

@@ -84,11 +84,11 @@ def cramers_v(spark, sf):
     return A.cramers_v(gaps(spark, sf), "seg", "nat").select(F.round("chi2", 6).alias("chi2"), F.round("v", 9).alias("v"))
 
 
-@plan("clinical_rules", "SELECT rule, count(*) AS n, array_to_string(list_sort(list(CAST(c_custkey AS VARCHAR))), ',') AS lines FROM (SELECT 'low_balance' AS rule, c_custkey FROM customer WHERE c_acctbal < -990 UNION ALL SELECT 'high_building', c_custkey FROM customer WHERE c_acctbal > 9900 AND c_mktsegment = 'BUILDING') GROUP BY rule")
+@plan("clinical_rules", "SELECT 'low_balance' AS rule, c_custkey AS line FROM customer WHERE c_acctbal < -990 UNION ALL SELECT 'high_building', c_custkey FROM customer WHERE c_acctbal > 9900 AND c_mktsegment = 'BUILDING'")
 def clinical_rules(spark, sf):
-    c = table(spark, sf, "customer")
-    hit = F.when(F.col("c_acctbal") < -990, "low_balance").when((F.col("c_acctbal") > 9900) & (F.col("c_mktsegment") == "BUILDING"), "high_building")
-    return c.withColumn("rule", hit).where("rule IS NOT NULL").groupBy("rule").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("c_custkey").cast("string"))), ",").alias("lines"))
+    """A row for each line that breaks a rule."""
+    hits = F.array_compact(F.array(F.when(F.col("c_acctbal") < -990, "low_balance"), F.when((F.col("c_acctbal") > 9900) & (F.col("c_mktsegment") == "BUILDING"), "high_building")))
+    return table(spark, sf, "customer").select(F.explode(hits).alias("rule"), F.col("c_custkey").alias("line"))
 
 
 @plan("anomaly_peers", "WITH a AS (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal < -990) SELECT c_mktsegment, count(*) AS n FROM customer SEMI JOIN a USING (c_nationkey) GROUP BY 1")

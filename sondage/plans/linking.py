@@ -237,7 +237,9 @@ def fisher_exact(spark, sf):
 
 @plan("blood_pressure_audit", "SELECT o_orderpriority AS level, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(median(o_totalprice), 6) AS median FROM orders GROUP BY 1")
 def blood_pressure_audit(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("level")).agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.round(F.median("o_totalprice"), 6).alias("median"))
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("level"), "o_totalprice")
+    middle = quantiles(o, ["level"], "o_totalprice", [0.5], "q").select("level", F.round(F.col("q")[0], 6).alias("median"))
+    return o.groupBy("level").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")).join(middle, "level", "left")
 
 
 def shuffled(spark, sf, draws):
@@ -279,7 +281,8 @@ def matching_size(spark, sf):
 
 @plan("maximum_matching")
 def maximum_matching(spark, sf):
-    return matching_size(spark, sf).groupBy("o").agg(F.count("*").alias("matched"))
+    pairs = L.matching_by_component(edges(spark, sf)).join(left(spark, sf).select("i", "o"), "i")
+    return pairs.groupBy("o").agg(F.count("*").alias("matched"))
 
 
 def null_matched(spark, sf, draws):

@@ -8,6 +8,7 @@ from sondage.functions import rng
 from sondage.operators import bootstrap as B
 from sondage.operators import metrics as M
 from sondage.operators import models as Z
+from sondage.operators.ranks import quantiles
 from sondage.operators.guard import FeatureSet, assert_clean, guard, select_columns
 from sondage.plans import plan
 from sondage.plans.views import folded
@@ -55,7 +56,7 @@ def dummy_prior(spark, sf):
 def impute_and_scale(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 5).alias("fold"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal")).alias("x"))
     train = c.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("fold != k")
-    med = train.groupBy("k").agg(F.median("x").alias("med"))
+    med = quantiles(train, ["k"], "x", [0.5], "q").select("k", F.col("q")[0].alias("med"))
     x = F.coalesce("x", "med")
     stats = train.join(med, "k").groupBy("k").agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"))
     return c.join(med.join(stats, "k"), F.col("fold") == F.col("k")).select("c_custkey", F.round((x - F.col("mu")) / F.col("sd"), 6).alias("z"))

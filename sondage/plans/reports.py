@@ -8,6 +8,7 @@ from sondage.operators import bootstrap as B
 from sondage.operators import linkage as L
 from sondage.operators import metrics as M
 from sondage.operators import resample as S
+from sondage.operators.ranks import quantiles
 from sondage.plans import plan
 from sondage.plans.evaluation import BRIER, NAMES, REP, WITH_CUT, auc_sql, bag, bag_sql, drawn, mean_cut, newton_sql, DRAWN
 from sondage.plans.linking import LEFT, PINS, RIGHT, edges, gaps, left, right
@@ -196,8 +197,10 @@ def casemix_report(spark, sf):
     from sondage.functions.text import shown
 
     v = lambda c: shown(c / 1e5)
-    p = F.col("o_totalprice")
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("mix")).agg(F.concat(v(F.avg(p)), F.lit(" ("), v(F.percentile(p, 0.025)), F.lit("-"), v(F.percentile(p, 0.975)), F.lit(")")).alias("shown"))
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("mix"), "o_totalprice")
+    ends = quantiles(o, ["mix"], "o_totalprice", [0.025, 0.975], "q")
+    mean = o.groupBy("mix").agg(F.avg("o_totalprice").alias("m")).join(ends, "mix")
+    return mean.select("mix", F.concat(v(F.col("m")), F.lit(" ("), v(F.col("q")[0]), F.lit("-"), v(F.col("q")[1]), F.lit(")")).alias("shown"))
 
 
 @plan("variable_subsets", f"WITH {LEFT}, {RIGHT} SELECT sub, count(*) AS edges FROM lft JOIN rgt ON lft.o = rgt.o, (SELECT unnest(['v1', 'v1 v2']) AS sub) WHERE coalesce(v1 BETWEEN v1_lo - 1e-9 AND v1_hi + 1e-9, true) AND (sub = 'v1' OR v2 BETWEEN v2_lo - 1e-9 AND v2_hi + 1e-9) GROUP BY 1")

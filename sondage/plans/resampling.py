@@ -8,7 +8,7 @@ from sondage.functions import rng
 from sondage.operators import bootstrap as B
 from sondage.operators import metrics as M
 from sondage.operators import resample as S
-from sondage.operators.ranks import numbered
+from sondage.operators.ranks import numbered, quantiles
 from sondage.plans import plan
 from sondage.plans.evaluation import auc_sql, mean_cut
 from sondage.plans.views import CELL, POOL, RAW, pooled, preds, raw
@@ -143,7 +143,8 @@ def nested_picks(spark, sf):
 @plan("nested_best_single_auc")
 def nested_best_single_auc(spark, sf):
     train, best, df = nested_picks(spark, sf)
-    middle = train.join(best, ["repeat", "k", "feature"]).groupBy("repeat", "k", "feature", "sign").agg(F.median("x").alias("middle"))
+    keys = ["repeat", "k", "feature", "sign"]
+    middle = quantiles(train.join(best, keys[:3]), keys, "x", [0.5], "q").select(*keys, F.col("q")[0].alias("middle"))
     held = df.withColumnRenamed("fold", "k").join(middle, ["repeat", "k", "feature"])
     # A sample's score is the mean over the repeats.
     pooled_ = held.groupBy("id", "y").agg(F.avg(F.col("sign") * F.coalesce("x", "middle")).alias("score"))

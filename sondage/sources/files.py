@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -45,6 +46,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def kept(spark: SparkSession):
+    """Gives a function like written() whose files are removed at the end of the block."""
+    paths: list[str] = []
+
+    def use(df: DataFrame, name: str) -> DataFrame:
+        paths.append(scratch(spark, name))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield use
+    finally:
+        for p in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def put(spark: SparkSession, path: str, data: bytes) -> None:
     """Write one small file, such as a manifest, to any store that Spark writes to."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -480,3 +480,11 @@ def test_draws_of_a_mix(spark):
     assert len(out) == 200 and abs(out.auc.mean() - want) < 0.02 and (out.distinct_cases <= 20).all() and (out.reuse >= 3).all()
     sens = 0.25 * np.mean([p >= 0.5 for p in pos["a"]]) + 0.75 * np.mean([p >= 0.5 for p in pos["b"]])
     assert abs(out.sensitivity.mean() - sens) < 0.03 and out.pr_auc.between(0, 1).all()
+
+
+def test_matching_by_component_is_as_large(spark):
+    r = random.Random(27)
+    rows = sorted({(b, 100 * b + r.randint(0, 9), 100 * b + r.randint(0, 9)) for b in range(6) for _ in range(14)})
+    df = spark.createDataFrame(rows, "g long, i long, j long")
+    whole, parts = linkage.maximum_matching(df, "g").collect(), linkage.matching_by_component(df).collect()
+    assert len(whole) == len(parts) == len({x.i for x in parts}) == len({x.j for x in parts}) and {(x.i, x.j) for x in parts} <= {x[1:] for x in rows}
