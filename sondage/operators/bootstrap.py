@@ -29,6 +29,10 @@ METRICS = ["auc", "pr_auc", "brier", "brier_skill", "ece", *M.RATES, *[f"screeni
 SUMS = ["good", "precise", "square", "tp", "fp", "screening_tp", "screening_fp", *[f"gap{b}" for b in range(BINS)]]
 #: Draws of a task, and cells of a matrix of draws and scores or blocks.
 CHUNK, CELLS = 250, 2_000_000
+#: Rows of a class in a block that are counted one by one; of more, which stand at few scores, the scores are looked up.
+DENSE = 2_000_000
+#: Tasks that there are at least, if the draws can be dealt to as many.
+TASKS = 48
 
 
 def _split(keys: list[str], seed: str, draws: int):
@@ -53,10 +57,15 @@ def _score(keys: list[str], seed: str):
     def counts(text: str, draws: range, taken: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """How often each score is taken in each draw."""
         out = np.zeros((len(draws), len(upto)))
-        size = int(upto[-1])
+        size, some = int(upto[-1]), np.flatnonzero(np.diff(upto, prepend=0))
+        first = np.concatenate(([0], upto[some[:-1]])) if len(some) else some
         for k, s in enumerate(rng.seeds([f"{text}:{d}" for d in draws])):
             if size and taken[k]:
-                out[k] = np.bincount(np.searchsorted(upto, rng.positions(s, int(taken[k]), size), side="right"), minlength=len(upto))
+                rows = rng.positions(s, int(taken[k]), size)
+                if size <= DENSE:
+                    out[k, some] = np.add.reduceat(np.bincount(rows, minlength=size), first)
+                else:
+                    out[k] = np.bincount(np.searchsorted(upto, rows, side="right"), minlength=len(upto))
         return out
 
     def score(rows: pd.DataFrame, splits: pd.DataFrame) -> pd.DataFrame:
@@ -109,8 +118,12 @@ def bootstrap_metrics(df: DataFrame, keys: list[str], draws: int, threshold: Col
     lists = "pos array<long>, pos_below array<long>, all_pos long, neg array<long>, neg_below array<long>, all_neg long"
     splits = tasks.groupBy(*keys, "first").applyInPandas(_split(keys, seed, draws), f"{named}block long, first int, {lists}")
     schema = f"{named}draw int, all_pos long, all_neg long, {', '.join(f'{s} double' for s in SUMS)}"
-    by = [*keys, "block"]
-    sums = placed.groupBy(*by).cogroup(splits.groupBy(*by)).applyInPandas(_score(keys, seed), schema)
+    # Where blocks are few, each goes to several tasks with a part of the draws.
+    parts = max(1, min(-(-draws // CHUNK), TASKS // max(1, blocks.count())))
+    by = [*keys, "block", "part"]
+    splits = splits.withColumn("part", (F.floor(F.col("first") / CHUNK) % parts).cast("int"))
+    every = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sums = every.groupBy(*by).cogroup(splits.groupBy(*by)).applyInPandas(_score(keys, seed), schema)
     total = sums.groupBy(*keys, "draw").agg(F.first("all_pos").alias("all_pos"), F.first("all_neg").alias("all_neg"), *[F.sum(s).alias(s) for s in SUMS])
     pos, neg, n = F.col("all_pos"), F.col("all_neg"), F.col("all_pos") + F.col("all_neg")
     both, brier = (pos > 0) & (neg > 0), F.col("square") / n

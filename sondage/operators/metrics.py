@@ -78,7 +78,8 @@ def _curve(scores: DataFrame, keys: list[str], any_range: bool = False) -> DataF
 
 def curve(df: DataFrame, keys: list[str], w: Column | None = None, any_range: bool = False) -> DataFrame:
     """By distinct score: tp and fp of all scores at least as high, with the group's totals. Scores are in [0, 1] unless any_range."""
-    return _curve(by_score(df, keys, w), keys, any_range)
+    scores = by_score(df, keys, w)
+    return _curve(written(scores, "scores") if any_range else scores, keys, any_range)
 
 
 def roc_auc(df: DataFrame, keys: list[str], w: Column | None = None, any_range: bool = False) -> DataFrame:

@@ -12,6 +12,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sondage.sources.files import written
+
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list, sums: dict[str, Column], descending: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
     """df with each of sums accumulated in order, the row itself included; bucket must be monotone in the order.
@@ -61,7 +63,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[fl
     From counts of the distinct values and running sums over them, so no group's
     values meet in one task. Nulls do not count; a group without values has no row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
     rows, bucket = by_edges(counts, keys, value)
     rows = running(rows, keys, bucket, [value], {"_upto": F.col("_n")}, totals={"_upto": "_all"}).drop("_edges")
     # Of the 0-based places of the two neighbours of each quantile.

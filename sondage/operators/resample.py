@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sondage.functions import rng
 from sondage.operators import metrics as M
 from sondage.operators.ranks import by_edges, numbered, running
+from sondage.sources.files import written
 
 
 def midranks(df: DataFrame, keys: list[str], value: str, name: str, descending: bool = False) -> DataFrame:
     """df with ranks from 1, ties averaged, from counts of the distinct values. Nulls rank last and tie with each other."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
     rows, bucket = by_edges(counts, keys, value)
     if not descending:
         bucket = F.when(F.col(value).isNull(), 1 << 30).otherwise(bucket)

@@ -9,6 +9,7 @@ from sondage.operators import metrics as M
 from sondage.operators.ranks import quantiles
 from sondage.plans import plan
 from sondage.plans.views import CELL, FOLDS, POOL, PREDS, RAW, folded, pooled, preds, raw
+from sondage.sources.files import written
 
 R = lambda *names: ", ".join(f"round({n}, 9) AS {n}" for n in names)
 
@@ -117,6 +118,7 @@ def bag(df, keys, screening, bins=10):
 
 def mean_cut(df, keys):
     """df with c, the mean of cut over each group."""
+    df = written(df, "rows")
     return df.join(df.groupBy(*keys).agg(F.round(F.avg("cut"), 9).alias("c")), keys)
 
 
@@ -212,7 +214,7 @@ def summarise_across_repeats(spark, sf):
   SELECT config, model, CAST(bin AS BIGINT) AS bin, CAST(n AS BIGINT) AS n, round(mean_p, 9) AS mean_p, round(o, 9) AS observed,
     round(greatest(0.0, (o + 3.8416 / (2 * n) - 1.96 * sqrt(o * (1 - o) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS low, round(least(1.0, (o + 3.8416 / (2 * n) + 1.96 * sqrt(o * (1 - o) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS high FROM b""")
 def calibration_curve(spark, sf):
-    return rounded(M.calibration_curve(pooled(preds(spark, sf)), CELL), "mean_p", "observed", "low", "high")
+    return rounded(M.calibration_curve(written(pooled(preds(spark, sf)), "rows"), CELL), "mean_p", "observed", "low", "high")
 
 
 @plan("calibration_curve_width", f"WITH {POOL} SELECT config, model, least(CAST(floor(p * 10) AS BIGINT), 9) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(y), 9) AS observed FROM pooled GROUP BY ALL")
