@@ -91,11 +91,13 @@ class Additive:
 class Fourier:
     """Random Fourier features of a Gaussian kernel under a ridge logistic: in place of a kernel machine."""
 
-    def __init__(self, x, y, c: float = 1.0, gamma: float = 0.1, size: int = 64):
+    def __init__(self, x, y, c: float = 1.0, gamma: float | None = None, balanced: bool = False, size: int = 64):
         r = np.random.Generator(np.random.PCG64(11))
+        if gamma is None:  # the inverse of the features' number times their variance
+            gamma = 1 / max(x.shape[1] * float(x.var()), 1e-12)
         self.w, self.b = r.standard_normal((x.shape[1], size)) * np.sqrt(2 * gamma), r.uniform(0, 2 * np.pi, size)
         self.size = size
-        self.inner = Logistic(self.expand(x), y, c)
+        self.inner = Logistic(self.expand(x), y, c, balanced)
 
     def expand(self, x):
         return np.cos(x @ self.w + self.b) * np.sqrt(2 / self.size)
@@ -232,11 +234,11 @@ class Boosted:
 
 MODELS = {
     "dummy": (Prior, [{}]),
-    "logreg": (Logistic, [{"c": c, "balanced": b} for c in (0.01, 0.1, 1.0, 10.0) for b in (False, True)]),
+    "logreg": (Logistic, [{"c": c, "balanced": b} for c in (0.01, 0.03, 0.1, 0.3, 1.0, 3.0) for b in (False, True)]),
     "additive": (Additive, [{"bins": b} for b in (4, 8)]),
     "random_forest": (Forest, [{"depth": d, "leaf": n, "balanced": b} for d in (3, None) for n in (1, 5) for b in (False, True)]),
     "xgboost": (Boosted, [{"depth": d, "rate": r, "ridge": c} for d in (2, 3) for r in (0.05, 0.1) for c in (1.0, 5.0)]),
-    "kernel": (Fourier, [{"c": c, "gamma": g} for c in (0.1, 1.0) for g in (0.03, 0.1)]),
+    "kernel": (Fourier, [{"c": c, "gamma": g, "balanced": b} for c in (0.1, 1.0, 10.0) for g in (None, 0.01) for b in (False, True)]),
 }
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from sondage.functions.text import shown
 from sondage.operators import bootstrap as B
 from sondage.operators import linkage as L
 from sondage.operators import metrics as M
 from sondage.operators import resample as S
-from sondage.operators.ranks import quantiles
 from sondage.plans import plan
-from sondage.plans.evaluation import BRIER, NAMES, REP, WITH_CUT, auc_sql, bag, bag_sql, drawn, mean_cut, newton_sql, DRAWN
+from sondage.plans.evaluation import BRIER, DRAWN, REP, auc_sql, bag_sql, drawn, newton_sql
 from sondage.plans.linking import LEFT, PINS, RIGHT, edges, gaps, left, right
-from sondage.plans.resampling import BOOT, DRAWS, FAUC, FEAT, LONG, boot, features
+from sondage.plans.resampling import BOOT, CASEMIX, FAUC, boot, casemix_simulation, features
 from sondage.plans.views import CELL, RAW, pooled, preds, raw
 from sondage.session import table
 
@@ -192,15 +192,14 @@ def literature_summary(spark, sf):
     return pins.select(F.row_number().over(Window.orderBy(F.desc("pins"), "study")).cast("long").alias("place"), "study", "pins")  # one row per study
 
 
-@plan("casemix_report", "SELECT o_orderpriority AS mix, format('{:.3f}', round(avg(o_totalprice) / 1e5, 3)) || ' (' || format('{:.3f}', round(quantile_cont(o_totalprice, 0.025) / 1e5, 3)) || '-' || format('{:.3f}', round(quantile_cont(o_totalprice, 0.975) / 1e5, 3)) || ')' AS shown FROM orders GROUP BY 1")
-def casemix_report(spark, sf):
-    from sondage.functions.text import shown
+SHOWN_MIX = "format('{:.3f}', round(auc_mean, 3)) || ' (' || format('{:.3f}', round(auc_lo, 3)) || '-' || format('{:.3f}', round(auc_hi, 3)) || ')'"
+
 
-    v = lambda c: shown(c / 1e5)
-    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("mix"), "o_totalprice")
-    ends = quantiles(o, ["mix"], "o_totalprice", [0.025, 0.975], "q")
-    mean = o.groupBy("mix").agg(F.avg("o_totalprice").alias("m")).join(ends, "mix")
-    return mean.select("mix", F.concat(v(F.col("m")), F.lit(" ("), v(F.col("q")[0]), F.lit("-"), v(F.col("q")[1]), F.lit(")")).alias("shown"))
+@plan("casemix_report", f"WITH {CASEMIX}, m AS (SELECT {C}, avg(auc) AS auc_mean, quantile_cont(auc, 0.025) AS auc_lo, quantile_cont(auc, 0.975) AS auc_hi FROM per GROUP BY ALL) SELECT {C}, {SHOWN_MIX} AS shown FROM m")
+def casemix_report(spark, sf):
+    """The simulated case mix as a report shows it: mean AUC and its Monte-Carlo interval."""
+    m = casemix_simulation(spark, sf)
+    return m.select(*CELL, F.concat(shown(F.col("auc_mean")), F.lit(" ("), shown(F.col("auc_lo")), F.lit("-"), shown(F.col("auc_hi")), F.lit(")")).alias("shown"))
 
 
 @plan("variable_subsets", f"WITH {LEFT}, {RIGHT} SELECT sub, count(*) AS edges FROM lft JOIN rgt ON lft.o = rgt.o, (SELECT unnest(['v1', 'v1 v2']) AS sub) WHERE coalesce(v1 BETWEEN v1_lo - 1e-9 AND v1_hi + 1e-9, true) AND (sub = 'v1' OR v2 BETWEEN v2_lo - 1e-9 AND v2_hi + 1e-9) GROUP BY 1")
