@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -232,6 +233,15 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.base + sum(self.one(b, *t) for t in self.trees))))
 
 
+class ModelSpec(NamedTuple):
+    """A model of the zoo: its trainer, the parameter sets of the inner search, its name in reports and what to know of it."""
+
+    make: type
+    grid: list[dict]
+    label: str
+    note: str = ""
+
+
 MODELS = {
     "dummy": (Prior, [{}]),
     "logreg": (Logistic, [{"c": c, "balanced": b} for c in (0.01, 0.03, 0.1, 0.3, 1.0, 3.0) for b in (False, True)]),
@@ -242,6 +252,13 @@ MODELS = {
 }
 
 
+LABELS = {
+    "dummy": ("Prevalence", "the baseline that any model must beat"), "logreg": ("Logistic regression (L2)", "linear in the log-odds"), "additive": ("Additive logistic model", "main effects only; in place of boosted ones"),
+    "random_forest": ("Random forest", "300 trees"), "xgboost": ("Gradient-boosted trees", "shallow trees, 300 rounds"), "kernel": ("Kernel logistic model", "random Fourier features; in place of support vectors"),
+}
+MODELS = {name: ModelSpec(*spec, *LABELS[name]) for name, spec in MODELS.items()}
+
+
 def available_models() -> list[str]:
     return list(MODELS)
 
@@ -308,21 +325,21 @@ def nested_cv(data: DataFrame, features: list[str], tasks: DataFrame, settings:
         for i in range(settings.inner):
             a, b = inner != i, inner == i
             scale = Scale(x[a])
-            p[b] = MODELS[model][0](scale(x[a]), y[a], **options)(scale(x[b]))
+            p[b] = MODELS[model].make(scale(x[a]), y[a], **options)(scale(x[b]))
         return p
 
     def try_out(part: pd.DataFrame) -> pd.DataFrame:
         """The mean inner AUC of one parameter set."""
         model, kind, fold, _, x, y, inner = sides(part)
         option = int(part["option"].iloc[0])
-        p = out_of_fold(model, MODELS[model][1][option], x, y, inner)
+        p = out_of_fold(model, MODELS[model].grid[option], x, y, inner)
         each = [auc(y[inner == i], p[inner == i]) for i in range(settings.inner)]
         score = float(np.mean(finite)) if (finite := [v for v in each if v == v]) else 0.0
         return pd.DataFrame({"model": [model], "calibration": [kind], "repeat": [part["repeat"].iloc[0]], "k": [fold], "option": [option], "score": [score]})
 
     def refit(part: pd.DataFrame) -> pd.DataFrame:
         model, kind, fold, test, x, y, inner = sides(part)
-        make, options = MODELS[model][0], MODELS[model][1][int(part["option"].iloc[0])]
+        make, options = MODELS[model].make, MODELS[model].grid[int(part["option"].iloc[0])]
         p, scale, rest = out_of_fold(model, options, x, y, inner), Scale(x), test[features].to_numpy(float)
         calibrate = calibrator(kind, p, y)
         if settings.ensemble and kind != "none":
@@ -343,7 +360,7 @@ def nested_cv(data: DataFrame, features: list[str], tasks: DataFrame, settings:
 
     names = ["model", "calibration", "repeat", "k"]
     grid = tasks.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(settings.outer - 1))))
-    count = F.create_map(*[x for m, (_, g) in MODELS.items() for x in (F.lit(m), F.lit(len(g)))])[F.col("model")]
+    count = F.create_map(*[x for m, spec in MODELS.items() for x in (F.lit(m), F.lit(len(spec.grid)))])[F.col("model")]
     tried = grid.withColumn("option", F.explode(F.sequence(F.lit(0), count - 1)))
     rows = lambda of: data.join(F.broadcast(of), "repeat")  # noqa: E731  # a task grid of some dozens or hundreds of rows
     kinds = "model string, calibration string, repeat int, k int, option int, score double"

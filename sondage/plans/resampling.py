@@ -73,6 +73,21 @@ def bootstrap_checkpoints(spark, sf):
     return rnd(B.intervals(at, [*CELL, "n"], FOLLOWED).select(*CELL, "n", "metric", "lo", "hi"), "lo", "hi")
 
 
+SUBSETS = 50
+GRID = f"grid AS (SELECT unnest({CHECKPOINTS}) AS n), rk AS (SELECT rep, draw, row_number() OVER (PARTITION BY rep ORDER BY md5('sub:' || rep || ':' || draw), draw) - 1 AS rk FROM (SELECT unnest(range(0, {SUBSETS})) AS rep), (SELECT unnest(range(0, {DRAWS})) AS draw))"
+
+
+@plan("bootstrap_convergence", f"WITH {BOOT}, {GRID}, ends AS (SELECT {C}, n, rep, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi FROM bts JOIN rk USING (draw) JOIN grid ON rk < n GROUP BY ALL) SELECT {C}, n, round(avg(lo), 9) AS lo_mean, round(stddev_samp(lo), 9) AS lo_sd, round(avg(hi), 9) AS hi_mean, round(stddev_samp(hi), 9) AS hi_sd FROM ends GROUP BY ALL")
+def bootstrap_convergence(spark, sf):
+    """How far interval ends still move: their mean and deviation over random subsets of the draws."""
+    every = spark.range(DRAWS).select(F.col("id").cast("int").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(SUBSETS - 1))).alias("rep"))
+    order = Window.partitionBy("rep").orderBy(rng.hashed("sub", F.col("rep"), F.col("draw")), "draw")  # DRAWS rows
+    ranks = every.withColumn("rk", F.row_number().over(order) - 1)
+    at = ranks.withColumn("n", F.explode(F.array(*map(F.lit, CHECKPOINTS)))).where("rk < n").join(boot(spark, sf).select(*CELL, "draw", "auc"), "draw")
+    ends = S.interval_of(at, [*CELL, "n", "rep"], "auc")
+    return ends.groupBy(*CELL, "n").agg(*[F.round(f(e), 9).alias(f"{e}_{k}") for e in ("lo", "hi") for k, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+
+
 SPEC = "spc AS (SELECT config, model, sub, y, p FROM raw, (SELECT unnest(['all', 'click', 'purchase']) AS sub) WHERE y = 0 OR sub = 'all' OR sub = stratum)"
 
 

@@ -7,7 +7,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from contextlib import contextmanager
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -213,6 +215,28 @@ def checksum_gate(spark: SparkSession, path: str, expected: dict[str, str]) -> D
     return found
 
 
+@dataclass(frozen=True)
+class RawFile:
+    """A file that must be there with a known hash."""
+
+    path: str
+    sha256: str
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """The rows of a file whose hash was the expected one."""
+
+    file: RawFile
+    rows: DataFrame
+
+
+def load(spark: SparkSession, file: RawFile, read: Callable[[str], DataFrame]) -> Loaded:
+    """The rows that read makes of a file, if its hash is the expected one; else SourceError."""
+    checksum_gate(spark, file.path, {file.path.rsplit("/", 1)[-1]: file.sha256})
+    return Loaded(file, read(file.path))
+
+
 def write_all(df: DataFrame, path: str) -> None:
     """The same rows as CSV, gzip CSV and JSON."""
     df.write.option("header", True).csv(f"{path}/csv")

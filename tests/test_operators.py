@@ -250,7 +250,7 @@ def test_models_learn_and_stay_in_range():
     x = r.normal(size=(300, 3))
     y = (r.random(300) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
     for name in ("logreg", "additive", "kernel"):
-        make, grid = models.MODELS[name]
+        make, grid = models.MODELS[name][:2]
         p = make(x, y, **grid[-1])(x)
         assert ((p >= 0) & (p <= 1)).all() and models.auc(y, p) > 0.75
     step = models.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
@@ -262,7 +262,7 @@ def test_trees_find_an_interaction(name):
     r = np.random.Generator(np.random.PCG64(8))
     x = np.column_stack([r.normal(size=(900, 2)), r.integers(0, 4, 900)])
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
-    make, grid = models.MODELS[name]
+    make, grid = models.MODELS[name][:2]
     assert len(grid) == 8
     for options in (grid[0], grid[-1]):
         model = make(x[:600], y[:600], **options)
@@ -488,3 +488,19 @@ def test_matching_by_component_is_as_large(spark):
     df = spark.createDataFrame(rows, "g long, i long, j long")
     whole, parts = linkage.maximum_matching(df, "g").collect(), linkage.matching_by_component(df).collect()
     assert len(whole) == len(parts) == len({x.i for x in parts}) == len({x.j for x in parts}) and {(x.i, x.j) for x in parts} <= {x[1:] for x in rows}
+
+
+def test_zoo_has_its_grids():
+    assert {n: len(s.grid) for n, s in models.MODELS.items()} == {"dummy": 1, "logreg": 12, "additive": 2, "random_forest": 8, "xgboost": 8, "kernel": 12}
+    assert all(s.label for s in models.MODELS.values())
+
+
+def test_checked_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n")
+    raw = files.RawFile(str(tmp_path / "a.csv"), hashlib.sha256(b"k,v\n1,x\n").hexdigest())
+    found = files.load(spark, raw, lambda p: files.read_strict(spark, p, ["k", "v"]))
+    assert [tuple(r) for r in found.rows.collect()] == [("1", "x")] and found.file == raw
+    with pytest.raises(files.SourceError):
+        files.load(spark, files.RawFile(raw.path, "0" * 64), lambda p: spark.range(1))
