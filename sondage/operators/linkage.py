@@ -52,13 +52,14 @@ def pairs(intervals: DataFrame, values: DataFrame, variables: list[str], outcome
     missing = [node(-1, F.lit(s).cast("long")) for s in range(SALTS)]
     fits = F.when((low <= F.lit(ends.high)) & (high >= F.lit(ends.low)), F.array_compact(F.array(*covered))) if covered else None
     nodes = F.concat(F.coalesce(fits, F.array().cast("array<struct<level:int,n:long>>")), F.array(*missing)) if covered else F.array(*missing)
-    left = intervals.withColumn("_b", F.explode(nodes))
+    left = intervals.withColumn("_b", F.explode(nodes)).select(*intervals.columns, F.col("_b.level").alias("_level"), F.col("_b.n").alias("_n"))
     none = F.array(node(-1, F.pmod(F.xxhash64("j"), F.lit(SALTS))))
     right = values.withColumn("_v", F.explode(F.when(F.col(first).isNull(), none).otherwise(F.array(*held)) if held else none))
-    on = left["_b"] == right["_v"]
+    right = right.select(*values.columns, F.col("_v.level").alias("_at"), F.col("_v.n").alias("_m"))
+    on = (left["_level"] == right["_at"]) & (left["_n"] == right["_m"])
     if outcome:
         right = right.withColumnRenamed(outcome, "_o")
-        on = (left["_b"] == right["_v"]) & (left[outcome] == right["_o"])
+        on = on & (left[outcome] == right["_o"])
     both = left.join(right, on)
     gap = lambda v: F.when(F.col(v).isNull(), 0.0).otherwise(F.greatest(F.col(f"{v}_lo") - F.col(v), F.col(v) - F.col(f"{v}_hi"), F.lit(0.0)))
     near = both.where(F.col(first).isNull() | ((F.col(first) >= low) & (F.col(first) <= high)))
