@@ -8,7 +8,6 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
-from contextlib import contextmanager
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
@@ -41,29 +40,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read back: what follows does not compute it again."""
-    path = scratch(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df as Parquet in the shared folder, or at a path there, and read back: what follows does not compute it again."""
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def kept(spark: SparkSession):
-    """Gives a function like written() whose files are removed at the end of the block."""
-    paths: list[str] = []
-
-    def use(df: DataFrame, name: str) -> DataFrame:
-        paths.append(scratch(spark, name))
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
-
-    try:
-        yield use
-    finally:
-        for p in paths:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that scratch() gave."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def put(spark: SparkSession, path: str, data: bytes) -> None:
