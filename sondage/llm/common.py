@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -76,33 +78,8 @@ def tidy(work):
     return run
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest node that each node of the undirected edges reaches.
-
-    Smallest neighbouring label and then the label's own label, until nothing
-    changes, so the rounds grow with the logarithm of a component's diameter.
-    Self loops and repeated edges change nothing; nodes that are null have no row.
-    Both joins have an exchange on either side, so that a node with very many
-    edges can be split; every round is written to the shared folder.
-    """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = materialise(pairs.where("a != b").union(pairs.where("a != b").select("b", "a")).distinct(), "edges")
-    lone = pairs.where("a = b").select(F.col("a").alias("node"))
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = materialise(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "step")
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("over"))
-        new = materialise(step.join(up, "root").select("node", "old", F.col("over").alias("root")), "labels")
-        moved = new.where("root != old").limit(1).count()
-        labels = new.select("node", "root")
-        if not moved:
-            break
-    return labels.union(lone.distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("root")))
-
-
 #: Bits of a bitmap of rows, as a power of 2.
-BITS = 27
+BITS = 26
 
 
 def _bit(columns: list[str]) -> Column:
@@ -120,7 +97,7 @@ def by_bitmap(rows: DataFrame, bits: DataFrame, columns: list[str], inside: bool
     more others the fuller it is."""
     at = F.bitmap_bit_position(_bit(columns))
     byte = F.conv(F.hex(F.substr("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("_page", F.bitmap_bucket_number(_bit(columns))).join(F.broadcast(bits), "_page", "left")  # 16 MB at most
+    found = rows.withColumn("_page", F.bitmap_bucket_number(_bit(columns))).join(F.broadcast(bits), "_page", "left")  # 8 MB at most
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     return found.where(hit if inside else ~hit).drop("_page", "_bits")
 
@@ -190,32 +167,58 @@ class Residues:
     """31-bit fingerprints of any substrings of a buffer, from prefix sums modulo a prime: independent of Fingerprints, and
     without the weakness that sums modulo a power of 2 have against texts made for it."""
 
-    PRIME, BASE = np.uint64((1 << 31) - 1), 1_103_515_245
-    WORDS = BYTE_WORDS % PRIME
+    PRIME, BASE = (1 << 31) - 1, 1_103_515_245
+    WORDS = BYTE_WORDS % np.uint64(PRIME)
 
     def __init__(self):
-        self._up = self._down = np.ones(1, np.uint64)
+        self._up = self._down = np.ones(1, np.uint32)
+
+    @classmethod
+    def _mod(cls, x: np.ndarray) -> np.ndarray:
+        """x modulo the prime, in its place: 2**31 is 1, so the upper bits are added to the lower."""
+        p, bits = np.uint64(cls.PRIME), np.uint64(31)
+        for _ in range(2):
+            high = x >> bits
+            x &= p
+            x += high
+        high = (x >= p).astype(np.uint64)
+        high *= p
+        x -= high
+        return x
 
     @classmethod
     def _powers(cls, base: int, n: int) -> np.ndarray:
-        out = np.ones(n + 1, np.uint64)
+        out = np.ones(n + 1, np.uint32)
         k = 1
         while k <= n:
             m = min(k, n + 1 - k)
-            out[k : k + m] = out[:m] * np.uint64(pow(base, k, int(cls.PRIME))) % cls.PRIME
+            out[k : k + m] = cls._mod(out[:m] * np.uint64(pow(base, k, cls.PRIME)))
             k += m
         return out
 
+    def _grow(self, n: int) -> None:
+        if len(self._up) <= n:
+            self._up, self._down = self._powers(self.BASE, n), self._powers(pow(self.BASE, -1, self.PRIME), n)
+
     def load(self, buf: np.ndarray) -> Residues:
-        if len(self._up) <= len(buf):
-            self._up, self._down = self._powers(self.BASE, len(buf)), self._powers(pow(self.BASE, -1, int(self.PRIME)), len(buf))
+        self._grow(len(buf))
         self._sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.WORDS[buf] * self._up[: len(buf)] % self.PRIME, out=self._sums[1:])
+        words = self.WORDS[buf]
+        words *= self._up[: len(buf)]
+        np.cumsum(self._mod(words), out=self._sums[1:])
         return self
 
     def of(self, start: np.ndarray, end) -> np.ndarray:
         """Of buf[start:end], for arrays of starts and ends."""
-        return (self._sums[end] - self._sums[start]) % self.PRIME * self._down[start] % self.PRIME
+        found = self._mod(self._sums[end] - self._sums[start])
+        found *= self._down[start]
+        return self._mod(found)
+
+
+def loaded(tables: Fingerprints | Residues, buf: np.ndarray):
+    """A view of the tables for one buffer; the powers are made once for all of them."""
+    tables._grow(len(buf))
+    return copy(tables).load(buf)
 
 
 # Texts as byte buffers -----------------------------------------------------------

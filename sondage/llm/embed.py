@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import bitmap, by_bitmap, components, forest, materialise, mix, prepare, whole_groups
+from sondage.llm.common import bitmap, by_bitmap, forest, materialise, mix, prepare, whole_groups
+from sondage.operators.graph import components
 
 #: Members of a bucket that are compared by codes alone, and of a part of a larger one, each pair of parts in its own group.
 SMALL, PART = 32, 1024
@@ -267,3 +268,15 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95) -> DataFrame
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: All pairs, and the smallest vec_id that links reach by a recursive walk: for tables of some thousand vectors.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.k AS a, b.k AS b, b.vec_id AS other FROM u a JOIN u b ON a.k <> b.k AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(k, to_) AS (SELECT k, k FROM u UNION SELECT r.k, l.b FROM r JOIN l ON r.to_ = l.a),
+c AS (SELECT r.k, min(vec_id) AS least FROM r JOIN u ON u.k = r.to_ GROUP BY r.k)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.k) AS n_links, coalesce(c.least, v.vec_id) AS component_id, coalesce(v.vec_id = coalesce(c.least, v.vec_id), false) AS kept
+FROM v LEFT JOIN c ON c.k = v.k
+"""

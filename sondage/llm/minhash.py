@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import Fingerprints, SPACE, bitmap, by_bitmap, chunks, components, forest, joined, materialise, mix, node_key, node_number, packed, prepare, runs, tidy, unpacked, whole_groups
+from sondage.llm.common import Fingerprints, SPACE, bitmap, by_bitmap, chunks, forest, joined, materialise, mix, node_key, node_number, packed, prepare, runs, tidy, unpacked, whole_groups
+from sondage.operators.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: Registers of a sketch: BANDS bands of ROWS; a pair at the threshold shares no band with probability (1 - 0.8**4)**20 < 3e-5.
