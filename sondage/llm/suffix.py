@@ -34,7 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import Fingerprints, Residues, chunks, materialise, prepare
+from sondage.llm.common import Fingerprints, Residues, chunks, loaded, materialise, prepare
 
 BLOCK = "block long, data binary, doc_ids array<long>, sizes array<long>"
 KEYS = "kind int, bucket int, block long, keys binary"
@@ -47,6 +47,7 @@ DTYPE = {TEXTS: np.dtype("V16"), COVER: np.dtype("<u4"), WINDOWS: np.dtype("<u8"
 BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 16_000_000
 #: Bytes that a task of a shuffle reads at most, but for a document that is longer.
 TASK_BYTES = 64_000_000
+PRINTS, RESIDUES = Fingerprints(), Residues()
 
 
 def difference_cover(period_limit: int) -> tuple[int, np.ndarray]:
@@ -108,8 +109,8 @@ class Block:
         self.starts = self.ends - sizes
         self.length, self.period = length, period
         self.long = np.flatnonzero(sizes >= length)
-        self.prints = Fingerprints().load(self.buf) if len(self.long) else None
-        self.residues = Residues().load(self.buf) if len(self.long) else None
+        self.prints = loaded(PRINTS, self.buf) if len(self.long) else None
+        self.residues = loaded(RESIDUES, self.buf) if len(self.long) else None
         most = int(sizes.max(initial=0))
         self.sample = (np.arange(0, most + period, period)[:, None] + members).ravel()
 
