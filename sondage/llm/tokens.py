@@ -5,19 +5,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.llm.common import packed, prepare, unpacked
+from sondage.llm.common import Fingerprints, Residues, chunks, joined, packed, prepare, unpacked
 
 #: The mark that stands for a space, and what an unknown character costs beside the lowest score.
 MARK = "▁"
+MARK_BYTES = MARK.encode()
 UNKNOWN_COST = 10.0
-#: Entries of the memo of a task's words; it is emptied when full.
-MEMO = 400_000
+#: Entries of the memo of a task's words, of which the older half goes when it is full; bytes of text that are counted at once.
+MEMO, BATCH = 400_000, 4_000_000
+#: Characters of a part that is searched beside others, and how many of these at once.
+SHORT, AT_ONCE = 64, 20_000
 
 
 @dataclass(frozen=True)
@@ -62,8 +66,10 @@ class Counter(dict):
         self.vocabulary = vocabulary
         self.unknown = vocabulary.lowest - UNKNOWN_COST
         self.machine = ahocorasick.Automaton()
-        for piece, score in vocabulary.scores.items():
-            self.machine.add_word(piece, (len(piece), score))
+        self.sizes, self.scores = np.array([len(p) for p in vocabulary.scores] or [0]), np.array([*vocabulary.scores.values()] or [0.0])
+        self.pieces = list(zip(self.sizes.tolist(), self.scores.tolist()))
+        for k, piece in enumerate(vocabulary.scores):
+            self.machine.add_word(piece, k)
         self.machine.make_automaton()
         self.single = {p for p in vocabulary.scores if len(p) == 1}
         long = [p for p in vocabulary.scores if len(p) > 1]
@@ -72,6 +78,10 @@ class Counter(dict):
         stop = "\n" if lines else ""
         body = f"{MARK}*[^{MARK}{stop}]+|{MARK}+" if marks else f"[^{stop}]+" if lines else r"[\s\S]+"
         self.parts = re.compile(body + ("|\n" if lines else "")).findall
+        #: Whether parts end where bytes say so, before a mark and around a line end.
+        self.by_bytes = marks and lines
+        self.prints, self.residues = Fingerprints(), Residues()
+        self.known: dict[int, tuple[int, float, int]] = {}
 
     def __missing__(self, part: str) -> tuple[float, int]:
         found = self.search(part)
@@ -81,6 +91,62 @@ class Counter(dict):
             self[part] = found
         return found
 
+    def batch(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, scores) of texts in UTF-8. Each distinct part of all of them is searched once: parts are told apart by
+        fingerprints of 95 bits, and looked up by these when another batch has them too."""
+        if not self.by_bytes:
+            return self.batch_apart(rows)
+        lead = MARK_BYTES if self.vocabulary.prefix else b""
+        buf, first, last = joined([lead + r.replace(b" ", MARK_BYTES) if r else r for r in rows])
+        mark = np.zeros(len(buf) + 3, bool)
+        mark[: len(buf)] = buf == MARK_BYTES[0]
+        for k in (1, 2):
+            mark[: max(len(buf) - k, 0)] &= buf[k:] == MARK_BYTES[k]
+            mark[max(len(buf) - k, 0) : len(buf)] = False
+        begins = mark[: len(buf)].copy()
+        begins[3:] &= ~mark[: max(len(buf) - 3, 0)]
+        line = buf == 10
+        begins |= line
+        begins[1:] |= line[:-1]
+        full = first < last
+        begins[first[full]] = True
+        start = np.flatnonzero(begins)
+        if not len(start):
+            return np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        end = np.append(start[1:], len(buf))
+        prints, residues = self.prints.load(buf).of(start, end), self.residues.load(buf).of(start, end)
+        words, at, number = np.unique(prints, return_index=True, return_inverse=True)
+        if (residues[at][number] != residues).any():  # two parts with one fingerprint
+            return self.batch_apart(rows)
+        raw, score, count, new = buf.tobytes(), np.empty(len(words)), np.empty(len(words), np.int64), []
+        for k, (w, r, a, b) in enumerate(zip(words.tolist(), residues[at].tolist(), start[at].tolist(), end[at].tolist())):
+            held = self.known.get(w)
+            if held is not None and held[0] == r:
+                score[k], count[k] = held[1], held[2]
+                continue
+            part = raw[a:b].decode("utf-8", "surrogatepass")
+            if len(part) > SHORT:
+                score[k], count[k] = self.search(part)
+            else:
+                new.append((k, w, r, part))
+        for a in range(0, len(new), AT_ONCE):
+            some = new[a : a + AT_ONCE]
+            for (k, w, r, _), (s, n) in zip(some, self.search_many([p for *_, p in some])):
+                score[k], count[k] = s, n
+                self.known[w] = (r, s, n)
+        if len(self.known) > MEMO:
+            for w in list(self.known)[: len(self.known) // 2]:
+                del self.known[w]
+        sums = lambda of: np.add.reduceat(of[number], np.searchsorted(start, first[full]))
+        n, s = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        n[full], s[full] = sums(count), sums(score)
+        return n, s
+
+    def batch_apart(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, text by text."""
+        found = [self.text(r.decode("utf-8", "surrogatepass")) for r in rows]
+        return np.array([n for _, n in found], np.int64), np.array([s for s, _ in found], float)
+
     def search(self, part: str) -> tuple[float, int]:
         best, count, done = [0.0], [0], 0
         vocabulary, single = self.vocabulary, self.single
@@ -107,13 +173,49 @@ class Counter(dict):
                     settle(done)
                 matches.clear()
                 done = at + 1
-            matches.append(match)
+            matches.append(self.pieces[match])
         if done:
             settle(done)
         matches.clear()
         settle(len(part))
         return best[-1], count[-1]
 
+    def search_many(self, parts: list[str]) -> list[tuple[float, int]]:
+        """search() of each part, none of them long, side by side: one pass of the automaton over all, then the ends at the
+        first character of every part, at the second, and so on."""
+        text = "\n".join(parts) + "\n"  # no longer piece has a line end
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
+        of = np.repeat(np.arange(len(parts)), size + 1)
+        found = np.fromiter(chain.from_iterable(self.machine.iter(text)), np.int64).reshape(-1, 2)
+        gap = np.zeros(len(text), bool)
+        gap[first + size] = True
+        found = found[~gap[found[:, 0]]]
+        end, length, gain = found[:, 0] + 1, self.sizes[found[:, 1]], self.scores[found[:, 1]]
+        lone = ~gap
+        lone[found[length == 1, 0]] = False
+        odd = np.flatnonzero(lone) + 1  # ends of characters that are no piece
+        spelled = np.array([len(text[e - 1].encode("utf-8", "surrogatepass")) for e in odd.tolist()] if self.vocabulary.byte_fallback else [1] * len(odd), np.int64)
+        best, count, came = np.full(len(text) + 1, -np.inf), np.zeros(len(text) + 1, np.int64), np.full(len(text) + 1, len(text))
+        best[first] = 0.0
+        depth, odd_depth = end - first[of[end - 1]], odd - first[of[odd - 1]]
+        by, odd_by = np.argsort(depth, kind="stable"), np.argsort(odd_depth, kind="stable")
+        most = int(size.max(initial=0))
+        cut, odd_cut = np.searchsorted(depth[by], np.arange(1, most + 2)), np.searchsorted(odd_depth[odd_by], np.arange(1, most + 2))
+        for d in range(most):
+            m = by[cut[d] : cut[d + 1]]
+            e, start = end[m], end[m] - length[m]
+            total = best[start] + gain[m]
+            np.maximum.at(best, e, total)
+            top = np.flatnonzero(total == best[e])
+            np.minimum.at(came, e[top], start[top])
+            count[e[top]] = count[came[e[top]]] + 1
+            u = odd_by[odd_cut[d] : odd_cut[d + 1]]
+            e, total = odd[u], best[odd[u] - 1] + self.unknown
+            over = total > best[e]
+            best[e[over]], count[e[over]] = total[over], count[e[over] - 1] + spelled[u[over]]
+        return list(zip(best[first + size].tolist(), count[first + size].tolist()))
+
     def text(self, text: str) -> tuple[float, int]:
         if not text:
             return 0.0, 0
@@ -131,8 +233,9 @@ def count_udf(vocabulary):
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = Counter(vocabulary.value)
         for texts in parts:
-            found = [counter.text(t if isinstance(t, str) else "") for t in texts]
-            yield pd.DataFrame({"n_tokens": [n for _, n in found], "score": [s for s, _ in found]})
+            found = [counter.batch(rows) for _, rows in chunks(texts.tolist(), BATCH)]
+            n, score = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0))
+            yield pd.DataFrame({"n_tokens": n, "score": score})
 
     return count
 
