@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sondage.llm.common import materialise, prepare
+from sondage.llm.common import bitmap, by_bitmap, materialise, prepare
 from sondage.sources.files import scratch
 
 # Fixed values of the format.
@@ -132,8 +132,10 @@ def write_warc(pages: DataFrame, path: str, *, segment_bytes: int = 8192, chunk_
     file has at most packs_per_file * (pack_bytes + segment_bytes) bytes before
     compression, since reading takes a file at once.
 
-    Only (digest, number) is grouped by digest; the join that follows has an
-    exchange on both sides, so a payload that very many pages share is split.
+    Only (digest, number) is grouped by digest. A bitmap of the digests that
+    repeat, of bounded size, says which pages must join them; the others are
+    written where they are read. That join has an exchange on both sides, so a
+    payload that very many pages share is split.
     """
     prepare(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -141,9 +143,11 @@ def write_warc(pages: DataFrame, path: str, *, segment_bytes: int = 8192, chunk_
     rows = pages.select("page_id", name.alias("name"), "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     found = rows.groupBy("sha1").agg(F.max(F.struct("page_id", "name")).alias("top"), F.count(F.lit(1)).alias("n"))
     copies = materialise(found.where("n > 1").select("sha1", F.col("top.page_id").alias("top_id"), F.col("top.name").alias("top_name")), "copies")
-    known = rows.join(copies, "sha1", "left")
+    bits = materialise(bitmap(copies, ["sha1"]), "bits")
     refers = F.when(F.col("top_name").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top_id")), F.col("top_name"))
-    packs = known.select("name", "url", "payload", "sha1", refers.alias("refers")).mapInPandas(_packs(segment_bytes, chunk_bytes, pack_bytes, date), "pack binary")
+    known = by_bitmap(rows, bits, ["sha1"], True).join(copies, "sha1", "left").select("name", "url", "payload", "sha1", refers.alias("refers"))
+    known = known.unionByName(by_bitmap(rows, bits, ["sha1"], False).select("name", "url", "payload", "sha1", F.lit(None).cast("string").alias("refers")))
+    packs = known.mapInPandas(_packs(segment_bytes, chunk_bytes, pack_bytes, date), "pack binary")
     # The lines' end closes a record, so the text writer makes whole WARC files of the packs.
     packs.select(F.col("pack").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", packs_per_file).text(path)
 
@@ -274,3 +278,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "archive")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     return read_warc(spark, path).select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"), "error")
+
+
+#: All columns of query(): base32 is four letters for every five hexadecimal digits of the SHA-1.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS n, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - k % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM d
+"""
