@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondage.llm.common import OWN, materialise, packed, unpacked
+from sondage.operators.ranks import running
 
 #: Bits of the hash that each level of buckets adds; the last level is the whole hash.
 LEVELS = (8, 16, 24, 32, 60)
@@ -23,28 +24,34 @@ def word_count(text: str) -> Column:
     return F.size(F.array_remove(words, "")).cast("long")
 
 
+def _in_order(rows: DataFrame, order: list, sums: dict[str, Column], name: str) -> DataFrame:
+    """rows with sums over all of them up to each one in order, the row itself included: rows are sorted over many tasks and
+    written, and sums by sorted part give what lies before each part."""
+    parted = materialise(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), name)
+    return running(parted, [], F.shiftright("_m", 33), ["_m"], sums).drop("_m")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: float, share: float) -> DataFrame:
     """Target of each source: the weights share the total, no target is over cap times its source's size.
 
     sizes has one row per source (source, source_size). Sources by code point,
     null last, get the weights in turn. A source that meets its cap stops there
     and the rest is shared anew by weight, which ends at one level: targets are
-    min(cap * size, level * weight). One row per source is small enough for a
-    window over all of them.
+    min(cap * size, level * weight). Sources can be many: no window holds all.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("weight", turn).withColumn("most", F.col("source_size") * float(cap))
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("total", F.sum("source_size").over(every) * float(share)).withColumn("all_weight", F.sum("weight").over(every))
-    rows = rows.withColumn("left_total", F.col("total") - F.coalesce(F.sum("most").over(filled), F.lit(0.0)))
-    rows = rows.withColumn("left_weight", F.col("all_weight") - F.coalesce(F.sum("weight").over(filled), F.lit(0.0)))
-    rows = rows.withColumn("level", F.col("left_total") / F.col("left_weight"))
-    rows = rows.withColumn("full", F.col("most") <= F.col("weight") * F.col("level"))
-    last = F.max(F.when(~F.col("full"), F.col("level"))).over(every)  # that of the first in order; later ones are lower
-    target = F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * F.coalesce(last, F.lit(0.0)))
-    return rows.select("source", "source_size", target.alias("target"))
+    by_name = F.col("source").asc_nulls_last()
+    rows = _in_order(sizes.select("source", "source_size"), [by_name], {"place": F.lit(1)}, "sources")
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    rows = rows.select("source", "source_size", turn.alias("weight"), (F.col("source_size") * float(cap)).alias("most"))
+    # In the order in which caps are met, what the sources before each one take.
+    rows = _in_order(rows, [F.col("most") / F.col("weight"), by_name], {"upto": F.col("most"), "weights": F.col("weight")}, "filled")
+    all_ = rows.agg((F.sum("source_size") * float(share)).alias("total"), F.sum("weight").alias("all_weight"))
+    rows = rows.crossJoin(all_)  # one row
+    rows = rows.withColumn("level", (F.col("total") - (F.col("upto") - F.col("most"))) / (F.col("all_weight") - (F.col("weights") - F.col("weight"))))
+    rows = materialise(rows.withColumn("full", F.col("most") <= F.col("weight") * F.col("level")).select("source", "source_size", "weight", "most", "level", "full"), "levels")
+    last = rows.where("NOT full").agg(F.max("level").alias("last"))  # that of the first in order; later ones are lower
+    target = F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * F.coalesce("last", F.lit(0.0)))
+    return rows.crossJoin(last).select("source", "source_size", target.alias("target"))
 
 
 def marked(docs: DataFrame) -> DataFrame:
