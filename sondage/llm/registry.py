@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc_segments": warc.SQL,
+    "op6_embedding_links": embed.SQL,
     "op4_mix_sources": mixing.SQL,
     "op9_decontaminate": decontam.SQL,
 }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sondage.llm import common, decontam, embed, langid, minhash, mixing, pii, quality, suffix, tokens, warc
 from sondage.llm.registry import QUERIES, SQL
+from sondage.operators.graph import components
 
 from sondage.sources.files import scratch
 
@@ -103,6 +104,21 @@ def test_token_counts_are_the_tokenizers():
         assert c.text(t)[1] == want, t
 
 
+def test_batches_of_texts_count_like_single_ones(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    monkeypatch.setattr(tokens, "SHORT", 12)
+    monkeypatch.setattr(tokens, "AT_ONCE", 7)
+    r = random.Random(37)
+    texts = ["", "\n", " ", "▁", "a\n\n b"] + ["".join(r.choice("ab  \n\tñ日本🙂thes▁\x00") for _ in range(r.randint(0, 60))) for _ in range(400)] + [prose(s, 30) for s in range(20)]
+    for vocabulary in (tokens.load(tokens.QUERY_MODEL), tokens.Vocabulary({"a": -1.0, "▁a": -1.5, "b": -1.0, "▁": -3.0, "ab": -2.0}, -3.0, False, True), tokens.Vocabulary({"a\nb": -1.0, "a": -2.0}, -2.0, True, False)):
+        c, alone = tokens.Counter(vocabulary), tokens.Counter(vocabulary)
+        for a in range(0, len(texts), 90):
+            some = texts[a : a + 90]
+            n, score = c.batch([t.encode() for t in some])
+            want = [alone.text(t) for t in some]
+            assert n.tolist() == [k for _, k in want] and score.tolist() == pytest.approx([s for s, _ in want])
+
+
 def test_token_search_against_all_segmentations():
     r = random.Random(3)
     for _ in range(200):
@@ -116,7 +132,7 @@ def test_token_search_against_all_segmentations():
             for e, v in sorted(found):
                 if e not in best or best[s][0] + v > best[e][0]:
                     best[e] = (best[s][0] + v, best[s][1] + 1)
-        assert c.text(text) == best[len(marked)]
+        assert c.text(text) == best[len(marked)] == c.search_many([marked])[0]
 
 
 def test_token_counts_awkward(awkward, nothing):
@@ -240,7 +256,7 @@ def test_near_duplicates_awkward(spark, awkward, nothing):
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(60)] + [(500, 500), (None, 3)]
-    found = {x.node: x.root for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = {x: x for e in edges for x in e if x is not None and None not in e}
     for _ in range(100):
         for a, b in edges:
@@ -409,6 +425,32 @@ def test_links_right_over_the_threshold_are_found(spark):
     assert 0.975 * 5000 <= got.n_links.sum() <= 5000 and (got.component_id <= got.index).all()
 
 
+def test_linked_vectors_against_sql(spark):
+    import duckdb
+
+    r = np.random.Generator(np.random.PCG64(36))
+    x = r.standard_normal((60, 16))
+    x = np.concatenate([x, x[r.integers(0, 20, 80)] * r.uniform(0.5, 2, 80)[:, None] + 0.03 * r.standard_normal((80, 16)), x[:3], np.zeros((1, 16))])
+    rows = pd.DataFrame({"vec_id": [*range(len(x)), 400], "embedding": [*x.tolist(), None]})
+    got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    con = duckdb.connect()
+    con.register("embeddings", rows)
+    want = con.execute(embed.SQL).df().sort_values("vec_id")
+    assert want.n_links.sum() > 200 and got[want.columns].to_numpy().tolist() == want.to_numpy().tolist()
+
+
+def test_equal_pages_against_sql(spark):
+    import duckdb
+
+    rows = pd.DataFrame({"page_id": [5, 3, 9, 1, 2, 8], "url": ["u"] * 6, "html": ["x", "x", "x", None, "", "é" * 9000]})
+    path = scratch(spark, "equal")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r.page: (r.payload_bytes, r.payload_digest, r.record_type, r.to) for r in warc.read_warc(spark, path).withColumn("page", warc.page_id("record_id")).withColumn("to", warc.page_id("refers_to")).collect()}
+    con = duckdb.connect()
+    con.register("pages", rows)
+    assert got == {r[0]: r[1:5] for r in con.execute(warc.SQL).fetchall()}
+
+
 # 7 -----------------------------------------------------------------------------------
 
 
