@@ -19,7 +19,7 @@ MARK = "▁"
 MARK_BYTES = MARK.encode()
 UNKNOWN_COST = 10.0
 #: Entries of the memo of a task's words, of which the older half goes when it is full; bytes of text that are counted at once.
-MEMO, BATCH = 400_000, 4_000_000
+MEMO, BATCH = 400_000, 1_500_000
 #: Characters of a part that is searched beside others, and how many of these at once.
 SHORT, AT_ONCE = 64, 20_000
 
