@@ -44,7 +44,7 @@ TEXTS, COVER, WINDOWS = range(3)
 #: Keys of whole texts, of the cover's prefixes (a filter, so few bits are enough within a bucket), of windows.
 DTYPE = {TEXTS: np.dtype("V16"), COVER: np.dtype("<u4"), WINDOWS: np.dtype("<u8")}
 #: Bytes of a block of text, and of keys in a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 16_000_000
+BLOCK_BYTES, BUCKET_BYTES = 2_000_000, 16_000_000
 #: Bytes that a task of a shuffle reads at most, but for a document that is longer.
 TASK_BYTES = 64_000_000
 PRINTS, RESIDUES = Fingerprints(), Residues()
