@@ -10,7 +10,11 @@ def test_agrees_with_sql(name, agree):
     agree(PLANS[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(PLANS) - set(ORACLES)))
+#: Slow queries that test_operators.py runs.
+ELSEWHERE = {"nested_cv", "nested_cv_trees", "copula_null", "procedure_bootstrap", "saturation_curve", "containment_check", "provenance_gate", "nested_best_single_auc", "multivariable_lift_interval"}
+
+
+@pytest.mark.parametrize("name", sorted(set(PLANS) - set(ORACLES) - ELSEWHERE))
 def test_has_rows(name, spark, small):
     df = PLANS[name](spark, small)
     assert df.columns and df.count() > 0
