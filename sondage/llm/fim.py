@@ -68,11 +68,11 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def pieces(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most PIECE bytes; a longer text is a run of its own."""
+def pieces(bounds: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most limit bytes; a longer text is a run of its own."""
     first = 0
     while first < len(bounds) - 1:
-        last = max(int(np.searchsorted(bounds, bounds[first] + PIECE, side="right")) - 1, first + 1)
+        last = max(int(np.searchsorted(bounds, bounds[first] + limit, side="right")) - 1, first + 1)
         yield first, last
         first = last
 
@@ -104,12 +104,12 @@ def cuts(buf: np.ndarray, bounds: np.ndarray, h: np.ndarray, begins: np.ndarray)
     return n, at[:, 0], at[:, 1], points[at[:, 0]] - points[starts], points[at[:, 1]] - points[at[:, 0]]
 
 
-def transformed(texts: pa.Array, h: np.ndarray, marks: list[bytes], begins: np.ndarray, rate: int, spm_rate: int) -> pa.StructArray:
+def transformed(texts: pa.Array, h: np.ndarray, marks: list[bytes], begins: np.ndarray, rate: int, spm_rate: int, piece_bytes: int) -> pa.StructArray:
     """(n, form, prefix_chars, middle_chars, output) of each text, from its four drawn numbers."""
     whole, offsets = buffer(texts)
     p, s, m = marks
     cols: list[list] = [[], [], [], [], []]
-    for first, last in pieces(offsets):
+    for first, last in pieces(offsets, piece_bytes):
         bounds = offsets[first : last + 1] - offsets[first]
         buf = whole[offsets[first] : offsets[last]]
         own = h[first:last]
@@ -133,12 +133,12 @@ RESULT = "n long, form string, prefix_chars long, middle_chars long, output stri
 RESULT_NAMES = ["n", "form", "prefix_chars", "middle_chars", "output"]
 
 
-def rebuilt(outputs: pa.Array, forms: pa.Array, marks: list[bytes]) -> pa.Array:
+def rebuilt(outputs: pa.Array, forms: pa.Array, marks: list[bytes], piece_bytes: int) -> pa.Array:
     """The texts that outputs of the forms were made of; ValueError for an output that is not of its form."""
     whole, offsets = buffer(outputs)
     p, s, m = map(len, marks)
     done: list[pa.Array] = []
-    for first, last in pieces(offsets):
+    for first, last in pieces(offsets, piece_bytes):
         bounds, buf = offsets[first : last + 1] - offsets[first], whole[offsets[first] : offsets[last]]
         form = np.array(forms.slice(first, last - first).to_pylist(), object)
         cut = form != PLAIN
@@ -167,7 +167,7 @@ def rebuilt(outputs: pa.Array, forms: pa.Array, marks: list[bytes]) -> pa.Array:
     return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
-def fill_in_middle(docs: DataFrame, *, seed: int = 7, unit: str = "line", rate: int = 100, spm_rate: int = 50, sentinels: tuple[str, str, str] = SENTINELS) -> DataFrame:
+def fill_in_middle(docs: DataFrame, *, seed: int = 7, unit: str = "line", rate: int = 100, spm_rate: int = 50, sentinels: tuple[str, str, str] = SENTINELS, piece_bytes: int = PIECE) -> DataFrame:
     """docs (doc_id, text) with n, form, prefix_chars, middle_chars and output.
 
     A text is cut between its units (`line`, `word` or `char`): prefix, middle
@@ -191,7 +191,7 @@ def fill_in_middle(docs: DataFrame, *, seed: int = 7, unit: str = "line", rate:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = np.stack([b.column(f"_h{k}").to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(OWN), transformed(b.column("_text"), h, marks, begins, rate, spm_rate)], [OWN, "_r"])
+            yield pa.RecordBatch.from_arrays([b.column(OWN), transformed(b.column("_text"), h, marks, begins, rate, spm_rate, piece_bytes)], [OWN, "_r"])
 
     made = rows.mapInArrow(run, f"{OWN} {rows.schema[OWN].dataType.simpleString()}, _r struct<{_typed(RESULT)}>")
     return unpacked(made, docs, **{name: F.col(f"_r.{name}") for name in RESULT_NAMES})
@@ -201,7 +201,7 @@ def _typed(ddl: str) -> str:
     return ", ".join(":".join(f.split(" ")) for f in ddl.split(", "))
 
 
-def restore(rows: DataFrame, output: str = "output", form: str = "form", *, name: str = "restored", sentinels: tuple[str, str, str] = SENTINELS) -> DataFrame:
+def restore(rows: DataFrame, output: str = "output", form: str = "form", *, name: str = "restored", sentinels: tuple[str, str, str] = SENTINELS, piece_bytes: int = PIECE) -> DataFrame:
     """rows with the text that each output was made of, exactly; a null output is empty, a null form is plain."""
     spark = rows.sparkSession
     prepare(spark)
@@ -211,7 +211,7 @@ def restore(rows: DataFrame, output: str = "output", form: str = "form", *, name
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(OWN), rebuilt(b.column("_output"), b.column("_form"), marks)], [OWN, "_r"])
+            yield pa.RecordBatch.from_arrays([b.column(OWN), rebuilt(b.column("_output"), b.column("_form"), marks, piece_bytes)], [OWN, "_r"])
 
     made = whole.mapInArrow(run, f"{OWN} {whole.schema[OWN].dataType.simpleString()}, _r string")
     return unpacked(made, rows, **{name: F.col("_r")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sondage.llm import decontam, embed, fim, langid, minhash, mixing, pii, quality, suffix, tokens, warc
+from sondage.llm import decontam, embed, fim, langid, lifetimes, minhash, mixing, pii, quality, suffix, tokens, warc
 
 QUERIES = {
     "op1_warc_segments": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_repeated_strings": suffix.query,
     "op9_decontaminate": decontam.query,
     "op10_quality_trees": quality.query,
+    "op11_batch_lifetimes": lifetimes.query,
     "op12_fill_in_middle": fim.query,
 }
 
@@ -23,5 +24,6 @@ SQL = {
     "op6_embedding_links": embed.SQL,
     "op4_mix_sources": mixing.SQL,
     "op9_decontaminate": decontam.SQL,
+    "op11_batch_lifetimes": lifetimes.SQL,
     "op12_fill_in_middle": fim.SQL,
 }

@@ -36,14 +36,13 @@ def expected(doc_id, text, unit, rate, spm_rate):
 
 @pytest.mark.parametrize("unit", ["line", "word", "char"])
 @pytest.mark.parametrize("rate,spm_rate,piece", [(100, 50, 4_000_000), (60, 0, 40), (90, 100, 1)])
-def test_against_strings(spark, unit, rate, spm_rate, piece, monkeypatch):
-    monkeypatch.setattr(fim, "PIECE", piece)
+def test_against_strings(spark, unit, rate, spm_rate, piece):
     r = random.Random(12)
     texts = [None, "", "\n", "\n\n", "a", "a<", "P>b", "<P>", "x<S>y", "<M", ">", "é\r\n日本\n\n語🙂", "x\x00\ny"]
     texts += ["".join(r.choice(["a", " ", "\n", "é", "日", "🙂", "<", "P>", "\t", "\r"]) for _ in range(r.randint(0, 40))) for _ in range(150)] + ["line of text\n" * 3000]
     rows = [*enumerate(texts), (None, "no id\nat all\n"), (5, "again\nfive\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = fim.restore(fim.fill_in_middle(df, unit=unit, rate=rate, spm_rate=spm_rate)).collect()
+    got = fim.restore(fim.fill_in_middle(df, unit=unit, rate=rate, spm_rate=spm_rate, piece_bytes=piece), piece_bytes=piece).collect()
     mine = sorted(((r.doc_id, r.text, r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in got), key=repr)
     assert mine == sorted(((i, t, *expected(i, t, unit, rate, spm_rate)) for i, t in rows), key=repr)
     assert all(r.restored == (r.text or "") for r in got)
