@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sondage.llm import decontam, embed, fim, langid, lifetimes, minhash, mixing, pii, quality, suffix, tokens, warc
+from sondage.llm import anchors, decontam, embed, fim, langid, lifetimes, minhash, mixing, pii, quality, suffix, tokens, warc
 
 QUERIES = {
     "op1_warc_segments": warc.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_trees": quality.query,
     "op11_batch_lifetimes": lifetimes.query,
     "op12_fill_in_middle": fim.query,
+    "op13_repeated_words": anchors.query,
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op9_decontaminate": decontam.SQL,
     "op11_batch_lifetimes": lifetimes.SQL,
     "op12_fill_in_middle": fim.SQL,
+    "op13_repeated_words": anchors.SQL,
 }

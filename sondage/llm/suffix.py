@@ -98,6 +98,11 @@ def _pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield made()
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """The texts of docs (doc_id, text) in compressed blocks."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(_pack, BLOCK)
+
+
 class Block:
     """A block's text with the keys that it sends."""
 
@@ -226,7 +231,7 @@ def repeated_strings(docs: DataFrame, *, length: int = 400) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     period, members = difference_cover((length + 1) // 2)
-    blocks = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(_pack, BLOCK), "blocks", "none")
+    blocks = materialise(packed_texts(docs), "blocks", "none")
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     spread = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Were every string of the text a key, no bucket would hold more than four times BUCKET_BYTES.
