@@ -11,7 +11,7 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 DIPSTICK = {
     "neg": 0.0, "negative": 0.0, "none": 0.0, "tr": 1.0, "trace": 1.0, "1+": 1.0, "2+": 2.0, "3+": 3.0, "4+": 4.0,
     "30": 2.0, "100": 3.0, "300": 4.0, "500": 5.0, ">300": 5.0, ">600": 5.0, "small": 1.0, "moderate": 3.0, "large": 4.0,
-    "0-2": 1.0, "3-5": 2.0, "6-10": 3.0, "11-20": 4.0, "21-50": 4.0, ">50": 5.0,
+    "0-2": 1.0, "3-5": 2.0, "6-10": 3.0, "11-20": 4.0, ">50": 5.0, "21-50": 4.0,
 }
 CATEGORIES = {"normal": 0.0, "abnormal": 1.0, "notpresent": 0.0, "present": 1.0, "no": 0.0, "yes": 1.0, "good": 0.0, "poor": 1.0}
 

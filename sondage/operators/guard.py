@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 class LeakageError(ValueError):
@@ -69,31 +69,42 @@ class Registry:
             raise UnknownName(f"tier {tier!r} is unknown; known: {', '.join(sorted({v.tier for v in self.variables}))}")
         return found
 
-    def of(self, *categories: str) -> frozenset[str]:
-        return frozenset(v.name for v in self.variables if v.category in categories)
-
 
 #: The categories of leakage that restrict a feature set.
 CRITERION, SEDIMENT, CONSEQUENCE, DERIVED, EARLY = "diagnostic_criterion_input", "possible_criterion_sediment", "consequence_of_advanced_disease", "deterministic_outcome_derivative", "legitimate_pre_index"
 
-
-def restricted_sets(registry: Registry, full: str, cheap: str, filtration: str, albumin: str) -> dict[str, tuple[str, ...]]:
-    """The ten feature sets that leave out more and more of what the outcome is made of.
-
-    full and cheap name two of the registry's sets, filtration and albumin the
-    variables of the two limbs of the outcome's definition. Each set keeps the
-    order of the set that it comes from.
+#: Name, whether the set starts from the low-cost features, the categories that it drops, the one limb of the
+#: outcome's definition that it drops, the category that it is confined to, and whether doubtful variables go.
+RESTRICTIONS = [
+    ("full_valid (reference)", False, [], None, None, False),
+    ("minus creatinine/eGFR information", False, [DERIVED], "creatinine", None, False),
+    ("minus albuminuria information", False, [], "albuminuria", None, False),
+    ("minus criterion inputs only (strict)", False, [CRITERION], None, None, False),
+    ("minus all incorporation-risk variables", False, [CRITERION, SEDIMENT], None, None, False),
+    ("minus consequences of advanced disease", False, [CONSEQUENCE], None, None, False),
+    ("minus incorporation and consequences", False, [CRITERION, SEDIMENT, CONSEQUENCE], None, None, False),
+    ("pre-index available only", False, [], None, EARLY, False),
+    ("conservative pre-index (no uncertain)", False, [], None, EARLY, True),
+    ("minimal low-cost conservative", True, [], None, EARLY, True),
+]
+RESTRICTION = "name string, low_cost boolean, dropped array<string>, limb string, within string, certain boolean"
+
+
+def restricted_sets(registry: DataFrame, restrictions: list[tuple] = RESTRICTIONS) -> DataFrame:
+    """(name, n, features) of each restriction: the variables of a registry that it leaves, in the registry's order.
+
+    registry has place, variable, category, limb, uncertain and low_cost, a row
+    per variable. A restriction without any variable left has n 0; null
+    category and limb are none, null uncertain and low_cost are false.
     """
-    whole, low_cost = registry.by_name(full).features, registry.by_name(cheap).features
-    criteria, consequence, early = registry.of(CRITERION), registry.of(CONSEQUENCE), registry.of(EARLY)
-    incorporated, doubtful = criteria | registry.of(SEDIMENT), {v.name for v in registry.uncertain()}
-    without = lambda gone: tuple(f for f in whole if f not in gone)
-    sure = lambda some: tuple(f for f in some if f in early and f not in doubtful)
-    return {
-        "full": whole, "minus filtration": without({filtration} | registry.of(DERIVED)), "minus albumin": without({albumin}), "minus criteria": without(criteria), "minus incorporation": without(incorporated),
-        "minus consequences": without(consequence), "minus incorporation and consequences": without(incorporated | consequence), "early only": tuple(f for f in whole if f in early),
-        "early and certain": sure(whole), "cheap, early and certain": sure(low_cost),
-    }
+    rules = registry.sparkSession.createDataFrame(restrictions, RESTRICTION)
+    no = F.lit(False)
+    stays = ~F.coalesce(F.array_contains("dropped", F.col("category")), no) & ~F.coalesce(F.col("limb") == F.col("_limb"), no)
+    stays = stays & (F.col("within").isNull() | F.coalesce(F.col("within") == F.col("category"), no)) & ~(F.col("certain") & F.coalesce("uncertain", no))
+    variables = registry.select("place", "variable", "category", F.col("limb").alias("_limb"), "uncertain", F.col("low_cost").alias("_low"))
+    rows = rules.join(variables, ~F.col("low_cost") | F.coalesce("_low", no), "left")  # rules are the ten rows above
+    kept = F.array_sort(F.collect_list(F.when(stays & F.col("variable").isNotNull(), F.struct("place", "variable"))))
+    return rows.groupBy("name").agg(kept.alias("kept")).select("name", F.size("kept").cast("long").alias("n"), F.array_join(F.col("kept.variable"), ",").alias("features"))
 
 
 def gated(df: DataFrame, verdict: str, wanted: str | None = None) -> DataFrame:

@@ -10,16 +10,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondage.functions import rng
 from sondage.functions.normal import norm_cdf, norm_ppf
-from sondage.operators.graph import components
+from sondage.operators.counting import INF, contained, point_nodes, present, range_nodes
 from sondage.operators.ranks import by_edges, quantiles, running
 from sondage.operators.resample import midranks
 from sondage.session import ship
 
 EPS = 1e-9
-INF = float("inf")
 
 
-#: Into how many parts the rows without a value of the first variable are dealt.
+#: Into how many parts the rows without a finite value of the first variable are dealt.
 SALTS = 16
 
 
@@ -31,38 +30,39 @@ def pairs(intervals: DataFrame, values: DataFrame, variables: list[str], outcome
     bucket of `width`, of twice that width, four times and so on, and an interval
     is cut into at most two buckets of each size that together cover it. So open
     intervals and outliers cost no more than the logarithm of the values' range.
-    A missing value meets all intervals of its outcome, in SALTS parts.
+    A missing value, null or NaN, meets all intervals of its outcome, in SALTS
+    parts; an infinite one meets those that are open on its side. To count the
+    pairs, operators.counting needs none of them.
     """
     first = variables[0]
-    ends = values.agg(F.min(first).alias("low"), F.max(first).alias("high")).first()
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    node = lambda level, n: F.struct(F.lit(level).alias("level"), n.alias("n"))
-    covered, held = [], []
-    low, high = F.col(f"{first}_lo") - slack, F.col(f"{first}_hi") + slack
+    values = values.withColumns({v: present(v) for v in variables})
+    finite = F.when(F.abs(first) != INF, F.col(first))
+    ends = values.agg(F.min(finite).alias("low"), F.max(finite).alias("high")).first()
+    low, high = f"({first}_lo - {slack!r}D)", f"({first}_hi + {slack!r}D)"
+    none = "CAST(array() AS array<struct<level:int,n:bigint>>)"
+    covered, held = none, none
     if ends.low is not None:
-        a, b = bucket(F.greatest(low, F.lit(ends.low))), bucket(F.least(high, F.lit(ends.high)))
-        from_ = lambda k: -F.shiftright(-a, k)
-        to = lambda k: F.shiftright(b + 1, k) - 1
-        span = int(ends.high // width) - int(ends.low // width) + 1
-        for k in range(span.bit_length() + 1):
-            # Whole buckets of this size within the interval whose own double is not.
-            whole = lambda n: (from_(k) <= to(k)) & ((F.shiftright(n, 1) < from_(k + 1)) | (F.shiftright(n, 1) > to(k + 1)))  # noqa: B023, E731
-            covered += [F.when(whole(from_(k)), node(k, from_(k))), F.when(whole(to(k)) & (to(k) != from_(k)), node(k, to(k)))]
-            held.append(node(k, F.shiftright(bucket(F.col(first)), k)))
-    missing = [node(-1, F.lit(s).cast("long")) for s in range(SALTS)]
-    fits = F.when((low <= F.lit(ends.high)) & (high >= F.lit(ends.low)), F.array_compact(F.array(*covered))) if covered else None
-    nodes = F.concat(F.coalesce(fits, F.array().cast("array<struct<level:int,n:long>>")), F.array(*missing)) if covered else F.array(*missing)
-    left = intervals.withColumn("_b", F.explode(nodes)).select(*intervals.columns, F.col("_b.level").alias("_level"), F.col("_b.n").alias("_n"))
-    none = F.array(node(-1, F.pmod(F.xxhash64("j"), F.lit(SALTS))))
-    right = values.withColumn("_v", F.explode(F.when(F.col(first).isNull(), none).otherwise(F.array(*held)) if held else none))
-    right = right.select(*values.columns, F.col("_v.level").alias("_at"), F.col("_v.n").alias("_m"))
+        bucket = lambda c: f"CAST(floor({c} / {width!r}D) AS BIGINT)"
+        levels = (int(ends.high // width) - int(ends.low // width) + 1).bit_length()
+        a, b = bucket(f"greatest({low}, {ends.low!r}D)"), bucket(f"least({high}, {ends.high!r}D)")
+        covered = f"CASE WHEN {low} <= {ends.high!r}D AND {high} >= {ends.low!r}D THEN {range_nodes('_a', '_b', levels)} ELSE {none} END"
+        intervals = intervals.selectExpr("*", f"{a} AS _a", f"{b} + 1 AS _b")
+        held = point_nodes(bucket(first), levels)
+    salted = lambda level: f"transform(sequence(0, {SALTS - 1}), s -> named_struct('level', {level}, 'n', CAST(s AS BIGINT)))"
+    one = lambda level: f"array(named_struct('level', {level}, 'n', pmod(xxhash64(j), {SALTS}L)))"
+    beyond = lambda end, sign, level: f"IF({end} = double('{sign}infinity'), {salted(level)}, {none})"
+    nodes = f"concat({covered}, {salted(-1)}, {beyond(f'{first}_lo', '-', -2)}, {beyond(f'{first}_hi', '', -3)})"
+    left = intervals.withColumn("_e", F.expr(f"explode({nodes})")).select("*", F.col("_e.level").alias("_level"), F.col("_e.n").alias("_n"))
+    at = f"CASE WHEN {first} IS NULL THEN {one(-1)} WHEN {first} = double('-infinity') THEN {one(-2)} WHEN {first} = double('infinity') THEN {one(-3)} ELSE {held} END"
+    right = values.withColumn("_v", F.expr(f"explode({at})")).select(*values.columns, F.col("_v.level").alias("_at"), F.col("_v.n").alias("_m"))
     on = (left["_level"] == right["_at"]) & (left["_n"] == right["_m"])
     if outcome:
         right = right.withColumnRenamed(outcome, "_o")
         on = on & (left[outcome] == right["_o"])
     both = left.join(right, on)
-    gap = lambda v: F.when(F.col(v).isNull(), 0.0).otherwise(F.greatest(F.col(f"{v}_lo") - F.col(v), F.col(v) - F.col(f"{v}_hi"), F.lit(0.0)))
-    near = both.where(F.col(first).isNull() | ((F.col(first) >= low) & (F.col(first) <= high)))
+    inside = lambda v: F.col(v).isNull() | ((F.col(v) >= F.col(f"{v}_lo")) & (F.col(v) <= F.col(f"{v}_hi")))
+    gap = lambda v: F.when(inside(v), 0.0).otherwise(F.greatest(F.col(f"{v}_lo") - F.col(v), F.col(v) - F.col(f"{v}_hi")))
+    near = both.where(f"{first} IS NULL OR {first} >= {low} AND {first} <= {high}")
     return near.select("i", "j", *[gap(v).alias(f"{v}_gap") for v in variables])
 
 
@@ -79,21 +79,44 @@ def edges(gaps: DataFrame, variables: list[str], eps: float = EPS) -> DataFrame:
     return gaps.where(fit).select("i", "j")
 
 
-def partner_counts(left: DataFrame, found: DataFrame) -> DataFrame:
-    """(i, n): partners of every left row."""
-    return left.select("i").join(found.groupBy("i").agg(F.count("*").alias("n")), "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
+def compatible(intervals: DataFrame, values: DataFrame, variables: list[str], outcome: str | None, *, slack: float | Column = EPS, **more) -> DataFrame:
+    """How many values rows fit each distinct combination of intervals within slack, by counting.contained()."""
+    wide = intervals.withColumns({f"{v}_{e}": F.col(f"{v}_{e}") + slack if e == "hi" else F.col(f"{v}_{e}") - slack for v in variables for e in ("lo", "hi")})
+    return contained(wide, values, variables, [outcome] if outcome else [], **more)
+
+
+def matched_in() -> list[Column]:
+    """Aggregates of what compatible() gives: the pairs, and the left rows that are in one."""
+    return [F.coalesce(F.sum(F.col("times") * F.col("n")), F.lit(0)).cast("long").alias("edges"), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("times"))), F.lit(0)).cast("long").alias("matched")]
+
+
+def exceedance(intervals: DataFrame, values: DataFrame, drawn: DataFrame, variables: list[str], outcome: str, draws: int) -> DataFrame:
+    """(real, exceed, p_bound), always one row: the compatible pairs, in how many draws of the values (drawn has draw, from 0)
+    there are as many or more, and (exceed + 1) / (draws + 1). A draw without a pair counts like any other."""
+    real = compatible(intervals, values, variables, outcome).agg(matched_in()[0].alias("real"))
+    per = compatible(intervals, drawn, variables, outcome, per=["draw"]).groupBy("draw").agg(matched_in()[0])
+    every = intervals.sparkSession.range(draws).select(F.col("id").alias("_draw")).join(per, F.col("_draw") == F.col("draw"), "left").crossJoin(real)  # one row
+    exceed = F.count_if(F.coalesce("edges", F.lit(0)) >= F.col("real"))
+    return every.groupBy("real").agg(exceed.alias("exceed"), ((exceed + 1) / F.lit(draws + 1.0)).alias("p_bound"))
 
 
 def partner_stats(counts: DataFrame) -> DataFrame:
-    n = F.col("n")
-    out = counts.agg(F.count_if(n > 0).alias("with_partner"), F.avg("n").alias("mean"), F.max("n").alias("most"), (F.max("n") == 1).alias("one_to_one"))
-    middle = quantiles(counts, [], "n", [0.5], "q").select(F.col("q")[0].alias("median"))
+    """Partners of the left rows, from their counts as compatible() gives them: with_partner, mean, median, most, one_to_one."""
+    n, times = F.col("n"), F.col("times")
+    out = counts.agg(F.sum(F.when(n > 0, times).otherwise(0)).alias("with_partner"), (F.sum(n * times) / F.sum(times)).alias("mean"), F.max("n").alias("most"), (F.max("n") == 1).alias("one_to_one"))
+    middle = quantiles(counts, [], "n", [0.5], "q", times).select(F.col("q")[0].alias("median"))
     return out.crossJoin(middle).select("with_partner", "mean", "median", "most", "one_to_one")  # a row each
 
 
-def unique_pins(found: DataFrame) -> DataFrame:
-    """Left rows with exactly one partner, and that partner."""
-    return found.groupBy("i").agg(F.count("*").alias("n"), F.min("j").alias("j")).where("n = 1").select("i", "j")
+def pins(intervals: DataFrame, values: DataFrame, variables: list[str], outcome: str, slack: float = EPS) -> DataFrame:
+    """(i, j) of the left rows that exactly one values row fits, without the pairs of the others."""
+    found = compatible(intervals, values, variables, outcome, slack=slack, total="j").where("n = 1")
+    ends = [f"{v}_{e}" for v in variables for e in ("lo", "hi")]
+    same = F.col(outcome).eqNullSafe(F.col("_o"))
+    for e in ends:
+        same = same & ((F.col(e) + slack if e.endswith("hi") else F.col(e) - slack) == F.col(f"_{e}"))
+    single = found.select(F.col(outcome).alias("_o"), *[F.col(e).alias(f"_{e}") for e in ends], F.col("sum").cast("long").alias("j"))
+    return intervals.join(single, same).select("i", "j")
 
 
 def verdict(fraction: Column, mean: Column, sd: Column, identical: Column) -> Column:
@@ -102,69 +125,6 @@ def verdict(fraction: Column, mean: Column, sd: Column, identical: Column) -> Co
     return F.when(identical, "SAME-SOURCE").when(clear & (fraction >= 0.95), "SAME-SOURCE").when(clear, "OVERLAPPING").otherwise("INDEPENDENT")
 
 
-def _hopcroft_karp(adjacent: dict) -> dict:
-    """A largest matching of left nodes to right nodes."""
-    left, right = {}, {}
-    while True:
-        level, queue, open_ = {u: 0 for u in adjacent if u not in left}, [u for u in adjacent if u not in left], False
-        for u in queue:
-            for v in adjacent[u]:
-                w = right.get(v)
-                if w is None:
-                    open_ = True
-                elif w not in level:
-                    level[w] = level[u] + 1
-                    queue.append(w)
-        if not open_:
-            return left
-        for root in [u for u in adjacent if u not in left]:
-            # Depth first along levels, without recursion.
-            stack, path, seen = [(root, iter(adjacent[root]))], [], set()
-            while stack:
-                u, rest = stack[-1]
-                for v in rest:
-                    if v in seen:
-                        continue
-                    w = right.get(v)
-                    if w is None:
-                        path.append((u, v))
-                        for a, b in path:
-                            left[a], right[b] = b, a
-                        stack = []
-                        break
-                    if level.get(w) == level[u] + 1:
-                        seen.add(v)
-                        path.append((u, v))
-                        stack.append((w, iter(adjacent[w])))
-                        break
-                else:
-                    level.pop(u, None)
-                    stack.pop()
-                    if path:
-                        path.pop()
-
-
-def maximum_matching(found: DataFrame, by: str) -> DataFrame:
-    """(by, i, j) of a largest matching within each group that no edge leaves; a group is held in one task."""
-    ship(found.sparkSession)
-    kind = dict(found.dtypes)
-
-    def match(part: pd.DataFrame) -> pd.DataFrame:
-        adjacent = {u: sorted(g) for u, g in part.groupby("i")["j"]}
-        out = _hopcroft_karp(adjacent)
-        return pd.DataFrame({by: part[by].iloc[0], "i": list(out), "j": list(out.values())})
-
-    return found.groupBy(by).applyInPandas(match, f"{by} {kind[by]}, i long, j long")
-
-
-def matching_by_component(found: DataFrame) -> DataFrame:
-    """(i, j) of a largest matching of edges (i, j): a task holds one connected component of the edges, whatever their groups."""
-    side = lambda c, k: F.col(c).cast("long") * 2 + k
-    roots = components(found.select(side("i", 0).alias("a"), side("j", 1).alias("b")))
-    of = found.select("i", "j").join(roots, side("i", 0) == F.col("node")).select("root", "i", "j")
-    return maximum_matching(of, "root").select("i", "j")
-
-
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided Fisher exact p values of 2 x 2 counts."""
     choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)

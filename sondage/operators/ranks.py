@@ -57,13 +57,13 @@ def by_edges(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> t
     return rows.drop(*[f"_at{i}" for i in range(len(keys))]), bucket
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], name: str) -> DataFrame:
-    """(keys, name): exact quantiles of each group's values, interpolated between neighbours, as an array.
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], name: str, times: Column | None = None) -> DataFrame:
+    """(keys, name): exact quantiles of each group's values, interpolated between neighbours, as an array; a row counts times.
 
     From counts of the distinct values and running sums over them, so no group's
     values meet in one task. Nulls do not count; a group without values has no row.
     """
-    counts = written(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("_n")), "counts")
     rows, bucket = by_edges(counts, keys, value)
     rows = running(rows, keys, bucket, [value], {"_upto": F.col("_n")}, totals={"_upto": "_all"}).drop("_edges")
     # Of the 0-based places of the two neighbours of each quantile.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from sondage.operators import audit as A
-from sondage.operators.guard import CONSEQUENCE, CRITERION, DERIVED, EARLY, SEDIMENT, FeatureSet, Registry, Variable, restricted_sets
+from sondage.operators.guard import CONSEQUENCE, CRITERION, DERIVED, EARLY, RESTRICTIONS, SEDIMENT, restricted_sets
 from sondage.operators.ranks import quantiles
 from sondage.plans import plan
 from sondage.session import table
@@ -163,18 +163,16 @@ RULES = "CASE n_nationkey % 7 WHEN 0 THEN 'diagnostic_criterion_input' WHEN 1 TH
 
 
 @plan("ten_restricted_sets", f"""WITH v AS (SELECT n_nationkey AS k, n_name AS f, {RULES} AS c, n_nationkey % 5 = 0 AS u, n_nationkey < 15 AS cheap FROM nation),
-  s AS (SELECT k, f, cheap, unnest(['full', 'minus filtration', 'minus albumin', 'minus criteria', 'minus incorporation', 'minus consequences', 'minus incorporation and consequences', 'early only', 'early and certain', 'cheap, early and certain']) AS name, c, u FROM v)
-  SELECT name, count(*) AS n, string_agg(f, ',' ORDER BY k) AS features FROM s WHERE CASE name WHEN 'full' THEN true WHEN 'minus filtration' THEN f <> 'NATION_0' AND c <> 'deterministic_outcome_derivative' WHEN 'minus albumin' THEN f <> 'NATION_7'
-    WHEN 'minus criteria' THEN c <> 'diagnostic_criterion_input' WHEN 'minus incorporation' THEN c NOT IN ('diagnostic_criterion_input', 'possible_criterion_sediment') WHEN 'minus consequences' THEN c <> 'consequence_of_advanced_disease'
-    WHEN 'minus incorporation and consequences' THEN c NOT IN ('diagnostic_criterion_input', 'possible_criterion_sediment', 'consequence_of_advanced_disease') WHEN 'early only' THEN c = 'legitimate_pre_index'
-    WHEN 'early and certain' THEN c = 'legitimate_pre_index' AND NOT u ELSE c = 'legitimate_pre_index' AND NOT u AND cheap END GROUP BY name""")
+  s AS (SELECT k, f, cheap, unnest([{", ".join(f"'{r[0]}'" for r in RESTRICTIONS)}]) AS name, c, u FROM v)
+  SELECT name, count(*) AS n, string_agg(f, ',' ORDER BY k) AS features FROM s WHERE CASE name WHEN 'full_valid (reference)' THEN true WHEN 'minus creatinine/eGFR information' THEN f <> 'NATION_0' AND c <> 'deterministic_outcome_derivative' WHEN 'minus albuminuria information' THEN f <> 'NATION_7'
+    WHEN 'minus criterion inputs only (strict)' THEN c <> 'diagnostic_criterion_input' WHEN 'minus all incorporation-risk variables' THEN c NOT IN ('diagnostic_criterion_input', 'possible_criterion_sediment') WHEN 'minus consequences of advanced disease' THEN c <> 'consequence_of_advanced_disease'
+    WHEN 'minus incorporation and consequences' THEN c NOT IN ('diagnostic_criterion_input', 'possible_criterion_sediment', 'consequence_of_advanced_disease') WHEN 'pre-index available only' THEN c = 'legitimate_pre_index'
+    WHEN 'conservative pre-index (no uncertain)' THEN c = 'legitimate_pre_index' AND NOT u ELSE c = 'legitimate_pre_index' AND NOT u AND cheap END GROUP BY name""")
 def ten_restricted_sets(spark, sf):
-    rows = sorted(tuple(r) for r in table(spark, sf, "nation").select("n_nationkey", "n_name").collect())  # 25 variables
-    category = {0: CRITERION, 1: SEDIMENT, 2: CONSEQUENCE, 3: DERIVED}
-    variables = tuple(Variable(n, category.get(k % 7, EARLY), uncertain=k % 5 == 0) for k, n in rows)
-    registry = Registry((FeatureSet("all", tuple(n for _, n in rows)), FeatureSet("cheap", tuple(n for k, n in rows if k < 15))), variables)
-    found = restricted_sets(registry, "all", "cheap", "NATION_0", "NATION_7")
-    return spark.createDataFrame([(name, len(f), ",".join(f)) for name, f in found.items()], "name string, n long, features string")
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    category = F.when(k % 7 == 0, CRITERION).when(k % 7 == 1, SEDIMENT).when(k % 7 == 2, CONSEQUENCE).when(k % 7 == 3, DERIVED).otherwise(EARLY)
+    limb = F.when(name == "NATION_0", "creatinine").when(name == "NATION_7", "albuminuria")
+    return restricted_sets(table(spark, sf, "nation").select(k.alias("place"), name.alias("variable"), category.alias("category"), limb.alias("limb"), (k % 5 == 0).alias("uncertain"), (k < 15).alias("low_cost")))
 
 
 @plan("restricted_feature_sets", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT f)), ',') AS features FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS f FROM part) WHERE f NOT IN (SELECT unnest(string_split(p_type, ' ')) FROM part WHERE p_size = 1 AND p_brand = 'Brand#11') GROUP BY p_brand")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sondage.functions import rng
 from sondage.operators import linkage as L
 from sondage.operators.guard import gated
+from sondage.operators.matching import maximum_matching
 from sondage.operators import resample as S
 from sondage.operators.ranks import numbered, quantiles
 from sondage.plans import plan
@@ -47,6 +48,15 @@ def edges(spark, sf):
     return L.edges(gaps(spark, sf), VARS)
 
 
+def counted(spark, sf, variables=VARS, outcome="o", **more):
+    """Compatible right rows of each distinct combination of the left side's intervals."""
+    return L.compatible(left(spark, sf), right(spark, sf), variables, outcome, **more)
+
+
+def pinned(spark, sf):
+    return L.pins(left(spark, sf), right(spark, sf), VARS, "o")
+
+
 BINS = "map AS (SELECT DISTINCT floor(c_acctbal / 500)::BIGINT::VARCHAR AS label, floor(c_acctbal / 500) * 500 AS lo, floor(c_acctbal / 500) * 500 + 500 AS hi FROM customer WHERE c_custkey % 3 <> 0)"
 
 
@@ -66,21 +76,19 @@ def compatibility_edges(spark, sf):
 
 @plan("partner_stats", f"{COUNTS} SELECT count(*) FILTER (WHERE n > 0) AS with_partner, round(avg(n), 9) AS mean, median(n) AS median, max(n) AS most, max(n) = 1 AS one_to_one FROM cnt")
 def partner_stats(spark, sf):
-    return L.partner_stats(L.partner_counts(left(spark, sf), edges(spark, sf))).withColumn("mean", F.round("mean", 9))
+    return L.partner_stats(counted(spark, sf)).withColumn("mean", F.round("mean", 9))
 
 
 @plan("unique_pins", f"{PINS} SELECT i, j FROM pins")
 def unique_pins(spark, sf):
-    return L.unique_pins(edges(spark, sf))
+    return pinned(spark, sf)
 
 
 @plan("leave_one_variable_out", f"{BASE} SELECT dropped, count(*) AS edges, count(DISTINCT i) AS matched FROM gaps, (SELECT unnest(['none', 'v1', 'v2']) AS dropped) WHERE same AND (dropped = 'v1' OR v1_gap <= 1e-9) AND (dropped = 'v2' OR v2_gap <= 1e-9) GROUP BY 1")
 def leave_one_variable_out(spark, sf):
-    # All pairs of an outcome serve the arm without the bucketed variable; the other arms use the bucketed join.
-    near = gaps(spark, sf)
-    by_second = L.pairs(left(spark, sf), right(spark, sf), ["v2", "v1"], "o", L.EPS, 3.0)
-    arm = lambda d, name: d.agg(F.lit(name).alias("dropped"), F.count("*").alias("edges"), F.countDistinct("i").alias("matched"))
-    return arm(L.edges(near, VARS), "none").union(arm(L.edges(near, ["v1"]), "v2")).union(arm(L.edges(by_second, ["v2"]), "v1"))
+    arms = {"none": VARS, "v2": ["v1"], "v1": ["v2"]}
+    one = lambda name: counted(spark, sf, arms[name]).agg(F.lit(name).alias("dropped"), *L.matched_in())
+    return one("none").union(one("v2")).union(one("v1"))
 
 
 TOLERANCES = [0.0, 1e-9, 1e-6, 1e-3, 1e-2]
@@ -92,28 +100,32 @@ def tolerance_sensitivity(spark, sf):
 
 
 def tolerances(spark, sf):
-    worst = gaps(spark, sf, slack=max(TOLERANCES)).withColumn("worst", F.greatest("v1_gap", "v2_gap"))
-    at = worst.withColumn("tol", F.explode(F.array(*map(F.lit, TOLERANCES)))).where("worst <= tol").groupBy("tol", "i").agg(F.count("*").alias("n"))
-    every = left(spark, sf).agg(F.count("*").alias("_all"))
-    per = at.groupBy("tol").agg(F.sum("n").alias("edges"), F.count("*").alias("matched"), F.count_if(F.col("n") == 1).alias("pins"), F.max("n").alias("most"))
-    return per.crossJoin(every).select("tol", "edges", "matched", "pins", F.round(F.col("edges") / F.col("_all"), 9).alias("mean_partners"), "most")
+    wide = left(spark, sf).withColumn("tol", F.explode(F.array(*map(F.lit, TOLERANCES))))
+    n, every = F.col("n"), F.sum("times").alias("_all")
+    found = L.compatible(wide, right(spark, sf), VARS, "o", slack=F.col("tol"), keep=["tol"])
+    per = found.groupBy("tol").agg(*L.matched_in(), F.sum(F.when(n == 1, F.col("times")).otherwise(0)).alias("pins"), F.max("n").alias("most"), every).where("edges > 0")
+    return per.select("tol", "edges", "matched", "pins", F.round(F.col("edges") / F.col("_all"), 9).alias("mean_partners"), "most")
+
+
+def left_rows(spark, sf):
+    return left(spark, sf).agg(F.count("*").alias("n"))
 
 
 @plan("tolerance_match_fraction")
 def tolerance_match_fraction(spark, sf):
-    """The largest matching at each tolerance, as a share of the right rows."""
+    """The largest matching at each tolerance, as a share of the left rows, those with the intervals."""
     worst = gaps(spark, sf, slack=max(TOLERANCES)).withColumn("worst", F.greatest("v1_gap", "v2_gap"))
     steps = spark.createDataFrame(list(enumerate(TOLERANCES)), "k long, tol double")
-    at = worst.join(F.broadcast(steps), F.col("worst") <= F.col("tol")).join(left(spark, sf).select("i", F.col("o").cast("long").alias("o")), "i")
-    found = at.select((F.col("o") * len(TOLERANCES) + F.col("k")).alias("o"), (F.col("i") * len(TOLERANCES) + F.col("k")).alias("i"), "j")
-    sizes = L.maximum_matching(found, "o").groupBy((F.col("o") % len(TOLERANCES)).alias("k")).agg(F.count("*").alias("matched"))
-    n = right(spark, sf).agg(F.count("*").alias("n"))
-    return steps.join(sizes, "k", "left").crossJoin(n).select("tol", F.coalesce("matched", F.lit(0)).alias("matched"), (F.coalesce("matched", F.lit(0)) / F.col("n")).alias("fraction"))
+    at = worst.join(F.broadcast(steps), F.col("worst") <= F.col("tol"))  # a row each
+    code = lambda c: F.col(c) * len(TOLERANCES) + F.col("k")
+    sizes = maximum_matching(at.select(code("i").alias("i"), code("j").alias("j"))).groupBy((F.col("i") % len(TOLERANCES)).alias("k")).agg(F.count("*").alias("matched"))
+    out = steps.join(sizes, "k", "left").crossJoin(left_rows(spark, sf))
+    return out.select("tol", F.coalesce("matched", F.lit(0)).alias("matched"), (F.coalesce("matched", F.lit(0)) / F.col("n")).alias("fraction"))
 
 
 @plan("outcome_excluded", f"{BASE} SELECT count(*) AS edges FROM gaps WHERE v1_gap <= 1e-9 AND v2_gap <= 1e-9")
 def outcome_excluded(spark, sf):
-    return L.edges(gaps(spark, sf, outcome=None), VARS).agg(F.count("*").alias("edges"))
+    return counted(spark, sf, outcome=None).agg(L.matched_in()[0])
 
 
 @plan("bin_edge_forensics", f"""WITH {LEFT}, {RIGHT}, w AS (SELECT i, round(v1_lo) AS edge FROM lft WHERE isfinite(v1_lo) UNION SELECT -j, round(v1, 0) FROM rgt WHERE j % 4 = 0 AND v1 IS NOT NULL), e AS (SELECT DISTINCT edge FROM w), r AS (SELECT CASE WHEN j % 2 = 0 THEN round(v1, 0) ELSE v1 END AS v1 FROM rgt WHERE v1 IS NOT NULL),
@@ -142,7 +154,7 @@ def categorical_agreement(spark, sf):
 
 
 def agreement(spark, sf):
-    pins = L.unique_pins(edges(spark, sf)).join(table(spark, sf, "customer"), F.col("i") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("j") == F.col("s_suppkey"))
+    pins = pinned(spark, sf).join(table(spark, sf, "customer"), F.col("i") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("j") == F.col("s_suppkey"))
     counts = pins.groupBy(F.when(F.col("j") % 9 != 0, F.col("s_nationkey") % 4).alias("cand"), F.col("c_mktsegment").alias("majority")).agg(F.count("*").alias("n"))
     total = counts.groupBy(F.col("cand").alias("_c")).agg(F.sum("n").alias("total"))
     return L.majority(counts, "cand", "majority").join(total, F.col("cand").eqNullSafe(F.col("_c"))).withColumn("contradictions", F.col("total") - F.col("n"))
@@ -159,13 +171,13 @@ def categorical_mapping(spark, sf):
 
 @plan("matched_pair_sample", f"{PINS} SELECT i, j, v1_lo, v1_hi, v1 FROM pins JOIN lft USING (i) JOIN rgt USING (j) ORDER BY md5('audit:' || i), i LIMIT 12")
 def matched_pair_sample(spark, sf):
-    picked = L.unique_pins(edges(spark, sf)).orderBy(rng.hashed("audit", F.col("i")), "i").limit(12)
+    picked = pinned(spark, sf).orderBy(rng.hashed("audit", F.col("i")), "i").limit(12)
     return picked.join(left(spark, sf).select("i", "v1_lo", "v1_hi"), "i").join(right(spark, sf).select("j", "v1"), "j")
 
 
 @plan("held_out_crosscheck", f"{PINS} SELECT 'nation' AS variable, count(*) FILTER (WHERE c_nationkey = s_nationkey) AS agree, count(*) FILTER (WHERE c_nationkey <> s_nationkey) AS disagree FROM pins JOIN customer ON i = c_custkey JOIN supplier ON j = s_suppkey")
 def held_out_crosscheck(spark, sf):
-    pins = L.unique_pins(edges(spark, sf)).join(table(spark, sf, "customer"), F.col("i") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("j") == F.col("s_suppkey"))
+    pins = pinned(spark, sf).join(table(spark, sf, "customer"), F.col("i") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("j") == F.col("s_suppkey"))
     same = F.col("c_nationkey") == F.col("s_nationkey")
     return pins.agg(F.lit("nation").alias("variable"), F.count_if(same).alias("agree"), F.count_if(~same).alias("disagree"))
 
@@ -174,7 +186,7 @@ RECOVER = f"{PINS}, rec AS (SELECT lft.i, lft.o, lft.v1_lo, rgt.v1 AS value, CAS
 
 
 def recovered(spark, sf):
-    out = L.unique_pins(edges(spark, sf)).join(left(spark, sf), "i").join(right(spark, sf).drop("o", "v2"), "j")
+    out = pinned(spark, sf).join(left(spark, sf), "i").join(right(spark, sf).drop("o", "v2"), "j")
     return out.select("i", "o", "v1_lo", F.col("v1").alias("value"), F.when(F.col("v1").isNull(), "imputed").otherwise("observed").alias("provenance"))
 
 
@@ -259,35 +271,18 @@ PERMUTATIONS, COPULA_DRAWS = 200, 200
   sh AS (SELECT draw, pl.j, pl.o, a.v1, b.v2 FROM (SELECT unnest(range(0, {PERMUTATIONS})) AS draw), pl JOIN (SELECT d, v1, row_number() OVER (PARTITION BY d ORDER BY md5('shuffle:v1:' || d || ':' || j), j) AS pos FROM rgt, (SELECT unnest(range(0, {PERMUTATIONS})) AS d)) a ON a.pos = pl.pos
     JOIN (SELECT d, v2, row_number() OVER (PARTITION BY d ORDER BY md5('shuffle:v2:' || d || ':' || j), j) AS pos FROM rgt, (SELECT unnest(range(0, {PERMUTATIONS})) AS d)) b ON b.pos = pl.pos WHERE a.d = draw AND b.d = draw),
   e AS (SELECT draw, count(*) AS edges FROM lft JOIN sh ON lft.o = sh.o WHERE {GAP('v1')} <= 1e-9 AND {GAP('v2')} <= 1e-9 GROUP BY 1),
+  d AS (SELECT draw, coalesce(edges, 0) AS edges FROM (SELECT unnest(range(0, {PERMUTATIONS})) AS draw) LEFT JOIN e USING (draw)),
   r AS (SELECT count(*) AS real FROM lft JOIN rgt ON lft.o = rgt.o WHERE {GAP('v1')} <= 1e-9 AND {GAP('v2')} <= 1e-9)
-  SELECT real, count(*) FILTER (WHERE edges >= real) AS exceed, round((count(*) FILTER (WHERE edges >= real) + 1) / {PERMUTATIONS + 1}.0, 9)::DOUBLE AS p_bound FROM e, r GROUP BY real""")
+  SELECT real, count(*) FILTER (WHERE edges >= real) AS exceed, round((count(*) FILTER (WHERE edges >= real) + 1) / {PERMUTATIONS + 1}.0, 9)::DOUBLE AS p_bound FROM d, r GROUP BY real""")
 def null_exceedance(spark, sf):
-    real = edges(spark, sf).agg(F.count("*").alias("real"))
-    # Equal intervals count once, with their number; the draw joins like a second outcome.
-    bounds = [f"{v}_{e}" for v in VARS for e in ("lo", "hi")]
-    lhs = left(spark, sf).groupBy("o", *bounds).agg(F.min("i").alias("i"), F.count("*").alias("times"))
-    both = lambda d: d.withColumn("o", F.col("o") * 1000 + F.col("draw"))
-    each = both(lhs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))))).withColumn("i", F.col("i") * 1000 + F.col("draw")).drop("draw")
-    drawn = L.edges(L.pairs(each, both(shuffled(spark, sf, PERMUTATIONS)).drop("draw"), VARS, "o", L.EPS, 500.0), VARS).join(each.select("i", "times"), "i")
-    per = drawn.groupBy((F.col("i") % 1000).alias("draw")).agg(F.sum("times").alias("edges"))
-    exceed = F.count_if(F.col("edges") >= F.col("real"))
-    return per.crossJoin(real).groupBy("real").agg(exceed.alias("exceed"), F.round((exceed + 1) / F.lit(PERMUTATIONS + 1.0), 9).alias("p_bound"))
-
-
-def matching_size(spark, sf):
-    found = edges(spark, sf).join(left(spark, sf).select("i", F.col("o").cast("long").alias("o")), "i")
-    return L.maximum_matching(found, "o")
+    return L.exceedance(left(spark, sf), right(spark, sf), shuffled(spark, sf, PERMUTATIONS), VARS, "o", PERMUTATIONS).withColumn("p_bound", F.round("p_bound", 9))
 
 
 @plan("maximum_matching")
-def maximum_matching(spark, sf):
-    pairs = L.matching_by_component(edges(spark, sf)).join(left(spark, sf).select("i", "o"), "i")
-    return pairs.groupBy("o").agg(F.count("*").alias("matched"))
-
-
-def null_matched(spark, sf, draws):
-    """(draw, matched) of the largest matchings with every draw's shuffled right side."""
-    return matched_per_draw(spark, sf, shuffled(spark, sf, draws), draws)
+def maximum_matching_by_outcome(spark, sf):
+    """The size of a largest matching of each outcome's left and right rows."""
+    found = maximum_matching(edges(spark, sf)).join(left(spark, sf).select("i", "o"), "i")
+    return found.groupBy("o").agg(F.count("*").alias("matched"))
 
 
 SHUFFLES = 50
@@ -295,11 +290,14 @@ SHUFFLES = 50
 
 @plan("containment_check")
 def containment_check(spark, sf):
-    n = right(spark, sf).agg(F.count("*").alias("n"))
-    null = null_matched(spark, sf, SHUFFLES).crossJoin(n).select((F.col("matched") / F.col("n")).alias("f"))
-    null = null.agg(F.avg("f").alias("null_mean"), F.stddev_samp("f").alias("null_sd"), F.max("f").alias("null_max"), F.count("f").alias("draws"))
-    real = matching_size(spark, sf).agg(F.count("*").alias("matched")).crossJoin(n).select("matched", (F.col("matched") / F.col("n")).alias("fraction"))
-    return real.crossJoin(null)
+    """The share of left rows that a largest matching pairs, and the same of shuffled right sides: mean, deviation and maximum."""
+    drawn = shuffled(spark, sf, SHUFFLES).unionByName(right(spark, sf).withColumn("draw", F.lit(SHUFFLES)))  # the last draw is the real side
+    per = matched_per_draw(spark, sf, drawn, SHUFFLES + 1).crossJoin(left_rows(spark, sf)).withColumn("f", F.col("matched") / F.col("n"))
+    real, f = F.col("draw") == SHUFFLES, F.when(F.col("draw") < SHUFFLES, F.col("f"))
+    return per.agg(
+        F.max(F.when(real, F.col("matched"))).alias("matched"), F.max(F.when(real, F.col("f"))).alias("fraction"),
+        F.avg(f).alias("null_mean"), F.stddev_samp(f).alias("null_sd"), F.max(f).alias("null_max"), F.count(f).alias("draws"),
+    )
 
 
 def matched_per_draw(spark, sf, rhs, draws):
@@ -308,8 +306,8 @@ def matched_per_draw(spark, sf, rhs, draws):
     each = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
     code = lambda c: F.col(c).cast("long") * draws + F.col("draw")
     lhs = left(spark, sf).withColumn("draw", each).withColumns({"i": code("i"), "o": code("o")}).drop("draw")
-    found = L.edges(L.pairs(lhs, rhs.withColumn("o", code("o")).drop("draw"), VARS, "o", L.EPS, 500.0), VARS).join(lhs.select("i", "o"), "i")
-    sizes = L.maximum_matching(found, "o").groupBy((F.col("o") % draws).alias("draw")).agg(F.count("*").alias("matched"))
+    rhs = rhs.withColumns({"j": code("j"), "o": code("o")}).drop("draw")
+    sizes = maximum_matching(L.edges(L.pairs(lhs, rhs, VARS, "o", L.EPS, 500.0), VARS)).groupBy((F.col("i") % draws).alias("draw")).agg(F.count("*").alias("matched"))
     return spark.range(draws).select(F.col("id").alias("draw")).join(sizes, "draw", "left").select("draw", F.coalesce("matched", F.lit(0)).alias("matched"))
 
 
@@ -335,8 +333,8 @@ def provenance_gate(spark, sf):
 @plan("copula_null")
 def copula_null(spark, sf):
     null = copula(spark, sf)
-    per = null.groupBy("draw").agg(F.count("*").alias("n"), F.round(F.corr("v1", "v2"), 6).alias("corr"))
-    return per.join(matched_per_draw(spark, sf, null, COPULA_DRAWS), "draw").withColumn("fraction", F.col("matched") / F.col("n"))
+    per = null.groupBy("draw").agg(F.round(F.corr("v1", "v2"), 6).alias("corr"))
+    return per.join(matched_per_draw(spark, sf, null, COPULA_DRAWS), "draw").crossJoin(left_rows(spark, sf)).withColumn("fraction", F.col("matched") / F.col("n"))
 
 
 @plan("copula_diagnostics")
@@ -374,8 +372,5 @@ def row_permutation_degeneracy(spark, sf):
     keys = numbered(r.select("draw", "j").withColumn("_h", rng.hashed("rows", F.col("draw"), F.col("j"))), ["draw"], "_h", "pos", ["j"]).select("draw", "pos", F.col("j").alias("_new"))
     rows = numbered(r.withColumn("_k", F.lpad(F.hex("j"), 16, "0")), ["draw"], "_k", "pos", ["j"])
     moved = rows.join(keys, ["draw", "pos"]).select("draw", F.col("_new").alias("j"), "o", *VARS)
-    # The same rows under other numbers: all draws at once, each a part of the values.
-    code = lambda c: F.col(c).cast("long") * 20 + F.col("draw")
-    lhs = left(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumns({"i": code("i"), "o": code("o")}).drop("draw")
-    found = L.edges(L.pairs(lhs, moved.withColumn("o", code("o")).drop("draw"), VARS, "o", L.EPS, 500.0), VARS)
-    return found.groupBy((F.col("i") % 20).cast("int").alias("draw")).agg(F.count("*").alias("edges"), F.countDistinct("i").alias("matched"))
+    found = L.compatible(left(spark, sf), moved, VARS, "o", per=["draw"])
+    return found.groupBy("draw").agg(*L.matched_in())

@@ -11,7 +11,7 @@ from sondage.operators import metrics as M
 from sondage.operators import resample as S
 from sondage.plans import plan
 from sondage.plans.evaluation import BRIER, DRAWN, REP, auc_sql, bag_sql, drawn, newton_sql
-from sondage.plans.linking import LEFT, PINS, RIGHT, edges, gaps, left, right
+from sondage.plans.linking import LEFT, PINS, RIGHT, counted, left, pinned, right
 from sondage.plans.resampling import BOOT, CASEMIX, FAUC, boot, casemix_simulation, features
 from sondage.plans.views import CELL, RAW, pooled, preds, raw
 from sondage.session import table
@@ -188,7 +188,7 @@ def tier_composition(spark, sf):
 @plan("literature_summary", f"{PINS}, n AS (SELECT s_nationkey AS study, count(*) AS pins FROM pins JOIN supplier ON j = s_suppkey GROUP BY 1) SELECT row_number() OVER (ORDER BY pins DESC, study) AS place, study, pins FROM n")
 def literature_summary(spark, sf):
     """The studies in the order of their pins."""
-    pins = L.unique_pins(edges(spark, sf)).join(table(spark, sf, "supplier"), F.col("j") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("study")).agg(F.count("*").alias("pins"))
+    pins = pinned(spark, sf).join(table(spark, sf, "supplier"), F.col("j") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("study")).agg(F.count("*").alias("pins"))
     return pins.select(F.row_number().over(Window.orderBy(F.desc("pins"), "study")).cast("long").alias("place"), "study", "pins")  # one row per study
 
 
@@ -204,8 +204,7 @@ def casemix_report(spark, sf):
 
 @plan("variable_subsets", f"WITH {LEFT}, {RIGHT} SELECT sub, count(*) AS edges FROM lft JOIN rgt ON lft.o = rgt.o, (SELECT unnest(['v1', 'v1 v2']) AS sub) WHERE coalesce(v1 BETWEEN v1_lo - 1e-9 AND v1_hi + 1e-9, true) AND (sub = 'v1' OR v2 BETWEEN v2_lo - 1e-9 AND v2_hi + 1e-9) GROUP BY 1")
 def variable_subsets(spark, sf):
-    near = gaps(spark, sf)
-    arm = lambda names: near.where(" AND ".join(f"{n}_gap <= 1e-9" for n in names)).agg(F.lit(" ".join(names)).alias("sub"), F.count("*").alias("edges"))
+    arm = lambda names: counted(spark, sf, names).agg(F.lit(" ".join(names)).alias("sub"), L.matched_in()[0])
     return arm(["v1"]).union(arm(["v1", "v2"]))
 
 
@@ -213,4 +212,4 @@ def variable_subsets(spark, sf):
 def negative_control(spark, sf):
     far = right(spark, sf).where("v1 IS NOT NULL").withColumn("v1", F.col("v1") + 20000)
     finite = left(spark, sf).where(F.abs("v1_hi") != L.INF)
-    return L.edges(L.pairs(finite, far, ["v1"], "o", L.EPS, 500.0), ["v1"]).agg(F.count("*").alias("edges"))
+    return L.compatible(finite, far, ["v1"], "o").agg(L.matched_in()[0])

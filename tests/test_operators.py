@@ -201,26 +201,6 @@ def test_linkage_against_nested_loop(spark):
     assert found == {(i, j) for i, o, lo, hi in left for j, q, v in right if o == q and (v is None or lo - 1e-9 <= v <= hi + 1e-9)}
 
 
-def test_matching_is_maximum(spark):
-    r = random.Random(6)
-    for _ in range(20):
-        adjacent = {u: sorted({r.randint(0, 7) for _ in range(r.randint(0, 4))}) for u in range(8)}
-
-        def augment(u, seen, right):
-            for v in adjacent[u]:
-                if v not in seen:
-                    seen.add(v)
-                    if v not in right or augment(right[v], seen, right):
-                        right[v] = u
-                        return True
-            return False
-
-        right: dict = {}
-        best = sum(augment(u, set(), right) for u in adjacent)
-        got = linkage._hopcroft_karp(adjacent)
-        assert len(got) == best == len(set(got.values())) and all(v in adjacent[u] for u, v in got.items())
-
-
 def test_fisher():
     import pandas as pd
 
@@ -300,30 +280,6 @@ def test_nested_cv_is_reproducible_and_whole(spark, small):
     assert sorted(a) == sorted(b) and len(a) == len({(x.model, x.repeat, x.sample) for x in a})
 
 
-def test_containment_check_has_its_null(spark, small):
-    from sondage.plans import linking
-
-    found = linking.containment_check(spark, small).first()
-    assert found.draws == 50 and 0 <= found.null_mean <= found.null_max <= 1 and found.null_sd >= 0
-    # Against augmenting paths over all pairs of three of the shuffles.
-    lhs, rhs = linking.left(spark, small).collect(), linking.shuffled(spark, small, 3).collect()
-    inside = lambda a, b: a.o == b.o and all(b[v] is None or a[v + "_lo"] - 1e-9 <= b[v] <= a[v + "_hi"] + 1e-9 for v in linking.VARS)
-    for draw, matched in linking.null_matched(spark, small, 3).collect():
-        partners = {b.j: [a.i for a in lhs if inside(a, b)] for b in rhs if b.draw == draw}
-        held = {}
-
-        def place(j, seen):
-            for i in partners[j]:
-                if i not in seen:
-                    seen.add(i)
-                    if i not in held or place(held[i], seen):
-                        held[i] = j
-                        return True
-            return False
-
-        assert sum(place(j, set()) for j in partners) == matched
-
-
 def test_nested_best_single_auc_against_pandas(spark, small):
     from sondage.plans import resampling
 
@@ -420,7 +376,7 @@ def test_copula_keeps_marginals_gaps_and_correlation(spark):
 
 
 def test_registry_names_what_it_knows():
-    from sondage.operators.guard import Registry, UnknownName, Variable, restricted_sets
+    from sondage.operators.guard import Registry, UnknownName, Variable
 
     r = Registry((FeatureSet("a", ("x", "y")), FeatureSet("b", ("x",), valid=False)), (Variable("x", "legitimate_pre_index"), Variable("y", "diagnostic_criterion_input", "cheap", True)))
     assert r.by_name("a").features == ("x", "y") and r.valid_names() == ["a"] and [v.name for v in r.uncertain()] == ["y"] and [v.name for v in r.by_tier("cheap")] == ["y"]
@@ -428,8 +384,18 @@ def test_registry_names_what_it_knows():
         r.by_name("c")
     with pytest.raises(UnknownName, match="cheap"):
         r.by_tier("dear")
-    found = restricted_sets(r, "a", "b", "x", "y")
-    assert len(found) == 10 and found["minus criteria"] == ("x",) and found["minus filtration"] == ("y",) and found["cheap, early and certain"] == ("x",)
+
+
+def test_restricted_sets_by_rule(spark):
+    from sondage.operators.guard import RESTRICTIONS, restricted_sets
+
+    rows = [(3, "late", "consequence_of_advanced_disease", None, False, True), (1, "sc", "diagnostic_criterion_input", "creatinine", False, True), (2, "age", "legitimate_pre_index", None, False, True), (0, "bp", "legitimate_pre_index", None, True, None), (4, "odd", None, None, None, None)]
+    df = spark.createDataFrame(rows, "place int, variable string, category string, limb string, uncertain boolean, low_cost boolean")
+    found = {r.name: (r.n, r.features) for r in restricted_sets(df).collect()}
+    assert list(found) and set(found) == {r[0] for r in RESTRICTIONS} and len(found) == 10
+    assert found["full_valid (reference)"] == (5, "bp,sc,age,late,odd") and found["minus creatinine/eGFR information"] == (4, "bp,age,late,odd") and found["minus incorporation and consequences"] == (3, "bp,age,odd")
+    assert found["pre-index available only"] == (2, "bp,age") and found["conservative pre-index (no uncertain)"] == (1, "age") == found["minimal low-cost conservative"]
+    assert {r.n for r in restricted_sets(df.limit(0)).collect()} == {0}
 
 
 def test_gate_refuses_an_overlap(spark):
@@ -484,14 +450,6 @@ def test_draws_of_a_mix(spark):
     assert abs(out.sensitivity.mean() - sens) < 0.03 and out.pr_auc.between(0, 1).all()
 
 
-def test_matching_by_component_is_as_large(spark):
-    r = random.Random(27)
-    rows = sorted({(b, 100 * b + r.randint(0, 9), 100 * b + r.randint(0, 9)) for b in range(6) for _ in range(14)})
-    df = spark.createDataFrame(rows, "g long, i long, j long")
-    whole, parts = linkage.maximum_matching(df, "g").collect(), linkage.matching_by_component(df).collect()
-    assert len(whole) == len(parts) == len({x.i for x in parts}) == len({x.j for x in parts}) and {(x.i, x.j) for x in parts} <= {x[1:] for x in rows}
-
-
 def test_zoo_has_its_grids():
     assert {n: len(s.grid) for n, s in models.MODELS.items()} == {"dummy": 1, "logreg": 12, "additive": 2, "random_forest": 8, "xgboost": 8, "kernel": 12}
     assert all(s.label for s in models.MODELS.values())
