@@ -98,19 +98,23 @@ def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text, start, end)]
 
 
+def number(word: str) -> bool:
+    return word.isascii() and word.isdigit()
+
+
 def candidates(text: str, toks: list[tuple[int, int]], low: int = 0, high: int | None = None) -> list[tuple[int, int, str]]:
     """(first token, token after the last, family) of spans that could be an entity and begin in [low, high): numbers, or words with an at sign."""
     out, n = [], len(toks)
     words = [text[s:e] for s, e in toks]
     for i in range(low, n if high is None else high):
         w = words[i]
-        if w[0].isdigit() or w in "+(":
+        if number(w) or w in "+(":
             for j in range(i, min(n, i + MOST_TOKENS)):
                 if j > i and (toks[j][0] - toks[j - 1][1] > 1 or text[toks[j - 1][1] : toks[j][0]] == "\n"):
                     break
-                if not (words[j].isdigit() or words[j] in _JOINTS) or toks[j][1] - toks[i][0] > MOST_CHARS:
+                if not (number(words[j]) or words[j] in _JOINTS) or toks[j][1] - toks[i][0] > MOST_CHARS:
                     break
-                if words[j].isdigit() and not (j + 1 < n and toks[j + 1][0] == toks[j][1] and words[j + 1][0].isalnum()):
+                if number(words[j]) and not (j + 1 < n and toks[j + 1][0] == toks[j][1] and words[j + 1][0].isalnum()):
                     out.append((i, j + 1, "number"))
         if w[0].isalnum():
             sign = None
@@ -331,19 +335,17 @@ def trained() -> Field:
     return field
 
 
-#: Where an entity can be: a digit, an at sign, or one that is spelled out.
-_ANCHOR = re.compile(r"[0-9]+|@|[\[(]\s?at\s?[\])]|\bdot\b", re.IGNORECASE)
-_SPELLED = ("(at", "[at", "( at", "[ at", "dot")
+#: What every candidate holds: a digit, an at sign, or the word at.
+_ANCHOR = re.compile(r"[0-9]+|@|(?<![^\W\d_])at(?![^\W\d_])", re.IGNORECASE)
+#: Characters around an anchor that a candidate can take, and some more.
+ROOM = MOST_CHARS + 20
 
 
-def regions(text: str):
-    """Stretches around the anchors that hold every candidate, from white space to white space."""
-    if not (_DIGIT.search(text) or "@" in text or any(s in text.lower() for s in _SPELLED)):
-        return
-    room = MOST_CHARS + 20
+def anchored(text: str):
+    """Runs of anchors of which no two neighbours have more than 2 * ROOM between them."""
     first = last = -1
     for m in _ANCHOR.finditer(text):
-        if first >= 0 and m.start() - last > 2 * room:
+        if first >= 0 and m.start() - last > 2 * ROOM:
             yield first, last
             first = -1
         first, last = (m.start() if first < 0 else first), m.end()
@@ -352,22 +354,39 @@ def regions(text: str):
 
 
 def widened(text: str, first: int, last: int) -> tuple[int, int]:
-    """A stretch with the room that a candidate can take, in whole words unless these are longer than it."""
-    room = MOST_CHARS + 20
-    start, end = max(0, first - room), min(len(text), last + room)
-    while start > max(0, first - 2 * room) and not text[start - 1].isspace():
-        start -= 1
-    while end < min(len(text), last + 2 * room) and not text[end].isspace():
+    """A run of anchors with the room that a candidate can take and the CONTEXT words before it. A word is cut only where more
+    of it stays than a candidate or a cue can have, so that nothing in the stretch depends on where it was cut."""
+    start, end = max(0, first - ROOM), min(len(text), last + ROOM)
+    for _ in range(CONTEXT + 1):
+        while start > 0 and text[start - 1].isspace():
+            start -= 1
+        most = max(0, start - 2 * ROOM)
+        while start > most and not text[start - 1].isspace():
+            start -= 1
+    most = min(len(text), end + ROOM)
+    while end < most and not text[end].isspace():
         end += 1
     return start, end
 
 
+def regions(text: str):
+    """Stretches, apart from each other, that hold every candidate of the text with its context."""
+    held = None
+    for start, end in (widened(text, *a) for a in anchored(text)):
+        if held and start > held[1]:
+            yield held
+            held = None
+        held = (held[0] if held else start, end)
+    if held:
+        yield held
+
+
 def find(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) by kind and start: all base spans, and those that the field adds beside them."""
     base = base_spans(text)
     known = Known(base)
     spans = {(k, s, e): True for k, s, e in base}
-    for start, end in (widened(text, *r) for r in regions(text)):
+    for start, end in regions(text):
         for kind, s, e in field.best(text, start, end, known):
             if not known.overlaps(s, e):
                 spans.setdefault((kind, s, e), False)
@@ -391,8 +410,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """docs with `pii`: the spans of personal data in each whole text, by kind and start, in code points.
 
     The spans that match a base pattern are all there, with base = true; the
-    field, which reads stretches around digits and at signs, each of them whole
-    however long it is, adds others (numbers and addresses written in other
+    field, which reads all stretches where one of its candidates can be (around
+    digits, at signs and the word at), each of them whole however long it is, adds others (numbers and addresses written in other
     ways) where no base span lies. All columns of docs stay (if one is called
     pii, the result is `pii_`). Null and empty texts have none;
     repeated rows have the same. The field is trained on invented sentences on

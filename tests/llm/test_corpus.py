@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -717,7 +718,7 @@ def test_language_memory_has_a_bound():
 
 
 def enumerated(field, text, base):
-    """The best segmentation by trying all of them."""
+    """The best segmentation by trying all of them; what follows a token is tried once."""
     toks = pii.tokens(text, 0, len(text))
     by_start = collections.defaultdict(list)
     for j, found in field.segments(text, toks, base).items():
@@ -725,6 +726,7 @@ def enumerated(field, text, base):
             by_start[i].append((j, kind, field.score(kind, fs)))
     after = field.weights.get(("after", ""), 0.0)
 
+    @functools.cache
     def best(i, was):
         if i == len(toks):
             return 0.0, ()
@@ -766,3 +768,31 @@ def test_residues_are_of_the_substring():
     assert len(np.unique(p.of(np.arange(2000), np.arange(2000) + 60))) > 1990
     words = [int(common.Residues.WORDS[x]) for x in buf[7:20]]
     assert int(p.of(np.array([7]), np.array([20]))[0]) == sum(w * pow(common.Residues.BASE, k, 2**31 - 1) for k, w in enumerate(words)) % (2**31 - 1)
+
+
+def test_stretches_find_what_the_whole_text_holds():
+    """The search around anchors against one search over the whole text: nothing depends on what stands elsewhere."""
+    field, r = pii.trained(), random.Random(33)
+
+    def whole(text):
+        base = pii.base_spans(text)
+        known = pii.Known(base)
+        spans = {(k, s, e): True for k, s, e in base}
+        for kind, s, e in field.best(text, 0, len(text), known):
+            if not known.overlaps(s, e):
+                spans.setdefault((kind, s, e), False)
+        return sorted(((*k, b) for k, b in spans.items()), key=lambda x: (pii.KINDS.index(x[0]), x[1], x[2]))
+
+    parts = ["foo at bar.com", "please write to", "ann [at] mail.org", "Bob (at) host dot net", "ann at mail dot com", "at", "look at the sea", "card", ":", "is", "(555) 123-4567", "+1 555 123 4567", "4111111111111111", "4111 1111 1111 1111 5500 0055 5555 5559",
+             "10.0.0.1", "1.2.3.4.5", "a@b.co", "@", "20", "٣٤٥", "x²", "12:30", "é à la", "call", "x" * 130, "y" * 205, "z" * 450, "-" * 260, " " * 40, "\n" * 3, " " * 230, "word " * 60, "at" * 3, "5" * 90, "+", "("]
+    added = 0
+    for _ in range(1500):
+        text = r.choice([" ", " ", "", "\n"]).join(r.choice(parts) + r.choice(["", " ", ".", ", "]) for _ in range(r.randint(1, 14)))
+        found = pii.find(text, field)
+        assert found == whole(text), text
+        added += sum(not b for *_, b in found)
+        stretches = list(pii.regions(text))
+        assert all(a < b for a, b in stretches) and all(x[1] < y[0] for x, y in zip(stretches, stretches[1:]))
+    assert added > 300
+    for room in ("", "in room 7 "):  # a span does not come and go with unrelated text
+        assert [("email", "foo at bar.com")] == [(k, f"{room}please write to foo at bar.com today"[s:e]) for k, s, e, _ in pii.find(f"{room}please write to foo at bar.com today", field)]
