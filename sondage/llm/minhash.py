@@ -20,6 +20,7 @@ SLACK = 0.2
 #: Members of a bucket's part, and the columns of a group of pairs.
 PART = 512
 GROUP = ["key", "low", "high"]
+MEMBER = ["key", "node", "root", "part", "low", "high"]
 #: Bytes of text that are sketched at once: the turns of a sketch cost alike for few texts and many.
 SKETCHED = 2_000_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -183,24 +184,44 @@ def _verify(threshold: float):
     return verify
 
 
+def _near(rows: pd.DataFrame, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one part of a bucket: each member, and those of other components that its registers do not rule out."""
+    # Of the weighted and of the plain items; a text whose items do not repeat has them once.
+    sketch = np.stack([np.resize(np.frombuffer(s, np.uint16), (2, REGISTERS)) for s in rows["sketch"]])
+    keys = np.stack([np.resize(k, (2, BANDS)) for k in rows["bands"]])
+    at_band = int(np.flatnonzero(keys[0] == rows["key"].iloc[0])[0]) % BANDS
+    root = pd.factorize(rows["root"])[0]
+    side, low, high = rows["part"].to_numpy(), rows["low"].iloc[0], rows["high"].iloc[0]
+    for i in np.flatnonzero(side == low):
+        others = np.flatnonzero((side == high) & (root != root[i]))
+        others = others[others > i] if low == high else others
+        near = others[(sketch[others] == sketch[i]).mean(2).max(1) >= threshold - SLACK]
+        # A pair that shares an earlier bucket is compared there, whichever sketches brought it in.
+        mine, theirs = keys[i, :, :at_band], keys[near, :, :at_band]
+        yield i, near[~((theirs == mine) | (theirs == mine[::-1])).any((1, 2))]
+
+
+def _open(threshold: float):
+    """The rows whose text some pair of their part still needs."""
+
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, group in whole_groups(parts, GROUP):
+            for _, some in rows.groupby(group, sort=False):
+                some, asked = some.reset_index(drop=True), np.zeros(len(some), bool)
+                for i, near in _near(some, threshold):
+                    asked[i] |= len(near) > 0
+                    asked[near] = True
+                yield some.loc[asked, MEMBER]
+
+    return compare
+
+
 def _rest(threshold: float):
     def large(rows: pd.DataFrame, prints: Fingerprints):
         """Links between members of one group that are in different components."""
-        # Of the weighted and of the plain items; a text whose items do not repeat has them once.
-        sketch = np.stack([np.resize(np.frombuffer(s, np.uint16), (2, REGISTERS)) for s in rows["sketch"]])
-        keys = np.stack([np.resize(k, (2, BANDS)) for k in rows["bands"]])
-        at_band = int(np.flatnonzero(keys[0] == rows["key"].iloc[0])[0]) % BANDS
-        root = pd.factorize(rows["root"])[0]
-        side, low, high = rows["part"].to_numpy(), rows["low"].iloc[0], rows["high"].iloc[0]
         own = each(rows["text"], prints)
         i_found, j_found = [], []
-        for i in np.flatnonzero(side == low):
-            others = np.flatnonzero((side == high) & (root != root[i]))
-            others = others[others > i] if low == high else others
-            near = others[(sketch[others] == sketch[i]).mean(2).max(1) >= threshold - SLACK]
-            # A pair that shares an earlier bucket is compared there, whichever sketches brought it in.
-            mine, theirs = keys[i, :, :at_band], keys[near, :, :at_band]
-            near = near[~((theirs == mine) | (theirs == mine[::-1])).any((1, 2))]
+        for i, near in _near(rows, threshold):
             for j in near:
                 if similarity(*own[i], *own[j]) >= threshold:
                     i_found.append(i)
@@ -236,8 +257,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
        any size has as many pairs as members, and copies of one original meet
        it rather than each other.
     3. Where a bucket still holds several components, its members in different
-       ones are compared with each other, by registers first and then exactly,
-       in parts of bounded size of which only a spanning forest of the links is
+       ones are compared with each other, by registers first and, where these
+       leave something, exactly, in parts of bounded size of which only a spanning forest of the links is
        passed on. With it no link between members of a bucket is lost.
 
     Null texts and rows with a null doc_id are in no class (null text: a class
@@ -275,8 +296,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     rest = open_.join(materialise(mixed, "mixed"), "key").withColumn("parts", size).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rest = rest.select("key", "node", "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    rest = materialise(rest, "rest").join(nodes.select("node", "sketch", "bands"), "node").join(texts, "node")
-    more = rest.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(tidy(_rest(threshold)), "a binary, b binary")
+    # First by registers alone; texts travel only to the members that this leaves.
+    parted = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    sketched = nodes.select("node", "sketch", "bands")
+    rest = parted(materialise(rest, "rest").join(sketched, "node")).mapInPandas(tidy(_open(threshold)), "key long, node binary, root binary, part int, low int, high int")
+    rest = materialise(rest, "open").join(sketched, "node").join(texts, "node")
+    more = parted(rest).mapInPandas(tidy(_rest(threshold)), "a binary, b binary")
     more = materialise(more, "more")
 
     roots = components(links.unionByName(more))
