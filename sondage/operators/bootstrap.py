@@ -99,7 +99,8 @@ def bootstrap_metrics(df: DataFrame, keys: list[str], draws: int, threshold: Col
     """(keys, draw, METRICS) of draws of y, p by the keys, positives and negatives to their own numbers.
 
     Thresholds must be the same in all rows of a group. The draws are the same in
-    every run. Metrics are null as in all_metrics; a group without rows has none.
+    every run. Metrics are null as in all_metrics; a group without usable() rows,
+    those with an outcome and a score, has none.
     """
     spark = df.sparkSession
     ship(spark)

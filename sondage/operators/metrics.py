@@ -60,14 +60,26 @@ def rates(df: DataFrame, prefix: str = "") -> DataFrame:
     return out.withColumns(named({"f1": f1, "balanced_accuracy": balanced}))
 
 
+def usable(df: DataFrame) -> DataFrame:
+    """The rows that a metric counts: outcome 0 or 1 and a score that is neither null nor NaN. All others are as if they were
+    not there, in every metric alike, so counts add up; unscored() says how many they are."""
+    return df.where(F.col("y").isin(0, 1) & F.col("p").isNotNull() & ~F.isnan("p"))
+
+
+def unscored(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, n_unscored): the rows of each group, and those among them that no metric counts."""
+    counts = F.coalesce(F.col("y").isin(0, 1) & F.col("p").isNotNull() & ~F.isnan("p"), F.lit(False))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(~counts).alias("n_unscored"))
+
+
 def threshold_metrics(df: DataFrame, keys: list[str], threshold: Column) -> DataFrame:
-    return rates(df.groupBy(*keys).agg(*[c.alias(n) for n, c in confusion(threshold).items()]))
+    return rates(usable(df).groupBy(*keys).agg(*[c.alias(n) for n, c in confusion(threshold).items()]))
 
 
 def by_score(df: DataFrame, keys: list[str], w: Column | None = None) -> DataFrame:
     """Weight of positives and negatives at each distinct score."""
     one = F.lit(1.0) if w is None else w
-    return df.groupBy(*keys, "p").agg(F.sum(F.when(F.col("y") == 1, one).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, one).otherwise(0.0)).alias("neg"))
+    return usable(df).groupBy(*keys, "p").agg(F.sum(F.when(F.col("y") == 1, one).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, one).otherwise(0.0)).alias("neg"))
 
 
 def _curve(scores: DataFrame, keys: list[str], any_range: bool = False) -> DataFrame:
@@ -97,21 +109,21 @@ def average_precision(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def brier(df: DataFrame, keys: list[str]) -> DataFrame:
     """Mean squared error, and its gain over the mean outcome."""
-    agg = df.groupBy(*keys).agg(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"), F.avg("y").alias("m"))
+    agg = usable(df).groupBy(*keys).agg(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"), F.avg("y").alias("m"))
     return agg.select(*keys, "brier", (1 - ratio(F.col("brier"), F.col("m") * (1 - F.col("m")))).alias("brier_skill"))
 
 
 def ece(df: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
     """Expected calibration error over bins of equal width; p = 1 is in the last."""
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
-    per = df.groupBy(*keys, b.alias("b")).agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("p").alias("p"))
+    per = usable(df).groupBy(*keys, b.alias("b")).agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("p").alias("p"))
     return per.groupBy(*keys).agg((F.sum(F.abs(F.col("y") - F.col("p"))) / F.sum("n")).alias("ece"))
 
 
 def separation(df: DataFrame, keys: list[str]) -> DataFrame:
     side = lambda f, v: f(F.when(F.col("y") == v, F.col("p")))
     hit = (side(F.max, 0) < side(F.min, 1)) | (side(F.max, 1) < side(F.min, 0))
-    return df.groupBy(*keys).agg(F.coalesce(hit, F.lit(False)).alias("separates"))
+    return usable(df).groupBy(*keys).agg(F.coalesce(hit, F.lit(False)).alias("separates"))
 
 
 #: Names of the columns of all_metrics, and how reports name them; a smaller value is better for the last.
@@ -132,7 +144,8 @@ def all_metrics(df: DataFrame, keys: list[str], threshold: Column, extra: dict[s
 
     extra names further thresholds, whose counts and rates get the name in
     front. A threshold must be the same in all rows of a group. Everything comes
-    from one table of distinct scores. AUCs are null with one class only.
+    from one table of distinct scores. AUCs are null with one class only. Only
+    usable() rows count, also in n; a group without any has no row.
     """
     cuts = {"": threshold, **{f"{n}_": c for n, c in (extra or {}).items()}}
     at = {n: f"_cut{i}" for i, n in enumerate(cuts)}
@@ -294,7 +307,7 @@ def at_thresholds(df: DataFrame, keys: list[str], steps: int) -> DataFrame:
     grid = df.sparkSession.range(1, steps).select((F.col("id") / F.lit(float(steps))).alias("t"), F.col("id").alias("k"))
     raw = F.floor(F.col("p") * steps)
     k = F.when((raw + 1) / F.lit(float(steps)) <= F.col("p"), raw + 1).when(raw / F.lit(float(steps)) > F.col("p"), raw - 1).otherwise(raw)
-    held = df.groupBy(*keys, k.alias("r")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    held = usable(df).groupBy(*keys, k.alias("r")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     agg = held.join(F.broadcast(grid)).groupBy(*keys, "t")  # at most steps rows of either side in a group
     hit = F.col("r") >= F.col("k")
     return agg.agg(*[F.sum(F.when(h, F.col(c)).otherwise(0)).alias(n) for n, h, c in (("tp", hit, "pos"), ("fp", hit, "neg"), ("tn", ~hit, "neg"), ("fn", ~hit, "pos"))])
@@ -314,6 +327,8 @@ def calibration_curve(df: DataFrame, keys: list[str], bins: int = 10, equal: str
     The edges of the first are distinct quantiles; a group with fewer than three
     of them gets bins of equal width. Empty bins have no row.
     """
+    df = usable(df)
+    df = usable(df)
     width = bin_of(F.col("p"), bins)
     if equal == "width":
         rows, b = df, width
@@ -347,7 +362,7 @@ def recalibrated_offset(df: DataFrame, keys: list[str], prevalence: float, large
     """
     spark = df.sparkSession
     ship(spark)
-    base = written(df.groupBy(*keys, "p").agg(F.count("*").alias("n")), "scores")
+    base = written(df.where(F.col("p").isNotNull() & ~F.isnan("p")).groupBy(*keys, "p").agg(F.count("*").alias("n")), "scores")
     schema = base.select(*keys).schema.add("offset", "double")
     few, many = _sized(base, keys, largest)
 

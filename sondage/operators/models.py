@@ -334,7 +334,7 @@ def nested_cv(data: DataFrame, features: list[str], tasks: DataFrame, settings:
         option = int(part["option"].iloc[0])
         p = out_of_fold(model, MODELS[model].grid[option], x, y, inner)
         each = [auc(y[inner == i], p[inner == i]) for i in range(settings.inner)]
-        score = float(np.mean(finite)) if (finite := [v for v in each if v == v]) else 0.0
+        score = round(float(np.mean(finite)), 12) if (finite := [v for v in each if v == v]) else 0.0
         return pd.DataFrame({"model": [model], "calibration": [kind], "repeat": [part["repeat"].iloc[0]], "k": [fold], "option": [option], "score": [score]})
 
     def refit(part: pd.DataFrame) -> pd.DataFrame:

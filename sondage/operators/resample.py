@@ -5,11 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondage.functions import rng
 from sondage.operators import metrics as M
 from sondage.operators.ranks import by_edges, numbered, running
+from sondage.session import ship
 from sondage.sources.files import written
 
 
@@ -89,6 +92,59 @@ def casemix(df: DataFrame, keys: list[str], mix: DataFrame, stratum: str, sample
     return out.select(*by, (F.col("a") / F.col("m")).alias("auc"), "pr_auc", (F.col("s") / F.col("m")).alias("sensitivity"), "distinct_cases", "reuse")
 
 
+#: Cases of a block that balanced() draws from at once.
+BLOCK = 1 << 14
+
+
+def balanced(df: DataFrame, keys: list[str], stratum: str, sample: str, draws: int, threshold: float = 0.5, seed: str = "bal", block: int = BLOCK) -> DataFrame:
+    """(keys, draw, per_stratum, n_cases, auc, sensitivity) of draws with as many cases of every stratum as the smallest has.
+
+    Cases are drawn without replacement and controls stay, so a draw's AUC is
+    the mean over its cases of the share of controls that score lower. A
+    stratum's cases stand in blocks: a draw's number is first split over the
+    blocks as it would fall at random, then each block takes those of its cases
+    whose random keys are smallest; only sums leave a task, and rows times draws
+    are never written. Only usable() rows count; without controls or cases a
+    group has no draws.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    scores = M.curve(df, keys).where("all_neg > 0").withColumn("placed", (F.col("all_neg") - F.col("fp") + F.col("neg") / 2) / F.col("all_neg")).select(*keys, "p", "placed")
+    cases = M.usable(df).where("y = 1").join(scores, [*keys, "p"])
+    base = numbered(cases.withColumn("_h", rng.hashed(seed, F.col(sample))), [*keys, stratum], "_h", "slot", [sample])
+    base = written(base.select(*keys, stratum, F.floor(F.col("slot") / block).alias("block"), "slot", "placed", (F.col("p") >= threshold).cast("double").alias("hit")), "cases")
+    per = base.groupBy(*keys, stratum, "block").agg(F.count(F.lit(1)).alias("n"))
+    least = per.groupBy(*keys, stratum).agg(F.sum("n").alias("_n")).groupBy(*keys).agg(F.min("_n").alias("k"))
+    named = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in [*keys, stratum])
+    text = lambda part: ":".join([seed, *[str(part[k].iloc[0]) for k in [*keys, stratum]]])
+
+    def split(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block")
+        size, k = part["n"].to_numpy(), int(part["k"].iloc[0])
+        taken = np.full((draws, 1), k)
+        if len(size) > 1:
+            taken = np.array([np.random.Generator(np.random.PCG64(int(s))).multivariate_hypergeometric(size, k, method="marginals") for s in rng.seeds([f"{text(part)}:blocks:{d}" for d in range(draws)])])
+        return part[[*keys, stratum, "block", "k"]].assign(taken=list(taken.T))
+
+    def draw(rows: pd.DataFrame, splits: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("slot")
+        values, taken, number = rows[["placed", "hit"]].to_numpy(float), np.asarray(splits["taken"].iloc[0]), int(rows["block"].iloc[0])
+        sums = np.zeros((draws, 2))
+        for d, s in enumerate(rng.seeds([f"{text(rows)}:{number}:{d}" for d in range(draws)])):
+            # The smallest keys, of equal ones the first.
+            order = rng.positions(s, len(rows), 1 << 31) * block + np.arange(len(rows))
+            m = int(taken[d])
+            sums[d] = values.sum(0) if m == len(rows) else values[np.argpartition(order, m)[:m]].sum(0)
+        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "draw": np.arange(draws), "k": int(splits["k"].iloc[0]), "n": taken, "a": sums[:, 0], "s": sums[:, 1]})
+
+    by = [*keys, stratum, "block"]
+    splits = per.join(least, keys).groupBy(*keys, stratum).applyInPandas(split, f"{named}, block long, k long, taken array<long>")
+    own = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
+    sums = base.groupBy(*by).cogroup(splits.groupBy(*by)).applyInPandas(draw, f"{own}, draw int, k long, n long, a double, s double")
+    out = sums.groupBy(*keys, "draw").agg(F.max("k").alias("per_stratum"), F.sum("n").alias("n_cases"), F.sum("a").alias("a"), F.sum("s").alias("s"))
+    return out.select(*keys, "draw", "per_stratum", "n_cases", (F.col("a") / F.col("n_cases")).alias("auc"), (F.col("s") / F.col("n_cases")).alias("sensitivity"))
+
+
 def kish(w: Column) -> Column:
     return F.sum(w) * F.sum(w) / F.sum(w * w)
 
@@ -100,7 +156,7 @@ def folded(auc: Column) -> Column:
 def single_predictors(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, feature, auc, n): AUC of each feature as a score; needs ten values and two distinct ones."""
     keys = [*(keys or []), "feature"]
-    some = long.where("x IS NOT NULL")
+    some = long.where("x IS NOT NULL AND NOT isnan(x)")
     usable = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n >= 10 AND lo < hi")
     auc = M.roc_auc(some.withColumn("p", F.col("x")), keys, any_range=True)
     return auc.join(usable.select(*keys, "n"), keys)

@@ -255,16 +255,6 @@ def flag(spark, sf):
     return d.select("k", *[c.alias(n) for n, c in S.flags("lift", "fraction", "shift", "sensitivity_shift").items()])
 
 
-@plan("severity_balanced", f"""WITH {RAW}, base AS (SELECT * FROM raw WHERE y = 1), k AS (SELECT repeat, min(n) AS k FROM (SELECT repeat, stratum, count(*) AS n FROM base GROUP BY 1, 2) GROUP BY 1),
-  r AS (SELECT sample, repeat, stratum, draw, row_number() OVER (PARTITION BY draw, repeat, stratum ORDER BY md5('bal:' || draw || ':' || sample), sample) - 1 AS rn FROM base, (SELECT unnest(range(0, 3)) AS draw)) SELECT draw, repeat, sample, stratum FROM r JOIN k USING (repeat) WHERE rn < k""")
-def severity_balanced(spark, sf):
-    base = raw(spark, sf).where("y = 1").select("sample", "repeat", "stratum")
-    k = base.groupBy("repeat", "stratum").count().groupBy("repeat").agg(F.min("count").alias("k"))
-    drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    ranked = numbered(drawn.withColumn("_h", rng.hashed("bal", F.col("draw"), F.col("sample"))), ["draw", "repeat", "stratum"], "_h", "rn", ["sample"])
-    return ranked.join(k, "repeat").where("rn < k").select("draw", "repeat", "sample", "stratum")
-
-
 MIXES = 2000
 CASEMIX = f"""{POOL}, base AS (SELECT {C}, stratum, p, row_number() OVER (PARTITION BY {C}, stratum ORDER BY md5('mix:' || sample), sample) - 1 AS slot FROM pooled WHERE y = 1),
   sz AS (SELECT {C}, stratum, count(*) AS n FROM base GROUP BY ALL), want AS (SELECT {C}, stratum, n, CAST(round_even(sum(n) OVER (PARTITION BY {C}) * target, 0) AS BIGINT) AS want FROM sz JOIN (SELECT unnest(['purchase', 'click']) AS stratum, unnest([0.8::DOUBLE, 0.2::DOUBLE]) AS target) USING (stratum)),
@@ -287,6 +277,24 @@ def casemix_simulation(spark, sf):
     return draws.groupBy(*CELL).agg(*stats, F.round(F.avg("distinct_cases"), 6).alias("distinct_cases"), F.max("reuse").alias("reuse"))
 
 
+BALANCED = f"""{POOL}, base AS (SELECT {C}, stratum, p, row_number() OVER (PARTITION BY {C}, stratum ORDER BY md5('bal:' || sample), sample) - 1 AS slot FROM pooled WHERE y = 1),
+  sz AS (SELECT *, min(n) OVER (PARTITION BY {C}) AS k FROM (SELECT {C}, stratum, count(*) AS n FROM base GROUP BY ALL)),
+  sd AS (SELECT *, {rng.seed_sql("'bal:' || config || ':' || model || ':' || stratum || ':0:' || draw")} FROM sz, (SELECT unnest(range(0, {DRAWS})) AS draw)),
+  ky AS ({rng.positions_sql('(SELECT *, unnest(range(0, n)) AS j FROM sd)', f'{C}, stratum, k, draw, j', 'j', '2147483648', 'key')}),
+  pk AS (SELECT {C}, stratum, k, draw, j AS slot FROM ky QUALIFY row_number() OVER (PARTITION BY {C}, stratum, draw ORDER BY key, j) <= k),
+  ng AS (SELECT {C}, p, count(*)::DOUBLE AS n FROM pooled WHERE y = 0 GROUP BY ALL), pp AS (SELECT DISTINCT {C}, p FROM base),
+  sc AS (SELECT {C}, p, sum(n) OVER w AS fp, coalesce(n, 0) AS own, sum(n) OVER (PARTITION BY {C}) AS nn FROM (SELECT {C}, p, max(n) AS n FROM (SELECT * FROM ng UNION ALL SELECT {C}, p, 0 FROM pp) GROUP BY ALL) WINDOW w AS (PARTITION BY {C} ORDER BY p DESC)),
+  per AS (SELECT {C}, draw, max(k) AS per_stratum, count(*) AS n_cases, avg((nn - fp + own / 2) / nn) AS auc, avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END) AS sensitivity FROM pk JOIN base USING ({C}, stratum, slot) JOIN sc USING ({C}, p) GROUP BY ALL)"""
+
+
+@plan("severity_balanced", f"WITH {BALANCED} SELECT {C}, per_stratum, n_cases, count(*) AS draws, " + ", ".join(f"round({f}, 9) AS {m}_{n}" for m in ("auc", "sensitivity") for n, f in (("mean", f"avg({m})"), ("lo", f"quantile_cont({m}, 0.025)"), ("hi", f"quantile_cont({m}, 0.975)"))) + " FROM per GROUP BY ALL")
+def severity_balanced(spark, sf):
+    """AUC and sensitivity of each cell with as many cases of every stratum, none used twice: mean and Monte-Carlo interval."""
+    draws = S.balanced(source(spark, sf), CELL, "stratum", "sample", DRAWS)
+    stats = [F.round(c, 9).alias(f"{m}_{n}") for m in ("auc", "sensitivity") for n, c in (("mean", F.avg(m)), ("lo", F.percentile(m, 0.025)), ("hi", F.percentile(m, 0.975)))]
+    return draws.groupBy(*CELL, "per_stratum", "n_cases").agg(F.count("*").alias("draws"), *stats)
+
+
 IMP = "imp AS (SELECT CAST(l_linenumber AS VARCHAR) AS fold, 'x' || (l_partkey % 12) AS feature, round(avg(l_extendedprice) / 1000, 1) AS importance FROM lineitem GROUP BY 1, 2)"
 RNK = "rk AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY importance DESC) + (count(*) OVER (PARTITION BY fold, importance) - 1) / 2.0::DOUBLE AS rnk FROM imp)"
 
