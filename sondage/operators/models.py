@@ -372,7 +372,7 @@ def nested_cv(data: DataFrame, features: list[str], tasks: DataFrame, settings:
     return rows(best.unionByName(only)).groupBy(*names).applyInPandas(refit, schema)
 
 
-def permutation_importance(data: DataFrame, features: list[str], shuffles: int = 5) -> DataFrame:
+def permutation_importance(data: DataFrame, features: list[str], shuffles: int = 20) -> DataFrame:
     """(fold, feature, importance): mean drop in AUC of a ridge logistic when a feature's test values are shuffled."""
     ship(data.sparkSession)
 

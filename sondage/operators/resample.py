@@ -111,38 +111,38 @@ def balanced(df: DataFrame, keys: list[str], stratum: str, sample: str, draws: i
     ship(spark)
     scores = M.curve(df, keys).where("all_neg > 0").withColumn("placed", (F.col("all_neg") - F.col("fp") + F.col("neg") / 2) / F.col("all_neg")).select(*keys, "p", "placed")
     cases = M.usable(df).where("y = 1").join(scores, [*keys, "p"])
-    base = numbered(cases.withColumn("_h", rng.hashed(seed, F.col(sample))), [*keys, stratum], "_h", "slot", [sample])
-    base = written(base.select(*keys, stratum, F.floor(F.col("slot") / block).alias("block"), "slot", "placed", (F.col("p") >= threshold).cast("double").alias("hit")), "cases")
-    per = base.groupBy(*keys, stratum, "block").agg(F.count(F.lit(1)).alias("n"))
-    least = per.groupBy(*keys, stratum).agg(F.sum("n").alias("_n")).groupBy(*keys).agg(F.min("_n").alias("k"))
+    base = numbered(cases.withColumn("_h", rng.hashed(seed, F.col(sample))), [*keys, stratum], "_h", "_slot", [sample])
+    base = written(base.select(*keys, stratum, F.floor(F.col("_slot") / block).alias("_block"), "_slot", "placed", (F.col("p") >= threshold).cast("double").alias("hit")), "cases")
+    per = base.groupBy(*keys, stratum, "_block").agg(F.count(F.lit(1)).alias("_size"))
+    least = per.groupBy(*keys, stratum).agg(F.sum("_size").alias("_n")).groupBy(*keys).agg(F.min("_n").alias("_k"))
     named = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in [*keys, stratum])
     text = lambda part: ":".join([seed, *[str(part[k].iloc[0]) for k in [*keys, stratum]]])
 
     def split(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("block")
-        size, k = part["n"].to_numpy(), int(part["k"].iloc[0])
+        part = part.sort_values("_block")
+        size, k = part["_size"].to_numpy(), int(part["_k"].iloc[0])
         taken = np.full((draws, 1), k)
         if len(size) > 1:
             taken = np.array([np.random.Generator(np.random.PCG64(int(s))).multivariate_hypergeometric(size, k, method="marginals") for s in rng.seeds([f"{text(part)}:blocks:{d}" for d in range(draws)])])
-        return part[[*keys, stratum, "block", "k"]].assign(taken=list(taken.T))
+        return part[[*keys, stratum, "_block", "_k"]].assign(taken=list(taken.T))
 
     def draw(rows: pd.DataFrame, splits: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("slot")
-        values, taken, number = rows[["placed", "hit"]].to_numpy(float), np.asarray(splits["taken"].iloc[0]), int(rows["block"].iloc[0])
+        rows = rows.sort_values("_slot")
+        values, taken, number = rows[["placed", "hit"]].to_numpy(float), np.asarray(splits["taken"].iloc[0]), int(rows["_block"].iloc[0])
         sums = np.zeros((draws, 2))
         for d, s in enumerate(rng.seeds([f"{text(rows)}:{number}:{d}" for d in range(draws)])):
             # The smallest keys, of equal ones the first.
             order = rng.positions(s, len(rows), 1 << 31) * block + np.arange(len(rows))
             m = int(taken[d])
             sums[d] = values.sum(0) if m == len(rows) else values[np.argpartition(order, m)[:m]].sum(0)
-        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "draw": np.arange(draws), "k": int(splits["k"].iloc[0]), "n": taken, "a": sums[:, 0], "s": sums[:, 1]})
+        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "draw": np.arange(draws), "_k": int(splits["_k"].iloc[0]), "_n": taken, "_a": sums[:, 0], "_s": sums[:, 1]})
 
-    by = [*keys, stratum, "block"]
-    splits = per.join(least, keys).groupBy(*keys, stratum).applyInPandas(split, f"{named}, block long, k long, taken array<long>")
+    by = [*keys, stratum, "_block"]
+    splits = per.join(least, keys).groupBy(*keys, stratum).applyInPandas(split, f"{named}, _block long, _k long, taken array<long>")
     own = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
-    sums = base.groupBy(*by).cogroup(splits.groupBy(*by)).applyInPandas(draw, f"{own}, draw int, k long, n long, a double, s double")
-    out = sums.groupBy(*keys, "draw").agg(F.max("k").alias("per_stratum"), F.sum("n").alias("n_cases"), F.sum("a").alias("a"), F.sum("s").alias("s"))
-    return out.select(*keys, "draw", "per_stratum", "n_cases", (F.col("a") / F.col("n_cases")).alias("auc"), (F.col("s") / F.col("n_cases")).alias("sensitivity"))
+    sums = base.groupBy(*by).cogroup(splits.groupBy(*by)).applyInPandas(draw, f"{own}, draw int, _k long, _n long, _a double, _s double")
+    out = sums.groupBy(*keys, "draw").agg(F.max("_k").alias("per_stratum"), F.sum("_n").alias("n_cases"), F.sum("_a").alias("_a"), F.sum("_s").alias("_s"))
+    return out.select(*keys, "draw", "per_stratum", "n_cases", (F.col("_a") / F.col("n_cases")).alias("auc"), (F.col("_s") / F.col("n_cases")).alias("sensitivity"))
 
 
 def kish(w: Column) -> Column:

@@ -74,32 +74,28 @@ def fit(train: DataFrame, keys: list[str], width: int, options: DataFrame) -> Da
     size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
     weight = lambda count: F.when(F.col("balanced"), F.col("n") / (2 * F.greatest(count, F.lit(1)))).otherwise(1.0).cast("double")
     start = options.select(*keys, "option", "c", "balanced").join(size, keys)
-    start = start.select(*keys, "option", F.col("c").cast("double").alias("c"), weight(F.col("n1")).alias("w1"), weight(F.col("n") - F.col("n1")).alias("w0"), F.array_repeat(F.lit(0.0), n).alias("b"), F.lit(True).alias("going"))
+    one = F.struct("option", F.col("c").cast("double").alias("c"), weight(F.col("n1")).alias("w1"), weight(F.col("n") - F.col("n1")).alias("w0"), F.array_repeat(F.lit(0.0), n).alias("b"), F.lit(True).alias("going"))
     path = scratch(spark, "state")
-    state = written(start, "state", path)
+    state = written(start.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("o")), "state", path)  # a set's options
     named = "".join(f"`{k}` {kinds[k]}, " for k in keys)
-    inside = ["option", "c", "w1", "w0", "b"]
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
+        held: dict[tuple, tuple] = {}
 
         def sums():
-            return pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*keys, "option", "g", "h"])
+            return pd.DataFrame([(*k, g.ravel(), h.ravel()) for k, (g, h) in held.items()], columns=[*keys, "g", "h"])
 
         for part in parts:
             for key, some in part.groupby(keys, sort=False, dropna=False):
                 d = np.column_stack([np.ones(len(some)), some[x].to_numpy(float)])
-                y = some["y"].to_numpy(float)
-                for o in some["_o"].iloc[0]:
-                    w = np.where(y == 1, o["w1"], o["w0"])
-                    mu = 1 / (1 + np.exp(-np.clip(d @ np.asarray(o["b"]), -30, 30)))
-                    g, h = d.T @ (w * (y - mu)), (d * (w * mu * (1 - mu))[:, None]).T @ d
-                    at = (*key, o["option"])
-                    if at in held:
-                        held[at][0] += g
-                        held[at][1] += h.ravel()
-                    else:
-                        held[at] = [g, h.ravel()]
+                y, own = some["y"].to_numpy(float), some["o"].iloc[0]
+                g, h = held.setdefault(key, (np.zeros((len(own), n)), np.zeros((len(own), n, n))))
+                for k, o in enumerate(own):
+                    if o["going"]:
+                        w = np.where(y == 1, o["w1"], o["w0"])
+                        mu = 1 / (1 + np.exp(-np.clip(d @ np.asarray(o["b"]), -30, 30)))
+                        g[k] += d.T @ (w * (y - mu))
+                        h[k] += (d * (w * mu * (1 - mu))[:, None]).T @ d
             if len(held) >= HELD:
                 yield sums()
                 held = {}
@@ -107,29 +103,33 @@ def fit(train: DataFrame, keys: list[str], width: int, options: DataFrame) -> Da
             yield sums()
 
     def step(part: pd.DataFrame) -> pd.DataFrame:
-        """One Newton step of one training set and option, from the sums of the tasks that hold its rows."""
-        first = part.iloc[0]
-        b, ridge = np.array(first["b"], float), np.full(n, 1 / first["c"])
-        ridge[0] = FREE
-        g, h = np.sum(np.stack(part["g"]), axis=0), np.sum(np.stack(part["h"]), axis=0).reshape(n, n)
-        move = np.linalg.solve(h + np.diag(ridge), g - ridge * b)
-        most = np.abs(move).max()
-        out = part.iloc[:1].drop(columns=["g", "h"]).copy()
-        out["b"], out["going"] = [b + move * min(1.0, LONGEST / max(most, 1e-12))], bool(most >= STILL)
-        return out[[*keys, *inside, "going"]]
-
-    schema = f"{named}option int, c double, w1 double, w0 double, b array<double>, going boolean"
+        """A Newton step of one training set under each option, from the sums of the tasks that hold its rows."""
+        own = part["o"].iloc[0]
+        g, h = np.sum(np.stack(part["g"]), axis=0).reshape(len(own), n), np.sum(np.stack(part["h"]), axis=0).reshape(len(own), n, n)
+        out = []
+        for k, o in enumerate(own):
+            b, going = np.asarray(o["b"], float), o["going"]
+            if going:
+                ridge = np.full(n, 1 / o["c"])
+                ridge[0] = FREE
+                move = np.linalg.solve(h[k] + np.diag(ridge), g[k] - ridge * b)
+                most = np.abs(move).max()
+                b, going = b + move * min(1.0, LONGEST / max(most, 1e-12)), bool(most >= STILL)
+            out.append({**{c: o[c] for c in ("option", "c", "w1", "w0")}, "b": b.tolist(), "going": going})
+        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, "o": [out]})
+
+    schema = f"{named}o array<struct<option:int,c:double,w1:double,w0:double,b:array<double>,going:boolean>>"
+    moving = F.exists("o", lambda o: o["going"])
     for _ in range(STEPS):
-        going = state.where("going")
-        if going.isEmpty():
+        if state.where(moving).isEmpty():
             break
-        sets = going.groupBy(*keys).agg(F.collect_list(F.struct(*inside)).alias("_o"))  # a set's options
-        parts = rows.join(sets, keys).select(*keys, "y", *x, "_o").mapInPandas(partial, f"{named}option int, g array<double>, h array<double>")
-        moved = parts.join(going, [*keys, "option"]).groupBy(*keys, "option").applyInPandas(step, schema)
+        sets = state.where(moving)
+        parts = rows.join(sets, keys).select(*keys, "y", *x, "o").mapInPandas(partial, f"{named}g array<double>, h array<double>")
+        moved = parts.join(sets, keys).groupBy(*keys).applyInPandas(step, schema)
         last, path = path, scratch(spark, "state")
-        state = written(moved.unionByName(state.where("NOT going").select(*moved.columns)), "state", path)
+        state = written(moved.unionByName(state.where(~moving)), "state", path)
         remove(spark, last)
-    return state.select(*keys, "option", "b")
+    return state.select(*keys, F.explode("o").alias("_o")).select(*keys, "_o.option", "_o.b")
 
 
 def scored(rows: DataFrame, width: int, name: str = "p") -> DataFrame:
@@ -150,7 +150,8 @@ def nested_logistic(data: DataFrame, features: list[str], repeats: DataFrame, se
     grid = [(o, float(p["c"]), bool(p.get("balanced", False)), str(p)) for o, p in enumerate(MODELS["logreg"].grid)]
     options = data.sparkSession.createDataFrame(grid, "option int, c double, balanced boolean, params string")
     width, outer = len(features), ["repeat", "k"]
-    mine = data.join(repeats.select("repeat").distinct(), "repeat").select("sample", "y", "repeat", "fold", *[F.col(f).cast("double").alias(f) for f in features])
+    mine = data.join(repeats.select("repeat").distinct(), "repeat").select("sample", "y", "repeat", "fold", *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+    features = [f"_f{i}" for i in range(width)]  # names that nothing here has
     sides = mine.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(settings.outer - 1))))
     train, test = sides.where("fold != k").drop("fold"), sides.where("fold = k")
     placed, bucket = by_edges(train, [*outer, "y"], "sample")

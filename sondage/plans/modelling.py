@@ -9,6 +9,7 @@ from sondage.operators import bootstrap as B
 from sondage.operators import metrics as M
 from sondage.operators import models as Z
 from sondage.operators.ranks import quantiles
+from sondage.operators.ridge import nested_logistic
 from sondage.operators.guard import FeatureSet, assert_clean, guard, select_columns
 from sondage.plans import plan
 from sondage.plans.views import folded
@@ -78,8 +79,7 @@ def saturation_curve(spark, sf):
     code = (F.col("percent") * SATURATION_REPEATS + F.col("repeat")) * 5 + F.col("test")
     rows = df.withColumns({"repeat": code.cast("int"), "fold": F.when(F.col("fold") == F.col("test"), 0).otherwise(1)})
     codes = [(p * SATURATION_REPEATS + r) * 5 + k for p in PERCENTS for r in range(SATURATION_REPEATS) for k in range(5)]
-    tasks = spark.createDataFrame([("logreg", "none", r) for r in codes], "model string, calibration string, repeat int")
-    out = Z.nested_cv(rows.drop("percent", "test", "u"), FEATURES, tasks, Z.Settings(outer=1))
+    out = nested_logistic(rows.drop("percent", "test", "u"), FEATURES, spark.createDataFrame([(c,) for c in codes], "repeat int"), Z.Settings(outer=1))
     per = M.roc_auc(out, ["repeat"]).withColumn("percent", F.floor(F.col("repeat") / (5 * SATURATION_REPEATS)).cast("int"))
     return per.groupBy("percent").agg(F.avg("auc").alias("auc"), F.stddev_samp("auc").alias("sd"), F.count("auc").alias("n"))
 
@@ -101,7 +101,7 @@ def procedure_bootstrap(spark, sf):
 def transferred(spark, sf):
     """Predictions for customers of the other nations, from a model that never saw them."""
     df = training(spark, sf, 1).withColumn("fold", F.when(F.col("nation") < 12, 1).otherwise(0))
-    return written(Z.nested_cv(df, FEATURES, grid(spark, ["logreg"], ["none"], 1), Z.Settings(outer=1)), "transfer")
+    return written(nested_logistic(df, FEATURES, spark.createDataFrame([(0,)], "repeat int"), Z.Settings(outer=1)), "transfer")
 
 
 @plan("frozen_transfer")
