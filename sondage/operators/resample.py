@@ -30,6 +30,25 @@ def midranks(df: DataFrame, keys: list[str], value: str, name: str, descending:
     return df.join(out, on).drop(*[f"_of{i}" for i in range(len(names))])
 
 
+def spearman_matrix(df: DataFrame, row: str, variables: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys, a, b, rho): rank correlation of every two variables, in the order of variables, without meeting rows in pairs.
+
+    Ranks are of all values that a variable has in the group, ties averaged; they
+    come back to one row each, and one aggregate sums all products. A pair of
+    variables counts the rows that have both; rho is null for fewer than two
+    such rows or without spread. Null and NaN are missing.
+    """
+    keys = list(keys or [])
+    long = df.unpivot([*keys, row], [F.col(v).cast("double").alias(v) for v in variables], "_a", "_x").where("_x IS NOT NULL AND NOT isnan(_x)")
+    ranked = midranks(long, [*keys, "_a"], "_x", "_r").groupBy(*keys, row).agg(*[F.max(F.when(F.col("_a") == v, F.col("_r"))).alias(f"_r{i}") for i, v in enumerate(variables)])
+    pairs = [(i, j) for i in range(len(variables)) for j in range(i + 1, len(variables))]
+    both = lambda i, j: (F.when(F.col(f"_r{j}").isNotNull(), F.col(f"_r{i}")), F.when(F.col(f"_r{i}").isNotNull(), F.col(f"_r{j}")))
+    rho = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    wide = ranked.groupBy(*keys).agg(*[rho(*both(i, j)).alias(f"_{i}_{j}") for i, j in pairs])
+    each = F.array(*[F.struct(F.lit(variables[i]).alias("a"), F.lit(variables[j]).alias("b"), F.col(f"_{i}_{j}").alias("rho")) for i, j in pairs])
+    return wide.select(*keys, F.explode(each).alias("_p")).select(*keys, "_p.*")
+
+
 def bootstrap_weights(df: DataFrame, keys: list[str], sample: str, draws: int, seed: str = "boot") -> DataFrame:
     """(keys, y, draw, slot, w): how often each numbered row is drawn, positives and negatives to their own numbers.
 

@@ -349,9 +349,7 @@ def rank_agreement(spark, sf):
 def spearman_pairs(spark, sf):
     o = table(spark, sf, "orders")
     wide = o.select("o_orderkey", F.round("o_totalprice").alias("price"), F.col("o_custkey").cast("double").alias("cust"), (F.col("o_orderkey") % 1000).cast("double").alias("key"))
-    r = S.midranks(wide.unpivot("o_orderkey", ["price", "cust", "key"], "a", "x"), ["a"], "x", "r").select("o_orderkey", "a", "r")
-    other = r.select("o_orderkey", F.col("a").alias("b"), F.col("r").alias("s"))
-    return r.join(other, "o_orderkey").where("a < b").groupBy("a", "b").agg(F.round(F.corr("r", "s"), 6).alias("rho"))
+    return S.spearman_matrix(wide, "o_orderkey", ["cust", "key", "price"]).withColumn("rho", F.round("rho", 6))
 
 
 @plan("column_permutation", "WITH a AS (SELECT c_custkey AS id, c_acctbal AS x, row_number() OVER (ORDER BY c_custkey) AS pos FROM customer), b AS (SELECT x, row_number() OVER (ORDER BY md5('perm:3:' || id), id) AS pos FROM a) SELECT a.id, b.x FROM a JOIN b USING (pos)")

@@ -77,3 +77,18 @@ def test_balanced_draws_take_nobody_twice(spark, block):
     assert abs(rest.mean() / 12 - np.mean(early)) < 0.02 and sum(sorted(early)[:12]) - 1e-9 <= rest.min() and rest.max() <= sum(sorted(early)[-12:]) + 1e-9
     assert abs(rest.var() / (12 * np.var(early, ddof=1) * (1 - 12 / 40)) - 1) < 0.4
     assert resample.balanced(df.where("y = 1"), ["k"], "stage", "sample", 10).count() == 0
+
+
+def test_rank_correlations_of_all_pairs(spark):
+    import pandas as pd
+
+    r = np.random.Generator(np.random.PCG64(11))
+    x = pd.DataFrame({"g": r.integers(0, 2, 300), "u": r.integers(0, 9, 300).astype(float), "v": r.normal(size=300), "w": 1.0})
+    x["v"] += x.u / 4
+    x.loc[::7, "v"] = np.nan
+    df = spark.createDataFrame([(i, int(a.g), a.u, None if i % 14 == 0 else a.v, a.w) for i, a in enumerate(x.itertuples())], "i long, g int, u double, v double, w double")
+    got = {(p.g, p.a, p.b): p.rho for p in resample.spearman_matrix(df, "i", ["u", "v", "w"], ["g"]).collect()}
+    for g, part in x.groupby("g"):
+        ranks = part[["u", "v"]].rank()
+        assert got[g, "u", "v"] == pytest.approx(ranks.u[ranks.v.notna()].corr(ranks.v.dropna())) and got[g, "u", "w"] is None
+    assert len(got) == 6
