@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondage.functions import rng
-from sondage.operators.ranks import quantiles
+from sondage.operators.ranks import by_edges, running
 from sondage.sources.files import remove, scratch, written
 
 MOST = 60
@@ -40,7 +40,8 @@ def cut_points(rows: DataFrame, keys: list[str], features: list[str], bins: int
     """(keys, _cuts): for each feature in turn the cuts between its bins, as an array of arrays.
 
     A feature with at most `bins` values in a set has a cut half way between all
-    neighbours, another one the distinct inner quantiles of `bins` equal parts.
+    neighbours; the values of another one are dealt by rank to `bins` parts of about equal
+    numbers of rows, equal values to one, with cuts half way between the parts.
     """
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("_f"), _clean(f).alias("_v")) for i, f in enumerate(features)])).alias("_e")
     values = written(rows.select(*keys, each).select(*keys, "_e.*").where("_v IS NOT NULL").groupBy(*keys, "_f", "_v").agg(F.count(F.lit(1)).alias("_n")), "values")
@@ -51,8 +52,11 @@ def cut_points(rows: DataFrame, keys: list[str], features: list[str], bins: int
     found = few.select(*by, middle.alias("_c"))
     many = number.where(F.col("_d") > bins)
     if not many.isEmpty():
-        inner = quantiles(values.join(many, by), by, "_v", [i / bins for i in range(1, bins)], "_c", F.col("_n"))
-        found = found.unionByName(inner.withColumn("_c", F.array_sort(F.array_distinct("_c"))))
+        rows, bucket = by_edges(values.join(many.select(*by), by), by, "_v")
+        rows = running(rows, by, bucket, ["_v"], {"_upto": F.col("_n")}, totals={"_upto": "_all"})
+        part = rows.groupBy(*by, F.floor((F.col("_upto") - 1) * bins / F.col("_all")).alias("_q")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        half = (F.col("_hi") + F.lead("_lo").over(Window.partitionBy(*by).orderBy("_q"))) / 2  # at most `bins` rows
+        found = found.unionByName(part.select(*by, half.alias("_h")).groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias("_c")))
     maps = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_f", "_c"))).alias("_m"))  # an entry a feature
     none = F.array().cast("array<double>")
     return maps.select(*keys, F.array(*[F.coalesce(F.try_element_at("_m", F.lit(i)), none) for i in range(len(features))]).alias("_cuts"))

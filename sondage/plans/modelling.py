@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from sondage.functions import rng
 from sondage.operators import bootstrap as B
 from sondage.operators import metrics as M
 from sondage.operators import models as Z
+from sondage.operators import trees as T
 from sondage.operators.ranks import quantiles
 from sondage.operators.ridge import nested_logistic
 from sondage.operators.guard import FeatureSet, assert_clean, guard, select_columns
@@ -42,6 +43,45 @@ def nested_cv_trees(spark, sf):
     return Z.nested_cv(training(spark, sf), FEATURES, grid(spark, ["random_forest", "xgboost"], ["none"]))
 
 
+ROUNDS = 10
+
+
+def held_out(spark, sf):
+    """Training and test rows of each outer fold, k."""
+    sides = training(spark, sf, 1).drop("repeat").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    sides = written(sides, "sides")
+    return sides.where("fold != k").drop("fold"), sides.where("fold = k").drop("fold")
+
+
+def tested(test, model, p):
+    out = T.score(test, model, ["k"], "sample", FEATURES).withColumn("p", p).join(test.select("k", "sample", "y"), ["k", "sample"])
+    return M.all_metrics(written(out.select("k", "sample", "y", "p"), "scored"), ["k"], F.lit(0.5)).select("k", "n", "auc", "pr_auc", "brier", "ece")
+
+
+@plan("grown_forest")
+def grown_forest(spark, sf):
+    """Metrics by outer fold of forests of 100 trees that no task holds the training set of."""
+    train, test = held_out(spark, sf)
+    model = T.forest(train, ["k"], "sample", FEATURES, depth=3, leaf=5, trees=100, bins=64)
+    return tested(test, model, F.col("total") / F.col("trees"))
+
+
+@plan("grown_boosted")
+def grown_boosted(spark, sf):
+    """The same of boosted trees, ROUNDS of them: each is four Spark jobs."""
+    train, test = held_out(spark, sf)
+    return tested(test, written(T.boosted(train, ["k"], "sample", FEATURES, trees=ROUNDS), "model"), M.expit(F.col("total")))
+
+
+@plan("tree_shapley")
+def tree_shapley(spark, sf):
+    """Mean absolute Shapley value of each feature over the test rows of each outer fold, and its rank."""
+    train, test = held_out(spark, sf)
+    model = written(T.boosted(train, ["k"], "sample", FEATURES, trees=ROUNDS), "model")
+    mean = T.shapley(test, model, ["k"], "sample", FEATURES).groupBy("k", "feature").agg(F.avg(F.abs("phi")).alias("mean_abs"), F.count("*").alias("n"))
+    return mean.withColumn("rank", F.rank().over(Window.partitionBy("k").orderBy(F.desc("mean_abs"))))  # a row per feature
+
+
 @plan("calibrated_nested_cv")
 def calibrated_nested_cv(spark, sf):
     out = Z.nested_cv(training(spark, sf, 1), FEATURES, grid(spark, ["logreg"], ["none", "sigmoid", "isotonic"], 1), Z.Settings(ensemble=True))

@@ -10,8 +10,8 @@ def test_agrees_with_sql(name, agree):
     agree(PLANS[name], ORACLES[name])
 
 
-#: Slow queries that test_operators.py runs.
-ELSEWHERE = {"nested_cv", "nested_cv_trees", "copula_null", "procedure_bootstrap", "saturation_curve", "containment_check", "provenance_gate", "nested_best_single_auc", "multivariable_lift_interval"}
+#: Slow queries that test_operators.py and test_trees.py run.
+ELSEWHERE = {"nested_cv", "nested_cv_trees", "grown_forest", "grown_boosted", "tree_shapley", "copula_null", "procedure_bootstrap", "saturation_curve", "containment_check", "provenance_gate", "nested_best_single_auc", "multivariable_lift_interval"}
 
 
 @pytest.mark.parametrize("name", sorted(set(PLANS) - set(ORACLES) - ELSEWHERE))
