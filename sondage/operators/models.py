@@ -265,7 +265,7 @@ def available_models() -> list[str]:
 
 def unavailable_models() -> dict[str, str]:
     """What has no counterpart here, and why."""
-    return {"kernel support vectors": "Spark has linear ones only; `kernel` is a random-feature logistic", "tree SHAP": "no library for it is installed"}
+    return {"kernel support vectors": "Spark has linear ones only; `kernel` is a random-feature logistic"}
 
 
 def isotonic(p: np.ndarray, y: np.ndarray):
