@@ -129,3 +129,21 @@ def test_match_fraction_is_of_the_interval_side(spark, small):
     one = linkage.edges(linkage.pairs(linking.left(spark, small), draw, linking.VARS, "o", linkage.EPS, 500.0), linking.VARS)
     drawn = {r.draw: r.matched for r in linking.matched_per_draw(spark, small, linking.shuffled(spark, small, 3), 3).collect()}
     assert set(drawn) == {0, 1, 2} and drawn[1] == augmented(sorted((r.i, r.j) for r in one.collect()))
+
+
+def test_a_gap_of_just_the_tolerance(spark):
+    """Whether a value is in reach is decided by its gap, not by the end plus the tolerance, which rounds otherwise."""
+    from pyspark.sql import functions as F
+
+    from sondage.operators.linkage import compatible, pins
+
+    ends = [500.0 * k for k in range(-2, 20)]
+    lhs = spark.createDataFrame([(i, 0, e - 500, e) for i, e in enumerate(ends)], "i long, o int, v_lo double, v_hi double")
+    close = [(e, round(e + g, 4)) for e in ends for g in (0.0099, 0.01, 0.0101)] + [(e, round(e - 500 - g, 4)) for e in ends for g in (0.0099, 0.01, 0.0101)]
+    rhs = spark.createDataFrame([(j, 0, v) for j, (_, v) in enumerate(close)], "j long, o int, v double")
+    gap = lambda e, v: max(e - 500 - v, v - e, 0.0)
+    for tol in (0.0, 1e-3, 1e-2):
+        found = {r.i: r.n for r in compatible(lhs, rhs, ["v"], "o", slack=F.lit(tol), keep=["i"]).collect()}
+        assert found == {i: sum(gap(e, v) <= tol for _, v in close) for i, e in enumerate(ends)}
+    lone = rhs.where(F.col("v") == 9500.01)
+    assert 9500.01 - 9500 > 0.01 and pins(lhs, lone, ["v"], "o", 0.01).count() == 0
