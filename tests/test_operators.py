@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,3 +465,19 @@ def test_checked_files(spark, tmp_path):
     assert [tuple(r) for r in found.rows.collect()] == [("1", "x")] and found.file == raw
     with pytest.raises(files.SourceError):
         files.load(spark, files.RawFile(raw.path, "0" * 64), lambda p: spark.range(1))
+
+
+def test_buckets_of_a_table_whose_rows_arrive_in_another_order_each_time(spark):
+    """Approximate edges depend on the order of the rows; ranks must not."""
+    from sondage.operators.ranks import by_edges, running
+
+    def mixed(parts):
+        yield pd.concat(parts).sample(frac=1)
+
+    values = spark.range(0, 300_000, 1, 2).select((F.col("id") * 7919 % 300_000).cast("double").alias("x"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # else one computation may happen to serve both
+    try:
+        rows, bucket = by_edges(values.mapInPandas(mixed, "x double"), [], "x")
+        assert running(rows, [], bucket, ["x"], {"upto": F.lit(1)}).where("upto != x + 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
