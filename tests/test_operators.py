@@ -505,3 +505,12 @@ def test_counts_of_draws_are_not_broadcast(spark):
     assert {(round(a), d): n for (a, d), n in got.items()} == {(round(a), d): n for (a, d), n in want.items() if n}
     joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
     assert "SortMergeJoin" in joins[0] and "SortMergeJoin" in joins[1]
+
+
+def test_places_in_many_draws_are_not_broadcast(spark):
+    rows = spark.range(2000).select((F.col("id") % 40).alias("draw"), F.col("id").alias("j")).withColumn("_h", rng.hashed("t", F.col("j")))
+    placed = numbered(rows, ["draw"], "_h", "pos", ["j"], many=True)
+    found = {(r.draw, r._h): r.pos for r in placed.collect()}
+    for d in range(40):
+        assert [found[d, h] for h in sorted(h for e, h in found if e == d)] == list(range(50))
+    assert "Broadcast" not in placed._jdf.queryExecution().executedPlan().toString()
