@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from sondage.sources.files import remove, scratch, written
@@ -75,3 +76,52 @@ def maximum_matching(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
         for folder in [last, *folders]:
             remove(spark, folder)
         last, phase = path, phase + 1
+
+
+def largest_flow(supply: np.ndarray, demand: np.ndarray, fits: np.ndarray) -> int:
+    """The size of a largest matching of supply[a] equal left nodes with demand[b] equal right ones where fits[a, b].
+
+    What rows take from what is left, those with few columns first; then paths
+    to a column with something left, from all rows with something left at once,
+    until there is none.
+    """
+    supply, demand = supply.astype(np.int64), demand.astype(np.int64)
+    flow = np.zeros(fits.shape, np.int64)
+    for a in np.argsort(fits.sum(1), kind="stable"):
+        free = np.where(fits[a], demand, 0)
+        upto = np.minimum(free.cumsum(), supply[a])
+        flow[a] = np.diff(upto, prepend=0)
+        supply[a] -= flow[a].sum()
+        demand -= flow[a]
+    while True:
+        from_row, from_column = np.full(len(demand), -1), np.full(len(supply), -1)
+        seen, rows, ends = supply > 0, list(np.flatnonzero(supply > 0)), []
+        while rows:
+            columns = []
+            for a in rows:
+                new = np.flatnonzero(fits[a] & (from_row < 0))
+                from_row[new] = a
+                columns += list(new)
+            ends += [b for b in columns if demand[b] > 0]
+            rows = []
+            for b in columns:
+                new = np.flatnonzero((flow[:, b] > 0) & ~seen)
+                seen[new], from_column[new] = True, b
+                rows += list(new)
+        if not ends:
+            return int(flow.sum())
+        for b in ends:
+            path, a = [(from_row[b], b)], from_row[b]
+            while from_column[a] >= 0:
+                path += [(a, from_column[a])]
+                a = from_row[from_column[a]]
+                path += [(a, path[-1][1])]
+            on, off = path[::2], path[1::2]
+            moved = min(supply[a], demand[b], *[flow[x] for x in off])
+            if moved > 0:  # an earlier path may have taken it
+                for x in on:
+                    flow[x] += moved
+                for x in off:
+                    flow[x] -= moved
+                supply[a] -= moved
+                demand[b] -= moved

@@ -13,6 +13,7 @@ from sondage.plans import PLANS, linking
 
 INF, NAN = math.inf, math.nan
 VARS = ["u", "v", "w"]
+VARS2 = ["v1", "v2"]
 
 
 def missing(x):
@@ -106,6 +107,36 @@ def test_matching_is_a_largest(spark):
     assert maximum_matching(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells", [linkage.CELLS, 0])
+def test_matching_of_classes_is_a_largest(spark, sides, cells):
+    """By flows between classes, and row by row where a task must not hold a group."""
+    left, right, a, b = sides
+    expected = {}
+    for o in (0, 1):
+        for d in range(3):
+            found = [(x[0], y[0]) for x in left for y in right if x[1] == y[1] == o and y[2] == d and all(fits(y[3 + k], *x[2 + 2 * k : 4 + 2 * k]) for k in (0, 1))]
+            expected[o, d] = augmented(sorted(found))
+    got = linkage.matched(a, b, ["u", "v"], "o", 2.0, slack=0.0, per=["d"], cells=cells)
+    assert {(r.o, r.d): r.matched for r in got.collect()} == expected
+    more = linkage.matched(a.withColumn("k", F.col("i") % 2), b.where("d = 0"), ["u", "v"], "o", 2.0, slack=0.0, keep=["k"], cells=cells).where("o = 1")
+    half = lambda k: [(x[0], y[0]) for x in left for y in right if x[0] % 2 == k and x[1] == y[1] == 1 and y[2] == 0 and all(fits(y[3 + v], *x[2 + 2 * v : 4 + 2 * v]) for v in (0, 1))]
+    assert {r.k: r.matched for r in more.collect()} == {k: augmented(sorted(half(k))) for k in (0, 1)}
+
+
+def test_matchings_of_plans_write_no_pairs(spark, small, monkeypatch):
+    """They stay with classes, whatever the rows: pairs() is not called."""
+    monkeypatch.setattr(linkage, "pairs", None)
+    assert PLANS["maximum_matching"](spark, small).agg(F.sum("matched")).first()[0] > 0
+    assert linking.matched_per_draw(spark, small, linking.shuffled(spark, small, 2), 2).count() == 2
+
+
+def test_draws_of_few_rows_come_from_many_tasks(spark, small):
+    r = linking.right(spark, small).withColumn("o", F.col("o").cast("long"))
+    draws = [linkage.copula_draws(r, "o", VARS2, 2), linking.shuffled(spark, small, 2)]
+    for d in draws:
+        assert f", {linkage.TASKS}), REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exceedance_always_has_a_row(spark):
     a = spark.createDataFrame([(1, 0, 0.0, 1.0), (2, 0, 0.0, 1.0), (3, 1, 5.0, 6.0)], "i long, o int, v_lo double, v_hi double")
     b = spark.createDataFrame([(1, 0, 0.5), (2, 1, 9.0)], "j long, o int, v double")
