@@ -451,6 +451,33 @@ def test_draws_of_a_mix(spark):
     assert abs(out.sensitivity.mean() - sens) < 0.03 and out.pr_auc.between(0, 1).all()
 
 
+def test_draws_of_a_mix_over_blocks(spark, monkeypatch):
+    """Every draw against brute force, with many blocks and ranges of scores, ties and a hot score; no pick is a row."""
+    import hashlib
+
+    for name, value in {"WIDE": 8, "HIGH": 16, "PIECE": 7}.items():
+        monkeypatch.setattr(resample, name, value)
+    monkeypatch.setattr(resample.rng, "uniform", None)
+    r = np.random.Generator(np.random.PCG64(5))
+    rows = [(i, int(i < 90), "ab"[i % 3 == 0], 0.7 if i % 4 == 0 else round(float(r.random()), 1 + i % 3)) for i in range(150)]
+    df = spark.createDataFrame([("g", *x) for x in rows], "g string, sample int, y int, s string, p double")
+    out = resample.casemix(df, ["g"], spark.createDataFrame([("a", 0.3), ("b", 0.7)], "s string, target double"), "s", "sample", 60).toPandas().set_index("draw")
+    h = lambda x: hashlib.md5(x.encode()).hexdigest()
+    neg = np.array([x[3] for x in rows if not x[1]])
+    for d in range(60):
+        taken, used = [], []
+        for s, target in (("a", 0.3), ("b", 0.7)):
+            base = sorted((h(f"mix:{x[0]}"), x[0], x[3]) for x in rows if x[1] and x[2] == s)
+            picks = [int(int(h(f"mix:{s}:g:{d}:{j}")[:8], 16) / 2**32 * len(base)) for j in range(round(90 * target))]
+            taken += [base[k][2] for k in picks]
+            used += [picks.count(k) for k in set(picks)]
+        taken = np.array(taken)
+        auc = np.mean([(neg < p).mean() + (neg == p).mean() / 2 for p in taken])
+        pr = np.mean([(taken >= p).sum() / ((taken >= p).sum() + (neg >= p).sum()) for p in taken])
+        row = out.loc[d]
+        assert (row.auc, row.pr_auc, row.sensitivity) == pytest.approx((auc, pr, (taken >= 0.5).mean())) and (row.distinct_cases, row.reuse) == (len(used), max(used))
+
+
 def test_zoo_has_its_grids():
     assert {n: len(s.grid) for n, s in models.MODELS.items()} == {"dummy": 1, "logreg": 12, "additive": 2, "random_forest": 8, "xgboost": 8, "kernel": 12}
     assert all(s.label for s in models.MODELS.values())
