@@ -182,10 +182,10 @@ def lift_draws(spark, sf, draws):
     best = best_single_predictor(spark, sf).first()["feature"]  # one row
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).alias("m"), F.round(F.abs("c_acctbal") / 10000, 4).alias("model"))
     rows = features(spark, sf).where(F.col("feature") == best).select("id", "y", F.col("x").alias("single"))
-    boot = S.bootstrap_weights(rows.join(c, "id"), [], "id", draws)
-    w = F.col("w").cast("double")
-    model = M.roc_auc(boot.withColumn("p", F.col("model")), ["m", "draw"], w)
-    single = M.roc_auc(boot.where("single IS NOT NULL").withColumn("p", F.col("single")), ["draw"], w, any_range=True).select("draw", S.folded(F.col("auc")).alias("single"))
+    arm = lambda name, p: F.struct(name.alias("arm"), F.col(p).alias("p"))
+    aucs = S.drawn_aucs(rows.join(c, "id"), F.array(arm(F.col("m").cast("string"), "model"), arm(F.lit("single"), "single")), "id", draws)
+    single = aucs.where("arm = 'single'").select("draw", S.folded(F.col("auc")).alias("single"))
+    model = aucs.where("arm != 'single'").select(F.col("arm").cast("long").alias("m"), "draw", "auc")
     return model.join(single, "draw").select("m", "draw", (F.col("auc") - F.col("single")).alias("lift"))
 
 

@@ -451,6 +451,23 @@ def test_draws_of_a_mix(spark):
     assert abs(out.sensitivity.mean() - sens) < 0.03 and out.pr_auc.between(0, 1).all()
 
 
+def test_lifts_are_those_of_rows_and_draws(spark, small, monkeypatch):
+    """The draws of bootstrap_weights(), in many blocks, without a row for each of them."""
+    from sondage.plans import resampling
+
+    best = resampling.best_single_predictor(spark, small).first()["feature"]
+    c = spark.read.parquet(f"{small}/customer.parquet").selectExpr("c_custkey AS id", "c_custkey % 2 AS m", "round(abs(c_acctbal) / 10000, 4) AS model")
+    rows = resampling.features(spark, small).where(F.col("feature") == best).select("id", "y", F.col("x").alias("single")).join(c, "id")
+    boot = resample.bootstrap_weights(rows, [], "id", 9).withColumn("w", F.col("w").cast("double"))
+    model = metrics.roc_auc(boot.withColumn("p", F.col("model")), ["m", "draw"], F.col("w")).collect()
+    single = {r.draw: max(r.auc, 1 - r.auc) for r in metrics.roc_auc(boot.where("single IS NOT NULL").withColumn("p", F.col("single")), ["draw"], F.col("w"), any_range=True).collect()}
+    for name, value in {"WIDE": 8, "HIGH": 16, "PIECE": 4}.items():
+        monkeypatch.setattr(resample, name, value)
+    monkeypatch.setattr(resample, "bootstrap_weights", None)
+    found = {(r.m, r.draw): r.lift for r in resampling.lift_draws(spark, small, 9).collect()}
+    assert len(found) == 18 and found == pytest.approx({(r.m, r.draw): r.auc - single[r.draw] for r in model})
+
+
 def test_draws_of_a_mix_over_blocks(spark, monkeypatch):
     """Every draw against brute force, with many blocks and ranges of scores, ties and a hot score; no pick is a row."""
     import hashlib
