@@ -205,6 +205,21 @@ def test_many_values_empty_and_one_sided_sets(spark, data):
     assert T.shapley(df, nothing, ["k"], "sample", FEATURES).count() == 0
 
 
+def test_a_shallow_forest_makes_no_rows_by_tree_and_equals_the_way_of_joins(spark, data, monkeypatch):
+    _, df = data
+    grow = lambda: T.forest(df, ["k"], "sample", FEATURES, 2, 2, True, trees=3, bins=6)
+    with monkeypatch.context() as m:
+        m.setattr(T, "HELD", 0, raising=False)
+        want = model_rows(grow())
+        m.setattr(T, "NODES", 0, raising=False)
+        totals = {r["sample"]: (pytest.approx(r.total), r.trees) for r in T.score(df, grow(), ["k"], "sample", FEATURES).collect()}
+    monkeypatch.setattr(T, "_send", None)
+    got = grow().cache()
+    assert model_rows(got) == want and len(want) > 10
+    plan = T.score(df, got, ["k"], "sample", FEATURES)
+    assert {r["sample"]: (r.total, r.trees) for r in plan.collect()} == totals and "SortMergeJoin" not in plan._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("name", ["grown_forest", "grown_boosted", "tree_shapley"])
 def test_queries_have_all_folds(spark, small, name, monkeypatch):
     from sondage.plans import PLANS, modelling
