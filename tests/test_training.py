@@ -43,6 +43,23 @@ def test_nested_logistic_equals_the_group_trainer(spark, people):
     assert len(mine) == 240 and set(mine) == set(other) and all(other[k] == mine[k] for k in mine)
 
 
+def test_a_task_as_one_group_and_rows_in_blocks_give_the_same_predictions(spark, people, monkeypatch):
+    tasks = spark.createDataFrame([(m, "none", r) for m in ("dummy", "logreg", "additive") for r in range(2)], "model string, calibration string, repeat int")
+    settings = models.Settings(outer=3, inner=2)
+    rows = lambda: {(r.model, r.repeat, r.fold, r["sample"]): (r.y, r.params, pytest.approx(r.p), pytest.approx(r.cut), None if r.inner_score is None else pytest.approx(r.inner_score)) for r in models.nested_cv(people, ["a", "b"], tasks, settings).collect()}
+    several = rows()
+    monkeypatch.setattr(models, "MANY", 1)
+    one = models.nested_cv(people, ["a", "b"], tasks, settings)
+    # No copy of the rows by fold and parameter set: one group a task.
+    assert "Generate" not in one._jdf.queryExecution().executedPlan().toString() and len(several) == 720 and rows() == several
+    r = np.random.Generator(np.random.PCG64(1))
+    x, y = r.normal(size=(500, 3)), (r.random(500) < 0.4).astype(float)
+    whole = [m(x, y)(x) for m in (models.Logistic, models.Additive, models.Fourier)]
+    monkeypatch.setattr(models, "BLOCK", 200), monkeypatch.setattr(models, "KEPT", 0)
+    for p, make in zip(whole, (models.Logistic, models.Additive, models.Fourier)):
+        assert make(x, y)(x) == pytest.approx(p, abs=1e-9)
+
+
 def test_unusable_scores_count_nowhere(spark):
     good = [("a", 1, 0.9), ("a", 0, 0.2), ("a", 1, 0.6), ("a", 0, 0.7), ("b", 1, 0.5)]
     bad = [("a", 1, None), ("a", 0, math.nan), ("a", None, 0.4), ("a", 2, 0.4), ("c", 1, math.nan), ("c", 0, None)]
