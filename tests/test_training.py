@@ -60,6 +60,13 @@ def test_a_task_as_one_group_and_rows_in_blocks_give_the_same_predictions(spark,
         assert make(x, y)(x) == pytest.approx(p, abs=1e-9)
 
 
+def test_importance_sends_narrow_rows_to_its_groups(spark, people):
+    assert dict(models._lean(people, ["a"], "repeat").dtypes) == {"repeat": "int", "sample": "bigint", "y": "tinyint", "fold": "smallint", "a": "double"}
+    got = models.permutation_importance(people, ["a", "same"], 2)
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.fold, r.feature) for r in got.collect()} == {(k, f) for k in range(3) for f in ("a", "same")}
+
+
 def test_unusable_scores_count_nowhere(spark):
     good = [("a", 1, 0.9), ("a", 0, 0.2), ("a", 1, 0.6), ("a", 0, 0.7), ("b", 1, 0.5)]
     bad = [("a", 1, None), ("a", 0, math.nan), ("a", None, 0.4), ("a", 2, 0.4), ("c", 1, math.nan), ("c", 0, None)]
