@@ -67,6 +67,18 @@ def test_importance_sends_narrow_rows_to_its_groups(spark, people):
     assert {(r.fold, r.feature) for r in got.collect()} == {(k, f) for k in range(3) for f in ("a", "same")}
 
 
+def test_ranks_by_hash_exchange_the_rows_once(spark):
+    from sondage.functions import rng
+    from sondage.operators.ranks import numbered
+
+    df = spark.range(3000).selectExpr("id AS sample", "CASE WHEN id % 7 > 0 THEN id % 3 END AS g").withColumn("_h", rng.hashed("x", F.col("sample")))
+    out = numbered(df, ["g"], "_h", "at", ["sample"]).drop("_h")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = df.toPandas().sort_values(["_h"]).assign(at=lambda d: d.groupby("g", dropna=False).cumcount())
+    assert {r["sample"]: r.at for r in out.collect()} == dict(zip(want["sample"], want["at"]))
+
+
 def test_unusable_scores_count_nowhere(spark):
     good = [("a", 1, 0.9), ("a", 0, 0.2), ("a", 1, 0.6), ("a", 0, 0.7), ("b", 1, 0.5)]
     bad = [("a", 1, None), ("a", 0, math.nan), ("a", None, 0.4), ("a", 2, 0.4), ("c", 1, math.nan), ("c", 0, None)]
