@@ -128,3 +128,18 @@ def test_rank_correlations_of_all_pairs(spark):
         ranks = part[["u", "v"]].rank()
         assert got[g, "u", "v"] == pytest.approx(ranks.u[ranks.v.notna()].corr(ranks.v.dropna())) and got[g, "u", "w"] is None
     assert len(got) == 6
+
+
+@pytest.mark.parametrize("balanced", [False, True])
+def test_a_forest_searched_in_pieces_is_the_same_and_cuts_between_neighbouring_doubles(balanced, monkeypatch):
+    r = np.random.Generator(np.random.PCG64(3))
+    x = np.column_stack([r.normal(size=400), r.integers(0, 5, 400), np.zeros(400)])
+    y = (r.random(400) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    grow = lambda: models.Forest(x, y, leaf=2, balanced=balanced, trees=20)
+    whole = grow()
+    monkeypatch.setattr(models, "TOGETHER", 60)
+    assert all(np.array_equal(a, b) for a, b in zip(whole.parts[0], grow().parts[0])) and np.array_equal(whole(x), grow()(x))
+    # The mean of these two doubles is the greater one.
+    low = np.nextafter(1.0, 2.0)
+    two = np.repeat([low, np.nextafter(low, 2.0)], 20)[:, None]
+    assert models.Forest(two, np.repeat([0.0, 1.0], 20), depth=1, trees=5)(two).tolist() == [0.0] * 20 + [1.0] * 20
