@@ -8,7 +8,7 @@ from sondage.functions import rng
 from sondage.operators import metrics as M
 from sondage.operators.ranks import quantiles
 from sondage.plans import plan
-from sondage.plans.views import CELL, FOLDS, POOL, PREDS, RAW, folded, pooled, preds, raw
+from sondage.plans.views import CELL, FOLDS, POOL, PREDS, RAW, folded, pooled, preds, raw, scores, tallied
 from sondage.sources.files import written
 
 R = lambda *names: ", ".join(f"round({n}, 9) AS {n}" for n in names)
@@ -164,13 +164,13 @@ def grid_sql(n: int) -> str:
 
 @plan("net_benefit", f"WITH {POOL}, {grid_sql(20)} SELECT config, model, t, round(tp / n - fp / n * t / (1 - t), 9) AS net_benefit, round(prev - (1 - prev) * t / (1 - t), 9) AS treat_all FROM (SELECT *, (tp + fp + tn + fn)::DOUBLE AS n, (tp + fn) / (tp + fp + tn + fn)::DOUBLE AS prev FROM grd)")
 def net_benefit(spark, sf):
-    out = M.net_benefit(M.at_thresholds(pooled(preds(spark, sf)), CELL, 20))
+    out = M.net_benefit(M.at_thresholds(scores(spark, sf), CELL, 20))
     return rounded(out.select(*CELL, "t", "net_benefit", "treat_all"), "net_benefit", "treat_all")
 
 
 @plan("threshold_tradeoff", f"WITH {POOL}, {grid_sql(100)} SELECT config, model, t, CAST(fn AS BIGINT) AS missed, CAST(tp + fp AS BIGINT) AS referred, round(tp / nullif(tp + fn, 0)::DOUBLE, 9) AS sensitivity, round(tn / nullif(tn + fp, 0)::DOUBLE, 9) AS specificity FROM grd")
 def threshold_tradeoff(spark, sf):
-    out = M.rates(M.at_thresholds(pooled(preds(spark, sf)), CELL, 100))
+    out = M.rates(M.at_thresholds(scores(spark, sf), CELL, 100))
     return rounded(out.select(*CELL, "t", F.col("fn").cast("long").alias("missed"), (F.col("tp") + F.col("fp")).cast("long").alias("referred"), "sensitivity", "specificity"), "sensitivity", "specificity")
 
 
@@ -214,12 +214,12 @@ def summarise_across_repeats(spark, sf):
   SELECT config, model, CAST(bin AS BIGINT) AS bin, CAST(n AS BIGINT) AS n, round(mean_p, 9) AS mean_p, round(o, 9) AS observed,
     round(greatest(0.0, (o + 3.8416 / (2 * n) - 1.96 * sqrt(o * (1 - o) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS low, round(least(1.0, (o + 3.8416 / (2 * n) + 1.96 * sqrt(o * (1 - o) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) AS high FROM b""")
 def calibration_curve(spark, sf):
-    return rounded(M.calibration_curve(written(pooled(preds(spark, sf)), "rows"), CELL), "mean_p", "observed", "low", "high")
+    return rounded(M.calibration_curve(written(scores(spark, sf), "rows"), CELL), "mean_p", "observed", "low", "high")
 
 
 @plan("calibration_curve_width", f"WITH {POOL} SELECT config, model, least(CAST(floor(p * 10) AS BIGINT), 9) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(y), 9) AS observed FROM pooled GROUP BY ALL")
 def calibration_curve_width(spark, sf):
-    return rounded(M.calibration_curve(pooled(preds(spark, sf)), CELL, equal="width").drop("low", "high"), "mean_p", "observed")
+    return rounded(M.calibration_curve(scores(spark, sf), CELL, equal="width").drop("low", "high"), "mean_p", "observed")
 
 
 @plan("logit_expit", f"WITH {RAW} SELECT sample, repeat, round(ln(p / (1 - p)), 9) AS lp, round(1 / (1 + exp(-ln(p / (1 - p)))), 9) AS back FROM raw")
@@ -261,7 +261,7 @@ OFFSET = """ox AS (SELECT config, model, ln(p / (1 - p)) AS lp, count(*)::DOUBLE
 
 @plan("recalibrate_intercept", f"WITH RECURSIVE {POOL}, {OFFSET} SELECT config, model, round(c, 6) AS offset FROM oit WHERE k = 25")
 def recalibrate_intercept(spark, sf):
-    return M.recalibrated_offset(pooled(preds(spark, sf)), CELL, 0.2).select(*CELL, F.round("offset", 6).alias("offset"))
+    return M.recalibrated_offset(scores(spark, sf), CELL, 0.2).select(*CELL, F.round("offset", 6).alias("offset"))
 
 
 @plan("stratified_kfold", f"WITH {PREDS} SELECT sample, repeat, y, fold FROM preds")
@@ -303,13 +303,18 @@ def label_variants(spark, sf):
 VAR = f"v AS (SELECT config, model, 'primary' AS variant, y, p FROM raw UNION ALL SELECT config, model, 'flipped', CASE WHEN stratum = 'click' THEN 0 ELSE y END, p FROM raw UNION ALL SELECT config, model, 'excluded', y, p FROM raw WHERE stratum <> 'click')"
 
 
-@plan("label_robustness", f"WITH {RAW}, {VAR}, {auc_sql('v', 'config, model, variant')} SELECT a.config, a.model, a.variant, round(a.auc, 9) AS auc, round(a.auc - b.auc, 9) AS delta FROM aucs a JOIN aucs b ON a.config = b.config AND a.model = b.model AND b.variant = 'primary' WHERE a.variant <> 'primary'")
-def label_robustness(spark, sf):
-    df = raw(spark, sf)
+def variant_aucs(spark, sf):
+    """(config, model, variant, auc) with the labels as they are, with clicks as controls and without clicks."""
+    df = tallied(raw(spark, sf), "stratum")
     click = F.col("stratum") == "click"
-    variant = lambda d, name: d.select(*CELL, F.lit(name).alias("variant"), "y", "p")
+    variant = lambda d, name: d.select(*CELL, F.lit(name).alias("variant"), "y", "p", "w")
     every = variant(df, "primary").union(variant(df.withColumn("y", F.when(click, 0).otherwise(F.col("y"))), "flipped")).union(variant(df.where(~click), "excluded"))
-    auc = M.roc_auc(every, [*CELL, "variant"])
+    return M.roc_auc(every, [*CELL, "variant"], F.col("w"))
+
+
+@plan("label_robustness", f"WITH {RAW}, {VAR}, {auc_sql('v', 'config, model, variant')} SELECT a.config, a.model, a.variant, round(a.auc, 9) AS auc, round(a.auc - b.auc, 9) AS delta FROM aucs a JOIN aucs b ON a.config = b.config AND a.model = b.model AND b.variant = 'primary' WHERE a.variant <> 'primary'")
+def label_robustness(spark, sf):
+    auc = written(variant_aucs(spark, sf), "aucs")
     base = auc.where("variant = 'primary'").select(*CELL, F.col("auc").alias("base"))
     return auc.where("variant != 'primary'").join(base, CELL).select(*CELL, "variant", F.round("auc", 9).alias("auc"), F.round(F.col("auc") - F.col("base"), 9).alias("delta"))
 

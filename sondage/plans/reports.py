@@ -10,11 +10,12 @@ from sondage.operators import linkage as L
 from sondage.operators import metrics as M
 from sondage.operators import resample as S
 from sondage.plans import plan
-from sondage.plans.evaluation import BRIER, DRAWN, REP, auc_sql, bag_sql, drawn, newton_sql
+from sondage.plans.evaluation import BRIER, DRAWN, REP, auc_sql, bag_sql, drawn, newton_sql, variant_aucs
 from sondage.plans.linking import LEFT, PINS, RIGHT, counted, left, pinned, right
-from sondage.plans.resampling import BOOT, CASEMIX, FAUC, boot, casemix_simulation, features
-from sondage.plans.views import CELL, RAW, pooled, preds, raw
+from sondage.plans.resampling import BOOT, CASEMIX, FAUC, casemix_simulation, features, uncut
+from sondage.plans.views import CELL, RAW, raw, scores, tallied
 from sondage.session import table
+from sondage.sources.files import written
 
 C = "config, model"
 
@@ -29,13 +30,13 @@ EAUC = f"{RAW}, {ENC}, {auc_sql('enc', 'config, model, encoding')}"
 
 
 def encoded(spark, sf):
-    df = raw(spark, sf)
-    arm = lambda name, p: df.select(*CELL, F.lit(name).alias("encoding"), "y", p.alias("p"))
+    df = tallied(raw(spark, sf))
+    arm = lambda name, p: df.select(*CELL, F.lit(name).alias("encoding"), "y", p.alias("p"), "w")
     return arm("midpoint", F.col("p")).union(arm("tenths", F.round("p", 1))).union(arm("halves", F.floor(F.col("p") * 2) / 2))
 
 
 def encoding_auc(spark, sf):
-    return rnd(M.roc_auc(encoded(spark, sf), [*CELL, "encoding"]), "auc")
+    return written(rnd(M.roc_auc(encoded(spark, sf), [*CELL, "encoding"], F.col("w")), "auc"), "aucs")
 
 
 @plan("encoding_robustness", f"WITH {EAUC} SELECT a.config, a.model, a.encoding, round(round(a.auc, 9) - round(b.auc, 9), 9) AS delta FROM aucs a JOIN aucs b ON a.config = b.config AND a.model = b.model AND b.encoding = 'midpoint' WHERE a.encoding <> 'midpoint'")
@@ -85,10 +86,7 @@ def arm_comparison(spark, sf):
 
 @plan("label_variant_wide", f"WITH {RAW}, v AS (SELECT {C}, 'primary' AS variant, y, p FROM raw UNION ALL SELECT {C}, 'flipped', CASE WHEN stratum = 'click' THEN 0 ELSE y END, p FROM raw UNION ALL SELECT {C}, 'excluded', y, p FROM raw WHERE stratum <> 'click'), {auc_sql('v', 'config, model, variant')} SELECT {C}, round(max(auc) FILTER (WHERE variant = 'excluded') - max(auc) FILTER (WHERE variant = 'primary'), 9) AS excluded, round(max(auc) FILTER (WHERE variant = 'flipped') - max(auc) FILTER (WHERE variant = 'primary'), 9) AS flipped FROM aucs GROUP BY {C}")
 def label_variant_wide(spark, sf):
-    df, click = raw(spark, sf), F.col("stratum") == "click"
-    arm = lambda d, n: d.select(*CELL, F.lit(n).alias("variant"), "y", "p")
-    every = arm(df, "primary").union(arm(df.withColumn("y", F.when(click, 0).otherwise(F.col("y"))), "flipped")).union(arm(df.where(~click), "excluded"))
-    wide = M.roc_auc(every, [*CELL, "variant"]).groupBy(*CELL).pivot("variant", ["primary", "excluded", "flipped"]).agg(F.first("auc"))
+    wide = variant_aucs(spark, sf).groupBy(*CELL).pivot("variant", ["primary", "excluded", "flipped"]).agg(F.first("auc"))
     return wide.select(*CELL, *[F.round(F.col(v) - F.col("primary"), 9).alias(v) for v in ("excluded", "flipped")])
 
 
@@ -123,10 +121,10 @@ SD = f"sds AS (SELECT {C}, " + ", ".join(f"stddev_samp({m}) AS {m}_sd" for m in
 def headline_table(spark, sf):
     """A row for each cell: of each metric the estimate, its bootstrap interval and its deviation across repeats, and whether the
     feature set is a valid one."""
-    df = preds(spark, sf)
-    point = M.all_metrics(pooled(df), CELL, F.lit(0.5)).select(*CELL, *WIDE)
-    spread = M.all_metrics(df, [*CELL, "repeat"], F.lit(0.5)).groupBy(*CELL).agg(*[F.stddev_samp(m).alias(f"{m}_sd") for m in WIDE])
-    long = B.intervals(boot(spark, sf), CELL, WIDE)
+    df = written(scores(spark, sf), "rows")
+    point = M.all_metrics(df, CELL, F.lit(0.5)).select(*CELL, *WIDE)
+    spread = M.all_metrics(raw(spark, sf), [*CELL, "repeat"], F.lit(0.5)).groupBy(*CELL).agg(*[F.stddev_samp(m).alias(f"{m}_sd") for m in WIDE])
+    long = B.intervals(uncut(df), CELL, WIDE)
     wide = long.groupBy(*CELL).pivot("metric", WIDE).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     out = point.join(spread, CELL).join(wide, CELL).withColumn("valid", F.col("config") != "f1")
     return out.select(*CELL, "valid", *[F.round(f"{m}{e}", 9).alias(f"{m}{e}") for m in WIDE for e in ("", "_lo", "_hi", "_sd")])
@@ -135,9 +133,10 @@ def headline_table(spark, sf):
 @plan("featureset_table", f"WITH {BOOT}, {auc_sql('pooled', C)}, top AS (SELECT config, model, auc FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY round(auc, 9) DESC, model) AS rn FROM aucs) WHERE rn = 1), iv AS (SELECT {C}, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi FROM bts GROUP BY ALL) SELECT {C}, round(top.auc, 9) AS auc, round(lo, 9) AS lo, round(hi, 9) AS hi, lo >= 0.99 AS saturated FROM top JOIN iv USING ({C})")
 def featureset_table(spark, sf):
     """The best model of each feature set with its interval; saturated if even its lower end is 0.99 or more."""
-    auc = M.roc_auc(pooled(preds(spark, sf)), CELL).withColumn("auc", F.round("auc", 9))
+    df = written(scores(spark, sf).select(*CELL, "y", "p"), "rows")
+    auc = M.roc_auc(df, CELL).withColumn("auc", F.round("auc", 9))
     best = auc.withColumn("_r", F.row_number().over(Window.partitionBy("config").orderBy(F.desc("auc"), "model"))).where("_r = 1").drop("_r")  # one row per model
-    out = best.join(B.intervals(boot(spark, sf), CELL, ["auc"]), CELL)
+    out = best.join(B.intervals(uncut(df), CELL, ["auc"]), CELL)
     return out.select(*CELL, "auc", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), (F.col("lo") >= 0.99).alias("saturated"))
 
 

@@ -10,9 +10,10 @@ from sondage.operators import metrics as M
 from sondage.operators import resample as S
 from sondage.operators.ranks import numbered, quantiles
 from sondage.plans import plan
-from sondage.plans.evaluation import auc_sql, mean_cut
-from sondage.plans.views import CELL, POOL, RAW, pooled, preds, raw
+from sondage.plans.evaluation import auc_sql
+from sondage.plans.views import CELL, POOL, RAW, cuts, raw, scores
 from sondage.session import table
+from sondage.sources.files import written
 
 C, DRAWS, CHECKPOINTS = "config, model", 2000, [100, 200, 500, 1000]
 #: The draws of operators.bootstrap for groups of one block, which all cells of the tables that DuckDB reads are.
@@ -46,7 +47,7 @@ FOLLOWED = ["auc", "brier", "sensitivity"]
 
 
 def source(spark, sf):
-    return pooled(preds(spark, sf))
+    return scores(spark, sf)
 
 
 def rnd(df, *names):
@@ -54,7 +55,13 @@ def rnd(df, *names):
 
 
 def boot(spark, sf):
-    return B.bootstrap_metrics(mean_cut(source(spark, sf), CELL), CELL, DRAWS, 0.5, F.col("c"))
+    """Draws of all metrics. The cuts come by themselves, a row a cell, so that no fold meets a score."""
+    return B.bootstrap_metrics(source(spark, sf).select(*CELL, "y", "p").join(written(cuts(spark, sf), "cuts"), CELL), CELL, DRAWS, 0.5, F.col("c"))
+
+
+def uncut(df):
+    """Draws of boot(), of which only metrics without `screening_` count: these need no cut, and so no folds."""
+    return B.bootstrap_metrics(df.select(*CELL, "y", "p").na.drop(subset=CELL), CELL, DRAWS)
 
 
 @plan("stratified_bootstrap_draws", f"WITH {BOOT} SELECT {C}, CAST(draw AS INTEGER) AS draw, " + ", ".join(f"round({m}, 9) AS {m}" for m in B.METRICS) + " FROM bts")
@@ -69,7 +76,7 @@ def bootstrap_ci(spark, sf):
 
 @plan("bootstrap_checkpoints", f"WITH {BOOT} SELECT {C}, n, metric, round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi FROM {LONG(FOLLOWED)} JOIN (SELECT unnest({CHECKPOINTS}) AS n) c ON draw < n GROUP BY ALL")
 def bootstrap_checkpoints(spark, sf):
-    at = boot(spark, sf).withColumn("n", F.explode(F.array(*map(F.lit, CHECKPOINTS)))).where("draw < n")
+    at = uncut(source(spark, sf)).withColumn("n", F.explode(F.array(*map(F.lit, CHECKPOINTS)))).where("draw < n")
     return rnd(B.intervals(at, [*CELL, "n"], FOLLOWED).select(*CELL, "n", "metric", "lo", "hi"), "lo", "hi")
 
 
@@ -83,7 +90,7 @@ def bootstrap_convergence(spark, sf):
     every = spark.range(DRAWS).select(F.col("id").cast("int").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(SUBSETS - 1))).alias("rep"))
     order = Window.partitionBy("rep").orderBy(rng.hashed("sub", F.col("rep"), F.col("draw")), "draw")  # DRAWS rows
     ranks = every.withColumn("rk", F.row_number().over(order) - 1)
-    at = ranks.withColumn("n", F.explode(F.array(*map(F.lit, CHECKPOINTS)))).where("rk < n").join(boot(spark, sf).select(*CELL, "draw", "auc"), "draw")
+    at = ranks.withColumn("n", F.explode(F.array(*map(F.lit, CHECKPOINTS)))).where("rk < n").join(uncut(source(spark, sf)).select(*CELL, "draw", "auc"), "draw")
     ends = S.interval_of(at, [*CELL, "n", "rep"], "auc")
     return ends.groupBy(*CELL, "n").agg(*[F.round(f(e), 9).alias(f"{e}_{k}") for e in ("lo", "hi") for k, f in (("mean", F.avg), ("sd", F.stddev_samp))])
 

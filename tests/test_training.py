@@ -143,3 +143,20 @@ def test_a_forest_searched_in_pieces_is_the_same_and_cuts_between_neighbouring_d
     low = np.nextafter(1.0, 2.0)
     two = np.repeat([low, np.nextafter(low, 2.0)], 20)[:, None]
     assert models.Forest(two, np.repeat([0.0, 1.0], 20), depth=1, trees=5)(two).tolist() == [0.0] * 20 + [1.0] * 20
+
+
+def test_recoded_arms_do_not_read_the_rows_again(spark, small):
+    from sondage.plans import evaluation, reports
+
+    for arms in (reports.encoded(spark, small), evaluation.label_robustness(spark, small)):
+        assert "events.parquet" not in arms._jdf.queryExecution().toString()
+
+
+def test_what_needs_no_cut_assigns_no_folds(spark, small, monkeypatch):
+    from sondage.plans import PLANS, views
+
+    monkeypatch.setattr(views, "folded", lambda df, folds=5: pytest.fail("folds"))
+    for name in ("net_benefit", "calibration_curve_width", "threshold_tradeoff", "featureset_table", "headline_table", "bootstrap_checkpoints"):
+        assert PLANS[name](spark, small).columns
+    # The repeats of a row are summed before they are exchanged, and nothing is ranked.
+    assert "Window" not in PLANS["net_benefit"](spark, small)._jdf.queryExecution().toString()
