@@ -178,3 +178,16 @@ def test_a_gap_of_just_the_tolerance(spark):
         assert found == {i: sum(gap(e, v) <= tol for _, v in close) for i, e in enumerate(ends)}
     lone = rhs.where(F.col("v") == 9500.01)
     assert 9500.01 - 9500 > 0.01 and pins(lhs, lone, ["v"], "o", 0.01).count() == 0
+
+
+def test_pairs_of_one_hot_key_are_dealt_in_squares(spark, monkeypatch):
+    """All intervals are open and all values alike: one key holds every pair."""
+    import functools
+
+    monkeypatch.setattr(linkage, "_met", functools.partial(linkage._met, dealt=16, most=500))
+    left = spark.range(150).selectExpr("id AS i", "CAST(id * 2 % 2 AS INT) AS o", "double('-infinity') AS v_lo", "double('infinity') AS v_hi")
+    right = spark.range(70).selectExpr("id AS j", "CAST(id % 2 AS INT) AS o", "1.0D AS v")
+    got = linkage.edges(linkage.pairs(left, right, ["v"], "o", 1e-9, 500.0), ["v"])
+    rows = got.groupBy(F.spark_partition_id()).count().collect()
+    assert {tuple(r) for r in got.collect()} == {(i, j) for i in range(150) for j in range(0, 70, 2)} and got.count() == 150 * 35
+    assert len(rows) > 4 and max(r["count"] for r in rows) < 150 * 35 / 2
