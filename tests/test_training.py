@@ -160,3 +160,39 @@ def test_what_needs_no_cut_assigns_no_folds(spark, small, monkeypatch):
         assert PLANS[name](spark, small).columns
     # The repeats of a row are summed before they are exchanged, and nothing is ranked.
     assert "Window" not in PLANS["net_benefit"](spark, small)._jdf.queryExecution().toString()
+
+
+def test_resamples_are_drawn_where_they_are_used(spark, people):
+    import hashlib
+
+    from sondage.functions import rng
+
+    numbers = np.array([0, 7, 9, 10, 99, 100, 12345, 99999, 10**9, 2**32 - 1, 2**32, -3])
+    for start in ("", "proc:3:", "x" * 45, "x" * 60):
+        assert rng.first_words(start, numbers).tolist() == [int(hashlib.md5(f"{start}{n}".encode()).hexdigest()[:8], 16) for n in numbers]
+        assert rng.first_words(start, numbers[:10]).tolist() == rng.first_words(start, numbers).tolist()[:10]
+    settings, draws = models.Settings(outer=3, inner=2), 4
+    df = people.withColumn("sample", F.col("sample") * 3)  # a row's place counts, not its number
+    got = models.resampled_aucs(df, ["a", "b"], "logreg", draws, "proc", settings)
+    # The rows travel to the lanes, not to the resamples; none is joined to a draw.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "SortMergeJoin" not in plan
+    local = df.toPandas().sort_values("sample").reset_index(drop=True)
+    parts = [local.iloc[[int(int(hashlib.md5(f"proc:{d}:{s}".encode()).hexdigest()[:8], 16) / 2**32 * 240) for s in local["sample"]]].assign(sample=local["sample"].to_numpy(), repeat=d) for d in range(draws)]
+    rows = [(int(r.sample), int(r.y), int(r.repeat), int(r.fold), float(r.a), float(r.b)) for part in parts for r in part.itertuples()]
+    copies = spark.createDataFrame(rows, "sample long, y int, repeat int, fold int, a double, b double")
+    tasks = spark.createDataFrame([("logreg", "none", d) for d in range(draws)], "model string, calibration string, repeat int")
+    want = {r.repeat: pytest.approx(r.auc) for r in metrics.roc_auc(models.nested_cv(copies, ["a", "b"], tasks, settings), ["repeat"]).collect()}
+    assert {r.draw: r.auc for r in got.collect()} == want and len(want) == draws
+
+
+def test_fits_side_by_side_that_start_near_their_end_are_the_same(monkeypatch):
+    r = np.random.Generator(np.random.PCG64(2))
+    x = r.normal(size=(4000, 3)) * [1, 0.3, 2]
+    y = (r.random(4000) < 1 / (1 + np.exp(-x[:, 0] + 1))).astype(float)
+    for make, some in ((models.Logistic, models.MODELS["logreg"].grid), (models.Fourier, [o for o in models.MODELS["kernel"].grid if o["gamma"] == 0.01])):
+        monkeypatch.setattr(models, "LARGE", 1 << 14)
+        alone = [make(x, y, **o)(x[:500]) for o in some]
+        monkeypatch.setattr(models, "LARGE", 100)
+        assert make.several(x, y, some, x[:500]) == pytest.approx(np.array(alone), abs=1e-9)
+    assert models.auc(y, np.round(x[:, 0], 1) + 9) == pytest.approx(models.auc(y, np.round(x[:, 0], 1)), abs=1e-15)
