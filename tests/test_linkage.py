@@ -191,3 +191,17 @@ def test_pairs_of_one_hot_key_are_dealt_in_squares(spark, monkeypatch):
     rows = got.groupBy(F.spark_partition_id()).count().collect()
     assert {tuple(r) for r in got.collect()} == {(i, j) for i in range(150) for j in range(0, 70, 2)} and got.count() == 150 * 35
     assert len(rows) > 4 and max(r["count"] for r in rows) < 150 * 35 / 2
+
+
+def test_squares_of_pairs_grow_with_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from sondage.operators import linkage
+
+    monkeypatch.setattr(linkage, "SQUARES", 4)
+    n = 300
+    left, right = spark.range(n).selectExpr("id AS i", "0 AS k"), spark.range(n).selectExpr("id AS j", "0 AS k")
+    met = linkage._met(left, right, ["k"], dealt=10)
+    # Four squares of 150 and not 900 of 10: a row travels twice and not thirty times.
+    assert met.select("_row", "_column").distinct().count() == 4
+    assert met.select("i", "j").distinct().count() == n * n == met.count()
+    assert met.groupBy("_row", "_column").agg(F.countDistinct("i").alias("n")).agg(F.max("n")).first()[0] < 200
