@@ -210,3 +210,29 @@ def test_draws_of_a_mix_stay_in_their_lanes(spark, monkeypatch):
     monkeypatch.setattr(resample, "LANES", 1), monkeypatch.setattr(resample.rng, "PIECE", 16)
     assert len(several) == 60 and [tuple(r) for r in sorted(resample.casemix(df, ["g"], mix, "s", "sample", 30).collect())] == [pytest.approx(tuple(r)) for r in several]
     assert resample.casemix(df.where("y = 0"), ["g"], mix, "s", "sample", 30).count() == 0
+
+
+def test_lanes_take_the_rows_once_for_many_jobs(spark, people):
+    import pyarrow as pa
+
+    def do(k, repeat, rows):
+        yield pa.table({"k": [k], "repeat": [repeat], "n": [len(rows.y)], "sorted": [bool((np.diff(rows.sample) > 0).all())]})
+
+    jobs = [(k, r) for r in (0, 1) for k in range(200)]
+    out = models._lanes(people, ["a", "same"], jobs, do, "k long, repeat long, n long, sorted boolean")
+    lanes = max(models.LANES, 2 * spark.sparkContext.defaultParallelism)
+    assert out.rdd.getNumPartitions() == lanes < len(jobs)
+    assert sorted(map(tuple, out.collect())) == sorted((k, r, 120, True) for k, r in jobs)
+
+
+def test_pooled_violators_equal_one_by_one():
+    r = np.random.Generator(np.random.PCG64(4))
+    for p, y in ((r.random(400), r.random(400) < 0.4), (np.arange(300) / 300, np.r_[np.tile([0, 1], 100), np.zeros(100)]), (np.round(r.random(200), 1), r.random(200) < 0.5), (np.array([0.2, 0.1]), np.array([0, 1]))):
+        y, blocks = y.astype(float), []
+        for x, t in sorted(zip(p, y), key=lambda v: v[0]):
+            blocks.append([t, 1, x])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+                t, w, x = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + t, blocks[-1][1] + w, x]
+        at = np.linspace(0, 1, 101)
+        assert models.isotonic(p, y)(at) == pytest.approx(np.interp(at, [b[2] for b in blocks], [b[0] / b[1] for b in blocks]), abs=1e-12)
